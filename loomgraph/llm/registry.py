@@ -4,10 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
-from .tables import table
+from . import bpe, minhash, quality, token_counts, toxicity
+from .labelled import fold_of
+from .tables import table, whole_text
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """Ids of every text under the rank file, and the bytes they decode to, as digests."""
+    ranks = bpe.read_ranks(path)
+    docs = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    return docs.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("word_bpe_49k.json"), limit: int = 2048) -> DataFrame:
+    """Bytes and tokens of every text, and whether the tokens exceed a context of `limit`."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, token_counts.read_vocabulary(path))
+    return counted.select("doc_id", F.octet_length(whole_text()).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def _scored(docs: DataFrame, score: str, held_out: F.Column) -> DataFrame:
+    return docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; learned from labelled rows whose id's crc32 is no multiple of five."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = fold_of("doc_id", 5) == 0
+    return _scored(toxicity.fit_and_score(docs, labels, ~held_out), "toxicity", held_out)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text; learned from labelled rows whose id's crc32 is not one modulo three."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = fold_of("doc_id", 3) == 1
+    return _scored(quality.fit_and_score(docs, labels, ~held_out), "quality_score", held_out)
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +74,11 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least l USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_token_counts": op4_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
