@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import whole_text
 from .words import slices
@@ -203,7 +204,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str =
                 yield pa.record_batch([*batch.columns[:-1], lists], [*batch.schema.names[:-1], to])
 
     kept = docs.drop(to)
-    schema = type(docs.schema)([*kept.schema.fields]).add(to, "array<int>")
+    schema = T.StructType([*kept.schema.fields]).add(to, T.ArrayType(T.IntegerType()))
     return kept.withColumn("_text", whole_text(column)).mapInArrow(run, schema)
 
 
