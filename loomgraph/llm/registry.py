@@ -8,11 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, quality, token_counts, toxicity
+from . import bpe, minhash, quality, token_counts, toxicity, vptree, warc
 from .labelled import fold_of
 from .tables import table, whole_text
 
 
+def op1_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every row of `embeddings` whose id is divisible by 100, by exact search."""
+    return vptree.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Ids of every text under the rank file, and the bytes they decode to, as digests."""
     ranks = bpe.read_ranks(path)
@@ -50,6 +67,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.fit_and_score(docs, labels, ~held_out), "quality_score", held_out)
 
 
+def op8_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of `pages` written to ZIP packages of WARC records and read back by ranges."""
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < keeper THEN keeper END AS refers_to
+FROM k
+"""
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on 4-word shingles at a similarity of 0.8."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Params(shingle=4))
@@ -74,13 +107,17 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least l USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vantage_point_neighbours": op1_vantage_point_neighbours,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_counts": op4_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op8_warc_packages": op8_warc_packages,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_vantage_point_neighbours": OP1_SQL,
+    "op8_warc_packages": OP8_SQL,
     "op9_minhash_near_dedup": OP9_SQL,
 }
