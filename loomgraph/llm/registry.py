@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, quality, token_counts, toxicity, vptree, warc
+from . import bpe, fuzzy, minhash, quality, token_counts, toxicity, vptree, warc
 from .labelled import fold_of
 from .tables import table, whole_text
 
@@ -67,6 +67,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.fit_and_score(docs, labels, ~held_out), "quality_score", held_out)
 
 
+def op7_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, with their likeness to each other and to the next document's."""
+    return fuzzy.edited_and_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of `pages` written to ZIP packages of WARC records and read back by ranges."""
     records = warc.round_trip(table(spark, sf_dir, "pages"))
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_counts": op4_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op7_piecewise_fingerprints": op7_piecewise_fingerprints,
     "op8_warc_packages": op8_warc_packages,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality": op10_quality,
