@@ -122,7 +122,7 @@ def train(sample: DataFrame, params: Params | None = None) -> tuple[np.ndarray,
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], params: Params | None = None) -> DataFrame:
     """`docs` with a double column quality_score; null and empty texts get the constant's score."""
-    p = params or Params()
+    p, docs = params or Params(), docs.drop("quality_score")
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fuzzy, minhash, quality, token_counts, toxicity, vptree, warc
+from . import bpe, fuzzy, minhash, mixing, quality, token_counts, toxicity, vptree, warc
 from .labelled import fold_of
 from .tables import table, whole_text
 
@@ -49,6 +49,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, path: str = public_tokeni
     return counted.select("doc_id", F.octet_length(whole_text()).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def op5_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of one and a half times all words takes from every document, sources weighing 5, 2 and 1 in turn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def _scored(docs: DataFrame, score: str, held_out: F.Column) -> DataFrame:
     return docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.5).cast("int").alias("predicted"))
 
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vantage_point_neighbours": op1_vantage_point_neighbours,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_counts": op4_token_counts,
+    "op5_sainte_lague_mix": op5_sainte_lague_mix,
     "op6_toxicity": op6_toxicity,
     "op7_piecewise_fingerprints": op7_piecewise_fingerprints,
     "op8_warc_packages": op8_warc_packages,

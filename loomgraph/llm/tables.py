@@ -45,3 +45,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def whole_text(column: str = "text") -> F.Column:
     """The text, a null counting as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have yet, made of `name`."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name = f"_{name}"
+    return name

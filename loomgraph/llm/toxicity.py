@@ -204,6 +204,7 @@ def _cached(lexicon: Lexicon) -> ahocorasick.Automaton:
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """`docs` with toxicity (0 to 1) and n_hits; null and empty texts score as texts without a hit."""
+    docs = docs.drop("toxicity", "n_hits")
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
