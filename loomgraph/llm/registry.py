@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fuzzy, minhash, mixing, quality, token_counts, toxicity, vptree, warc
+from . import bpe, fuzzy, lines, minhash, mixing, quality, token_counts, toxicity, vptree, warc
 from .labelled import fold_of
 from .tables import table, whole_text
 
@@ -30,6 +30,35 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every text, and what is left without later copies of runs of lines with 50 words or more."""
+    return lines.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents),
+w AS (
+  SELECT doc_id, line, trim(x, E' 	') AS x, len(regexp_extract_all(x, '[^ 	-]+')) AS w FROM l),
+s AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS at, sum(w) OVER (PARTITION BY doc_id ORDER BY line) AS c FROM w WHERE w > 0),
+spans AS (
+  SELECT a.doc_id, a.at AS a, min(b.at) AS b FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.at BETWEEN a.at AND a.at + 49 AND b.c - a.c + a.w >= 50 GROUP BY 1, 2
+  UNION
+  SELECT b.doc_id, max(a.at), b.at FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.at BETWEEN a.at AND a.at + 49 AND b.c - a.c + a.w >= 50 GROUP BY b.doc_id, b.at),
+runs AS (
+  SELECT p.doc_id, p.a, p.b, string_agg(s.x, chr(10) ORDER BY s.at) AS run FROM spans p JOIN s ON s.doc_id = p.doc_id AND s.at BETWEEN p.a AND p.b GROUP BY 1, 2, 3),
+firsts AS (SELECT run, min((doc_id, a)) AS f FROM runs GROUP BY run HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT r.doc_id, s.line FROM runs r JOIN firsts USING (run)
+  JOIN s ON s.doc_id = r.doc_id AND s.at BETWEEN CASE WHEN f[1] = r.doc_id THEN greatest(r.a, f[2] + r.b - r.a + 1) ELSE r.a END AND r.b
+  WHERE (r.doc_id, r.a) <> f)
+SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_removed,
+  sha256(coalesce(string_agg(x, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id
+"""
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Ids of every text under the rank file, and the bytes they decode to, as digests."""
     ranks = bpe.read_ranks(path)
@@ -119,6 +148,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least l USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vantage_point_neighbours": op1_vantage_point_neighbours,
+    "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_counts": op4_token_counts,
     "op5_sainte_lague_mix": op5_sainte_lague_mix,
@@ -131,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_vantage_point_neighbours": OP1_SQL,
+    "op2_line_dedup": OP2_SQL,
     "op8_warc_packages": OP8_SQL,
     "op9_minhash_near_dedup": OP9_SQL,
 }
