@@ -1,20 +1,56 @@
-"""The corpus pipeline: each stage takes and gives documents and calls one operator of loomgraph.llm."""
+"""The corpus pipeline: each stage takes and gives documents and calls one operator of loomgraph.llm.
+
+The last stage gives ids instead of texts. Documents that the mix takes twice
+appear as two rows with one doc_id.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import minhash
+from loomgraph.llm import bpe, lines, minhash, mixing, quality
 from loomgraph.llm.tables import materialize, table
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from all labelled documents, scores under a half go."""
+    scored = quality.fit_and_score(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return scored.filter("quality_score >= 0.5").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of runs of lines with 50 words or more go, and documents of which nothing is left."""
+    return lines.dedup_lines(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return minhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One and a half times all words, the sources weighing 5, 2 and 1 in turn, none taken more than twice."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, their number, and the digest of the bytes they decode to."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
+]
 
+#: SQL can express neither the trained classifier nor the seeded choice of blocks.
 ORACLE_SQL = None
 
 
