@@ -100,7 +100,7 @@ def _shard_quotas(shards: DataFrame, p: Params) -> DataFrame:
     """
     source = Window.partitionBy("key")
     size, total = F.col("shard_size"), F.sum("shard_size").over(source)
-    base = shards.withColumn("votes", F.coalesce(size / total, F.lit(0.0))).withColumn("got", F.floor(F.col("votes") * F.col("blocks") + 0.5))
+    base = shards.withColumn("votes", F.coalesce(F.try_divide(size, total), F.lit(0.0))).withColumn("got", F.floor(F.col("votes") * F.col("blocks") + 0.5))
     base = base.withColumn("left", F.col("blocks") - F.sum("got").over(source))
     steps = base.filter("left <> 0 and shard_size > 0").withColumn("step", F.explode(F.sequence(F.lit(0), (2 * F.ceil(F.abs("left") * F.col("votes")) + 2).cast("int"))))
     last = F.col("got") - F.col("step")
@@ -168,7 +168,7 @@ def mix(docs: DataFrame, params: Params | None = None) -> DataFrame:
     is counted anew. Documents of which nothing is taken are left out.
     """
     key, mark, number, times, pieces = (unused(docs, n) for n in ("key", "mark", "number", "times", "pieces"))
-    planned = plan(docs, params).filter("times > 0 or size(pieces) > 0")
+    planned = plan(docs, params).filter("taken > 0")
     keyed = docs.withColumns({mark: F.xxhash64("text"), key: F.col("doc_id").cast("long")})
     match = keyed[key].eqNullSafe(planned["doc_id"]) & (keyed[mark] == planned["mark"])
     if not planned.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():  # rows that repeat get one plan each
