@@ -4,10 +4,12 @@ Universal hash minima are cut into bands; documents that share a band are
 candidates; their signatures and then their full shingle sets confirm a link;
 large-star and small-star join the links to components.
 
-Groups of any size stay linear: a bucket links its members to one hub only.
-Where a bucket of three or more still holds several components, its documents
-also meet by their rarest shingles (a prefix of the set that any partner of
-the wanted similarity must share), which finds every link that is left.
+Groups of any size stay linear: a bucket links its members to one hub. Where a
+bucket still holds several components afterwards, its documents are compared
+across components: all of them in buckets of up to `small` documents; beyond
+that those that share a shingle of their prefixes (the rarest shingles of a
+set, of which any set that is similar enough must share one). Texts move only
+for documents that are candidates.
 """
 
 from __future__ import annotations
@@ -23,20 +25,21 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .tables import materialize, whole_text
-from .words import shingle_sets, slices
+from .words import mix, shingle_sets, slices
 
 
 @dataclass(frozen=True)
 class Params:
-    """`percent`: a link needs 100 * intersection >= percent * union. `slack`: signatures that agree less than this share are no candidates (8 standard deviations below the 0.8 default)."""
+    """`percent`: a link needs 100 * intersection >= percent * union. `slack`: signatures that agree less than this share are no candidates (over 6 standard deviations below the 0.8 default). `filter_bits` bounds the bit map by which texts are preselected."""
 
     shingle: int = 5
     percent: int = 80
-    bands: int = 32
-    rows: int = 4
-    slack: float = 0.5
+    bands: int = 40
+    rows: int = 6
+    slack: float = 0.62
     seed: int = 11
-    rank_bits: int = 20
+    small: int = 32
+    filter_bits: int = 24
 
     @property
     def hashes(self) -> int:
@@ -54,102 +57,128 @@ def _minima(sets: list[np.ndarray], p: Params) -> np.ndarray:
     return out
 
 
+def _bands(minima: np.ndarray, p: Params) -> np.ndarray:
+    """A 64-bit hash of each band of the signatures, the band's number among it."""
+    out = np.zeros((len(minima), p.bands), np.uint64)
+    for r in range(p.rows):
+        out = mix(out ^ mix(minima[:, r :: p.rows].astype(np.uint64) + np.uint64(1)))
+    return mix(out + np.arange(p.bands, dtype=np.uint64)[None])
+
+
 def sketches(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, n_shingles, fp, sig): set size, 128-bit hash of the set, signature (null for empty sets)."""
+    """(doc_id, n_shingles, fp, bands, sig): set size, 128-bit hash of the set, band hashes, and the low byte of each minimum (the last three null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 sets = shingle_sets(batch.column("text"), p.shingle)
                 full = [s for s in sets if len(s)]
-                rows = iter(_minima(full, p).view(np.int32)) if full else iter(())
+                minima = _minima(full, p) if full else np.empty((0, p.hashes), np.uint32)
+                bands, low = iter(_bands(minima, p).view(np.int64)), iter(minima.astype(np.uint8))
                 yield pa.record_batch(
                     [
                         batch.column("doc_id"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([next(rows) if len(s) else None for s in sets], pa.list_(pa.int32())),
+                        pa.array([next(bands) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                        pa.array([next(low).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "fp", "sig"],
+                    ["doc_id", "n_shingles", "fp", "bands", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig array<int>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp binary, bands array<long>, sig binary")
 
 
-def full_sets(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, set): the whole shingle set of each document."""
+def _sized(low: str, high: str, p: Params) -> F.Column:
+    """Sets whose sizes differ more than this can't be similar enough."""
+    return (F.least(low, high) * 100) >= (F.greatest(low, high) * p.percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                sets = shingle_sets(batch.column("text"), p.shingle)
-                yield pa.record_batch([batch.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "set"])
 
-    return docs.mapInArrow(run, "doc_id long, set array<long>")
+def _texts_of(texts: DataFrame, ids: DataFrame, p: Params) -> DataFrame:
+    """The rows of `texts` whose doc_id is among `ids`; a bit map of 2**filter_bits bits keeps most others from the shuffle."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << p.filter_bits))
+    words = ids.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (p.filter_bits - 6), np.int64)
+    bits[words["w"].to_numpy()] = words["bits"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("slot").to_numpy()
+            yield batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)).select(["doc_id", "text"])
 
-def _sized(low: str, high: str, p: Params) -> F.Column:
-    """Sets whose sizes differ more than this can't be similar enough."""
-    return (F.least(low, high) * 100) >= (F.greatest(low, high) * p.percent)
+    likely = texts.withColumn("slot", slot).filter("doc_id is not null").mapInArrow(run, "doc_id long, text string")
+    return likely.join(ids, "doc_id", "left_semi")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) whose signatures and then whole sets are similar enough."""
+def _confirm(pairs: DataFrame, texts: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
+    """The pairs (a, b, n_b) whose signatures and then whole sets are similar enough."""
     sign = lambda side: reps.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
-    agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
-    likely = pairs.join(sign("a"), "a").filter(_sized("n_a", "n_b", p)).drop("n_b").join(sign("b"), "b")
-    likely = materialize(likely.filter(agree >= p.slack * p.hashes).select("a", "b").distinct(), "likely")
+    both = pairs.join(sign("a"), "a").filter(_sized("n_a", "n_b", p)).drop("n_b").join(sign("b"), "b").select("a", "b", "sig_a", "sig_b")
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, p.hashes) for c in ("sig_a", "sig_b"))
+            same = (one == two).mean(1) if batch.num_rows else np.empty(0)
+            yield batch.filter(pa.array((same * 256 - 1) / 255 >= p.slack)).select(["a", "b"])  # of unequal minima one in 256 has the same low byte
+
+    likely = materialize(both.mapInArrow(agree, "a long, b long").distinct(), "likely")
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    sets = materialize(full_sets(docs.join(wanted, "doc_id", "left_semi"), p), "sets")
-    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("set").alias(f"set_{s}"))
-    both = likely.join(side("a"), "a").join(side("b"), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-    return both.filter(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * p.percent).select("a", "b").distinct()
+    known = materialize(_texts_of(texts, wanted, p), "candidates")
+    of = lambda side: known.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, np.empty(0, np.uint64)
+        for whole in batches:
+            for batch in slices(whole, "text_b", 1 << 20):
+                keep = []
+                for i, other in enumerate(shingle_sets(batch.column("text_b"), p.shingle)):
+                    first = batch.column("text_a")[i]
+                    if first != hub:
+                        hub, own = first, shingle_sets(batch.column("text_a").slice(i, 1), p.shingle)[0]
+                    common = len(np.intersect1d(own, other, assume_unique=True))
+                    keep.append(common * 100 >= (len(own) + len(other) - common) * p.percent)
+                yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    met = likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
+    return met.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _rest_pairs(docs: DataFrame, rest: DataFrame, p: Params) -> DataFrame:
+def _small_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_b) of the documents of a bucket, from different components, for buckets of bounded size."""
+    side = lambda s: members.select("band", F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("component").alias(f"c_{s}"))
+    return side("a").join(side("b"), "band").filter("c_a < c_b").select("a", "b", "n_b").distinct()
+
+
+def _prefix_pairs(texts: DataFrame, rest: DataFrame, p: Params) -> DataFrame:
     """Pairs (a, b, n_b) of documents of `rest` (doc_id, component) in different components that share a shingle of their prefixes.
 
-    All sets are ordered alike: by how many sets have a shingle of the same
-    2**rank_bits classes, then by the shingle. Of two similar sets each holds
-    a shared one among its first n - ceil(n * percent / 100) + 1. The counts
-    only order; nothing but shingles that no other set has is left out.
+    All sets are ordered alike: by how many of these documents have a shingle,
+    then by the shingle. Two sets of sizes n and m that are similar enough have
+    a least overlap, and so a shared shingle among the first n - overlap + 1 of
+    the one and as many of the other: each entry bears the largest size of a
+    partner that would need it. A shingle that no other document has is in no
+    overlap, so it takes a place in the prefix, but no entry.
     """
-    mask = np.uint64((1 << p.rank_bits) - 1)
-    texts = docs.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(int(mask) + 1, np.int64)
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                for s in shingle_sets(batch.column("text"), p.shingle):
-                    np.add.at(seen, s & mask, 1)
-        some = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(some, pa.int32()), pa.array(seen[some])], ["k", "n"])
-
-    counts = texts.mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
-    order = np.ones(int(mask) + 1, np.int64)
-    order[counts["k"].to_numpy()] = counts["n"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(order, np.iinfo(np.int32).max).astype(np.int32))
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                ids, firsts, sizes = [], [], []
-                for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), p.shingle), strict=True):
-                    own = rank[s & mask]
-                    first = np.lexsort((s, own))[: len(s) - -(-len(s) * p.percent // 100) + 1]
-                    first = first[own[first] > 1]
-                    ids.append(np.full(len(first), doc, np.int64))
-                    firsts.append(s[first].view(np.int64))
-                    sizes.append(np.full(len(first), len(s), np.int64))
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (ids, firsts, sizes)], ["doc_id", "shingle", "n"])
-
-    entries = texts.mapInArrow(prefix, "doc_id long, shingle long, n long").join(rest.distinct(), "doc_id")
-    entries = materialize(entries, "prefixes")
-    named = lambda s: entries.select("shingle", F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("component").alias(f"c_{s}"))
-    met = named("a").join(named("b"), "shingle").filter((F.col("c_a") < F.col("c_b")) & _sized("n_a", "n_b", p))
+                sets = shingle_sets(batch.column("text"), p.shingle)
+                sizes = [len(s) for s in sets]
+                flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+                yield pa.record_batch([pa.array(np.repeat(batch.column("doc_id").to_numpy(), sizes), pa.int64()), pa.array(flat), pa.array(np.repeat(np.array(sizes, np.int64), sizes))], ["doc_id", "shingle", "n"])
+
+    every = materialize(_texts_of(texts, rest.select("doc_id").distinct(), p).mapInArrow(explode, "doc_id long, shingle long, n long"), "shingles")
+    shared = every.groupBy("shingle").agg(F.count("*").alias("rank")).filter("rank > 1")
+    sets = every.join(shared, "shingle").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("rank", "shingle"))).alias("x"))
+    unique = F.col("n") - F.size("x")
+    # entry i (from zero) counts while overlap <= n - i, with overlap = percent * (n + m) / (100 + percent)
+    ranked = sets.select("doc_id", "n", unique.alias("unique"), F.posexplode("x.shingle").alias("i", "shingle")).withColumn("i", F.col("i") + F.col("unique"))
+    ranked = ranked.withColumn("most", F.floor((F.col("n") - F.col("i")) * (100 + p.percent) / p.percent - F.col("n"))).filter(F.col("most") * 100 >= F.col("n") * p.percent)
+    entries = materialize(ranked.join(rest.distinct(), "doc_id").select("doc_id", "n", "shingle", "most", "component"), "prefixes")
+    named = lambda s: entries.select("shingle", F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("most").alias(f"most_{s}"), F.col("component").alias(f"c_{s}"))
+    met = named("a").join(named("b"), "shingle").filter((F.col("c_a") < F.col("c_b")) & _sized("n_a", "n_b", p) & (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a")))
     return met.select("a", "b", "n_b").distinct()
 
 
@@ -164,29 +193,30 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """
     p = params or Params()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    sketch = materialize(sketches(docs, p), "sketches")
-    classes = sketch.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(classes, "classes")
-    reps = materialize(sketch.filter("fp is not null").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "reps")
-    rep_texts = texts.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-
-    parts = F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * p.rows + 1, p.rows)) for b in range(p.bands)])
-    banded = reps.select("doc_id", "n_shingles", F.explode(parts).alias("band"))
+    sketch = materialize(sketches(texts, p), "sketches")
+    full = sketch.filter("fp is not null and doc_id is not null")
+    classes = materialize(full.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi")
+    reps = materialize(reps.select("doc_id", "n_shingles", "bands", "sig"), "reps")
+
+    banded = reps.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).filter("members > 1")
     buckets = materialize(banded.join(hubs, "band"), "buckets")
     pairs = buckets.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b")).distinct()
-    links = materialize(_confirm(pairs, rep_texts, reps, p), "links")
+    links = materialize(_confirm(pairs, texts, reps, p), "links")
 
     # one document may have several texts, each in a class of its own
-    own = sketch.filter("fp is not null and doc_id is not null").join(classes, "fp").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
+    own = full.select("doc_id", "fp").join(classes, "fp").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     links = links.union(own.filter("a < b").select("a", "b"))
     found = materialize(connected_components(links), "components")
 
-    labelled = buckets.filter("members > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_bands = labelled.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
-    rest = materialize(labelled.join(open_bands.select("band"), "band", "left_semi").select("doc_id", "component").distinct(), "rest")
-    if not rest.isEmpty():
-        more = materialize(_confirm(_rest_pairs(rep_texts, rest, p), rep_texts, reps, p), "links")
+    for size, pick in ((F.col("members") <= p.small, _small_pairs), (F.col("members") > p.small, lambda rest: _prefix_pairs(texts, rest.select("doc_id", "component").distinct(), p))):
+        labelled = buckets.filter("members > 2").filter(size).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        open_bands = labelled.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
+        rest = materialize(labelled.join(open_bands.select("band"), "band", "left_semi").select("band", "doc_id", "n_shingles", "component"), "rest")
+        if rest.isEmpty():
+            continue
+        more = materialize(_confirm(pick(rest), texts, reps, p), "links")
         if not more.isEmpty():
             found = materialize(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
