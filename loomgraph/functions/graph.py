@@ -126,7 +126,7 @@ def name_similarity(a: Column, b: Column) -> Column:
 
 def version_constraints(text: Column) -> Column:
     """[(op, version)] of a comma list; no operator means =."""
-    parts = F.transform(F.split(text, ","), F.trim)
+    parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
     return F.transform(parts, lambda p: F.struct(F.coalesce(F.nullif(F.regexp_extract(p, r"^(~>|>=|<=|!=|=|>|<)", 1), F.lit("")), F.lit("=")).alias("op"), F.trim(F.regexp_replace(p, r"^(~>|>=|<=|!=|=|>|<)", "")).alias("version")))
 
 
@@ -145,7 +145,7 @@ def module_source_kind(source: Column) -> Column:
 
 def expressions(text: Column) -> Column:
     """The bodies of ${{ ... }} expressions."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\$\{\{\s*(.*?)\s*\}\}"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\$\{\{\s*(.*?)\s*\}\}"), F.lit(1)), lambda x: F.trim(x))
 
 
 def template_values(text: Column) -> Column:

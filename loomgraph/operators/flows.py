@@ -85,7 +85,8 @@ def flow_score(pattern: Column, evidence: Column) -> Column:
     explicit = has("explicit_reference")
     bonus = F.least(F.lit(20.0), number(explicit, 10) + number(has("job_dependency"), 5) + number(has("naming_convention"), 3) + number(needs & ~explicit, 5))
     weak = has("semantic_match", "step_proximity", "naming_convention") & ~has("explicit_reference", "expression_match", "job_dependency")
-    changed = sum((number(F.exists(evidence, lambda e, t=t: says(e, t)), 3) for t in TRANSFORMS), F.lit(0.0))
+    changes = lambda text: F.exists(evidence, lambda e: says(e, text))
+    changed = sum((number(changes(t), 3) for t in TRANSFORMS), F.lit(0.0))
     faint = F.size(F.filter(evidence, lambda e: e["strength"] < 50)) > F.size(evidence) / 2
     penalty = F.least(F.lit(25.0), number(weak, 5) + changed + number(pattern == "inferred", 5) + number(faint, 5))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(base + strength + bonus - penalty)))
