@@ -92,7 +92,7 @@ def source_quotas(totals: pd.DataFrame, p: Params) -> pd.DataFrame:
 
 
 def _shard_quotas(shards: DataFrame, p: Params) -> DataFrame:
-    """(key, shard, shard_size, quota) of (key, shard, shard_size, full, blocks of the source): the words a shard has to give.
+    """(key, shard, shard_size, quota) of (key, shard, shard_size, target, full, blocks of the source): the words a shard has to give.
 
     Rounding by one divisor gives each shard its blocks; the blocks that the
     source has more go by the highest next quotients, those it has less by the
@@ -108,8 +108,16 @@ def _shard_quotas(shards: DataFrame, p: Params) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("key").orderBy("order", "shard", "step"))
     won = steps.withColumn("place", place).filter(F.col("place") <= F.abs("left")).groupBy("key", "shard").agg(F.sum(F.signum("left")).cast("long").alias("more"))
     most = p.most * size
-    words = F.when(F.col("full"), most).otherwise(F.least(most, (F.col("got") + F.coalesce("more", F.lit(0))) * p.block_words))
-    return base.join(won, ["key", "shard"], "left").select("key", "shard", "shard_size", words.cast("long").alias("quota"))
+    words = F.when(F.col("full"), most).otherwise(F.least(most, (F.col("got") + F.coalesce("more", F.lit(0))) * p.block_words)).cast("long")
+    quotas = base.join(won, ["key", "shard"], "left").select("key", "shard", "shard_size", "target", words.alias("quota"))
+    # what the blocks differ from the target, less than one block mostly, goes to the largest shards that have room for it
+    rest = F.round("target").cast("long") - F.sum("quota").over(source)
+    room = F.when(F.col("rest") > 0, most - F.col("quota")).otherwise(F.col("quota"))
+    line = Window.partitionBy("key").orderBy(F.desc("shard_size"), "shard")
+    quotas = quotas.withColumn("rest", rest).withColumn("room", room)
+    before = F.coalesce(F.sum("room").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = F.least(F.col("room"), F.greatest(F.lit(0), F.abs("rest") - before)) * F.signum("rest").cast("long")
+    return quotas.select("key", "shard", "shard_size", (F.col("quota") + part).alias("quota"))
 
 
 def plan(docs: DataFrame, params: Params | None = None) -> DataFrame:
@@ -136,7 +144,7 @@ def plan(docs: DataFrame, params: Params | None = None) -> DataFrame:
     dealt = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop("source")
     draw = F.xxhash64("doc_id", "mark", F.lit(p.seed))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(p.seed + 1)), F.col("shards"))).withColumn("draw", draw)
-    shards = materialize(_shard_quotas(dealt.groupBy("key", "shard", "full", "blocks").agg(F.sum("size").alias("shard_size")), p), "quotas")
+    shards = materialize(_shard_quotas(dealt.groupBy("key", "shard", "target", "full", "blocks").agg(F.sum("size").alias("shard_size")), p), "quotas")
     line = Window.partitionBy("key", "shard").orderBy("draw", "doc_id", "mark", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0))).join(shards, ["key", "shard"])
     # Of a shard's words the quota takes `times` all, then `rest` words: a seeded choice of whole blocks and the beginning of one more.
