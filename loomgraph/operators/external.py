@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.external import arns, normal_arn, provider_of, reference_hash, resource_ids
@@ -65,6 +65,5 @@ def index_stats(refs: DataFrame) -> DataFrame:
 
 
 def top_objects(refs: DataFrame, n: int = 10) -> DataFrame:
-    """The `n` objects with most nodes, ties by id."""
-    by = refs.groupBy("normalized_id").agg(F.count("*").alias("n"))
-    return by.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "normalized_id"))).filter(F.col("rank") <= n)
+    """(normalized_id, n): the `n` objects with most entries, ties by id."""
+    return refs.groupBy("normalized_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "normalized_id").limit(n)

@@ -530,6 +530,70 @@ def arn_parts(nodes, edges):
     return nodes.select("id", parts.alias("p")).filter("p is not null").select("id", "p.partition", "p.service", "p.resource")
 
 
+# ---- more of matches, pipelines and walks
+
+
+@query("matches_by_strategy", f", {ARN_SQL}, x AS (SELECT 'arn' AS strategy, 100.0 AS c, source, target FROM m) SELECT strategy, count(*) AS n, round(avg(c), 2) AS average, min(c)::DOUBLE AS least, max(c)::DOUBLE AS most FROM x GROUP BY strategy")
+def matches_by_strategy(nodes, edges):
+    return stats.confidence_by(rollup.all_matches(nodes.filter("type = 'terraform_resource'"), [rollup.arn_matcher()]), "strategy")
+
+
+@query("cross_repo_matches", f", {ARN_SQL} SELECT 'repo-0' AS source_repo, 'repo-1' AS target_repo, count(*) AS n FROM m")
+def cross_repo_matches(nodes, edges):
+    return stats.counts_by(rollup.matches(nodes, rollup.arn_matcher()), "source_repo", "target_repo")
+
+
+@query("merged_by_repo", f", {ARN_SQL}, r AS (SELECT unnest(['repo-0', 'repo-1']) AS repo_id FROM m) SELECT repo_id, count(*) AS n FROM r GROUP BY repo_id")
+def merged_by_repo(nodes, edges):
+    merged = rollup.merged_nodes(nodes, rollup.groups(rollup.all_matches(nodes, [rollup.arn_matcher()])))
+    return stats.counts_by(merged.select(F.explode("source_repos").alias("repo_id")), "repo_id")
+
+
+@plain("share_by_status", "SELECT status, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM scans), 2) AS percent FROM scans GROUP BY status")
+def share_by_status(spark, sf_dir):
+    return stats.share_by(pg.scans(spark, sf_dir), "status")
+
+
+@query("top_objects", "SELECT lower(metadata->>'arn') AS normalized_id, count(*) AS n FROM nodes WHERE metadata->>'arn' IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10")
+def top_objects(nodes, edges):
+    return external.top_objects(external.references(nodes))
+
+
+@query("hierarchy", ", r AS (SELECT id FROM nodes WHERE type IN ('terraform_module', 'terraform_output') AND id NOT IN (SELECT source FROM edges WHERE type = 'references')), b AS (SELECT e.target AS source, e.source AS target, e.id AS edge_id, 1 AS depth FROM edges e JOIN r ON e.target = r.id WHERE e.type IN ('references', 'depends_on') UNION ALL SELECT e.target, e.source, e.id, b.depth + 1 FROM b JOIN edges e ON e.target = b.target WHERE e.type IN ('references', 'depends_on') AND b.depth < 10) SELECT * FROM b")
+def hierarchy(nodes, edges):
+    own = nodes.filter(F.col("type").isin("terraform_module", "terraform_output")).select(F.col("id").alias("source"))
+    roots = own.join(edges.filter("type = 'references'").select("source"), "source", "left_anti").select(F.col("source").alias("node"))
+    return traverse.walk_rows(edges, roots, 10, "upstream", ["references", "depends_on"])
+
+
+@query("data_flow_chain", "SELECT source, target, id AS edge_id, 1 AS depth FROM edges WHERE source = 'part:9' AND type = 'FEEDS_INTO'")
+def data_flow_chain(nodes, edges):
+    return traverse.walk_rows(edges, traverse.only(edges.sparkSession, "part:9"), 5, "downstream", ["FEEDS_INTO"])
+
+
+@query("cycle_edges", f", {CORE_SQL}, r AS (SELECT source AS a, target AS b FROM c UNION SELECT r.a, c.target FROM r JOIN c ON c.source = r.b) SELECT DISTINCT c.source, c.target FROM c JOIN r ON r.a = c.target AND r.b = c.source")
+def cycle_edges(nodes, edges):
+    core = edges.filter(F.col("type").isin("depends_on", "references", "selector_match"))
+    return components.cycle_edges(core, components.strongly_connected(core)).select("source", "target").distinct()
+
+
+@query("stage_order", ", s AS (SELECT DISTINCT file_path AS pipeline, metadata->>'stage' AS stage FROM nodes WHERE type = 'ci_job'), o AS (SELECT pipeline, stage AS source, lead(stage) OVER (PARTITION BY pipeline ORDER BY stage) AS target FROM s) SELECT * FROM o WHERE target IS NOT NULL")
+def stage_order(nodes, edges):
+    stages = nodes.filter("type = 'ci_job'").select(F.col("file_path").alias("pipeline"), tables.field("metadata", "stage").alias("stage")).distinct()
+    return flows.stage_order(stages.withColumn("position", F.col("stage")))
+
+
+@plain("edge_resolution", "SELECT count_if(s AND t) AS resolved, count_if(NOT (s AND t)) AS unresolved, round(count_if(s AND t)::DOUBLE / count(*), 6) AS rate FROM (SELECT source IN (SELECT id FROM target_nodes) AS s, target IN (SELECT id FROM target_nodes) AS t FROM edges)")
+def edge_resolution(spark, sf_dir):
+    _, base_edges, target, _ = pg.snapshots(spark, sf_dir)
+    return diff.resolution(diff.edge_keys(target, base_edges))
+
+
+@query("impact_text")
+def impact_text(nodes, edges):
+    return impact.impact_summary(impact.tool_blast(nodes, edges, "nation:4", 2, 60))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blast radius of one node: (node, type, depth, score)."""
     found = impact.blast_radius(pg.nodes(spark, sf_dir), pg.edges(spark, sf_dir), traverse.only(spark, "orders:3"))
