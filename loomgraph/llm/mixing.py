@@ -11,19 +11,15 @@ gets large.
 from __future__ import annotations
 
 import heapq
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .tables import materialize, unused, whole_text
-from .words import WORD, slices
+from .words import WORD
 
 
 @dataclass(frozen=True)
@@ -184,36 +180,19 @@ def mix(docs: DataFrame, params: Params | None = None) -> DataFrame:
         keyed = keyed.withColumn(number, F.row_number().over(Window.partitionBy(key, mark).orderBy("source")))
         match = keyed[key].eqNullSafe(planned["doc_id"]) & (keyed[mark] == planned["mark"]) & (keyed[number] == planned["number"])
     joined = keyed.join(planned, match).select(*[keyed[c] for c in docs.columns], planned["times"].alias(times), planned["pieces"].alias(pieces))
-    find = re.compile(WORD).finditer
-
-    def cut(text: str, pieces: list[dict]) -> str:
-        spans, out, last = [m.span() for m in find(text)], [], None
-        for piece in pieces:
-            a, b = spans[piece["from"]][0], spans[piece["to"] - 1][1]
-            if last is not None and piece["from"] == last:
-                out[-1] = (out[-1][0], b)
-            else:
-                out.append((a, b))
-            last = piece["to"]
-        return "\n".join(text[a:b] for a, b in out)
-
-    names = docs.columns
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                rows, texts = [], []
-                for i, (text, copies, parts) in enumerate(zip(batch.column("text").to_pylist(), batch.column(times).to_pylist(), batch.column(pieces).to_pylist(), strict=True)):
-                    for _ in range(copies):
-                        rows.append(i)
-                        texts.append(text)
-                    if parts:
-                        rows.append(i)
-                        texts.append(cut(text, parts))
-                columns = {n: batch.column(n).take(pa.array(rows, pa.int64())) for n in names}
-                columns["text"] = pa.array(texts, pa.string())
-                if "n_chars" in columns:
-                    columns["n_chars"] = pa.array([len(t or "") for t in texts], pa.int64()).cast(columns["n_chars"].type)
-                yield pa.record_batch(list(columns.values()), list(columns))
-
-    return joined.mapInArrow(emit, T.StructType([docs.schema[n] for n in names]))
+    text, words = F.col("text"), F.regexp_extract_all("text", F.lit(f"{WORD}[ \\t-\\r]*"), F.lit(0))
+
+    def grown(runs: F.Column, piece: F.Column) -> F.Column:
+        """The runs with one more piece, which goes on the last run if it touches it."""
+        last = F.element_at(runs, -1)
+        joined = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.struct(last["from"].alias("from"), piece["to"].alias("to"))))
+        return F.when((F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["to"] == piece["from"]), joined).otherwise(F.concat(runs, F.array(piece)))
+
+    runs = F.aggregate(pieces, F.array().cast("array<struct<from:bigint,to:bigint>>"), grown)
+    cut = F.transform(runs, lambda r: F.regexp_replace(F.array_join(F.slice(words, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")), ""), r"[ \t-\r]+$", ""))
+    part = F.when(F.size(pieces) > 0, F.array(F.array_join(cut, "\n"))).otherwise(F.array().cast("array<string>"))
+    copies = F.explode(F.concat(F.array_repeat(text, F.col(times).cast("int")), part))
+    out = joined.withColumn("text", copies)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
