@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import materialize, unused, whole_text
-from .words import WORD
+from .words import WORD, slices
 
 
 @dataclass(frozen=True)
@@ -34,12 +35,29 @@ class Params:
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
-    """(doc, mark, at, line, h, g, w): the lines that have a word, in order (at), with their number in the text, two hashes without outer white space, and their words."""
-    bare = lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c"))
-    entry = lambda x, i: F.struct(i.alias("line"), F.xxhash64(bare(x)).alias("h"), F.xxhash64(F.lit(29), bare(x)).alias("g"), F.regexp_count(x, F.lit(WORD)).alias("w"))
-    lines = F.filter(F.transform(F.split(whole_text(), "\n", -1), entry), lambda x: x["w"] > 0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), lines.alias("lines")).filter("doc is not null")
-    return rows.select("doc", "mark", F.posexplode("lines").alias("at", "x")).select("doc", "mark", "at", "x.*")
+    """(doc, mark, at, line, h, g, w): the lines that have a word, in order (at), with their number in the text, the halves of a hash without outer white space, and their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                row, at, line, words, digests = [], [], [], [], []
+                for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                    n = 0
+                    for number, raw in enumerate(text.split(b"\n")):
+                        parts = raw.split()  # at the bytes that separate words
+                        if parts:
+                            row.append(i)
+                            at.append(n)
+                            line.append(number)
+                            words.append(len(parts))
+                            digests.append(xxhash.xxh3_128_digest(raw.strip()))
+                            n += 1
+                h, g = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+                own = pa.array(row, pa.int64())
+                yield pa.record_batch([batch.column("doc").take(own), batch.column("mark").take(own), pa.array(at, pa.int32()), pa.array(line, pa.int32()), pa.array(h), pa.array(g), pa.array(words, pa.int32())], ["doc", "mark", "at", "line", "h", "g", "w"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), whole_text().alias("text")).filter("doc is not null")
+    return rows.mapInArrow(run, "doc long, mark long, at int, line int, h long, g long, w int")
 
 
 def _ranked(rows: DataFrame, keys: list[str], keep: list[str], name: str) -> DataFrame:
@@ -56,20 +74,24 @@ def _windows(shared: DataFrame, p: Params) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                doc, mark, at, line, w = (batch.column(c)[i].as_py() for c in ("doc", "mark", "at", "line", "w"))
-                keep = np.unique(at, return_index=True)[1]  # rows alike in id and text are one document
-                at, line, w = (np.array(x, np.int64)[keep] for x in (at, line, w))
-                total = np.concatenate([[0], np.cumsum(w)])
-                run_of = np.cumsum(np.diff(at, prepend=at[0]) != 1) if len(at) else at
-                n = np.arange(len(at))
-                ends = np.searchsorted(total, total[:-1] + p.min_words)  # the first end with enough words
-                begins = np.searchsorted(total, total[1:] - p.min_words, side="right") - 1
-                spans = np.concatenate([np.stack([n, ends], 1)[ends <= len(at)], np.stack([begins, n + 1], 1)[begins >= 0]])
-                spans = spans[run_of[spans[:, 0]] == run_of[spans[:, 1] - 1]]
-                spans = np.unique(spans, axis=0)
-                if len(spans):
-                    yield pa.record_batch([pa.array([doc] * len(spans), pa.int64()), pa.array([mark] * len(spans), pa.int64()), pa.array(at[spans[:, 0]], pa.int32()), pa.array(spans[:, 1] - spans[:, 0], pa.int32()), pa.array([line[a:b].astype(np.int32) for a, b in spans], pa.list_(pa.int32()))], ["doc", "mark", "start", "m", "lines"])
+            sizes = np.diff(batch.column("at").offsets.to_numpy())
+            owner = np.repeat(np.arange(batch.num_rows), sizes)
+            at, line, w = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("at", "line", "w"))
+            same = owner[1:] == owner[:-1]
+            once = np.append(True, ~same | (at[1:] != at[:-1]))[: len(at)]  # rows alike in id and text are one document
+            owner, at, line, w = (x[once] for x in (owner, at, line, w))
+            run_of = np.cumsum(np.append(True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1))[: len(at)])
+            total, n = np.concatenate([[0], np.cumsum(w)]), np.arange(len(at))
+            ends = np.searchsorted(total, total[:-1] + p.min_words)  # the first end with enough words
+            begins = np.searchsorted(total, total[1:] - p.min_words, side="right") - 1
+            a, b = np.concatenate([n[ends <= len(at)], begins[begins >= 0]]), np.concatenate([ends[ends <= len(at)], n[begins >= 0] + 1])
+            inside = run_of[a] == run_of[b - 1]
+            a, b = np.divmod(np.unique(a[inside] * (len(at) + 1) + b[inside]), len(at) + 1)
+            bounds = np.concatenate([[0], np.cumsum(b - a)])
+            lines = line[np.repeat(a - bounds[:-1], b - a) + np.arange(bounds[-1])]
+            own = pa.array(owner[a])
+            listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(lines, pa.int32()))
+            yield pa.record_batch([batch.column("doc").take(own), batch.column("mark").take(own), pa.array(at[a], pa.int32()), pa.array(b - a, pa.int32()), listed], ["doc", "mark", "start", "m", "lines"])
 
     return by_doc.mapInArrow(run, "doc long, mark long, start int, m int, lines array<int>")
 
@@ -114,6 +136,7 @@ def later_copies(docs: DataFrame, params: Params | None = None) -> DataFrame:
     named = named.join(at("start", "r1"), ["doc", "mark", "k", "start"]).join(at("last", "r2"), ["doc", "mark", "k", "last"])
     named = materialize(named.select("doc", "mark", "start", "m", "lines", "r1", "r2"), "intervals")
     firsts = named.groupBy("m", "r1", "r2").agg(F.min(F.struct("doc", "mark", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = materialize(firsts, "firsts")  # by itself, so that a large interval can be split in the join
     copies = named.join(firsts, ["m", "r1", "r2"]).filter(F.struct("doc", "mark", "start") != F.col("first"))
     same = (F.col("doc") == F.col("first.doc")) & (F.col("mark") == F.col("first.mark"))
     inside = F.when(same, F.greatest(F.lit(0), F.col("first.start") + F.col("m") - F.col("start"))).otherwise(0)
