@@ -11,19 +11,21 @@ from pyspark.sql import functions as F
 from ..functions.external import arn_confidence, normal_arn
 from ..sources.tables import checkpointed
 from .components import connected_components
+from .likeness import alike
 
 DEFAULT_LEAST = 80
 
 
 @dataclass(frozen=True)
 class Matcher:
-    """`key` drops nodes where it is null; `confidence` compares two nodes of one block, a struct a and a struct b. Nodes meet where `block` (the key by default) is equal."""
+    """`key` drops nodes where it is null; `confidence` compares two nodes of one block, a struct a and a struct b. Nodes meet where `block` (the key by default) is equal, and where their keys are alike by `alike` percent."""
 
     strategy: str
     key: Column
     confidence: Callable[[Column, Column], Column]
     least: float = 0
     block: Column | None = None
+    alike: float | None = None
 
 
 def _meta(path: str) -> Column:
@@ -44,7 +46,7 @@ def resource_id_matcher(path: str = "id", least: float = 0) -> Matcher:
 
 
 def name_matcher(least: float = 0, namespaced: bool = False, threshold: float | None = None, block: Column | None = None) -> Matcher:
-    """Equal names in lower case: 100 for one node type, else 95. With a threshold also names alike by so many percent, among those of one block (the first three letters by default)."""
+    """Equal names in lower case: 100 for one node type, else 95. With a threshold also names alike by so many percent, among all or those of one block."""
     name = F.lower("name")
     key = F.when(F.length(name) > 0, F.concat_ws("/", F.col("namespace"), name) if namespaced else name)
     longest = lambda a, b: F.greatest(F.length(a["key"]), F.length(b["key"]))
@@ -53,7 +55,9 @@ def name_matcher(least: float = 0, namespaced: bool = False, threshold: float |
     if threshold is None:
         return Matcher("name", key, same, least)
     score = lambda a, b: F.when(a["key"] == b["key"], same(a, b)).when(fuzzy(a, b) >= threshold, fuzzy(a, b)).otherwise(0.0)
-    return Matcher("name", key, score, least, block if block is not None else F.substring(key, 1, 3))
+    if block is not None:
+        return Matcher("name", key, score, least, block)
+    return Matcher("name", key, score, least, alike=max(threshold, least or DEFAULT_LEAST))
 
 
 def tag_matcher(tags: list[str], least: float = 0) -> Matcher:
@@ -64,12 +68,17 @@ def tag_matcher(tags: list[str], least: float = 0) -> Matcher:
 
 
 def matches(nodes: DataFrame, matcher: Matcher) -> DataFrame:
-    """(source_repo, source, target_repo, target, strategy, confidence): pairs of nodes of different repositories that meet in a block, from the lesser repository to the greater.
+    """(source_repo, source, target_repo, target, strategy, confidence): pairs of nodes of different repositories that meet in a block or by likeness, from the lesser repository to the greater.
 
     A least confidence of zero counts as 80.
     """
     own = nodes.select(F.struct("repo_id", "id", "type", _meta("resourceType").alias("kind"), matcher.key.alias("key")).alias("x"), (matcher.block if matcher.block is not None else matcher.key).alias("block")).filter("x.key is not null and block is not null")
-    met = own.select("block", F.col("x").alias("a")).join(own.select("block", F.col("x").alias("b")), "block").filter("a.repo_id < b.repo_id")
+    met = own.select("block", F.col("x").alias("a")).join(own.select("block", F.col("x").alias("b")), "block").filter("a.repo_id < b.repo_id").select("a", "b")
+    if matcher.alike is not None:
+        names = own.select(F.col("x.key").alias("name")).distinct()
+        near = checkpointed(alike(names, names, matcher.alike), "alike")
+        side = lambda end, s: own.select(F.col("x.key").alias(end), F.col("x").alias(s))
+        met = met.union(near.join(side("left", "a"), "left").join(side("right", "b"), "right").filter("a.repo_id < b.repo_id").select("a", "b"))
     scored = met.withColumn("confidence", matcher.confidence(F.col("a"), F.col("b"))).filter(F.col("confidence") >= (matcher.least or DEFAULT_LEAST))
     return scored.select(F.col("a.repo_id").alias("source_repo"), F.col("a.id").alias("source"), F.col("b.repo_id").alias("target_repo"), F.col("b.id").alias("target"), F.lit(matcher.strategy).alias("strategy"), "confidence")
 

@@ -387,6 +387,12 @@ def fuzzy_name_matches(nodes, edges):
     return rollup.matches(nodes.filter("type = 'helm_chart'"), rollup.name_matcher(90, threshold=90)).select("source", "target", "confidence")
 
 
+@query("fuzzy_name_matches_of_all")
+def fuzzy_name_matches_of_all(nodes, edges):
+    """Of all node types; `fuzzy_name_matches` is the part that its SQL can check."""
+    return rollup.matches(nodes, rollup.name_matcher(90, threshold=90)).select("source", "target", "confidence")
+
+
 @query("tag_matches", "SELECT a.id AS source, b.id AS target, 100.0::DOUBLE AS confidence FROM nodes a JOIN nodes b ON a.repo_id < b.repo_id AND a.metadata->>'$.tags.Project' = b.metadata->>'$.tags.Project' AND a.metadata->>'$.tags.Environment' = b.metadata->>'$.tags.Environment'")
 def tag_matches(nodes, edges):
     return rollup.matches(nodes, rollup.tag_matcher(["Environment", "Project"])).select("source", "target", "confidence")
