@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.graph import FLOW_EDGES, FLOW_SOURCES, confidence_level, flow_id, lookup, name_similarity, path_similarity, paths_related, tool_of
+from ..functions.graph import FLOW_EDGES, FLOW_SOURCES, confidence_level, directory, flow_id, lookup, name_similarity, normal_path, path_segments, path_similarity, paths_related, tool_of
 from ..sources.tables import checkpointed
+from .likeness import alike, holding
 from .traverse import steps
 
 # Base score of each flow pattern, weight of each kind of evidence.
@@ -93,19 +94,55 @@ def flow_score(pattern: Column, evidence: Column) -> Column:
     return F.struct(base.alias("base"), strength.alias("evidence"), bonus.alias("bonus"), penalty.alias("penalty"), score.alias("total"), confidence_level(score).alias("level"))
 
 
+def _bare(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), r"[-_\s]", "")
+
+
+def _path_pairs(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, file_path): pairs of distinct paths, all that are alike by 50 or more or related among them."""
+    above = lambda d: F.concat(F.array(d), F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1))), lambda i: F.substr(d, i, F.lit(1)) == "/"), lambda i: F.substr(d, F.lit(1), i - 1)))
+
+    def keyed(df: DataFrame, path: str, up: str, down: str) -> DataFrame:
+        """`up` keys are a path's directories, `down` keys itself and its directory; one side's up meet the other's down."""
+        whole, segments = normal_path(F.col(path)), path_segments(F.col(path))
+        n = F.size(segments)
+        begins = F.transform(F.sequence(F.greatest(F.ceil(n * 0.495), F.lit(1)).cast("int"), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit("begin:"), F.array_join(F.slice(segments, F.lit(1), i), "/")))
+        ups = F.transform(above(directory(whole)), lambda x: F.concat(F.lit(up), x))
+        downs = F.transform(F.array(whole, directory(whole)), lambda x: F.concat(F.lit(down), x))
+        return df.filter(F.col(path).isNotNull()).select(path, F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("whole:"), whole)), begins, ups, downs))).alias("key"))
+
+    met = keyed(jobs, "path", "a:", "b:").join(keyed(files, "file_path", "b:", "a:"), "key")
+    return met.select("path", "file_path").distinct()
+
+
 def job_links(jobs: DataFrame, nodes: DataFrame, least: float = 50, most: int = 5) -> DataFrame:
-    """(job, node, score): for each job (job, path, name) its `most` best nodes (id, file_path, name) of the same first directory.
+    """(job, node, score): for each job (job, path, name) its `most` best nodes (id, file_path, name).
 
     Paths alike by 80 or more score as alike as they are, by 50 or more less a
-    tenth, related directories 60, else names 0.7 of their likeness. Only
-    nodes in the first directory of the job's path are compared.
+    tenth, related directories 60, else names 0.7 of their likeness. Pairs are
+    found among distinct paths (common beginnings and directories) and among
+    distinct names (alike, or one holds the other). Of the nodes of one path
+    and name only the `most` first can be in a job's best.
     """
-    block = lambda path: F.split_part(F.lower(path), F.lit("/"), F.lit(1))
-    met = jobs.withColumn("block", block(F.col("path"))).join(nodes.select(F.col("id").alias("node"), "file_path", F.col("name").alias("node_name"), block(F.col("file_path")).alias("block")), "block")
-    alike = path_similarity(F.col("path"), F.col("file_path"))
-    score = F.when(alike >= 80, alike).when(alike >= 50, alike * 0.9).when(paths_related(F.col("path"), F.col("file_path")), 60.0).otherwise(0.7 * name_similarity(F.col("name"), F.col("node_name")))
-    ranked = met.select("job", "node", F.round(score, 4).alias("score")).filter(F.col("score") >= least)
-    return ranked.withColumn("n", F.row_number().over(Window.partitionBy("job").orderBy(F.desc("score"), "node"))).filter(F.col("n") <= most).drop("n")
+    alike_paths = path_similarity(F.col("path"), F.col("file_path"))
+    by_path = F.when(alike_paths >= 80, alike_paths).when(alike_paths >= 50, alike_paths * 0.9).when(paths_related(F.col("path"), F.col("file_path")), 60.0)
+    best = lambda df, by, order: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("n") <= most).drop("n")
+    order = [F.desc("score"), "node"]
+    ends = nodes.select(F.col("id").alias("node"), "file_path", F.col("name").alias("node_name"))
+    paths = _path_pairs(jobs.select("path").distinct(), nodes.select("file_path").distinct()).withColumn("score", F.round(by_path, 4)).filter(F.col("score") >= least)
+    near = best(paths.join(best(ends.select("node", "file_path"), ["file_path"], ["node"]), "file_path").select("path", "node", "score"), ["path"], order)
+    found = jobs.select("job", "path").join(near, "path").select("job", "node", "score")
+
+    bare = lambda df, name: df.select(_bare(F.col(name)).alias("name")).distinct()
+    left, right = bare(jobs, "name"), bare(nodes, "name")
+    names = checkpointed(holding(left, right).union(alike(left, right, least / 0.7)).distinct(), "names")
+    kinds = jobs.select("path", "name").distinct().withColumn("left", _bare(F.col("name")))
+    ends = best(ends, ["file_path", "node_name"], ["node"]).withColumn("right", _bare(F.col("node_name")))
+    score = F.round(0.7 * name_similarity(F.col("name"), F.col("node_name")), 4)
+    named = kinds.join(names, "left").join(ends, "right").filter(by_path.isNull()).withColumn("score", score).filter(F.col("score") >= least)
+    named = best(named.select("path", "name", "node", "score"), ["path", "name"], order).select(F.col("path").alias("p"), F.col("name").alias("m"), "node", "score")
+    found = found.union(jobs.join(named, F.col("path").eqNullSafe(F.col("p")) & (F.col("name") == F.col("m"))).select("job", "node", "score"))
+    return best(found, ["job"], order)
 
 
 def output_links(producers: DataFrame, consumers: DataFrame) -> DataFrame:

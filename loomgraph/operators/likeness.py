@@ -14,7 +14,7 @@ LEAST_THRESHOLD = 2
 
 def edits(length: int, threshold: float) -> int:
     """Edits at most between names whose longer one has `length` letters, if their likeness, rounded to whole percent, is `threshold` or more."""
-    return int(length * (100.5 - threshold) / 100 + 1e-9)
+    return max(0, int(length * (100.5 - threshold) / 100 + 1e-9))
 
 
 def _shorter(text: str) -> set[str]:

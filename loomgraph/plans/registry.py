@@ -340,8 +340,8 @@ def flow_statistics(nodes, edges):
 
 @query("job_links")
 def job_links(nodes, edges):
-    jobs = nodes.filter("type = 'helm_chart'").select(F.col("id").alias("job"), F.concat(F.lit("clusters/n"), F.regexp_extract("file_path", r"n(\d+)/", 1), F.lit("/jobs.yml")).alias("path"), "name")
-    return flows.job_links(jobs, nodes.filter("type = 'k8s_deployment'"))
+    jobs = nodes.filter("type = 'ci_job'").select(F.col("id").alias("job"), F.col("file_path").alias("path"), "name")
+    return flows.job_links(jobs, nodes.filter(fg.tool_of(F.col("type")) != "ci"))
 
 
 # ---- scores

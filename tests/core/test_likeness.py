@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomgraph.operators import likeness, rollup
+from loomgraph.operators import flows, likeness, rollup
 
 
 def distance(a, b):
@@ -54,3 +54,37 @@ def test_fuzzy_names_of_all_beginnings_and_types(spark):
             if score >= 90:
                 want[f"a{i}", f"b{j}"] = score
     assert got == want and got["a0", "b1"] == 94
+
+
+def link_score(path, name, file_path, node_name):
+    def normal(x):
+        return x.replace("\\", "/").removeprefix("./").removesuffix("/").lower()
+
+    a, b = normal(path), normal(file_path)
+    one, two = ([x for x in p.split("/") if x] for p in (a, b))
+    same = next((i for i, (x, y) in enumerate(zip(one, two, strict=False)) if x != y), min(len(one), len(two)))
+    like = 100 if a == b else int(100 * same / max(len(one), len(two)) + 0.5)
+    da, db = (p.rpartition("/")[0] for p in (a, b))
+    under = lambda x, y: x.startswith(y + "/")
+    if like >= 50:
+        return like if like >= 80 else like * 0.9
+    if under(a, b) or under(b, a) or da == db or under(da, db) or under(db, da):
+        return 60
+    x, y = ("".join(c for c in n.lower() if c not in "-_ ") for n in (name, node_name))
+    return 0.7 * (100 if x == y else 80 if x in y or y in x else percent(x, y))
+
+
+def test_job_links_are_the_best_of_all_nodes(spark):
+    draw = random.Random(3)
+    dirs = ["", "infra", "./Infra", "infra/x", "infra/x/y/z", ".github/workflows", "modules", "modules/net/deep", "/abs", "charts/a"]
+    path = lambda file: "/".join(x for x in (draw.choice(dirs), draw.choice(["", "a", "b/c"]), file) if x)
+    words = ["deploy", "deploy-app", "deploy_ap", "network", "netwrok-1", "payments", "xpayments", "db", "a"]
+    jobs = [(f"j{i}", path("jobs.yml"), draw.choice(words)) for i in range(30)] + [("root", ".gitlab-ci.yml", "ci"), ("far", ".github/workflows/a.yml", "network")]
+    nodes = [(f"n{i:03}", path(draw.choice(["main.tf", "jobs.yml"])), draw.choice(words)) for i in range(60)] + [("top", "main.tf", "zzz"), ("net", "modules/q/w/e.tf", "network")]
+    got = {(r["job"], r["node"]): r["score"] for r in flows.job_links(spark.createDataFrame(jobs, "job string, path string, name string"), spark.createDataFrame(nodes, "id string, file_path string, name string")).collect()}
+    want = {}
+    for job, p, n in jobs:
+        scored = sorted((-round(link_score(p, n, f, m), 4), i) for i, f, m in nodes)
+        want |= {(job, i): -s for s, i in scored[:5] if -s >= 50}
+    assert got == want
+    assert any(s == 70 for s in want.values()) and any(s == 60 for s in want.values())
