@@ -13,8 +13,8 @@ def _fingerprint(df: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
-    """(node, component): the least id that is reachable over edges in either direction, for nodes with an edge.
+def connected_components(edges: DataFrame, source: str = "source", target: str = "target", nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component): the least id that is reachable over edges in either direction, for nodes with an edge, and for those of `nodes` (id), each alone if it has none.
 
     Large-star and small-star steps in turn: neighbourhoods are aggregated and
     joined, never gathered, so the hub of a large star stays spread over tasks.
@@ -33,7 +33,11 @@ def connected_components(edges: DataFrame, source: str = "source", target: str =
         now = checkpointed(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
     named = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).union(loops).distinct().join(named.select("node"), "node", "left_anti")
-    return named.union(roots.select("node", F.col("node").alias("component")))
+    found = named.union(roots.select("node", F.col("node").alias("component")))
+    if nodes is None:
+        return found
+    alone = nodes.select(F.col("id").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
+    return found.union(alone.select("node", F.col("node").alias("component")))
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:

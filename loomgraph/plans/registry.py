@@ -266,6 +266,12 @@ def connected_components(nodes, edges):
     return components.connected_components(edges.filter("type = 'FEEDS_INTO' and confidence >= 98"))
 
 
+@query("components_of_all")
+def components_of_all(nodes, edges):
+    """Of all nodes and edges; `connected_components` is a part that its SQL can close over."""
+    return components.connected_components(edges, nodes=nodes)
+
+
 @query("topological_levels", ", t AS (SELECT source, target FROM edges WHERE type IN ('OPERATES_ON', 'module_call', 'FEEDS_INTO')), b AS (SELECT id, 0 AS level FROM nodes WHERE id NOT IN (SELECT target FROM t) UNION SELECT t.target, b.level + 1 FROM b JOIN t ON t.source = b.id) SELECT id, max(level) AS level FROM b GROUP BY id")
 def topological_levels(nodes, edges):
     return traverse.topological_levels(nodes, edges.filter(F.col("type").isin("OPERATES_ON", "module_call", "FEEDS_INTO")))
