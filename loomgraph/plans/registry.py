@@ -252,13 +252,12 @@ CORE_SQL = "c AS (SELECT source, target FROM edges WHERE type IN ('depends_on',
 
 @query("cycles", f", {CORE_SQL}, w AS (SELECT [source, target] AS path FROM c UNION ALL SELECT list_append(path, target) FROM w JOIN c ON c.source = path[-1] WHERE len(path) < 6 AND path[-1] <> path[1] AND (target = path[1] OR NOT list_contains(path, target))) SELECT array_to_string(path, '>') AS path, len(path)::INTEGER - 1 AS length FROM w WHERE path[1] = path[-1] ORDER BY length, w.path LIMIT 50")
 def cycles(nodes, edges):
-    core = edges.filter(F.col("type").isin("depends_on", "references", "selector_match"))
-    return traverse.cycles(core, 5).select(F.array_join("path", ">").alias("path"), "length")
+    return traverse.cycles(edges).select(F.array_join("path", ">").alias("path"), "length")
 
 
 @query("strong_components", f", {CORE_SQL}, r AS (SELECT source AS a, target AS b FROM c UNION SELECT r.a, c.target FROM r JOIN c ON c.source = r.b) SELECT x.a AS node, min(x.b) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
 def strong_components(nodes, edges):
-    return components.strongly_connected(edges.filter(F.col("type").isin("depends_on", "references", "selector_match")))
+    return components.strongly_connected(edges)
 
 
 @query("connected_components", ", f AS (SELECT source, target FROM edges WHERE type = 'FEEDS_INTO' AND confidence >= 98), u AS (SELECT source AS a, target AS b FROM f UNION SELECT target, source FROM f), r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b) SELECT a AS node, min(least(a, b)) AS component FROM r GROUP BY a")
@@ -282,6 +281,18 @@ def longest_depth(nodes, edges):
     return traverse.longest_depth(nodes, edges.filter(F.col("type").isin("OPERATES_ON", "module_call", "FEEDS_INTO")))
 
 
+@query("topological_levels_of_all")
+def topological_levels_of_all(nodes, edges):
+    """Over all edges; `topological_levels` is the part without cycles, on which its SQL ends."""
+    return traverse.topological_levels(nodes, edges)
+
+
+@query("longest_depth_of_all")
+def longest_depth_of_all(nodes, edges):
+    """Over all edges; `longest_depth` is the part without cycles, on which its SQL ends."""
+    return traverse.longest_depth(nodes, edges)
+
+
 @query("walks", ", b AS (SELECT source, target, id AS edge_id, 1 AS depth FROM edges WHERE source = 'part:1' UNION ALL SELECT e.source, e.target, e.id, b.depth + 1 FROM b JOIN edges e ON e.source = b.target WHERE b.depth < 6) SELECT * FROM b")
 def walks(nodes, edges):
     return traverse.walk_rows(edges, traverse.only(edges.sparkSession, "part:1"), 6)
@@ -585,8 +596,7 @@ def data_flow_chain(nodes, edges):
 
 @query("cycle_edges", f", {CORE_SQL}, r AS (SELECT source AS a, target AS b FROM c UNION SELECT r.a, c.target FROM r JOIN c ON c.source = r.b) SELECT DISTINCT c.source, c.target FROM c JOIN r ON r.a = c.target AND r.b = c.source")
 def cycle_edges(nodes, edges):
-    core = edges.filter(F.col("type").isin("depends_on", "references", "selector_match"))
-    return components.cycle_edges(core, components.strongly_connected(core)).select("source", "target").distinct()
+    return components.cycle_edges(edges, components.strongly_connected(edges)).select("source", "target").distinct()
 
 
 @query("stage_order", ", s AS (SELECT DISTINCT file_path AS pipeline, metadata->>'stage' AS stage FROM nodes WHERE type = 'ci_job'), o AS (SELECT pipeline, stage AS source, lead(stage) OVER (PARTITION BY pipeline ORDER BY stage) AS target FROM s) SELECT * FROM o WHERE target IS NOT NULL")
