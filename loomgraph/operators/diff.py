@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,21 +20,52 @@ def indexed(nodes: DataFrame, lower_path: bool = True) -> DataFrame:
     return nodes.withColumn("key", key).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
 
-def leaves(metadata: Column) -> Column:
-    """Leaf path -> JSON value of a JSON object three levels deep; arrays, and objects below that, are leaves."""
-    objects = "map<string,string>"
-    is_object = lambda v: v.startswith("{")
+def _plain(value: object) -> object:
+    """Whole numbers without a fraction, so that 1 and 1.0 are one value."""
+    if isinstance(value, float) and value.is_integer():
+        return int(value)
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return [_plain(v) for v in value] if isinstance(value, list) else value
+
+
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
+def _leaves(metadata: str | None) -> dict[str, str]:
+    if metadata is None:
+        return {}
+    try:
+        top = json.loads(metadata)
+        if not isinstance(top, dict):
+            return {"": metadata}
+        out: dict[str, str] = {}
+        todo = [(k, v) for k, v in top.items() if k.split(".")[0] not in IGNORED]
+        while todo:
+            path, value = todo.pop()
+            if isinstance(value, dict) and value:
+                todo += [(f"{path}.{k}", v) for k, v in sorted(value.items())]
+                continue
+            text = value if isinstance(value, str) and not _is_json(value) else json.dumps(_plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+            out[path] = ",".join(sorted([out[path], text])) if path in out else text
+        return out
+    except (ValueError, RecursionError):
+        return {"": metadata}
 
-    def flat(pairs: Column) -> Column:
-        def inner(e: Column) -> Column:
-            below = F.transform(F.map_entries(F.from_json(e["value"], objects)), lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))
-            return F.when(F.coalesce(is_object(e["value"]), F.lit(False)) & (e["value"] != "{}"), below).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))
 
-        return F.flatten(F.transform(pairs, inner))
+def leaves(metadata: Column) -> Column:
+    """Leaf path -> value of a JSON object, however deep; arrays and empty objects are leaves.
 
-    top = F.map_entries(F.from_json(metadata, objects))
-    kept = F.filter(top, lambda e: ~e["key"].isin(*IGNORED))
-    return F.map_from_entries(F.transform(flat(flat(kept)), lambda e: F.struct(e["key"], F.coalesce(e["value"], F.lit("null")))))
+    Values are JSON with sorted keys, but strings stand as they are unless they
+    read as JSON themselves. A null has no leaves; text that is no JSON object
+    is one leaf without a path.
+    """
+    return F.udf(_leaves, "map<string,string>", useArrow=True)(metadata)
 
 
 def changed_paths(base: Column, target: Column) -> Column:
