@@ -1,7 +1,9 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A rolling hash over the last eight bytes sets chunk boundaries, so that an edit
-moves only the boundaries near it. Every chunk gives one of 64 letters; a
+moves only the boundaries near it; a chunk of over twice the block size is cut
+at that length. The block size follows from the length of the text, halved if
+the signature is under half of the aim, doubled while it is too long. Every chunk gives one of 64 letters; a
 fingerprint holds the letters at a block size and at twice that size. Two
 fingerprints are compared at a block size they share, by edit distance
 (insertions and deletions), if they have a run of letters in common.
@@ -36,7 +38,7 @@ class Fingerprints:
 
     def __init__(self, texts: list[bytes]):
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.levels = np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / AIM))).astype(np.int64)
+        usual = np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / AIM))).astype(np.int64)
         raw = np.frombuffer(_PAD + _PAD.join(texts) + _PAD, np.uint8)
         starts = len(_PAD) + np.concatenate([[0], np.cumsum(sizes + len(_PAD))[:-1]]).astype(np.int64) if len(texts) else sizes
         rolled = _TABLE[raw]
@@ -46,17 +48,48 @@ class Fingerprints:
         rolled ^= rolled >> np.uint32(15)
         rolled = rolled * np.uint32(0x85EBCA77)
         total = np.cumsum(rolled, dtype=np.uint64)
-        limit = np.zeros(len(raw), np.uint32)
-        bounds = np.uint64(1) << (np.uint64(32) - self.levels.astype(np.uint64))
+        levels = usual.copy()
+        at, owner, bounds = self._boundaries(rolled, levels, starts, sizes)
+        one = self._filled(at, owner, 2 << np.minimum(levels, usual), starts, sizes)
+        few = (np.bincount(one[1], minlength=len(sizes)) < AIM // 2) & (levels > 0)
+        levels -= few
+        again = True
+        while again:  # then longer chunks, while signatures are too long
+            at, owner, bounds = self._boundaries(rolled, levels, starts, sizes)
+            one = self._filled(at, owner, 2 << np.minimum(levels, usual), starts, sizes)
+            over = np.bincount(one[1], minlength=len(sizes)) >= np.where(sizes > MOST, MOST, MOST + 1)
+            levels += over
+            again = over.any()
+        self.levels = levels
+        self.one = self._letters(*one, total, starts, sizes)
+        half = rolled[at].astype(np.uint64) < (bounds[owner] >> np.uint64(1))
+        self.two = self._letters(*self._filled(at[half], owner[half], 4 << np.minimum(levels, usual), starts, sizes), total, starts, sizes)
+
+    @staticmethod
+    def _boundaries(rolled: np.ndarray, levels: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the boundaries that the text sets, the text of each, and the bound of each text."""
+        limit = np.zeros(len(rolled), np.uint32)
+        bounds = np.uint64(1) << (np.uint64(32) - levels.astype(np.uint64))
         most = np.minimum(bounds - np.uint64(1), np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        if len(texts):
+        if len(sizes):
             limit[len(_PAD) :] = np.repeat(most, sizes + len(_PAD))
             limit[((starts + sizes)[:, None] + np.arange(len(_PAD))).ravel()] = 0
         at = np.flatnonzero((rolled <= limit) & (limit > 0))
-        owner = np.searchsorted(starts, at, side="right") - 1
-        self.one = self._letters(at, owner, total, starts, sizes)
-        half = rolled[at].astype(np.uint64) < (bounds[owner] >> np.uint64(1))
-        self.two = self._letters(at[half], owner[half], total, starts, sizes)
+        return at, np.searchsorted(starts, at, side="right") - 1, bounds
+
+    @staticmethod
+    def _filled(at: np.ndarray, owner: np.ndarray, longest: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Boundaries and their texts, with more of them where a chunk is longer than `longest`, so many bytes after the last."""
+        own = np.arange(len(sizes))
+        marks, texts = np.concatenate([at, starts - 1, starts + sizes]), np.concatenate([owner, own, own])
+        order = np.argsort(marks, kind="stable")
+        marks, texts = marks[order], texts[order]
+        more = np.where(texts[1:] == texts[:-1], (marks[1:] - marks[:-1] - 1) // longest[texts[:-1]], 0) if len(marks) else marks
+        whose = np.repeat(texts[:-1], more)
+        nth = np.arange(len(whose)) - np.repeat(np.cumsum(more) - more, more) + 1
+        every = np.concatenate([at, np.repeat(marks[:-1], more) + nth * longest[whose]])
+        order = np.argsort(every, kind="stable")
+        return every[order], np.concatenate([owner, whose])[order]
 
     @staticmethod
     def _letters(at: np.ndarray, owner: np.ndarray, total: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
