@@ -38,8 +38,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, their number, and the digest of the bytes they decode to."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+    kept = [c for c in docs.columns if c not in ("text", "n_chars")]
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=kept)
+    return encoded.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2(bpe.decode(F.col("ids"), ranks), 256)})
 
 
 STAGES = [

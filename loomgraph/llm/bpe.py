@@ -14,7 +14,7 @@ import heapq
 import json
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import whole_text
-from .words import slices
+from .tables import Kernel, whole_text, with_columns
 
 #: White space as Unicode defines it; \s differs between regex libraries.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -188,24 +187,27 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str = "text", to: str = "ids") -> DataFrame:
-    """`docs` with the ids of the whole text as array<int>, as ordinary text without special tokens; null and empty texts give no ids."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str = "text", to: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """`docs`, or its columns `keep`, with the ids of the whole text as array<int>, as ordinary text without special tokens.
+
+    Null and empty texts give no ids, repeated rows the same ids each. A column
+    named as `to` is replaced; others stay, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     key = f"{pattern} {len(ranks)} {zlib.crc32(repr(sorted(ranks.items(), key=lambda x: x[1])).encode())}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kernel() -> Kernel:
         if key not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[key] = Encoder(shared.value, pattern)
-        for whole in batches:
-            for batch in slices(whole, "_text"):
-                offsets, ids = _ENCODERS[key](batch.column("_text").to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.record_batch([*batch.columns[:-1], lists], [*batch.schema.names[:-1], to])
-
-    kept = docs.drop(to)
-    schema = T.StructType([*kept.schema.fields]).add(to, T.ArrayType(T.IntegerType()))
-    return kept.withColumn("_text", whole_text(column)).mapInArrow(run, schema)
+
+        def made(texts: pa.Array) -> list[pa.Array]:
+            offsets, ids = _ENCODERS[key](texts.to_pylist())
+            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
+
+        return made
+
+    return with_columns(docs, column, {to: T.ArrayType(T.IntegerType())}, kernel, keep)
 
 
 def decode(ids: F.Column, ranks: dict[bytes, int]) -> F.Column:

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .tables import materialize, whole_text
+from .tables import Kernel, materialize, tidy, whole_text, with_columns
 from .words import slices
 
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -194,16 +195,16 @@ def _compared(ids: list, texts: list[str], following: list[str]) -> pa.RecordBat
 
 
 def fingerprint(docs: DataFrame, column: str = "text", to: str = "fingerprint") -> DataFrame:
-    """`docs` with the fingerprint of each whole text, a null counting as empty ("1::")."""
+    """`docs` with the fingerprint of each whole text, a null counting as empty ("1::").
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "_text", 1 << 20):
-                prints = Fingerprints([t.encode() for t in batch.column("_text").to_pylist()]).text()
-                yield pa.record_batch([*batch.columns[:-1], pa.array(prints, pa.string())], [*batch.schema.names[:-1], to])
+    Equal texts have equal fingerprints. A column named as `to` is replaced;
+    others stay, whatever their names.
+    """
+
+    def kernel() -> Kernel:
+        return lambda texts: [pa.array(Fingerprints([t.encode() for t in texts.to_pylist()]).text(), pa.string())]
 
-    kept = docs.drop(to)
-    return kept.withColumn("_text", whole_text(column)).mapInArrow(run, type(docs.schema)([*kept.schema.fields]).add(to, "string"))
+    return with_columns(docs, column, {to: T.StringType()}, kernel)
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:

@@ -189,7 +189,8 @@ def mix(docs: DataFrame, params: Params | None = None) -> DataFrame:
         return F.when((F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["to"] == piece["from"]), joined).otherwise(F.concat(runs, F.array(piece)))
 
     runs = F.aggregate(pieces, F.array().cast("array<struct<from:bigint,to:bigint>>"), grown)
-    cut = F.transform(runs, lambda r: F.regexp_replace(F.array_join(F.slice(words, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")), ""), r"[ \t-\r]+$", ""))
+    joined_words = lambda w, r: F.regexp_replace(F.array_join(F.slice(w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")), ""), r"[ \t-\r]+$", "")
+    cut = F.transform(F.array(words), lambda w: F.transform(runs, lambda r: joined_words(w, r)))[0]  # so that a text is cut into words once
     part = F.when(F.size(pieces) > 0, F.array(F.array_join(cut, "\n"))).otherwise(F.array().cast("array<string>"))
     copies = F.explode(F.concat(F.array_repeat(text, F.col(times).cast("int")), part))
     out = joined.withColumn("text", copies)

@@ -18,9 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labelled import labelled_sample
-from .tables import whole_text
+from .tables import Kernel, tidy, with_columns
 from .words import gram_hashes, hash_words, mix, slices, split_words
 
 
@@ -45,7 +46,7 @@ def _shapes(words: pa.Array) -> pa.Array:
 
 
 def sparse_rows(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, indices, values): each text's hashed n-gram counts at unit length, after a constant at index 0."""
+    """(offsets, indices, values): the logarithms of each text's hashed n-gram counts, scaled to unit length."""
     words, offsets = split_words(texts)
     coded = words.dictionary_encode()
     at = coded.indices.to_numpy(zero_copy_only=False) if len(words) else np.empty(0, np.int32)
@@ -76,6 +77,7 @@ def _features(sample: DataFrame, bits: int) -> DataFrame:
                 bounds, index, value = sparse_rows(batch.column("text"), bits)
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x))
                 yield pa.record_batch([batch.column("label"), batch.column("draw"), lists(index), lists(value.astype(np.float32))], ["label", "draw", "index", "value"])
+        tidy()
 
     return sample.select("label", "draw", "text").mapInArrow(run, "label int, draw long, index array<int>, value array<float>")
 
@@ -121,22 +123,24 @@ def train(sample: DataFrame, params: Params | None = None) -> tuple[np.ndarray,
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], params: Params | None = None) -> DataFrame:
-    """`docs` with a double column quality_score; null and empty texts get the constant's score."""
-    p, docs = params or Params(), docs.drop("quality_score")
+    """`docs` with a double column quality_score; null and empty texts get the constant's score, repeated rows the same.
+
+    A column of that name is replaced; others stay, whatever their names.
+    """
+    p = params or Params()
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kernel() -> Kernel:
         weights, bias = shared.value
-        for whole in batches:
-            for batch in slices(whole, "_text", 1 << 20):
-                bounds, index, value = sparse_rows(batch.column("_text"), p.bits)
-                dot = np.concatenate([[0.0], np.cumsum(weights[index].astype(float) * value)])[bounds]
-                out = 1 / (1 + np.exp(-np.clip(np.diff(dot) + bias, -35, 35)))
-                yield pa.record_batch([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "quality_score"])
-
-    fields = docs.schema.fields
-    schema = type(docs.schema)([*fields]).add("quality_score", "double")
-    return docs.withColumn("_text", whole_text()).mapInArrow(run, schema)
+
+        def made(texts: pa.Array) -> list[pa.Array]:
+            bounds, index, value = sparse_rows(texts, p.bits)
+            dot = np.concatenate([[0.0], np.cumsum(weights[index].astype(float) * value)])[bounds]
+            return [pa.array(1 / (1 + np.exp(-np.clip(np.diff(dot) + bias, -35, 35))))]
+
+        return made
+
+    return with_columns(docs, "text", {"quality_score": T.DoubleType()}, kernel)
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame, keep: F.Column, corpus: DataFrame | None = None, params: Params | None = None) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .words import slices
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +54,45 @@ def whole_text(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def tidy() -> None:
+    """Give memory that this worker holds but doesn't use back to the machine, as idle workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with the GNU C library
+    if trim:
+        trim(0)
+
+
+Kernel = Callable[[pa.Array], list[pa.Array]]
+
+
+def with_columns(docs: DataFrame, column: str, added: dict[str, T.DataType], kernel: Callable[[], Kernel], keep: list[str] | None = None, limit: int = 1 << 20) -> DataFrame:
+    """`docs`, or its columns `keep`, with the columns `added` that a kernel makes of the whole texts in `column`, nulls as empty.
+
+    A column named as an added one is replaced, as by withColumn, whatever its
+    case; every other name may be used. `kernel` is called once in each task
+    and gives a function of an array of texts of about `limit` bytes. The text
+    goes to Python once, and comes back only if it is kept.
+    """
+    replaced = {name.lower() for name in added}
+    fields = [f for f in docs.schema.fields if f.name.lower() not in replaced and (keep is None or f.name in keep)]
+    names = [f.name for f in fields]
+    kept = column in names and isinstance(docs.schema[column].dataType, T.StringType)
+    sent = [F.col(f"`{name}`") for name in names]
+    if not kept:
+        sent.append(whole_text(f"`{column}`").cast("string").alias(unused(docs, "text")))
+    at = names.index(column) if kept else len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = kernel()
+        for whole in batches:
+            for batch in slices(whole, at, limit):
+                columns = made(pc.fill_null(batch.column(at), ""))
+                yield pa.record_batch([*batch.columns[: len(names)], *columns], [*names, *added])
+        tidy()
+
+    return docs.select(*sent).mapInArrow(run, T.StructType([*fields, *(T.StructField(name, kind) for name, kind in added.items())]))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that `df` doesn't have yet, made of `name`."""
     taken = {c.lower() for c in df.columns}

@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -18,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .bpe import SPACE, Pairs, coded, pattern_of
-from .tables import whole_text
-from .words import slices
+from .tables import Kernel, with_columns
 
 
 def _byte_letters() -> list[str]:
@@ -111,16 +110,16 @@ def _sums(values: np.ndarray, lists: list) -> np.ndarray:
     return np.diff(total[np.concatenate([[0], ends])])
 
 
-def count_tokens(docs: DataFrame, vocabulary: Vocabulary, column: str = "text", to: str = "n_tokens") -> DataFrame:
-    """`docs` with the number of tokens of the whole text as long; null and empty texts have none."""
+def count_tokens(docs: DataFrame, vocabulary: Vocabulary, column: str = "text", to: str = "n_tokens", keep: list[str] | None = None) -> DataFrame:
+    """`docs`, or its columns `keep`, with the number of tokens of the whole text as long.
+
+    Null and empty texts have none; repeated rows count alike. A column named
+    as `to` is replaced; others stay, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kernel() -> Kernel:
         counter = TextCounter(shared.value)
-        for whole in batches:
-            for batch in slices(whole, "_text"):
-                yield pa.record_batch([*batch.columns[:-1], pa.array(counter(batch.column("_text").to_pylist()), pa.int64())], [*batch.schema.names[:-1], to])
+        return lambda texts: [pa.array(counter(texts.to_pylist()), pa.int64())]
 
-    kept = docs.drop(to)
-    schema = type(docs.schema)([*kept.schema.fields]).add(to, "long")
-    return kept.withColumn("_text", whole_text(column)).mapInArrow(run, schema)
+    return with_columns(docs, column, {to: T.LongType()}, kernel, keep)

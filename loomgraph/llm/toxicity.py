@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labelled import labelled_sample
-from .tables import whole_text
-from .words import slices
+from .tables import Kernel, with_columns
 
 # Characters that stand for the Latin letters they look like.
 HOMOGLYPHS = {
@@ -203,26 +203,30 @@ def _cached(lexicon: Lexicon) -> ahocorasick.Automaton:
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """`docs` with toxicity (0 to 1) and n_hits; null and empty texts score as texts without a hit."""
-    docs = docs.drop("toxicity", "n_hits")
+    """`docs` with toxicity (0 to 1) and n_hits; null and empty texts score as texts without a hit, repeated rows alike.
+
+    Columns named toxicity or n_hits are replaced; others stay, whatever their
+    names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kernel() -> Kernel:
         machine, (a, b, c) = _cached(shared.value), shared.value.scale
-        for whole in batches:
-            for batch in slices(whole, "_text"):
-                scores, found = [], []
-                for text in batch.column("_text").to_pylist():
-                    folded = fold(text)
-                    own = hits(folded, machine)
-                    total = sum(w for _, _, w in own)
-                    x = a + b * np.log1p(total) + c * np.log1p(1000 * total / len(folded))
-                    scores.append(float(1 / (1 + np.exp(-np.clip(x, -35, 35)))))
-                    found.append(len(own))
-                yield pa.record_batch([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(found, pa.int64())], [*batch.schema.names[:-1], "toxicity", "n_hits"])
-
-    schema = type(docs.schema)([*docs.schema.fields]).add("toxicity", "double").add("n_hits", "long")
-    return docs.withColumn("_text", whole_text()).mapInArrow(run, schema)
+
+        def made(texts: pa.Array) -> list[pa.Array]:
+            scores, found = [], []
+            for text in texts.to_pylist():
+                folded = fold(text)
+                own = hits(folded, machine)
+                total = sum(w for _, _, w in own)
+                x = a + b * np.log1p(total) + c * np.log1p(1000 * total / len(folded))
+                scores.append(float(1 / (1 + np.exp(-np.clip(x, -35, 35)))))
+                found.append(len(own))
+            return [pa.array(scores, pa.float64()), pa.array(found, pa.int64())]
+
+        return made
+
+    return with_columns(docs, "text", {"toxicity": T.DoubleType(), "n_hits": T.LongType()}, kernel)
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame, keep: F.Column, params: Params | None = None) -> DataFrame:

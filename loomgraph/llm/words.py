@@ -16,7 +16,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(32)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about `limit` bytes, so that temporaries stay bounded."""
     if not batch.num_rows:
         return

@@ -48,4 +48,4 @@ def test_each_stage_takes_effect(spark, folder):
 
 def test_run_gives_the_last_stage(spark, folder):
     got = corpus_pipeline.run(spark, folder)
-    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"] and got.count() > 0
+    assert got.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "decoded_sha256"] and got.count() > 0
