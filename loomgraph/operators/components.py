@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import checkpointed
+from ..sources.tables import Levels, checkpointed, discard
 
 
-def _fingerprint(df: DataFrame) -> tuple:
-    row = df.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 31))).alias("h")).first()
-    return row["n"], row["h"]
+def _unsettled(stars: DataFrame) -> DataFrame:
+    """Nodes (u, v) that keep the edges from being stars: tied to several nodes, or tied to one and the centre of others."""
+    ends = stars.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(stars.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)")
 
 
 def connected_components(edges: DataFrame, source: str = "source", target: str = "target", nodes: DataFrame | None = None) -> DataFrame:
@@ -18,19 +19,19 @@ def connected_components(edges: DataFrame, source: str = "source", target: str =
 
     Large-star and small-star steps in turn: neighbourhoods are aggregated and
     joined, never gathered, so the hub of a large star stays spread over tasks.
+    They end once every edge ties a node to the least one of its component.
+    Loops count as edges of a node to itself; nulls are ignored.
     """
-    now = edges.select(F.greatest(source, target).alias("u"), F.least(source, target).alias("v")).filter("u <> v").distinct()
-    loops = edges.filter(F.col(source) == F.col(target)).select(F.col(source).alias("node"))
-    now = checkpointed(now, "edges")
-    before = None
-    while (state := _fingerprint(now)) != before:
-        before = state
+    loops = edges.filter(F.col(source) == F.col(target)).select(F.col(source).alias("node")).distinct()
+    now = checkpointed(edges.select(F.greatest(source, target).alias("u"), F.least(source, target).alias("v")).filter(F.col(source) != F.col(target)).distinct(), "edges")
+    while not _unsettled(now).isEmpty():
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpointed(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, checkpointed(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
     named = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).union(loops).distinct().join(named.select("node"), "node", "left_anti")
     found = named.union(roots.select("node", F.col("node").alias("component")))
@@ -41,26 +42,46 @@ def connected_components(edges: DataFrame, source: str = "source", target: str =
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels (node, label) lowered along edges (source, target) until none changes."""
-    before = None
-    while (state := _fingerprint(labels)) != before:
-        before = state
-        sent = edges.join(labels, edges["source"] == labels["node"]).select(F.col("target").alias("node"), "label")
-        labels = checkpointed(labels.union(sent).groupBy("node").agg(F.min("label").alias("label")), "labels")
-    return labels
+    """Labels (node, label) lowered along edges (source, target) until none changes; only labels that changed are sent on."""
+    labels = checkpointed(labels, "labels")
+    changed = labels
+    while True:
+        sent = edges.join(changed, edges["source"] == changed["node"]).select(F.col("target").alias("node"), "label")
+        after = checkpointed(labels.union(sent).groupBy("node").agg(F.min("label").alias("label")), "labels")
+        changed = checkpointed(after.join(labels, ["node", "label"], "left_anti"), "changed")
+        discard(labels)
+        labels = after
+        if changed.isEmpty():
+            return labels
+
+
+def peeled(moves: DataFrame) -> DataFrame:
+    """(node, depth) of the nodes of acyclic beginnings: those of `moves` (source, target), distinct, without a move in are of depth 0, each other one is one behind the last of those before it. Nodes on or behind a cycle are left out.
+
+    A level only touches the moves out of the level before: it writes how many
+    moves into a node they are, and a node is done when all that it has are.
+    """
+    spark = moves.sparkSession
+    indegree = checkpointed(moves.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("of")), "indegree")
+    counted, placed = Levels(spark, "counted"), Levels(spark, "placed")
+    first = moves.select(F.col("source").alias("node")).distinct().join(indegree, "node", "left_anti").select("node")
+    frontier, depth = placed.add(first, 0), 0
+    while not frontier.isEmpty():
+        hit = counted.add(moves.join(frontier.select(F.col("node").alias("source")), "source").groupBy(F.col("target").alias("node")).agg(F.count("*").alias("n")), depth)
+        seen = counted.all().join(hit.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("n").alias("n"))
+        depth += 1
+        frontier = placed.add(seen.join(indegree, "node").filter("n = of").select("node"), depth)
+    discard(indegree)
+    return placed.all()
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
-    """The edges (source, target) left once nodes without edges in or without edges out are gone, again and again: those on or between cycles."""
+    """The distinct edges (source, target) on or between cycles: those that are left without the nodes that no cycle leads to, and then without those that lead to none."""
     rest = checkpointed(edges.select("source", "target").distinct(), "rest")
-    n = rest.count()
-    while n:
-        keep = rest.join(rest.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-        keep = checkpointed(keep.join(keep.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "rest")
-        left = keep.count()
-        rest, done, n = keep, left == n, left
-        if done:
-            break
+    for a, b in (("source", "target"), ("target", "source")):
+        gone = peeled(rest.select(F.col(a).alias("source"), F.col(b).alias("target"))).select(F.col("node").alias(a))
+        before, rest = rest, checkpointed(rest.join(gone, a, "left_anti").select("source", "target"), "rest")
+        discard(before)
     return rest
 
 

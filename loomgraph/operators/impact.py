@@ -17,7 +17,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth
     cross-repository if the one before it on its path is of another repository.
     """
     kinds = nodes.select(F.col("id").alias("node"), "type", "repo_id")
-    found = bfs(edges, seeds, max_depth, direction, types).filter("depth > 0").join(kinds, "node")
+    found = bfs(edges, seeds, max_depth, direction, types, paths=True).filter("depth > 0").join(kinds, "node")
     found = found.join(nodes.select(F.col("id").alias("parent"), F.col("repo_id").alias("parent_repo")), "parent")
     return found.select("node", "type", "repo_id", "depth", "edge_type", (F.col("repo_id") != F.col("parent_repo")).alias("cross_repo"), impact_score(F.col("depth") - 1, F.col("edge_type")).alias("score"), "path", "parent_repo")
 

@@ -99,7 +99,7 @@ def _end(repo: str, node: str) -> Column:
 
 def groups(found: DataFrame) -> DataFrame:
     """(repo_id, id, group, confidence, strategy): nodes that matches join, with the best match of their group."""
-    links = found.select(_end("source_repo", "source").alias("source"), _end("target_repo", "target").alias("target"), "strategy", "confidence")
+    links = checkpointed(found.select(_end("source_repo", "source").alias("source"), _end("target_repo", "target").alias("target"), "strategy", "confidence"), "links")  # read for edges, loops and the best match
     parts = checkpointed(connected_components(links), "groups")
     best = links.join(parts.withColumnRenamed("node", "source"), "source").groupBy("component").agg(F.max("confidence").alias("confidence"), F.max_by("strategy", F.struct("confidence", "strategy")).alias("strategy"))
     cut = F.instr("node", "/")

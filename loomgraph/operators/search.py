@@ -13,18 +13,26 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
-def trigram_similarity(a: Column, b: Column) -> Column:
-    """Shared trigrams over all trigrams of both, 0 if there are none."""
-    x, y = trigrams(a), trigrams(b)
-    every = F.size(F.array_union(x, y))
-    return F.when(every == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / every)
+def trigrams_of(text: str) -> list[str]:
+    """The same for a text at hand."""
+    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    return sorted({f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)})
+
+
+def trigram_similarity(text: Column, grams: list[str]) -> Column:
+    """Shared trigrams over all trigrams of the text and of `grams`, 0 if there are none; the text's are made once."""
+    query = F.array(*map(F.lit, grams)) if grams else F.array().cast("array<string>")
+    shared = lambda own: F.size(F.array_intersect(own, query))
+    ratio = lambda own: F.transform(F.array(shared(own)), lambda n: F.coalesce(n / F.nullif(F.size(own) + len(grams) - n, F.lit(0)), F.lit(0.0)))[0]
+    return F.transform(F.array(trigrams(text)), ratio)[0]
 
 
 def fuzzy_search(nodes: DataFrame, query: str, limit: int = 50, least: float = 0.3) -> DataFrame:
     """(id, name, similarity): the `limit` nodes whose name or path is most like the query, ties by id."""
-    q = F.lit(query)
-    alike = F.greatest(*[trigram_similarity(F.col(c), q) for c in ("name", "file_path")])
-    return nodes.select("id", "name", F.round(alike, 6).alias("similarity")).filter(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(limit)
+    grams = trigrams_of(query)
+    alike = F.greatest(*[trigram_similarity(F.col(c), grams) for c in ("name", "file_path")])
+    best = nodes.select("id", "name", F.round(alike, 6).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(limit)
+    return best.filter(F.col("similarity") >= least)  # after the limit, so that no filter works the similarity out again
 
 
 def contains_search(nodes: DataFrame, query: str) -> DataFrame:

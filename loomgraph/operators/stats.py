@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.graph import TOOLS, tool_of
@@ -77,5 +77,6 @@ def percentiles(df: DataFrame, column: str, points: tuple[int, ...] = (50, 75, 9
 
 def share_by(df: DataFrame, key: str) -> DataFrame:
     """(key, n, percent): rows of each key, and their share of all to two places."""
-    by = counts_by(df, key)
-    return by.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
+    whole = df.agg(F.count("*").alias("_all")).withColumn("_one", F.lit(1))
+    by = counts_by(df, key).withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one")  # one row
+    return by.select(key, "n", F.round(100 * F.col("n") / F.col("_all"), 2).alias("percent"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import checkpointed
-from .components import cycle_edges, strongly_connected
+from ..sources.tables import Levels, checkpointed, discard
+from .components import cycle_edges, peeled, strongly_connected
 
 
 def steps(edges: DataFrame, direction: str = "downstream", types: list[str] | None = None, min_confidence: float | None = None) -> DataFrame:
@@ -26,25 +26,35 @@ def steps(edges: DataFrame, direction: str = "downstream", types: list[str] | No
     raise ValueError(f"unknown direction {direction!r}")
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, direction: str = "downstream", types: list[str] | None = None, min_confidence: float | None = None) -> DataFrame:
-    """(node, depth, parent, edge_id, edge_type, path) of the seeds (node) and all that they reach in `max_depth` moves, each at its least depth.
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, direction: str = "downstream", types: list[str] | None = None, min_confidence: float | None = None, paths: bool = False, until: str | None = None) -> DataFrame:
+    """(node, depth) of the seeds (node) and all that they reach in `max_depth` moves, each at its least depth; with `paths` also (parent, edge_id, edge_type, path).
 
     Of several ways of one length the one whose path is first in order counts.
-    Each level is a join of the frontier with the moves, less what was visited.
+    The moves are written once, so that no level derives them again; a level is
+    a join of the last level with them, less what was visited, and is written
+    to one table of all levels. The search ends after the level that holds the
+    node `until`.
     """
+    spark = edges.sparkSession
     moves = steps(edges, direction, types, min_confidence)
+    moves = checkpointed(moves.drop("confidence") if paths else moves.select("here", "there").distinct(), "moves")
+    levels = Levels(spark, "visited")
     none = F.lit(None).cast("string")
-    frontier = checkpointed(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), none.alias("parent"), none.alias("edge_id"), none.alias("edge_type"), F.array("node").alias("path")), "level")
-    visited = frontier
+    first = seeds.select("node").distinct()
+    extra = [none.alias("parent"), none.alias("edge_id"), none.alias("edge_type"), F.array("node").alias("path")] if paths else []
+    frontier = levels.add(first.select("node", *extra), 0)
     for depth in range(1, max_depth + 1):
-        reached = frontier.select("node", "path").join(moves, F.col("node") == F.col("here"))
-        best = reached.groupBy("there").agg(F.min(F.struct("path", "edge_id", F.col("here").alias("parent"), "type")).alias("b"))
-        new = best.join(visited.select(F.col("node").alias("there")), "there", "left_anti")
-        frontier = checkpointed(new.select(F.col("there").alias("node"), F.lit(depth).alias("depth"), "b.parent", "b.edge_id", F.col("b.type").alias("edge_type"), F.concat("b.path", F.array("there")).alias("path")), "level")
-        if frontier.isEmpty():
+        reached = frontier.drop("parent", "edge_id", "edge_type").join(moves, F.col("node") == F.col("here"))
+        if paths:
+            best = reached.groupBy("there").agg(F.min(F.struct("path", "edge_id", F.col("here").alias("parent"), "type")).alias("b"))
+            new = best.select(F.col("there").alias("node"), "b.parent", "b.edge_id", F.col("b.type").alias("edge_type"), F.concat("b.path", F.array("there")).alias("path"))
+        else:
+            new = reached.select(F.col("there").alias("node")).distinct()
+        frontier = levels.add(new.join(levels.all().select("node"), "node", "left_anti"), depth)
+        if frontier.isEmpty() or (until is not None and not frontier.filter(F.col("node") == until).isEmpty()):
             break
-        visited = visited.union(frontier)
-    return visited
+    discard(moves)
+    return levels.all()
 
 
 def only(spark, *ids: str) -> DataFrame:
@@ -69,7 +79,7 @@ def unreachable(nodes: DataFrame, edges: DataFrame, start: str, max_depth: int =
 
 def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 20) -> DataFrame:
     """(path, length): one row, or none; of equal lengths the first path in order. A node reaches itself in no moves."""
-    found = bfs(edges, only(edges.sparkSession, source), max_depth)
+    found = bfs(edges, only(edges.sparkSession, source), max_depth, paths=True, until=target)
     return found.filter(F.col("node") == target).select("path", F.col("depth").alias("length"))
 
 
@@ -89,7 +99,7 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_depth: int = 10
         hit = grown.filter(F.col("node") == target).select("path", F.lit(depth).alias("length"))
         found = hit if found is None else found.union(hit)
         frontier = grown.filter(F.col("node") != target)
-        if frontier.isEmpty():
+        if frontier.isEmpty() or found.limit(max_paths).count() >= max_paths:  # lengths only rise
             break
     return found.orderBy("length", "path").limit(max_paths)
 
@@ -112,25 +122,20 @@ def cycles(edges: DataFrame, max_length: int = 20, max_cycles: int = 50, canonic
         if canonical:
             new = new.filter(F.col("target") > F.col("path")[0])
         frontier = new.select(F.concat("path", F.array("target")).alias("path"))
-        if frontier.isEmpty():
+        if frontier.isEmpty() or found.limit(max_cycles).count() >= max_cycles:  # lengths only rise
             break
     return found.orderBy("length", "path").limit(max_cycles)
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, level): the longest way from a node without edges in, level null for nodes on or behind a cycle."""
-    rest = checkpointed(nodes.select("id").distinct(), "rest")
-    ends = rest.select(F.col("id").alias("source"))
-    left = checkpointed(edges.select("source", "target").distinct().join(ends, "source", "left_semi").join(ends.withColumnRenamed("source", "target"), "target", "left_semi"), "left")
-    done, level = None, 0
-    while not (ready := checkpointed(rest.join(left.select(F.col("target").alias("id")).distinct(), "id", "left_anti"), "ready")).isEmpty():
-        placed = ready.withColumn("level", F.lit(level))
-        done = placed if done is None else done.union(placed)
-        rest = checkpointed(rest.join(ready, "id", "left_anti"), "rest")
-        left = checkpointed(left.join(ready.withColumnRenamed("id", "source"), "source", "left_anti"), "left")
-        level += 1
-    behind = rest.withColumn("level", F.lit(None).cast("int"))
-    return behind if done is None else done.union(behind)
+    """(id, level): the longest way from a node without edges in, level null for nodes on or behind a cycle. Edges of other nodes don't count."""
+    every = checkpointed(nodes.select("id").distinct(), "nodes")
+    ends = every.select(F.col("id").alias("source"))
+    moves = checkpointed(edges.select("source", "target").distinct().join(ends, "source", "left_semi").join(ends.withColumnRenamed("source", "target"), "target", "left_semi"), "moves")
+    placed = peeled(moves).select(F.col("node").alias("id"), F.col("depth").alias("level"))
+    behind = moves.select(F.col("target").alias("id")).join(placed, "id", "left_anti").distinct()
+    alone = every.join(placed, "id", "left_anti").join(behind, "id", "left_anti")
+    return placed.union(alone.withColumn("level", F.lit(0))).union(behind.withColumn("level", F.lit(None).cast("int")))
 
 
 def longest_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:

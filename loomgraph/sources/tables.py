@@ -6,19 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame, name: str = "step") -> DataFrame:
-    """`df` written to the cluster's shared folder (`spark.checkpoint.dir`) and read again.
-
-    This cuts the lineage of loops, and lost executors lose nothing. Only a
-    local session without that setting gets a temporary folder.
-    """
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table in the cluster's shared folder (`spark.checkpoint.dir`). Only a local session without that setting gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.master.startswith("local"):
@@ -26,6 +23,41 @@ def checkpointed(df: DataFrame, name: str = "step") -> DataFrame:
             spark.conf.set("spark.checkpoint.dir", root)
         else:
             root = spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame, name: str = "step") -> DataFrame:
+    """`df` written to the shared folder and read again.
+
+    This cuts the lineage of loops, and lost executors lose nothing.
+    """
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the intermediate tables that `frames` were read from, once nothing reads them any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/loomgraph/" in f}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Levels:
+    """A table that grows by one level at a time: each level is written once, and all are read as one table with a column `depth`."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.schema = spark, fresh_path(spark, name), None
+
+    def add(self, df: DataFrame, depth: int) -> DataFrame:
+        """The rows of `df` as level `depth`, read again, with that column last."""
+        path = f"{self.path}/depth={depth}"
+        df.write.parquet(path)
+        self.schema = T.StructType([*df.schema.fields, T.StructField("depth", T.IntegerType())])
+        return self.spark.read.schema(df.schema).parquet(path).withColumn("depth", F.lit(depth))
+
+    def all(self) -> DataFrame:
+        """All levels so far."""
+        return self.spark.read.schema(self.schema).parquet(self.path)
