@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 # What an ARN in a text looks like, and what cloud resource ids look like.
 ARN_IN_TEXT = r"""arn:[a-z-]+:[a-z0-9-]+:[a-z0-9-]*:[0-9]*:[^\s"'}\]]+"""
-AWS_KINDS = ("i", "vol", "snap", "ami", "vpc", "subnet", "sg", "rtb", "igw", "nat", "eni", "acl", "eipalloc", "lt", "asg")
-AWS_ID = rf"({'|'.join(AWS_KINDS)})-[0-9a-f]{{8,17}}"
+AWS_ID = r"(i|vol|snap|ami|vpc|subnet|sg|rtb|igw|nat|eni|acl|eipalloc|lt|asg)-[0-9a-f]{8,17}"
 GCP_LINK, AZURE_ID = r"https://www\.googleapis\.com/compute/v1/projects/", r"/subscriptions/[0-9a-f-]+/"
 
 
@@ -33,6 +32,23 @@ def normal_arn(arn: Column) -> Column:
     return F.when(p.isNotNull(), F.lower(F.concat(F.lit("arn:"), p["partition"], F.lit(":"), p["service"], F.lit(":::"), p["resource"]))).otherwise(F.lower(F.trim(arn)))
 
 
+def arn_of(resource_type: Column, name: Column, region: Column, account: Column) -> Column:
+    """The ARN of a resource by its type and name, * for an unknown region or account; null for types without one and nameless resources."""
+    place = F.concat(F.coalesce(region, F.lit("*")), F.lit(":"), F.coalesce(account, F.lit("*")), F.lit(":"))
+    whole = lambda service, middle, kind: F.concat(F.lit(f"arn:aws:{service}:"), middle, F.lit(kind), name)
+    own = F.concat(F.lit(":"), F.coalesce(account, F.lit("*")), F.lit(":"))
+    chain = (
+        F.when(resource_type == "aws_s3_bucket", whole("s3", F.lit("::"), ""))
+        .when(resource_type == "aws_iam_role", whole("iam", own, "role/"))
+        .when(resource_type == "aws_iam_policy", whole("iam", own, "policy/"))
+        .when(resource_type == "aws_lambda_function", whole("lambda", place, "function:"))
+        .when(resource_type == "aws_dynamodb_table", whole("dynamodb", place, "table/"))
+        .when(resource_type == "aws_sqs_queue", whole("sqs", place, ""))
+        .when(resource_type == "aws_sns_topic", whole("sns", place, ""))
+    )
+    return F.when(F.length(name) > 0, chain)
+
+
 def arn_confidence(a: Column, b: Column) -> Column:
     """0 unless service and resource agree; else the share of partition, service and resource that do."""
     x, y = arn_parts(a), arn_parts(b)

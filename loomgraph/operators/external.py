@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +22,51 @@ def references(nodes: DataFrame) -> DataFrame:
 
 
 def kubernetes_references(nodes: DataFrame, column: str = "spec") -> DataFrame:
-    """(node_id, kind, name): config maps, secrets, claims and service accounts that a pod spec (JSON) names."""
-    spec = "struct<serviceAccountName:string,containers:array<struct<envFrom:array<struct<configMapRef:struct<name:string>,secretRef:struct<name:string>>>>>,volumes:array<struct<configMap:struct<name:string>,secret:struct<secretName:string>,persistentVolumeClaim:struct<claimName:string>>>>"
+    """(node_id, kind, name): config maps, secrets, claims and service accounts that a pod spec (JSON) names, in the environment, volumes (also projected ones) and pull secrets."""
+    ref = "struct<name:string>"
+    env = f"envFrom:array<struct<configMapRef:{ref},secretRef:{ref}>>,env:array<struct<valueFrom:struct<configMapKeyRef:{ref},secretKeyRef:{ref}>>>"
+    volume = f"configMap:{ref},secret:struct<secretName:string>,persistentVolumeClaim:struct<claimName:string>,projected:struct<sources:array<struct<configMap:{ref},secret:{ref}>>>"
+    spec = f"struct<serviceAccountName:string,imagePullSecrets:array<{ref}>,containers:array<struct<{env}>>,volumes:array<struct<{volume}>>>"
     x = nodes.select(F.col("id").alias("node_id"), F.from_json(column, spec).alias("s"))
     named = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("name")))
     empty = F.array().cast("array<struct<kind:string,name:string>>")
-    env = F.flatten(F.col("s.containers.envFrom"))
-    lists = [named("configmap", F.transform(env, lambda e: e["configMapRef"]["name"])), named("secret", F.transform(env, lambda e: e["secretRef"]["name"])), named("configmap", F.col("s.volumes.configMap.name")), named("secret", F.col("s.volumes.secret.secretName")), named("pvc", F.col("s.volumes.persistentVolumeClaim.claimName")), named("serviceaccount", F.array("s.serviceAccountName"))]
+    inner = lambda lists: F.flatten(F.filter(lists, lambda x: x.isNotNull()))
+    at = lambda rows, *path: F.transform(rows, lambda e: reduce(lambda x, field: x[field], path, e))
+    whole, keys = inner(F.col("s.containers.envFrom")), inner(F.col("s.containers.env"))
+    projected = inner(F.col("s.volumes.projected.sources"))
+    lists = [
+        named("configmap", at(whole, "configMapRef", "name")),
+        named("secret", at(whole, "secretRef", "name")),
+        named("configmap", at(keys, "valueFrom", "configMapKeyRef", "name")),
+        named("secret", at(keys, "valueFrom", "secretKeyRef", "name")),
+        named("configmap", F.col("s.volumes.configMap.name")),
+        named("secret", F.col("s.volumes.secret.secretName")),
+        named("pvc", F.col("s.volumes.persistentVolumeClaim.claimName")),
+        named("configmap", at(projected, "configMap", "name")),
+        named("secret", at(projected, "secret", "name")),
+        named("secret", F.col("s.imagePullSecrets.name")),
+        named("serviceaccount", F.array("s.serviceAccountName")),
+    ]
     return x.select("node_id", F.explode(F.array_distinct(F.concat(*[F.coalesce(v, empty) for v in lists]))).alias("r")).select("node_id", "r.*").filter("name is not null")
 
 
+def ingress_references(nodes: DataFrame, column: str = "spec") -> DataFrame:
+    """(node_id, kind, name): the secrets and services that an ingress (JSON with tls and rules) names."""
+    x = nodes.select(F.col("id").alias("node_id"), F.from_json(column, "struct<tls:array<struct<secretName:string>>,rules:array<struct<paths:array<struct<serviceName:string>>>>>").alias("s"))
+    secrets = x.select("node_id", F.lit("Secret").alias("kind"), F.explode("s.tls.secretName").alias("name"))
+    services = x.select("node_id", F.explode("s.rules.paths").alias("p")).select("node_id", F.lit("Service").alias("kind"), F.explode("p.serviceName").alias("name"))
+    return secrets.union(services).filter("length(name) > 0").distinct()
+
+
+def role_references(nodes: DataFrame, column: str = "spec") -> DataFrame:
+    """(node_id, kind, name): the role of a role binding (JSON with roleRef and subjects), and its service accounts as namespace/name, the namespace default if there is none."""
+    x = nodes.select(F.col("id").alias("node_id"), F.from_json(column, "struct<roleRef:struct<kind:string,name:string>,subjects:array<struct<kind:string,name:string,namespace:string>>>").alias("s"))
+    role = x.select("node_id", F.when(F.col("s.roleRef.kind") == "ClusterRole", "ClusterRole").otherwise("Role").alias("kind"), F.col("s.roleRef.name").alias("name"))
+    subjects = x.select("node_id", F.explode("s.subjects").alias("t")).filter("t.kind = 'ServiceAccount'")
+    accounts = subjects.select("node_id", F.lit("ServiceAccount"), F.concat_ws("/", F.coalesce(F.nullif("t.namespace", F.lit("")), F.lit("default")), "t.name"))
+    return role.union(accounts).filter("name is not null").distinct()
+
+
 def inverted(refs: DataFrame) -> DataFrame:
     """`refs` by term: the id in lower case and the normalised id."""
     return refs.withColumn("term", F.explode(F.array_distinct(F.array(F.lower("external_id"), "normalized_id"))))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.graph import impact_score, risk_level, tool_of
-from .traverse import bfs
+from ..functions.graph import TOOLS, impact_score, risk_level, tool_of
+from .traverse import bfs, only
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 5, types: list[str] | None = None, direction: str = "downstream") -> DataFrame:
@@ -38,6 +38,17 @@ def tool_blast(nodes: DataFrame, edges: DataFrame, node: str, max_depth: int = 5
     return found.groupBy("tool").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"))
 
 
+def critical_paths(nodes: DataFrame, edges: DataFrame, node: str, per_tool: int = 3, max_nodes: int = 5, most: int = 10) -> DataFrame:
+    """(tool, node, path): shortest ways of `max_nodes` nodes at most from `node` down to its first `per_tool` direct neighbours of each other tool, `most` in all, in the order of tools and ids."""
+    kinds = nodes.select(F.col("id").alias("node"), tool_of(F.col("type")).alias("tool"))
+    own = kinds.filter(F.col("node") == node).select(F.col("tool").alias("own"), F.lit(1).alias("_one"))
+    direct = bfs(edges, only(edges.sparkSession, node), 1, "both").filter("depth = 1").join(kinds, "node").withColumn("_one", F.lit(1)).join(own, "_one").filter("tool <> own")
+    first = Window.partitionBy("tool").orderBy("node")
+    chosen = direct.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_tool).select("node", "tool")
+    ways = bfs(edges, only(edges.sparkSession, node), max_nodes - 1, paths=True).select("node", "path").join(chosen, "node")
+    return ways.select("tool", "node", "path").orderBy(F.array_position(F.array(*map(F.lit, TOOLS)), F.col("tool")), "node").limit(most)
+
+
 def impact_summary(by_tool: DataFrame) -> DataFrame:
     """One row (summary): a sentence of the counts of each tool, in the order of their names."""
     piece = F.concat_ws(" ", (F.col("direct") + F.col("transitive")).cast("string"), F.col("tool"), F.concat(F.lit("("), F.col("direct").cast("string"), F.lit(" direct)")))

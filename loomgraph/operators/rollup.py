@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.external import arn_confidence, normal_arn
+from ..functions.external import arn_confidence, arn_parts
 from ..sources.tables import checkpointed
 from .components import connected_components
 from .likeness import alike
@@ -18,7 +19,7 @@ DEFAULT_LEAST = 80
 
 @dataclass(frozen=True)
 class Matcher:
-    """`key` drops nodes where it is null; `confidence` compares two nodes of one block, a struct a and a struct b. Nodes meet where `block` (the key by default) is equal, and where their keys are alike by `alike` percent."""
+    """`key` drops nodes where it is null; `confidence` compares two nodes of one block, a struct a and a struct b. Nodes meet where `block` (the key by default) is equal, and where their keys are alike by `alike` percent. `same` says that all nodes of a block match, for certain (100) if they are equal in that column (kind, type, or key), else by 95."""
 
     strategy: str
     key: Column
@@ -26,6 +27,7 @@ class Matcher:
     least: float = 0
     block: Column | None = None
     alike: float | None = None
+    same: str | None = None
 
 
 def _meta(path: str) -> Column:
@@ -33,16 +35,27 @@ def _meta(path: str) -> Column:
 
 
 def arn_matcher(least: float = 0) -> Matcher:
-    """Equal partition, service and resource, whatever region and account."""
+    """Equal service and resource, whatever region and account: 100 with equal partitions, else 67. Nodes meet by service and the resource's type and id."""
     key = F.coalesce(*[_meta(p) for p in ("arn", "attributes.arn", "ARN")])
-    return Matcher("arn", F.when(key.startswith("arn:"), key), lambda a, b: arn_confidence(a["key"], b["key"]), least, normal_arn(key))
+    p = arn_parts(key)
+    block = F.concat_ws("|", p["service"], F.coalesce(p["resource_type"], F.lit("")), p["resource_id"])
+    return Matcher("arn", F.when(key.startswith("arn:"), key), lambda a, b: arn_confidence(a["key"], b["key"]), least, block)
 
 
-def resource_id_matcher(path: str = "id", least: float = 0) -> Matcher:
-    """Equal ids in lower case, without placeholders; 100 for one resource type, else 95."""
-    key = F.lower(F.trim(_meta(path)))
+def resource_id_matcher(path: str = "id", least: float = 0, extract: str | None = None) -> Matcher:
+    """Equal ids in lower case, without placeholders; 100 for one resource type, else 95.
+
+    The id is at `path` of the metadata, or of its attributes, or else the
+    first of the usual places. `extract` is a pattern whose first group, or
+    whole match without one, is the id; nodes that it doesn't match drop out.
+    """
+    found = F.coalesce(*[_meta(p) for p in (path, f"attributes.{path}", "id", "name", "unique_id", "resource_id", f"{path}_id")])
+    if extract is not None:
+        group = 1 if re.compile(extract).groups else 0
+        found = F.nullif(F.regexp_extract(found, extract, group), F.lit(""))
+    key = F.lower(F.trim(found))
     known = key.isNotNull() & (key != "") & ~key.rlike(r"^(\$\{|<|unknown|null$|computed)")
-    return Matcher("resource_id", F.when(known, key), lambda a, b: F.when(a["kind"].eqNullSafe(b["kind"]), 100.0).otherwise(95.0), least)
+    return Matcher("resource_id", F.when(known, key), lambda a, b: F.when(a["kind"].eqNullSafe(b["kind"]), 100.0).otherwise(95.0), least, same="kind")
 
 
 def name_matcher(least: float = 0, namespaced: bool = False, threshold: float | None = None, block: Column | None = None) -> Matcher:
@@ -53,7 +66,7 @@ def name_matcher(least: float = 0, namespaced: bool = False, threshold: float |
     fuzzy = lambda a, b: F.round(100 * (longest(a, b) - F.levenshtein(a["key"], b["key"])) / longest(a, b))
     same = lambda a, b: F.when(a["type"] == b["type"], 100.0).otherwise(95.0)
     if threshold is None:
-        return Matcher("name", key, same, least)
+        return Matcher("name", key, same, least, same="type")
     score = lambda a, b: F.when(a["key"] == b["key"], same(a, b)).when(fuzzy(a, b) >= threshold, fuzzy(a, b)).otherwise(0.0)
     if block is not None:
         return Matcher("name", key, score, least, block)
@@ -64,7 +77,34 @@ def tag_matcher(tags: list[str], least: float = 0) -> Matcher:
     """All the tags with equal values; 100 where the whole keys agree."""
     pairs = [F.concat(F.lit(f"{t}="), _meta(f"tags.{t}")) for t in sorted(tags)]
     key = F.when(F.concat(*pairs).isNotNull(), F.concat_ws("|", *pairs))
-    return Matcher("tag", key, lambda a, b: F.when(a["key"] == b["key"], 100.0).otherwise(0.0), least)
+    return Matcher("tag", key, lambda a, b: F.when(a["key"] == b["key"], 100.0).otherwise(0.0), least, same="key")
+
+
+def _keyed(nodes: DataFrame, matcher: Matcher) -> DataFrame:
+    """(x, block): what a matcher compares of each node that it takes."""
+    return nodes.select(F.struct("repo_id", "id", "type", _meta("resourceType").alias("kind"), matcher.key.alias("key")).alias("x"), (matcher.block if matcher.block is not None else matcher.key).alias("block")).filter("x.key is not null and block is not null")
+
+
+def links(nodes: DataFrame, matchers: list[Matcher]) -> DataFrame:
+    """(source_repo, source, target_repo, target, strategy, confidence): enough pairs to join what `all_matches` joins, and the best match of each group among them.
+
+    Where all nodes of a block match, each is tied to the least one of the
+    block, if the block has several repositories, so that a frequent name or
+    tag gives as many rows as it has nodes. Other matchers give their matches.
+    """
+    found = None
+    for matcher in matchers:
+        if matcher.same is None or max(matcher.least, DEFAULT_LEAST) > 95:
+            own = matches(nodes, matcher)
+        else:
+            x = _keyed(nodes, matcher)
+            by_value = x.groupBy("block", F.col(f"x.{matcher.same}").alias("value")).agg(F.min(F.struct("x.repo_id", "x.id")).alias("hub"), F.min("x.repo_id").alias("low"), F.max("x.repo_id").alias("high"))
+            certain = (F.col("low") != F.col("high")) & (F.col("value").isNotNull() | F.lit(matcher.same == "kind"))
+            hubs = by_value.groupBy("block").agg(F.min("hub").alias("hub"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or(certain).alias("certain")).filter("low <> high")
+            met = x.join(hubs, "block").filter(F.struct("x.repo_id", "x.id") != F.col("hub"))
+            own = met.select(F.col("hub.repo_id").alias("source_repo"), F.col("hub.id").alias("source"), F.col("x.repo_id").alias("target_repo"), F.col("x.id").alias("target"), F.lit(matcher.strategy).alias("strategy"), F.when(F.col("certain"), 100.0).otherwise(95.0).alias("confidence"))
+        found = own if found is None else found.union(own)
+    return found
 
 
 def matches(nodes: DataFrame, matcher: Matcher) -> DataFrame:
@@ -72,7 +112,7 @@ def matches(nodes: DataFrame, matcher: Matcher) -> DataFrame:
 
     A least confidence of zero counts as 80.
     """
-    own = nodes.select(F.struct("repo_id", "id", "type", _meta("resourceType").alias("kind"), matcher.key.alias("key")).alias("x"), (matcher.block if matcher.block is not None else matcher.key).alias("block")).filter("x.key is not null and block is not null")
+    own = _keyed(nodes, matcher)
     met = own.select("block", F.col("x").alias("a")).join(own.select("block", F.col("x").alias("b")), "block").filter("a.repo_id < b.repo_id").select("a", "b")
     if matcher.alike is not None:
         names = own.select(F.col("x.key").alias("name")).distinct()

@@ -38,7 +38,7 @@ def edge_scores(evidence: DataFrame, rules: dict[str, float] | None = None) -> D
         "pattern": 5 * ((F.col("categories") >= 2).cast("int") + (F.col("categories") >= 3).cast("int") + (F.col("types") >= 3).cast("int") + (F.col("types") >= 5).cast("int")),
     })
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("base") * F.col("multiplier") + F.col("bonus") - F.col("penalty") + F.col("pattern") + 0.1 * F.col("rules")))
-    return by.select("edge_id", F.round("base", 6).alias("base"), F.round("multiplier", 6).alias("multiplier"), "bonus", "penalty", "pattern", F.round("rules", 6).alias("rules"), F.round(score).alias("value"), confidence_level(F.round(score, 9)).alias("level"))
+    return by.select("edge_id", F.round("base", 6).alias("base"), F.round("multiplier", 6).alias("multiplier"), "bonus", "penalty", "pattern", F.round("rules", 6).alias("rules"), F.round(F.round(score, 9)).alias("value"), confidence_level(F.round(score, 9)).alias("level"))
 
 
 def scored_edges(edges: DataFrame, scores: DataFrame) -> DataFrame:

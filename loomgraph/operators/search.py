@@ -19,7 +19,13 @@ def trigrams_of(text: str) -> list[str]:
     return sorted({f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)})
 
 
-def trigram_similarity(text: Column, grams: list[str]) -> Column:
+def trigram_similarity(a: Column, b: Column) -> Column:
+    """Shared trigrams over all trigrams of both, 0 if there are none."""
+    ratio = lambda p: F.coalesce(F.size(F.array_intersect(p["x"], p["y"])) / F.nullif(F.size(F.array_union(p["x"], p["y"])), F.lit(0)), F.lit(0.0))
+    return F.transform(F.array(F.struct(trigrams(a).alias("x"), trigrams(b).alias("y"))), ratio)[0]
+
+
+def similarity_to(text: Column, grams: list[str]) -> Column:
     """Shared trigrams over all trigrams of the text and of `grams`, 0 if there are none; the text's are made once."""
     query = F.array(*map(F.lit, grams)) if grams else F.array().cast("array<string>")
     shared = lambda own: F.size(F.array_intersect(own, query))
@@ -30,7 +36,7 @@ def trigram_similarity(text: Column, grams: list[str]) -> Column:
 def fuzzy_search(nodes: DataFrame, query: str, limit: int = 50, least: float = 0.3) -> DataFrame:
     """(id, name, similarity): the `limit` nodes whose name or path is most like the query, ties by id."""
     grams = trigrams_of(query)
-    alike = F.greatest(*[trigram_similarity(F.col(c), grams) for c in ("name", "file_path")])
+    alike = F.greatest(*[similarity_to(F.col(c), grams) for c in ("name", "file_path")])
     best = nodes.select("id", "name", F.round(alike, 6).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(limit)
     return best.filter(F.col("similarity") >= least)  # after the limit, so that no filter works the similarity out again
 

@@ -68,6 +68,21 @@ def tool_pairs(nodes: DataFrame, edges: DataFrame, limit: int | None = 10) -> Da
     return pairs.orderBy(F.desc("n"), "source_tool", "target_tool").limit(limit) if limit else pairs
 
 
+def nodes_of_tools(nodes: DataFrame, tools: list[str]) -> DataFrame:
+    """The nodes of these tools, with a column tool."""
+    return nodes.withColumn("tool", tool_of(F.col("type"))).filter(F.col("tool").isin(tools))
+
+
+def cross_tool_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, edges between different tools, their share of all to six places, and their average confidence."""
+    kind = lambda end: nodes.select(F.col("id").alias(end), tool_of(F.col("type")).alias(f"{end}_tool"))
+    crossing = F.col("source_tool") != F.col("target_tool")
+    row = edges.join(kind("source"), "source").join(kind("target"), "target").agg(F.count("*").alias("edges"), F.count_if(crossing).alias("crossing"), F.round(F.avg(F.when(crossing, F.col("confidence"))), 4).alias("average"))
+    whole = nodes.agg(F.count("*").alias("nodes")).withColumn("_one", F.lit(1))
+    share = F.round(F.col("crossing") / F.nullif(F.col("edges"), F.lit(0)), 6).alias("share")
+    return row.withColumn("_one", F.lit(1)).join(whole, "_one").select("nodes", "edges", "crossing", share, "average")
+
+
 def percentiles(df: DataFrame, column: str, points: tuple[int, ...] = (50, 75, 90, 95, 99)) -> DataFrame:
     """One row: least, most, average, population deviation and nearest-rank percentiles, zero without rows."""
     ranks = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {column})").alias(f"p{p}") for p in points]

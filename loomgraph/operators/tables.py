@@ -44,15 +44,30 @@ def field(column: str, path: str, kind: str = "string") -> Column:
     return F.get_json_object(column, f"$.{path}").try_cast(kind)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
-    """`old` with the rows of `new`: columns of `update` (all by default) of rows that exist are replaced, others appended. Of several new rows with one key any one counts, so give distinct keys."""
+def last_of(new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row for each key: the greatest by the columns `order` (by default all others), then by all others."""
+    others = [c for c in new.columns if c not in keys]
+    if not others:
+        return new.distinct()
+    by = F.struct(*(order or []), *others)
+    return new.groupBy(*keys).agg(F.max_by(F.struct(*others), by).alias("_v")).select(*[F.col(c) if c in keys else F.col(f"_v.{c}") for c in new.columns])
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """`old` with the rows of `new`: columns of `update` (all by default) of rows that exist are replaced, others appended. Of several new rows with one key that of `last_of` counts."""
     update = update if update is not None else [c for c in old.columns if c not in keys]
-    o, n = old.withColumn("_o", F.lit(True)), new.select(*old.columns).withColumn("_n", F.lit(True))
+    o, n = old.withColumn("_o", F.lit(True)), last_of(new, keys, order).select(*old.columns).withColumn("_n", F.lit(True))
     both = o.alias("o").join(n.alias("n"), keys, "full_outer")
     pick = lambda c: F.when(F.col("_o").isNull() | (F.col("_n") & F.lit(c in update)), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
     return both.select(*[F.col(c) if c in keys else pick(c) for c in old.columns])
 
 
+def upsert_counts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """One row (inserted, updated): the keys of `new` that an upsert adds, and those that it finds."""
+    known = old.select(*keys, F.lit(True).alias("_known")).distinct()
+    return new.select(*keys).distinct().join(known, keys, "left").agg(F.count_if(F.col("_known").isNull()).alias("inserted"), F.count("_known").alias("updated"))
+
+
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """`new` rows whose key `old` lacks, one for each key."""
     return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")

@@ -327,11 +327,21 @@ def blast_radius(nodes, edges):
     return impact.blast_radius(nodes, edges, traverse.only(edges.sparkSession, "orders:3"), 4).select("node", "depth", "edge_type", "cross_repo", F.round("score", 6).alias("score"))
 
 
-@query("blast_summary")
+BLAST_ROWS = f"""b AS (SELECT 'orders:3' AS node, ['orders:3'] AS path, NULL::VARCHAR AS type, 0 AS depth
+  UNION SELECT e.target, list_append(b.path, e.target), e.type, b.depth + 1 FROM b JOIN edges e ON e.source = b.node WHERE b.depth < 4 AND NOT list_contains(b.path, e.target)),
+f AS (SELECT * FROM b WHERE depth > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY depth, path, type) = 1),
+j AS (SELECT depth, f.type, n.repo_id AS own, p.repo_id AS before, {WEIGHT_SQL.replace('type', 'f.type', 1)} * pow(0.7, depth - 1) AS score FROM f JOIN nodes n ON n.id = f.node JOIN nodes p ON p.id = f.path[-2]),
+s AS (SELECT count_if(depth = 1) AS direct, count_if(depth > 1) AS indirect, count_if(own <> before) AS cross_nodes, count(DISTINCT (before, own, type)) FILTER (own <> before) AS cross_groups, coalesce(round(sum(score), 6), 0) AS score FROM j)"""
+
+
+@query("blast_summary", f", {BLAST_ROWS} SELECT *, CASE WHEN 2 * direct + indirect + 5 * cross_groups < 10 THEN 'low' WHEN 2 * direct + indirect + 5 * cross_groups < 30 THEN 'medium' WHEN 2 * direct + indirect + 5 * cross_groups < 100 AND cross_groups < 5 THEN 'high' ELSE 'critical' END AS risk FROM s")
 def blast_summary(nodes, edges):
     return impact.blast_summary(impact.blast_radius(nodes, edges, traverse.only(edges.sparkSession, "orders:3"), 4))
 
 
+TOOL_REACH = "u AS (SELECT source, target FROM edges WHERE confidence >= 60 UNION ALL SELECT target, source FROM edges WHERE confidence >= 60), b AS (SELECT 'nation:4' AS node, 0 AS depth UNION SELECT u.target, b.depth + 1 FROM b JOIN u ON u.source = b.node WHERE b.depth < 2), m AS (SELECT node, min(depth) AS depth FROM b GROUP BY node HAVING min(depth) > 0)"
+
+
 @query("tool_blast", f", u AS (SELECT source, target FROM edges WHERE confidence >= 60 UNION ALL SELECT target, source FROM edges WHERE confidence >= 60), b AS (SELECT 'nation:4' AS node, 0 AS depth UNION SELECT u.target, b.depth + 1 FROM b JOIN u ON u.source = b.node WHERE b.depth < 2), m AS (SELECT node, min(depth) AS depth FROM b GROUP BY node HAVING min(depth) > 0) SELECT {TOOL_SQL.format('n.type')} AS tool, count_if(depth = 1) AS direct, count_if(depth > 1) AS transitive FROM m JOIN nodes n ON n.id = m.node GROUP BY 1")
 def tool_blast(nodes, edges):
     return impact.tool_blast(nodes, edges, "nation:4", 2, 60)
@@ -355,7 +365,20 @@ def flow_statistics(nodes, edges):
     return flows.flow_statistics(flows.end_to_end_flows(nodes, edges))
 
 
-@query("job_links")
+NORMAL_SQL = "lower(regexp_replace(regexp_replace(replace({0}, '\\', '/'), '^[.]/', ''), '/$', ''))"
+UNDER_SQL = "({0} = {1} OR starts_with({0}, {1} || '/') OR starts_with({1}, {0} || '/'))"
+JOB_LINKS_SQL = f""", j AS (SELECT id AS job, file_path AS path, name, regexp_replace(lower(name), '[-_[:space:]]', '', 'g') AS bare FROM nodes WHERE type = 'ci_job'),
+n AS (SELECT id AS node, file_path, name, regexp_replace(lower(name), '[-_[:space:]]', '', 'g') AS bare FROM nodes WHERE NOT starts_with(type, 'ci_')),
+p AS (SELECT path, file_path, {NORMAL_SQL.format('path')} AS a, {NORMAL_SQL.format('file_path')} AS b FROM (SELECT DISTINCT path FROM j), (SELECT DISTINCT file_path FROM n)),
+q AS (SELECT *, list_filter(string_split(a, '/'), lambda x: x <> '') AS sa, list_filter(string_split(b, '/'), lambda x: x <> '') AS sb, regexp_replace(a, '/?[^/]*$', '') AS da, regexp_replace(b, '/?[^/]*$', '') AS db FROM p),
+r AS (SELECT *, CASE WHEN a = b THEN 100.0 ELSE round(100.0 * len(list_filter(range(1, least(len(sa), len(sb)) + 1), lambda i: sa[1:i] = sb[1:i])) / greatest(len(sa), len(sb))) END AS alike FROM q),
+t AS (SELECT path, file_path, CASE WHEN alike >= 80 THEN alike WHEN alike >= 50 THEN alike * 0.9 WHEN {UNDER_SQL.format('a', 'b')} OR {UNDER_SQL.format('da', 'db')} THEN 60.0 END AS by_path FROM r),
+x AS (SELECT job, node, t.by_path FROM j JOIN t USING (path) JOIN n USING (file_path) WHERE t.by_path >= 50
+  UNION ALL SELECT job, node, 0.7 * CASE WHEN j.bare = n.bare THEN 100.0 WHEN contains(j.bare, n.bare) OR contains(n.bare, j.bare) THEN 80.0 ELSE round(100.0 * (greatest(len(j.bare), len(n.bare)) - levenshtein(j.bare, n.bare)) / greatest(len(j.bare), len(n.bare))) END FROM j JOIN t USING (path) JOIN n USING (file_path) WHERE t.by_path IS NULL)
+SELECT job, node, round(by_path, 4)::DOUBLE AS score FROM x WHERE round(by_path, 4) >= 50 QUALIFY row_number() OVER (PARTITION BY job ORDER BY round(by_path, 4) DESC, node) <= 5"""
+
+
+@query("job_links", JOB_LINKS_SQL)
 def job_links(nodes, edges):
     jobs = nodes.filter("type = 'ci_job'").select(F.col("id").alias("job"), F.col("file_path").alias("path"), "name")
     return flows.job_links(jobs, nodes.filter(fg.tool_of(F.col("type")) != "ci"))
@@ -364,17 +387,19 @@ def job_links(nodes, edges):
 # ---- scores
 
 
-@plain("edge_scores", """, s AS (SELECT edge_id, count(*) AS n, avg(confidence * CASE category WHEN 'explicit' THEN 1.0 WHEN 'structural' THEN 0.8 WHEN 'heuristic' THEN 0.6 ELSE 0.9 END) AS base, count_if(category = 'explicit') AS ex, bool_and(category = 'heuristic') AS h, avg(confidence) AS a, count(DISTINCT category) AS c, count(DISTINCT type) AS t,
+SCORES_SQL = """, s AS (SELECT edge_id, count(*) AS n, avg(confidence * CASE category WHEN 'explicit' THEN 1.0 WHEN 'structural' THEN 0.8 WHEN 'heuristic' THEN 0.6 ELSE 0.9 END) AS base, count_if(category = 'explicit') AS ex, bool_and(category = 'heuristic') AS h, avg(confidence) AS a, count(DISTINCT category) AS c, count(DISTINCT type) AS t,
   sum(CASE type WHEN 'depends_on_directive' THEN 48.0 WHEN 'explicit_reference' THEN 35.0 WHEN 'module_source' THEN 30.0 WHEN 'interpolation' THEN 25.0 WHEN 'function_call' THEN 20.0 WHEN 'label_matching' THEN 25.0 WHEN 'naming_convention' THEN 8.0 ELSE 3.5 END)::DOUBLE AS r FROM evidence GROUP BY edge_id),
-x AS (SELECT *, least(1.5, 1 + 0.1 * (SELECT coalesce(sum(pow(0.85, i)), 0) FROM range(1, n) v(i))) AS m, least(20, 10 * ex) AS b, CASE WHEN NOT h THEN 0 WHEN a < 50 THEN 15 ELSE 5 END AS p, 5 * ((c >= 2)::INT + (c >= 3)::INT + (t >= 3)::INT + (t >= 5)::INT) AS q FROM s)
-SELECT edge_id, round(base, 6) AS base, round(m, 6) AS multiplier, b AS bonus, p AS penalty, round(greatest(0, least(100, base * m + b - p + q + 0.1 * r)), 4) AS score FROM x""")
+x AS (SELECT *, least(1.5, 1 + 0.1 * (SELECT coalesce(sum(pow(0.85, i)), 0) FROM range(1, n) v(i))) AS m, least(20, 10 * ex) AS b, CASE WHEN NOT h THEN 0 WHEN a < 50 THEN 15 ELSE 5 END AS p, 5 * ((c >= 2)::INT + (c >= 3)::INT + (t >= 3)::INT + (t >= 5)::INT) AS q FROM s),
+y AS (SELECT *, round(greatest(0, least(100, base * m + b - p + q + 0.1 * r)), 9) AS score FROM x)"""
+LEVEL_SQL = "CASE WHEN {0} >= 95 THEN 'certain' WHEN {0} >= 80 THEN 'high' WHEN {0} >= 60 THEN 'medium' WHEN {0} >= 40 THEN 'low' ELSE 'uncertain' END"
+
+
+@plain("edge_scores", f"{SCORES_SQL} SELECT edge_id, round(base, 6) AS base, round(m, 6) AS multiplier, b AS bonus, p AS penalty, q AS pattern, round(r, 6) AS rules, round(score) AS value, {LEVEL_SQL.format('score')} AS level FROM y")
 def edge_scores(spark, sf_dir):
-    s = scoring.edge_scores(pg.evidence(spark, sf_dir))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("base") * F.col("multiplier") + F.col("bonus") - F.col("penalty") + F.col("pattern") + 0.1 * F.col("rules")))
-    return s.select("edge_id", "base", "multiplier", "bonus", "penalty", F.round(score, 4).alias("score"))
+    return scoring.edge_scores(pg.evidence(spark, sf_dir))
 
 
-@plain("scored_edges")
+@plain("scored_edges", f"{SCORES_SQL} SELECT id, coalesce(round(score), confidence) AS confidence, coalesce(round(score), confidence) < 80 AS implicit FROM edges LEFT JOIN y ON y.edge_id = edges.id")
 def scored_edges(spark, sf_dir):
     return scoring.scored_edges(pg.edges(spark, sf_dir), scoring.edge_scores(pg.evidence(spark, sf_dir))).select("id", "confidence", "implicit")
 
@@ -421,14 +446,24 @@ def merged_nodes(nodes, edges):
     return rollup.merged_nodes(nodes, grouped).select("id", F.size("source_ids").alias("members"), "name")
 
 
-@query("merged_metadata")
+PAIRS_SQL = "g AS (SELECT 'repo-0/' || source AS grp, source, target FROM m), o AS (SELECT grp, 0 AS i, source AS id FROM g UNION ALL SELECT grp, 1, target FROM g)"
+
+
+@query("merged_metadata", f", {ARN_SQL}, {PAIRS_SQL}, v AS (SELECT grp, i, key, metadata->>('$.\"' || key || '\"') AS value FROM (SELECT grp, i, metadata, unnest(json_keys(metadata)) AS key FROM o JOIN nodes USING (id))) SELECT grp AS \"group\", key, CASE WHEN count(DISTINCT value) = 1 THEN min(value) ELSE to_json(list(value ORDER BY i))::VARCHAR END AS value FROM v GROUP BY grp, key")
 def merged_metadata(nodes, edges):
     return rollup.merged_metadata(nodes, rollup.groups(rollup.all_matches(nodes, [rollup.arn_matcher()])), "merge")
 
 
-@query("merged_edges")
+MERGED_EDGES_SQL = f""", {ARN_SQL}, w AS (SELECT source, target FROM m UNION SELECT a.id, b.id FROM nodes a JOIN nodes b ON lower(a.name) = lower(b.name) AND a.repo_id < b.repo_id), u AS (SELECT source AS a, target AS b FROM w UNION ALL SELECT target, source FROM w),
+h AS (SELECT a, b FROM u UNION SELECT h.a, u.b FROM h JOIN u ON u.a = h.b), k AS (SELECT a AS id, min(b) AS root FROM h GROUP BY a), z AS (SELECT DISTINCT k.root, e.repo_id || '/' || e.id AS member, e.repo_id FROM k JOIN nodes e ON e.id = k.id),
+c AS (SELECT root, sha256(string_agg(member, '|' ORDER BY member))[:32] AS merged, count(DISTINCT repo_id) > 1 AS many FROM z GROUP BY root), l AS (SELECT member, merged, many FROM z JOIN c USING (root)),
+e AS (SELECT s.repo_id || '/' || edges.source AS a, s.repo_id || '/' || edges.target AS b, edges.type FROM edges JOIN nodes s ON s.id = edges.source), r AS (SELECT coalesce(x.merged, a) AS source, coalesce(y.merged, b) AS target, type, coalesce(x.many, false) OR coalesce(y.many, false) AS cross_repo FROM e LEFT JOIN l x ON x.member = a LEFT JOIN l y ON y.member = b)
+SELECT source, target, type, bool_or(cross_repo) AS cross_repo FROM r WHERE source <> target GROUP BY source, target, type"""
+
+
+@query("merged_edges", MERGED_EDGES_SQL)
 def merged_edges(nodes, edges):
-    grouped = rollup.groups(rollup.all_matches(nodes, [rollup.arn_matcher(), rollup.name_matcher()]))
+    grouped = rollup.groups(rollup.links(nodes, [rollup.arn_matcher(), rollup.name_matcher()]))
     owned = edges.join(nodes.select(F.col("id").alias("source"), "repo_id"), "source")
     return rollup.remapped_edges(owned.select("repo_id", "source", "target", "type"), grouped, rollup.merged_nodes(nodes, grouped))
 
@@ -440,10 +475,16 @@ l AS (SELECT concat_ws('::', type, name, lower(file_path), nullif(namespace, '')
 nd AS (SELECT coalesce(k.key, l.key) AS key, coalesce(k.type, l.type) AS type, CASE WHEN k.key IS NULL THEN 'added' WHEN l.key IS NULL THEN 'removed' WHEN k.metadata <> l.metadata THEN 'modified' ELSE 'unchanged' END AS change FROM k FULL JOIN l ON k.key = l.key)"""
 
 
-@plain("node_diff", f"{DIFF_SQL} SELECT * FROM nd WHERE change <> 'unchanged'")
+LEAVES_SQL = f"""{DIFF_SQL}, jk AS (SELECT k.key, substring(t.fullkey, 3) AS path, t.atom AS value FROM k, json_tree(k.metadata) t WHERE t.type <> 'OBJECT'), jl AS (SELECT l.key, substring(t.fullkey, 3) AS path, t.atom AS value FROM l, json_tree(l.metadata) t WHERE t.type <> 'OBJECT'),
+df AS (SELECT coalesce(jk.key, jl.key) AS key, coalesce(jk.path, jl.path) AS path, CASE WHEN jk.key IS NULL THEN 'added' WHEN jl.key IS NULL THEN 'removed' WHEN jk.value <> jl.value THEN 'modified' END AS what FROM jk FULL JOIN jl ON jk.key = jl.key AND jk.path = jl.path),
+ch AS (SELECT key, coalesce(string_agg(path, ',' ORDER BY path) FILTER (what = 'added'), '') AS added, coalesce(string_agg(path, ',' ORDER BY path) FILTER (what = 'removed'), '') AS removed, coalesce(string_agg(path, ',' ORDER BY path) FILTER (what = 'modified'), '') AS modified FROM df GROUP BY key)"""
+
+
+@plain("node_diff", f"{LEAVES_SQL} SELECT key, type, change, CASE WHEN change = 'modified' THEN added END AS added, CASE WHEN change = 'modified' THEN removed END AS removed, CASE WHEN change = 'modified' THEN modified END AS modified FROM nd LEFT JOIN ch USING (key) WHERE change <> 'unchanged'")
 def node_diff(spark, sf_dir):
     base, _, target, _ = pg.snapshots(spark, sf_dir)
-    return diff.node_diff(base, target).filter("change <> 'unchanged'").select("key", "type", "change")
+    found = diff.node_diff(base, target).filter("change <> 'unchanged'")
+    return found.select("key", "type", "change", *[F.array_join(f"changes.{c}", ",").alias(c) for c in ("added", "removed", "modified")])
 
 
 @plain("node_changes_by_type", f"{DIFF_SQL} SELECT type, count_if(change = 'added') AS added, count_if(change = 'removed') AS removed, count_if(change = 'modified') AS modified FROM nd GROUP BY type")
@@ -452,16 +493,31 @@ def node_changes_by_type(spark, sf_dir):
     return diff.by_type(diff.node_diff(base, target))
 
 
-@plain("diff_summary")
+KEY_SQL = "concat_ws('::', type, name, lower(file_path), nullif(namespace, ''))"
+EDGE_DIFF_SQL = f"""{DIFF_SQL}, bk AS (SELECT id, {KEY_SQL} AS key FROM nodes), tk AS (SELECT id, {KEY_SQL} AS key FROM target_nodes),
+be AS (SELECT s.key AS source_key, e.type, t.key AS target_key, max(confidence) AS a FROM edges e JOIN bk s ON s.id = e.source JOIN bk t ON t.id = e.target GROUP BY ALL), te AS (SELECT s.key AS source_key, e.type, t.key AS target_key, max(confidence) AS b FROM target_edges e JOIN tk s ON s.id = e.source JOIN tk t ON t.id = e.target GROUP BY ALL),
+ed AS (SELECT source_key, type, target_key, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN a <> b THEN 'modified' ELSE 'unchanged' END AS change FROM be FULL JOIN te USING (source_key, type, target_key)),
+n1 AS (SELECT count_if(change = 'added') AS nodes_added, count_if(change = 'removed') AS nodes_removed, count_if(change = 'modified') AS nodes_modified, count_if(change <> 'added') AS nodes_base FROM nd), e1 AS (SELECT count_if(change = 'added') AS edges_added, count_if(change = 'removed') AS edges_removed, count_if(change = 'modified') AS edges_modified, count_if(change <> 'added') AS edges_base FROM ed),
+s1 AS (SELECT *, nodes_added + nodes_removed + nodes_modified + edges_added + edges_removed + edges_modified AS changes, nodes_base + edges_base AS elements, nodes_removed + edges_removed AS gone FROM n1, e1)"""
+
+
+@plain("diff_summary", f"""{EDGE_DIFF_SQL} SELECT * EXCLUDE (elements, gone), round(changes / elements, 6) AS ratio, CASE WHEN changes / elements > 0.5 OR gone / greatest(changes, 1) > 0.3 THEN 'critical' WHEN changes / elements > 0.25 OR gone / greatest(changes, 1) > 0.15 THEN 'high' WHEN changes / elements > 0.1 OR gone / greatest(changes, 1) > 0.05 THEN 'medium' ELSE 'low' END AS impact,
+  least(100, round(20 * log10(nodes_added + 2 * nodes_removed + 0.5 * nodes_modified + 0.5 * edges_added + edges_removed + 0.25 * edges_modified + 1)))::DOUBLE AS score FROM s1""")
 def diff_summary(spark, sf_dir):
     base, base_edges, target, target_edges = pg.snapshots(spark, sf_dir)
-    return diff.summary(diff.node_diff(base, target), diff.edge_diff(diff.edge_keys(base, base_edges), diff.edge_keys(target, target_edges)))
+    return diff.summary(diff.node_diff(base, target), diff.edge_diff(diff.edge_keys(base, base_edges), diff.edge_keys(target, target_edges), changes=True))
 
 
-@plain("edge_diff")
+@plain("edge_diff", f"{EDGE_DIFF_SQL} SELECT * FROM ed WHERE change <> 'unchanged'")
 def edge_diff(spark, sf_dir):
     base, base_edges, target, target_edges = pg.snapshots(spark, sf_dir)
-    return diff.edge_diff(diff.edge_keys(base, base_edges), diff.edge_keys(target, target_edges)).filter("change <> 'unchanged'")
+    return diff.edge_diff(diff.edge_keys(base, base_edges), diff.edge_keys(target, target_edges), changes=True).filter("change <> 'unchanged'")
+
+
+@plain("edge_changes_by_type", f"{EDGE_DIFF_SQL} SELECT type, count_if(change = 'added') AS added, count_if(change = 'removed') AS removed, count_if(change = 'modified') AS modified FROM ed GROUP BY type")
+def edge_changes_by_type(spark, sf_dir):
+    base, base_edges, target, target_edges = pg.snapshots(spark, sf_dir)
+    return diff.by_type(diff.edge_diff(diff.edge_keys(base, base_edges), diff.edge_keys(target, target_edges), changes=True))
 
 
 @plain("affected_files", f"{DIFF_SQL} SELECT DISTINCT file_path FROM (SELECT id, file_path FROM nodes UNION ALL SELECT id, file_path FROM target_nodes) f JOIN (SELECT k.id FROM k JOIN nd USING (key) WHERE change <> 'unchanged' UNION SELECT l.id FROM l JOIN nd USING (key) WHERE change <> 'unchanged') c USING (id)")
@@ -529,7 +585,9 @@ def contains_search(nodes, edges):
     return search.contains_search(nodes, "00012").select("id")
 
 
-@plain("bm25_search")
+@plain("bm25_search", """, d AS (SELECT p_partkey, list_filter(string_split_regex(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t FROM part), a AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d),
+h AS (SELECT p_partkey, len(t) AS n, term, count(*) AS tf FROM (SELECT p_partkey, t, unnest(t) AS term FROM d) WHERE term IN ('steel', 'small', 'brass') GROUP BY ALL), s AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+SELECT p_partkey, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM h JOIN s USING (term), a GROUP BY p_partkey""")
 def bm25_search(spark, sf_dir):
     return search.bm25(table(spark, sf_dir, "part"), "steel small brass", "p_partkey", "p_name")
 
@@ -589,9 +647,9 @@ def hierarchy(nodes, edges):
     return traverse.walk_rows(edges, roots, 10, "upstream", ["references", "depends_on"])
 
 
-@query("data_flow_chain", "SELECT source, target, id AS edge_id, 1 AS depth FROM edges WHERE source = 'part:9' AND type = 'FEEDS_INTO'")
+@query("data_flow_chain", ", d AS (SELECT source, target, id AS edge_id FROM edges WHERE type IN ('FEEDS_INTO', 'depends_on', 'references')), b AS (SELECT source, target, edge_id, 1 AS depth FROM d WHERE source = 'part:9' UNION ALL SELECT d.source, d.target, d.edge_id, b.depth + 1 FROM b JOIN d ON d.source = b.target WHERE b.depth < 5) SELECT * FROM b")
 def data_flow_chain(nodes, edges):
-    return traverse.walk_rows(edges, traverse.only(edges.sparkSession, "part:9"), 5, "downstream", ["FEEDS_INTO"])
+    return traverse.walk_rows(edges, traverse.only(edges.sparkSession, "part:9"), 5, "downstream", ["FEEDS_INTO", "depends_on", "references"])
 
 
 @query("cycle_edges", f", {CORE_SQL}, r AS (SELECT source AS a, target AS b FROM c UNION SELECT r.a, c.target FROM r JOIN c ON c.source = r.b) SELECT DISTINCT c.source, c.target FROM c JOIN r ON r.a = c.target AND r.b = c.source")
@@ -611,7 +669,7 @@ def edge_resolution(spark, sf_dir):
     return diff.resolution(diff.edge_keys(target, base_edges))
 
 
-@query("impact_text")
+@query("impact_text", f", {TOOL_REACH}, t AS (SELECT {TOOL_SQL.format('n.type')} AS tool, count(*) AS n, count_if(depth = 1) AS direct FROM m JOIN nodes n ON n.id = m.node GROUP BY 1) SELECT string_agg(n || ' ' || tool || ' (' || direct || ' direct)', ', ' ORDER BY tool) AS summary FROM t")
 def impact_text(nodes, edges):
     return impact.impact_summary(impact.tool_blast(nodes, edges, "nation:4", 2, 60))
 

@@ -129,7 +129,8 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     target = n.filter(~(part & (key % 7 == 0))).withColumn("metadata", F.when(part & (key % 11 == 0), F.regexp_replace("metadata", '"size":', '"depth":')).otherwise(F.col("metadata")))
     new = n.filter(part & (key % 13 == 0)).withColumns({"id": F.concat("id", F.lit("n")), "name": F.concat("name", F.lit(" new"))})
     gone = lambda side: F.col(side).startswith("part:") & (F.regexp_extract(side, r":(\d+)$", 1).try_cast("long") % 7 == 0)
-    return n, e, target.unionByName(new), e.filter(~F.coalesce(gone("source"), F.lit(False)) & ~F.coalesce(gone("target"), F.lit(False)))
+    kept = e.filter(~F.coalesce(gone("source"), F.lit(False)) & ~F.coalesce(gone("target"), F.lit(False)))
+    return n, e, target.unionByName(new), kept.withColumn("confidence", F.when(F.col("confidence") == 100, 99.0).otherwise(F.col("confidence")))
 
 
 #: The same frames as common table expressions of DuckDB, without the word WITH.
@@ -162,5 +163,59 @@ target_nodes AS (
   SELECT id, type, name, namespace, file_path, CASE WHEN type = 'terraform_resource' AND k % 11 = 0 THEN replace(metadata, '"size":', '"depth":') ELSE metadata END AS metadata FROM nodes WHERE NOT (type = 'terraform_resource' AND k % 7 = 0)
   UNION ALL SELECT id || 'n', type, name || ' new', namespace, file_path, metadata FROM nodes WHERE type = 'terraform_resource' AND k % 13 = 0),
 target_edges AS (
-  SELECT * FROM edges WHERE NOT (source LIKE 'part:%' AND split_part(source, ':', 2)::BIGINT % 7 = 0) AND NOT (target LIKE 'part:%' AND split_part(target, ':', 2)::BIGINT % 7 = 0))
+  SELECT * REPLACE (CASE WHEN confidence = 100 THEN 99.0 ELSE confidence END AS confidence) FROM edges WHERE NOT (source LIKE 'part:%' AND split_part(source, ':', 2)::BIGINT % 7 = 0) AND NOT (target LIKE 'part:%' AND split_part(target, ':', 2)::BIGINT % 7 = 0))
+"""
+
+
+def pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, metadata): a pipeline for each customer."""
+    k, yes = F.col("c_custkey"), lambda c: F.when(c, "true").otherwise("false")
+    triggers = F.when(k % 3 == 0, '[{"type":"push"}]').when(k % 3 == 1, '[{"type":"push"},{"type":"schedule"}]').otherwise("[]")
+    kind = F.when(k % 2 == 0, "github_actions").otherwise("gitlab_ci")
+    return table(spark, sf_dir, "customer").select(_key("pipeline", "c_custkey").alias("id"), _text('{"pipelineType":"', kind, '","hasTerraformJobs":', yes(k % 3 == 0), ',"hasHelmJobs":', yes(k % 4 == 0), ',"jobCount":', k % 7, ',"triggers":', triggers, "}").alias("metadata"))
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, pipeline, name, needs, metadata): a job for each order, of its customer's pipeline."""
+    k = F.col("o_orderkey")
+    needs = F.when(k % 3 == 0, F.array(_text("job-", k - 1))).otherwise(F.array().cast("array<string>"))
+    stage = F.when(k % 4 == 0, "").otherwise(_text(',"stage":"', F.col("o_orderpriority"), '"'))
+    operations = F.when(k % 3 == 0, '[{"type":"terraform"}]').when(k % 3 == 1, '[{"type":"helm"},{"type":"terraform"}]').otherwise("[]")
+    metadata = _text('{"pipelineId":"pipeline:', F.col("o_custkey"), '"', stage, ',"dependsOn":', F.to_json(needs), ',"operations":', operations, "}")
+    return table(spark, sf_dir, "orders").select(_key("orders", "o_orderkey").alias("id"), _key("pipeline", "o_custkey").alias("pipeline"), _text("job-", k).alias("name"), needs.alias("needs"), metadata.alias("metadata"))
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(step, job, text): a shell line for each order line."""
+    n, part = F.col("l_linenumber"), F.col("l_partkey")
+    text = (
+        F.when(n % 4 == 0, _text("terraform output -json > out", part, ".json"))
+        .when(n % 4 == 1, _text("helm upgrade app ./chart -f out", part, ".json"))
+        .when(n % 4 == 2, _text("helm upgrade app ./chart --set x=$(terraform output v", part, ") ${{ needs.job-", F.col("l_orderkey"), ".outputs.v", part % 3, " }}"))
+        .otherwise(_text("terraform output v", part))
+    )
+    return table(spark, sf_dir, "lineitem").select(_text(F.col("l_orderkey"), "-", n).alias("step"), _text("job-", F.col("l_orderkey")).alias("job"), text.alias("text"))
+
+
+def debt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, category, priority, status, hours, file_path, created_at, resolved_at): an item of technical debt for each part."""
+    k = F.col("p_partkey")
+    names = {"category": ("code-smell", "design-debt", "test-debt", "documentation-debt", "dependency-debt", "security-debt"), "priority": ("critical", "high", "medium", "low"), "status": ("open", "in-progress", "resolved", "wont-fix", "deferred")}
+    day = lambda n: (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(n.cast("int"))).cast("timestamp_ntz")
+    chosen = [_pick(values, k % len(values)).alias(name) for name, values in names.items()]
+    return table(spark, sf_dir, "part").select(k.alias("id"), *chosen, (F.col("p_size") % 9 / 2).alias("hours"), _text("src/f", k % 50, ".tf").alias("file_path"), day(k % 60).alias("created_at"), F.when(k % 5 == 2, day(k % 60 + 9)).alias("resolved_at"))
+
+
+#: These as common table expressions that may follow GRAPH_SQL.
+ROWS_SQL = """
+pipelines AS (
+  SELECT 'pipeline:' || c_custkey AS id, '{"pipelineType":"' || CASE WHEN c_custkey % 2 = 0 THEN 'github_actions' ELSE 'gitlab_ci' END || '","hasTerraformJobs":' || CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE 'false' END || ',"hasHelmJobs":' || CASE WHEN c_custkey % 4 = 0 THEN 'true' ELSE 'false' END || ',"jobCount":' || (c_custkey % 7) || ',"triggers":' || CASE c_custkey % 3 WHEN 0 THEN '[{"type":"push"}]' WHEN 1 THEN '[{"type":"push"},{"type":"schedule"}]' ELSE '[]' END || '}' AS metadata FROM customer),
+jobs AS (
+  SELECT 'orders:' || o_orderkey AS id, 'pipeline:' || o_custkey AS pipeline, 'job-' || o_orderkey AS name, CASE WHEN o_orderkey % 3 = 0 THEN ['job-' || (o_orderkey - 1)] ELSE [] END AS needs,
+    '{"pipelineId":"pipeline:' || o_custkey || '"' || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE ',"stage":"' || o_orderpriority || '"' END || ',"dependsOn":' || CASE WHEN o_orderkey % 3 = 0 THEN '["job-' || (o_orderkey - 1) || '"]' ELSE '[]' END || ',"operations":' || CASE o_orderkey % 3 WHEN 0 THEN '[{"type":"terraform"}]' WHEN 1 THEN '[{"type":"helm"},{"type":"terraform"}]' ELSE '[]' END || '}' AS metadata FROM orders),
+steps AS (
+  SELECT l_orderkey || '-' || l_linenumber AS step, 'job-' || l_orderkey AS job, CASE l_linenumber % 4 WHEN 0 THEN 'terraform output -json > out' || l_partkey || '.json' WHEN 1 THEN 'helm upgrade app ./chart -f out' || l_partkey || '.json' WHEN 2 THEN 'helm upgrade app ./chart --set x=$(terraform output v' || l_partkey || ') ${{ needs.job-' || l_orderkey || '.outputs.v' || (l_partkey % 3) || ' }}' ELSE 'terraform output v' || l_partkey END AS text FROM lineitem),
+debt AS (
+  SELECT p_partkey AS id, ['code-smell', 'design-debt', 'test-debt', 'documentation-debt', 'dependency-debt', 'security-debt'][p_partkey % 6 + 1] AS category, ['critical', 'high', 'medium', 'low'][p_partkey % 4 + 1] AS priority, ['open', 'in-progress', 'resolved', 'wont-fix', 'deferred'][p_partkey % 5 + 1] AS status,
+    (p_size % 9) / 2.0 AS hours, 'src/f' || (p_partkey % 50) || '.tf' AS file_path, TIMESTAMP '2024-01-01' + to_days((p_partkey % 60)::INTEGER) AS created_at, CASE WHEN p_partkey % 5 = 2 THEN TIMESTAMP '2024-01-01' + to_days((p_partkey % 60 + 9)::INTEGER) END AS resolved_at FROM part)
 """
