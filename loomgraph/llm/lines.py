@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialize, unused, whole_text
+from .tables import discard, materialize, tidy, unused, whole_text
 from .words import WORD, slices
 
 
@@ -55,6 +55,7 @@ def line_ids(docs: DataFrame) -> DataFrame:
                 h, g = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
                 own = pa.array(row, pa.int64())
                 yield pa.record_batch([batch.column("doc").take(own), batch.column("mark").take(own), pa.array(at, pa.int32()), pa.array(line, pa.int32()), pa.array(h), pa.array(g), pa.array(words, pa.int32())], ["doc", "mark", "at", "line", "h", "g", "w"])
+        tidy()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"), whole_text().alias("text")).filter("doc is not null")
     return rows.mapInArrow(run, "doc long, mark long, at int, line int, h long, g long, w int")
@@ -64,7 +65,9 @@ def _ranked(rows: DataFrame, keys: list[str], keep: list[str], name: str) -> Dat
     """`keep` and the rank of those rows whose keys other rows have too, ranks in the order of the keys."""
     groups = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     order = materialize(groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), f"{name}-order")
-    return materialize(rows.join(order, keys).select(*keep, "rank"), name)
+    ranked = materialize(rows.join(order, keys).select(*keep, "rank"), name)
+    discard(order)
+    return ranked
 
 
 def _windows(shared: DataFrame, p: Params) -> DataFrame:
@@ -92,6 +95,7 @@ def _windows(shared: DataFrame, p: Params) -> DataFrame:
             own = pa.array(owner[a])
             listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(lines, pa.int32()))
             yield pa.record_batch([batch.column("doc").take(own), batch.column("mark").take(own), pa.array(at[a], pa.int32()), pa.array(b - a, pa.int32()), listed], ["doc", "mark", "start", "m", "lines"])
+        tidy()
 
     return by_doc.mapInArrow(run, "doc long, mark long, start int, m int, lines array<int>")
 
@@ -110,6 +114,7 @@ def suffix_ranks(docs_lines: DataFrame, depth: int, first: DataFrame | None = No
         if pairs.isEmpty():
             return
         ranks, k = _ranked(pairs, ["r1", "r2"], keys, "ranks"), k + 1
+        discard(pairs)
 
 
 def later_copies(docs: DataFrame, params: Params | None = None) -> DataFrame:
@@ -127,14 +132,16 @@ def later_copies(docs: DataFrame, params: Params | None = None) -> DataFrame:
     shared = materialize(shared, "shared")
     windows = materialize(_windows(shared, p), "windows")
     depth = windows.agg(F.max("m")).first()[0] or 0
-    levels = None
+    levels, kept = None, [lines, shared, windows]
     for k, ranks in suffix_ranks(lines, depth, shared.select("doc", "mark", "at", "rank")):
+        kept.append(ranks)
         level = ranks.distinct().withColumn("k", F.lit(k))
         levels = level if levels is None else levels.unionByName(level)
     named = windows.withColumn("k", F.floor(F.log2("m") + 1e-9).cast("int")).withColumn("last", F.expr("start + m - (1 << k)"))
     at = lambda column, to: levels.select("doc", "mark", "k", F.col("at").alias(column), F.col("rank").alias(to))
     named = named.join(at("start", "r1"), ["doc", "mark", "k", "start"]).join(at("last", "r2"), ["doc", "mark", "k", "last"])
     named = materialize(named.select("doc", "mark", "start", "m", "lines", "r1", "r2"), "intervals")
+    discard(*kept)
     firsts = named.groupBy("m", "r1", "r2").agg(F.min(F.struct("doc", "mark", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     firsts = materialize(firsts, "firsts")  # by itself, so that a large interval can be split in the join
     copies = named.join(firsts, ["m", "r1", "r2"]).filter(F.struct("doc", "mark", "start") != F.col("first"))
@@ -145,6 +152,12 @@ def later_copies(docs: DataFrame, params: Params | None = None) -> DataFrame:
     return found.groupBy(F.col("doc").alias("doc_id"), "mark").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
+def _without(removed: str | F.Column) -> F.Column:
+    """The text without the lines whose numbers `removed` holds."""
+    kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+    return F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.array_join(F.transform(kept(lines), lambda i: F.get(lines, i)), "\n"))[0]
+
+
 def dedup_lines(docs: DataFrame, params: Params | None = None, drop_emptied: bool = True) -> DataFrame:
     """`docs` without the lines that `later_copies` finds, n_chars (if it is a column) counted anew.
 
@@ -155,8 +168,7 @@ def dedup_lines(docs: DataFrame, params: Params | None = None, drop_emptied: boo
     found = later_copies(docs, params)
     rows = docs.withColumns({mark: F.xxhash64("text"), key: F.col("doc_id").cast("long")})
     rows = rows.join(found, (rows[key] == found["doc_id"]) & (rows[mark] == found["mark"]), "left").select(*[rows[c] for c in docs.columns], found["removed"].alias(removed))
-    kept = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~F.array_contains(removed, y["i"])), lambda y: y["x"]), "\n")
-    rows = rows.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(kept))
+    rows = rows.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(_without(F.col(removed))))
     if drop_emptied:
         rows = rows.filter(F.col(removed).isNull() | F.regexp_like("text", F.lit(WORD)))
     if "n_chars" in docs.columns:
@@ -169,6 +181,5 @@ def report(docs: DataFrame, params: Params | None = None) -> DataFrame:
     found = later_copies(docs, params)
     rows = docs.select("doc_id", whole_text().alias("text"), F.xxhash64("text").alias("mark"))
     rows = rows.join(found, (rows["doc_id"].cast("long") == found["doc_id"]) & (rows["mark"] == found["mark"]), "left").select(rows["doc_id"], "text", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
-    kept = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~F.array_contains("removed", y["i"])), lambda y: y["x"]), "\n")
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(kept)
+    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(_without(F.col("removed")))
     return rows.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.sha2(text, 256).alias("kept_sha256"))

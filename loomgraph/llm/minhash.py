@@ -23,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .tables import materialize, whole_text
+from ..operators.components import connected_components
+from .tables import discard, materialize, tidy, whole_text
 from .words import mix, shingle_sets, slices
 
 
 @dataclass(frozen=True)
 class Params:
-    """`percent`: a link needs 100 * intersection >= percent * union. `slack`: signatures that agree less than this share are no candidates (over 6 standard deviations below the 0.8 default). `filter_bits` bounds the bit map by which texts are preselected."""
+    """`percent`: a link needs 100 * intersection >= percent * union. `slack`: signatures that agree less than this share are no candidates (over 6 standard deviations below the 0.8 default). A document meets its partners `part` at a time. `filter_bits` bounds the bit map by which texts are preselected."""
 
     shingle: int = 5
     percent: int = 80
@@ -39,6 +39,7 @@ class Params:
     slack: float = 0.62
     seed: int = 11
     small: int = 32
+    part: int = 256
     filter_bits: int = 24
 
     @property
@@ -85,6 +86,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
                     ],
                     ["doc_id", "n_shingles", "fp", "bands", "sig"],
                 )
+        tidy()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, fp binary, bands array<long>, sig binary")
 
@@ -121,6 +123,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, reps: DataFrame, p: Params) ->
             one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, p.hashes) for c in ("sig_a", "sig_b"))
             same = (one == two).mean(1) if batch.num_rows else np.empty(0)
             yield batch.filter(pa.array((same * 256 - 1) / 255 >= p.slack)).select(["a", "b"])  # of unequal minima one in 256 has the same low byte
+        tidy()
 
     likely = materialize(both.mapInArrow(agree, "a long, b long").distinct(), "likely")
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
@@ -139,9 +142,16 @@ def _confirm(pairs: DataFrame, texts: DataFrame, reps: DataFrame, p: Params) ->
                     common = len(np.intersect1d(own, other, assume_unique=True))
                     keep.append(common * 100 >= (len(own) + len(other) - common) * p.percent)
                 yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        tidy()
 
-    met = likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
-    return met.mapInArrow(compare, "a long, b long").distinct()
+    # a document with many partners meets them in parts, so that no task gets all their texts
+    parts = likely.groupBy("a").agg(F.ceil(F.count("*") / p.part).alias("parts"))
+    dealt = likely.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    hubs = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(of("a"), "a")
+    met = dealt.join(of("b"), "b").join(hubs, ["a", "part"]).select("a", "b", "text_a", "text_b")
+    found = materialize(met.mapInArrow(compare, "a long, b long").distinct(), "links")
+    discard(likely, known)
+    return found
 
 
 def _small_pairs(members: DataFrame) -> DataFrame:
@@ -168,8 +178,9 @@ def _prefix_pairs(texts: DataFrame, rest: DataFrame, p: Params) -> DataFrame:
                 sizes = [len(s) for s in sets]
                 flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
                 yield pa.record_batch([pa.array(np.repeat(batch.column("doc_id").to_numpy(), sizes), pa.int64()), pa.array(flat), pa.array(np.repeat(np.array(sizes, np.int64), sizes))], ["doc_id", "shingle", "n"])
+        tidy()
 
-    every = materialize(_texts_of(texts, rest.select("doc_id").distinct(), p).mapInArrow(explode, "doc_id long, shingle long, n long"), "shingles")
+    every = materialize(materialize(_texts_of(texts, rest.select("doc_id").distinct(), p), "texts").mapInArrow(explode, "doc_id long, shingle long, n long"), "shingles")
     shared = every.groupBy("shingle").agg(F.count("*").alias("rank")).filter("rank > 1")
     sets = every.join(shared, "shingle").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("rank", "shingle"))).alias("x"))
     unique = F.col("n") - F.size("x")
@@ -203,12 +214,12 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).filter("members > 1")
     buckets = materialize(banded.join(hubs, "band"), "buckets")
     pairs = buckets.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b")).distinct()
-    links = materialize(_confirm(pairs, texts, reps, p), "links")
+    links = _confirm(pairs, texts, reps, p)
 
     # one document may have several texts, each in a class of its own
     own = full.select("doc_id", "fp").join(classes, "fp").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     links = links.union(own.filter("a < b").select("a", "b"))
-    found = materialize(connected_components(links), "components")
+    found = materialize(connected_components(links, "a", "b"), "components")
 
     for size, pick in ((F.col("members") <= p.small, _small_pairs), (F.col("members") > p.small, lambda rest: _prefix_pairs(texts, rest.select("doc_id", "component").distinct(), p))):
         labelled = buckets.filter("members > 2").filter(size).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -216,9 +227,11 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
         rest = materialize(labelled.join(open_bands.select("band"), "band", "left_semi").select("band", "doc_id", "n_shingles", "component"), "rest")
         if rest.isEmpty():
             continue
-        more = materialize(_confirm(pick(rest), texts, reps, p), "links")
+        more = _confirm(pick(rest), texts, reps, p)
         if not more.isEmpty():
-            found = materialize(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+            found = materialize(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b"), "components")
+        discard(rest, more)
+    discard(reps, buckets)
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("linked"))
     out = sketch.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")

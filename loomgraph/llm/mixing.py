@@ -22,6 +22,10 @@ from .tables import materialize, unused, whole_text
 from .words import WORD
 
 
+#: Primes, one of which is the step from a block to the next in a shard's seeded order.
+STEPS = (7919, 6151, 5003, 4001, 3079, 2003, 1543, 1009, 769, 523, 389, 271, 193, 139, 97, 71, 53, 41, 31, 23, 17)
+
+
 @dataclass(frozen=True)
 class Params:
     """The mix has `share` times all words; sources in order weigh `weights`, repeating, and give `most` times their words at most. A table of more than `max_sources` sources is refused, as their totals are gathered."""
@@ -147,8 +151,9 @@ def plan(docs: DataFrame, params: Params | None = None) -> DataFrame:
     n = F.col("shard_size")
     placed = placed.withColumn("times", F.when(n > 0, F.floor(F.col("quota") / n)).otherwise(0).cast("long")).withColumn("rest", F.col("quota") - F.col("times") * n)
     placed = placed.withColumn("whole", F.floor(n / p.block_words).cast("long")).withColumn("chosen", F.floor(F.col("rest") / p.block_words).cast("long"))
-    # the place of block b in the seeded order is (b * odd + shift) mod whole, odd being prime to it; the block after the whole ones comes last
-    ratio = F.filter(F.array(*[F.lit(q) for q in (7919, 6151, 3079, 1543, 769, 389, 193, 97, 53, 31, 17, 1)]), lambda q: (q == 1) | (F.col("whole") % q != 0))[0]
+    # the place of block b in the seeded order is (b * odd + shift) mod whole, odd being prime to it; seeds choose both; the block after the whole ones comes last
+    prime = F.filter(F.array(*map(F.lit, STEPS)), lambda q: F.col("whole") % q != 0)
+    ratio = F.coalesce(F.try_element_at(prime, (F.pmod(F.xxhash64("key", "shard", F.lit(p.seed + 3)), F.greatest(F.size(prime), F.lit(1))) + 1).cast("int")), F.lit(1))
     placed = placed.withColumn("odd", ratio).withColumn("shift", F.pmod(F.xxhash64("key", "shard", F.lit(p.seed + 2)), F.greatest("whole", F.lit(1))))
     block = F.sequence(F.floor(F.col("start") / p.block_words), F.floor((F.col("start") + F.col("size") - 1) / p.block_words))
 

@@ -1,52 +1,21 @@
-"""Reading inputs and keeping intermediate tables where every executor sees them."""
+"""Whole texts as inputs of kernels, and the tables that stages keep where every executor sees them."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import checkpointed as materialize
+from ..sources.tables import discard, fresh_path, table
 from .words import slices
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table `name` under `sf_dir`, read with Spark only."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder for intermediate tables that the driver and all executors share.
-
-    It is the cluster's `spark.checkpoint.dir`. Where that is unset, a local
-    session gets a temporary folder and any other its warehouse.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.startswith("local"):
-            root = tempfile.mkdtemp(prefix="loomgraph-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir")
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "fresh_path", "materialize", "table", "tidy", "unused", "whole_text", "with_columns"]
 
 
 def whole_text(column: str = "text") -> F.Column:

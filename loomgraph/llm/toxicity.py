@@ -10,6 +10,7 @@ labelled rows.
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,11 +41,11 @@ class _Folding(dict):
     def __missing__(self, code: int) -> str:
         char = chr(code)
         low = char.lower()
-        wide = 0xFF01 <= code <= 0xFF5E
-        plain = chr(code - 0xFEE0).lower() if wide else low
-        folded = HOMOGLYPHS.get(plain, plain)
+        folded = HOMOGLYPHS.get(low, low)
         if char in INNER_ONLY or len(folded) != 1 or not (folded.isalpha() or folded == "ı"):
             folded = low[0] if len(low) > 1 and low[0].isalpha() else " "
+        if folded == " " and unicodedata.category(char) in ("Mn", "Me", "Cf"):
+            folded = ""  # marks on letters and characters without width don't end a word
         self[code] = folded
         return folded
 
@@ -53,7 +54,9 @@ _FOLDING = _Folding()
 
 
 def fold(text: str) -> str:
-    """The folded text, as many characters as the text and one space before."""
+    """The folded text after one space: compatibility forms (mathematical or wide letters, ligatures) first become plain ones."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
     for sign in INNER_ONLY:
         if sign in text:
             at = [i for i, c in enumerate(text) if c == sign and i and text[i - 1].isalpha() and text[i + 1 : i + 2].isalpha()]

@@ -84,9 +84,11 @@ class Nearest:
         self.ids, self.points, self.k, self.factor = ids, points, k, factor
         self.norms = np.einsum("ij,ij->i", points, points)
         self.far, self.near = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.met = self.pairs = 0  # distances worked out at leaves, and pairs that exact search without a tree would compare
 
     def _offer(self, who: np.ndarray, tree: Tree, start: int, end: int) -> None:
         """Let the queries `who` take from the points start to end."""
+        self.met += len(who) * (end - start)
         worst = self.far[who, -1]
         rough = self.norms[who, None] + tree.norms[None, start:end] - 2 * self.points[who] @ tree.points[start:end].T
         limit = (worst * worst)[:, None] + 1e-9 * (self.norms[who, None] + tree.norms[None, start:end])
@@ -106,6 +108,7 @@ class Nearest:
         self.far[who[hit]], self.near[who[hit]] = far[firsts], near[firsts]
 
     def search(self, tree: Tree) -> None:
+        self.pairs += len(self.ids) * len(tree.ids)
         every = np.arange(len(self.ids))
         todo = [(0, every, np.zeros(len(every)))]
         while todo:
@@ -208,7 +211,7 @@ def search(index: DataFrame, blocks: DataFrame, params: Params | None = None) ->
                 if dim == row["dim"]:
                     nearest.search(tree)
         for _, nearest in blocks_:
-            who, at = np.nonzero(nearest.near < np.iinfo(np.int64).max)
+            who, at = np.nonzero(np.isfinite(nearest.far) | (nearest.near < np.iinfo(np.int64).max))  # a place without a point has neither
             out.append(pa.table({"query_id": nearest.ids[who], "vec_id": nearest.near[who, at], "score": nearest.far[who, at]}))
         return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 

@@ -113,8 +113,18 @@ def data_start(file, member: Member) -> int:
     return member.local_header + 30 + names + extras
 
 
+# Schemes of Spark's file systems whose stores have other names here.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
+def store_uri(path: str) -> str:
+    """The URI by which pyarrow's file systems know a path of Spark's."""
+    scheme, mark, rest = path.partition("://")
+    return f"{SCHEMES.get(scheme.lower(), scheme)}{mark}{rest}"
+
+
 def _opened(path: str):
-    system, inner = pa.fs.FileSystem.from_uri(path)
+    system, inner = pa.fs.FileSystem.from_uri(store_uri(path))
     return system.open_input_file(inner)
 
 
@@ -192,7 +202,7 @@ def write_packages(pages: DataFrame, folder: str, params: Params | None = None)
     rows = rows.join(_revisits(rows, p), ["page_id", "digest"], "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, inner = pa.fs.FileSystem.from_uri(folder)
+        system, inner = pa.fs.FileSystem.from_uri(store_uri(folder))
         system.create_dir(inner, recursive=True)
         data, index, count = io.BytesIO(), [], 0
 
