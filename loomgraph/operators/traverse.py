@@ -37,7 +37,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, direction: str
     """
     spark = edges.sparkSession
     moves = steps(edges, direction, types, min_confidence)
-    moves = checkpointed(moves.drop("confidence") if paths else moves.select("here", "there").distinct(), "moves")
+    moves = checkpointed(moves.drop("confidence") if paths else moves.select("here", "there"), "moves")
     levels = Levels(spark, "visited")
     none = F.lit(None).cast("string")
     first = seeds.select("node").distinct()
