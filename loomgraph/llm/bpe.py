@@ -228,20 +228,35 @@ def rank_map(ranks: dict[bytes, int], buckets: int = 8192) -> F.Column:
 
 
 def merge_column(word: F.Column, ranks: dict[bytes, int], buckets: int = 8192) -> F.Column:
-    """Ids of a binary word by folding the merges over its bytes with higher-order functions."""
+    """Ids of a binary word by folding the merges over its bytes with higher-order functions.
+
+    The fold keeps the pieces and the rank of each adjacent pair, so that a
+    merge looks up the two pairs that it makes; without a pair left a step does
+    nothing. A word that is a piece is that piece.
+    """
     table = rank_map(ranks, buckets)
     rank = lambda piece: F.element_at(F.element_at(table, (F.crc32(piece) % buckets + 1).cast("int")), F.hex(piece))
-
-    def step(parts: F.Column, _: F.Column) -> F.Column:
-        pair = lambda i: F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))
-        ranked = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(rank(pair(i)).alias("r"), i.alias("i")))
-        best = F.array_min(F.filter(ranked, lambda x: x["r"].isNotNull()))
-        joined = F.transform(F.array(best["i"]), lambda i: F.concat(F.slice(parts, F.lit(1), i - 1), F.array(pair(i)), F.slice(parts, i + 2, F.size(parts))))
-        return F.when((F.size(parts) > 1) & best.isNotNull(), joined[0]).otherwise(parts)
-
-    bytes_of = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.substring(word, i, F.lit(1)))
-    merged = F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), bytes_of, step)
-    return F.when(rank(word).isNotNull(), F.array(rank(word))).otherwise(F.transform(merged, rank))
+    known = lambda a, b: F.coalesce(rank(F.concat(a, b)), F.lit(int(NEVER)))
+    state = lambda parts, pairs: F.struct(parts.alias("parts"), pairs.alias("pairs"))
+
+    def merged(s: F.Column, best: F.Column) -> F.Column:
+        at = F.array_position(s["pairs"], best).cast("int")
+        piece = F.concat(F.get(s["parts"], at - 1), F.get(s["parts"], at))
+        before, after = F.slice(s["parts"], F.lit(1), at - 1), F.slice(s["parts"], at + 2, F.size(s["parts"]))
+        left = F.slice(s["pairs"], F.lit(1), F.greatest(at - 2, F.lit(0)))
+        right = F.slice(s["pairs"], at + 2, F.size(s["pairs"]))
+        one = F.when(at > 1, F.array(known(F.get(s["parts"], at - 2), piece))).otherwise(F.array().cast("array<int>"))
+        two = F.when(at + 1 < F.size(s["parts"]), F.array(known(piece, F.get(s["parts"], at + 1)))).otherwise(F.array().cast("array<int>"))
+        return state(F.concat(before, F.array(piece), after), F.concat(left, one, two, right))
+
+    def step(s: F.Column, _: F.Column) -> F.Column:
+        return F.transform(F.array(F.array_min(s["pairs"])), lambda best: F.when(best < int(NEVER), merged(s, best)).otherwise(s))[0]
+
+    n = F.octet_length(word)
+    bytes_of = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
+    pairs_of = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: known(F.substring(word, i, F.lit(1)), F.substring(word, i + 1, F.lit(1))))).otherwise(F.array().cast("array<int>"))
+    ids = F.transform(F.aggregate(F.sequence(F.lit(1), n), state(bytes_of, pairs_of), step)["parts"], rank)
+    return F.when(rank(word).isNotNull(), F.array(rank(word))).otherwise(ids)
 
 
 def encode_native(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", column: str = "text") -> DataFrame:

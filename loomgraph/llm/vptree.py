@@ -29,7 +29,7 @@ class Params:
     factor: float = 1.0
     shard_rows: int = 4096
     block_rows: int = 1024
-    leaf_rows: int = 64
+    leaf_rows: int = 256
     per_cell: int = 4
     seed: int = 5
 
@@ -82,7 +82,7 @@ class Nearest:
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, k: int, factor: float):
         self.ids, self.points, self.k, self.factor = ids, points, k, factor
-        self.norms = np.einsum("ij,ij->i", points, points)
+        self.norms, self.twice = np.einsum("ij,ij->i", points, points), -2 * points
         self.far, self.near = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
         self.met = self.pairs = 0  # distances worked out at leaves, and pairs that exact search without a tree would compare
 
@@ -90,9 +90,12 @@ class Nearest:
         """Let the queries `who` take from the points start to end."""
         self.met += len(who) * (end - start)
         worst = self.far[who, -1]
-        rough = self.norms[who, None] + tree.norms[None, start:end] - 2 * self.points[who] @ tree.points[start:end].T
-        limit = (worst * worst)[:, None] + 1e-9 * (self.norms[who, None] + tree.norms[None, start:end])
-        row, at = np.nonzero(~(rough > limit) & (self.ids[who, None] != tree.ids[None, start:end]))
+        rough = self.twice[who] @ tree.points[start:end].T  # squared distances but for the queries' norms
+        rough += tree.norms[start:end]
+        limit = worst * worst - self.norms[who] + 1e-9 * (self.norms[who] + tree.norms[start:end].max())
+        row, at = np.nonzero(~(rough > limit[:, None]))
+        other = self.ids[who[row]] != tree.ids[start + at]
+        row, at = row[other], at[other]
         if not len(row):
             return
         far = _distances(self.points[who[row]], tree.points[start + at])
