@@ -193,6 +193,16 @@ def _prefix_pairs(texts: DataFrame, rest: DataFrame, p: Params) -> DataFrame:
     return met.select("a", "b", "n_b").distinct()
 
 
+def _part(parts: F.Column) -> F.Column:
+    """Which of so many parts of its band a document is in."""
+    return F.pmod(F.xxhash64("doc_id"), parts.cast("long"))
+
+
+def _in_parts(bands: DataFrame, parts: F.Column) -> DataFrame:
+    """A row for each part of a band, so that no task of a join gets all documents of a frequent one."""
+    return bands.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+
+
 def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id, text, ...).
 
@@ -211,8 +221,13 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     reps = materialize(reps.select("doc_id", "n_shingles", "bands", "sig"), "reps")
 
     banded = reps.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).filter("members > 1")
-    buckets = materialize(banded.join(hubs, "band"), "buckets")
+    hubs = materialize(banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")).filter("members > 1"), "hubs")
+    # a band is frequent beyond 1/10,000 of the rows, so that at most 10,000 are, whose parts may be broadcast
+    usual = max(p.part, (hubs.agg(F.sum("members")).first()[0] or 0) // 10_000 + 1)
+    parts = F.ceil(F.col("members") / usual)
+    frequent = hubs.filter(F.col("members") > usual).select("band", parts.alias("parts"))
+    dealt = banded.join(F.broadcast(frequent), "band", "left").withColumn("part", _part(F.coalesce("parts", F.lit(1)))).drop("parts")
+    buckets = materialize(dealt.join(_in_parts(hubs, parts), ["band", "part"]).drop("part"), "buckets")
     pairs = buckets.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b")).distinct()
     links = _confirm(pairs, texts, reps, p)
 
@@ -223,15 +238,16 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
 
     for size, pick in ((F.col("members") <= p.small, _small_pairs), (F.col("members") > p.small, lambda rest: _prefix_pairs(texts, rest.select("doc_id", "component").distinct(), p))):
         labelled = buckets.filter("members > 2").filter(size).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_bands = labelled.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
-        rest = materialize(labelled.join(open_bands.select("band"), "band", "left_semi").select("band", "doc_id", "n_shingles", "component"), "rest")
+        open_bands = labelled.groupBy("band", "members").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
+        open_bands = _in_parts(open_bands, parts).select("band", "part")
+        rest = materialize(labelled.withColumn("part", _part(parts)).join(open_bands, ["band", "part"], "left_semi").select("band", "doc_id", "n_shingles", "component"), "rest")
         if rest.isEmpty():
             continue
         more = _confirm(pick(rest), texts, reps, p)
         if not more.isEmpty():
             found = materialize(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b"), "components")
         discard(rest, more)
-    discard(reps, buckets)
+    discard(reps, hubs, buckets)
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("linked"))
     out = sketch.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")

@@ -57,10 +57,11 @@ def corpus(seed):
     return rows
 
 
+@pytest.mark.parametrize("part", [2, 256])
 @pytest.mark.parametrize("small", [32, 2])
-def test_components_are_those_of_brute_force(spark, small):
+def test_components_are_those_of_brute_force(spark, small, part):
     rows = corpus(small)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(frame(spark, rows), Params(shingle=4, small=small)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(frame(spark, rows), Params(shingle=4, small=small, part=part)).collect()}
     want = brute(rows, 4, 80)
     assert got == {d: (n, c, c == d) for d, (n, c) in want.items()}
 
