@@ -55,6 +55,24 @@ def described(flows: DataFrame) -> DataFrame:
     return flows.withColumn("text", F.array_join("path", " -> "))
 
 
+def filtered_flows(flows: DataFrame, least: float | None = None, source_tool: str | None = None, destination_tool: str | None = None, orchestrated: bool = False, limit: int | None = None) -> DataFrame:
+    """Flows of `end_to_end_flows` that meet the conditions; with a limit the most confident ones, ties by flow_id."""
+    if least is not None:
+        flows = flows.filter(F.col("confidence") >= least)
+    if source_tool:
+        flows = flows.filter(F.col("tools")[0] == source_tool)
+    if destination_tool:
+        flows = flows.filter(F.element_at("tools", -1) == destination_tool)  # a flow ends at its first destination, so no earlier node has that tool
+    if orchestrated:
+        flows = flows.filter("pipeline is not null")
+    return flows.orderBy(F.desc("confidence"), "flow_id").limit(limit) if limit else flows
+
+
+def flow_levels(flows: DataFrame) -> DataFrame:
+    """(level, flows): flows of each confidence level that any has."""
+    return flows.groupBy(confidence_level(F.col("confidence")).alias("level")).agg(F.count("*").alias("flows"))
+
+
 def flow_statistics(flows: DataFrame) -> DataFrame:
     """One row: flows, average confidence, bands at 80 and 50, flows with a pipeline, average edges."""
     c = F.col("confidence")

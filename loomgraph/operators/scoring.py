@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, NumericType, StringType, StructType
 
 from ..functions.graph import confidence_level, lookup
 
@@ -57,3 +61,56 @@ def merged_scores(scores: DataFrame, key: str) -> DataFrame:
     """(key, value, level): scores weighted by their multipliers."""
     by = scores.groupBy(key).agg((F.sum(F.col("value") * F.col("multiplier")) / F.sum("multiplier")).alias("mean"))
     return by.select(key, F.round("mean").alias("value"), confidence_level(F.round("mean", 9)).alias("level"))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """`base` * `multiplier` for each item of evidence of one of `types` that meets all conditions (dotted field, operator, value)."""
+
+    name: str
+    types: tuple[str, ...]
+    base: float
+    multiplier: float = 1.0
+    conditions: tuple[tuple[str, str, object], ...] = ()
+
+
+def _type_at(schema: DataType, field: str) -> DataType | None:
+    for part in field.split("."):
+        if not isinstance(schema, StructType) or part not in schema.names:
+            return None
+        schema = schema[part].dataType
+    return schema
+
+
+def meets(evidence: DataFrame, field: str, operator: str, value: object = None) -> Column:
+    """Whether a field equals, contains or matches a value, is greater (gt) or less (lt), or exists.
+
+    False for a null, a field that isn't there, an unknown operator, and a
+    value of a kind that the operator doesn't take.
+    """
+    kind = _type_at(evidence.schema, field)
+    if kind is None:
+        return F.lit(False)
+    text, number = isinstance(kind, StringType), isinstance(kind, NumericType)
+    given_text, given_number = isinstance(value, str), isinstance(value, (int, float)) and not isinstance(value, bool)
+    x = F.col(field)
+    found = {
+        "equals": lambda: x == value if (text, number) == (given_text, given_number) else F.lit(False),
+        "contains": lambda: x.contains(value) if text and given_text else F.lit(False),
+        "matches": lambda: x.rlike(value) if text and given_text else F.lit(False),
+        "gt": lambda: x > value if number and given_number else F.lit(False),
+        "lt": lambda: x < value if number and given_number else F.lit(False),
+        "exists": lambda: x.isNotNull(),
+    }.get(operator, lambda: F.lit(False))()
+    return F.coalesce(found, F.lit(False))
+
+
+def rule_results(evidence: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(edge_id, rule, matched, contribution) of each rule that an edge's evidence meets; evidence is read once for all rules."""
+
+    def hit(rule: Rule) -> Column:
+        applies = reduce(lambda a, b: a & b, [meets(evidence, *c) for c in rule.conditions], F.col("type").isin(list(rule.types)))
+        return F.when(applies, F.struct(F.lit(rule.name).alias("rule"), F.lit(float(rule.base * rule.multiplier)).alias("part")))
+
+    hits = evidence.select("edge_id", F.explode(F.array_compact(F.array(*map(hit, rules)))).alias("h"))
+    return hits.groupBy("edge_id", F.col("h.rule").alias("rule")).agg(F.count("*").alias("matched"), F.round(F.sum("h.part"), 6).alias("contribution"))

@@ -61,3 +61,36 @@ def bm25(docs: DataFrame, query: str, key: str = "id", text: str = "name", k1: f
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     return joined.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+# Weights of the ranks of fields, and the sum of 1/n^2 over all n.
+RANK_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+RANK_SUM = 1.64493406685
+
+
+def weighted_search(nodes: DataFrame, query: str, ranks: dict[str, str] | None = None, limit: int = 50) -> DataFrame:
+    """(id, rank): the `limit` best rows that hold every word of the query in some field, ties by id.
+
+    `ranks` names fields in falling order of weight. Of each word the n-th
+    occurrence, in the order of the fields, adds its field's weight over n^2;
+    the rank is the mean over the words, so each is 1 at most. Words are not
+    stemmed. No word, no rows.
+    """
+    ranks = ranks or {"name": "A", "file_path": "C"}
+    words = sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
+    if not words:
+        return nodes.select("id", F.lit(0.0).alias("rank")).limit(0)
+    asked = F.array(*map(F.lit, words))
+
+    def hits(field: str, rank: str) -> Column:
+        kept = F.filter(terms_of(F.coalesce(F.col(field), F.lit(""))), lambda t: F.array_contains(asked, t))
+        return F.transform(kept, lambda t: F.struct(t.alias("t"), F.lit(RANK_WEIGHTS[rank]).alias("w")))
+
+    def part(word: str) -> Column:
+        own = F.filter("x", lambda h: h["t"] == word)
+        return F.aggregate(F.transform(own, lambda h, i: h["w"] / ((i + 1) * (i + 1))), F.lit(0.0), lambda a, b: a + b)
+
+    found = nodes.select("id", F.concat(*[hits(f, r) for f, r in ranks.items()]).alias("x"))
+    found = found.filter(F.size(F.array_distinct("x.t")) == len(words))
+    total = sum((part(w) for w in words[1:]), part(words[0]))
+    return found.select("id", F.round(total / RANK_SUM / len(words), 6).alias("rank")).orderBy(F.desc("rank"), "id").limit(limit)

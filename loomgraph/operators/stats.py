@@ -95,3 +95,21 @@ def share_by(df: DataFrame, key: str) -> DataFrame:
     whole = df.agg(F.count("*").alias("_all")).withColumn("_one", F.lit(1))
     by = counts_by(df, key).withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one")  # one row
     return by.select(key, "n", F.round(100 * F.col("n") / F.col("_all"), 2).alias("percent"))
+
+
+def linking_stats(edges: DataFrame) -> DataFrame:
+    """(operation, edges, jobs, targets, average, high, medium, low) of edges (source, target, operation_type, confidence) from jobs to what they operate on; the row without an operation is of all edges."""
+    by = edges.withColumn("operation", F.coalesce("operation_type", F.lit("unknown"))).rollup("operation")
+    return by.agg(F.count("*").alias("edges"), F.count_distinct("source").alias("jobs"), F.count_distinct("target").alias("targets"), F.round(F.avg("confidence"), 2).alias("average"), *banded(edges))
+
+
+def graph_metadata(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(what, key, n): nodes and edges by type, and nodes of each source file."""
+    named = lambda df, what, key: df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "key", "n")
+    return named(nodes, "nodes", "type").union(named(edges, "edges", "type")).union(named(nodes.filter("file_path is not null"), "files", "file_path"))
+
+
+def rollup_type_counts(nodes: DataFrame, grouped: DataFrame, merged: DataFrame) -> DataFrame:
+    """(type, n): merged nodes, and nodes that nothing matched."""
+    alone = nodes.join(grouped.select("repo_id", "id"), ["repo_id", "id"], "left_anti")
+    return merged.select("type").union(alone.select("type")).groupBy("type").agg(F.count("*").alias("n"))

@@ -27,6 +27,13 @@ def where(df: DataFrame, equal: dict | None = None, among: dict | None = None, l
     return df.filter(reduce(lambda a, b: a & b, found)) if found else df
 
 
+def of_kinds(df: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, column: str = "type") -> DataFrame:
+    """Rows whose kind is among `include` and not among `exclude`; an empty list is no condition."""
+    if include:
+        df = df.filter(F.col(column).isin(include))
+    return df.filter(~F.col(column).isin(exclude)) if exclude else df
+
+
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 50, total: str = "total_count") -> DataFrame:
     """Rows of a page, each with the number of all rows, which is counted apart so that no window holds all rows."""
     count = df.agg(F.count("*").alias(total)).withColumn("_one", F.lit(1))
