@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fuzzy, lines, minhash, mixing, quality, token_counts, toxicity, vptree, warc
+from . import audit, bpe, fuzzy, lines, minhash, mixing, pieces, quality, resampling, token_counts, toxicity, vptree, warc
 from .labelled import fold_of
 from .tables import table, whole_text
 
@@ -39,7 +39,9 @@ OP2_SQL = r"""
 WITH l AS (
   SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents),
 w AS (
-  SELECT doc_id, line, trim(x, E' 	') AS x, len(regexp_extract_all(x, '[^ 	-]+')) AS w FROM l),
+  SELECT doc_id, line, trim(x, E' 	
+') AS x, len(regexp_extract_all(x, '[^ 	-
+]+')) AS w FROM l),
 s AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS at, sum(w) OVER (PARTITION BY doc_id ORDER BY line) AS c FROM w WHERE w > 0),
 spans AS (
@@ -146,6 +148,67 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.m, d
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least l USING (doc_id)
 """
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the texts of `benchmark`, and the tenth of them that is drawn."""
+    return resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+#: crc32 byte by byte, from a table of its 256 steps.
+OP11_SQL = r"""
+WITH step AS (
+  SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+w AS (
+  SELECT 'd' AS kind, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+  UNION ALL SELECT 'b', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+k AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(word)), lambda i: ('0x' || substring(hex(encode(word)), 2 * i::INTEGER + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM w), step),
+c AS (SELECT kind, doc_id, bucket, count(*) AS n FROM w JOIN k USING (word) GROUP BY ALL),
+b AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 'b'), 0)::DOUBLE AS t FROM c GROUP BY bucket),
+z AS (SELECT sum(s) AS whole_s, sum(t) AS whole_t FROM b),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * (whole_s + 10000) / ((s + 1) * (whole_t + 10000))))::BIGINT AS gain FROM b, z),
+d AS (SELECT doc_id, sum(n)::BIGINT AS n, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM c JOIN g USING (bucket) WHERE kind = 'd' GROUP BY doc_id),
+x AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN d USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE n_features >= 20)
+SELECT x.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep, remove and lose in each of their 120 orders, by source."""
+    return audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+f AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 2 * length(x) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY x) THEN 'E' ELSE '' END AS fails FROM t),
+l AS (SELECT doc_id, max((quality IS NOT DISTINCT FROM 1)::INTEGER) AS good, max((toxic IS NOT DISTINCT FROM 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+h AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || c FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(c) WHERE NOT contains(filter_order, c)),
+s AS (SELECT filter_order, i::INTEGER AS step, substring(filter_order, 1, i::INTEGER - 1) AS before, substring(filter_order, i::INTEGER, 1) AS own FROM o, range(1, 6) r(i) WHERE length(filter_order) = 5),
+m AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails = own AS alone, contains(fails, own) AS hit, fails <> '' AND before <> '' AND regexp_matches(fails, '[' || CASE before WHEN '' THEN '-' ELSE before END || ']') AS gone FROM h, s),
+r AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost FROM m GROUP BY ALL)
+SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r
+"""
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("piece_bpe_32k.model")) -> DataFrame:
+    """Ids of every text under the piece model, the end id last, and the text they decode to, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, pieces.read_model(path), decoded="decoded", keep=["doc_id"])
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vantage_point_neighbours": op1_vantage_point_neighbours,
     "op2_line_dedup": op2_line_dedup,
@@ -157,6 +220,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_packages": op8_warc_packages,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality": op10_quality,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -164,4 +230,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op8_warc_packages": OP8_SQL,
     "op9_minhash_near_dedup": OP9_SQL,
+    "op11_importance_resampling": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
