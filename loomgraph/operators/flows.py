@@ -163,17 +163,6 @@ def job_links(jobs: DataFrame, nodes: DataFrame, least: float = 50, most: int =
     return best(found, ["job"], order)
 
 
-def output_links(producers: DataFrame, consumers: DataFrame) -> DataFrame:
-    """(source, target, output): steps (step, text) that write terraform outputs to a name, and steps (step, text) that helm-set from it.
-
-    Producers say `terraform output x`, consumers `--set key=$(terraform output x)` or use x as a variable in a helm command.
-    """
-    outputs = producers.select(F.col("step").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"terraform output (?:-\S+ )*([A-Za-z_]\w*)"), F.lit(1)))).alias("output"))
-    helm = consumers.filter(F.col("text").rlike(r"(^|\W)helm\s"))
-    uses = helm.select(F.col("step").alias("target"), F.explode(F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(r"terraform output (?:-\S+ )*([A-Za-z_]\w*)"), F.lit(1)), F.regexp_extract_all("text", F.lit(r"\$\{?([A-Za-z_]\w*)"), F.lit(1))))).alias("output"))
-    return outputs.join(uses, "output").select("source", "target", "output").distinct()
-
-
 def direct_needs(jobs: DataFrame) -> DataFrame:
     """(job, needs): distinct union of the arrays `needs` and `dependencies` of each job, in order, not closed over."""
     empty = F.array().cast("array<string>")

@@ -51,26 +51,40 @@ def shorter_keys(name: str, threshold: float) -> set[str]:
     return keys
 
 
-def _parts(name: str) -> set[str]:
-    return {name[i:j] for i in range(len(name) + 1) for j in range(i, len(name) + 1)}
+def _begins(name: str) -> set[str]:
+    """Key of a name as the one that is held: its first letters, as many as the greatest power of two that it has."""
+    size = 1 << (len(name).bit_length() - 1) if name else 0
+    return {f"{size}/{name[:size]}"}
 
 
-def _keyed(names: DataFrame, to: str, keys: Callable[[str], set[str]]) -> DataFrame:
-    """(to, key): a row for each key of each name."""
+def _grams(name: str) -> set[str]:
+    """Keys of a name as the one that holds: all its runs of each power of two letters, and the empty one; length times logarithm of the length of them at most."""
+    sizes = [0, *(1 << i for i in range(len(name).bit_length()))]
+    return {f"{size}/{name[i : i + size]}" for size in sizes for i in range(len(name) - size + 1 if size else 1)}
+
+
+def _keyed(names: DataFrame, to: str, keys: Callable[[str], set[str]], by: list[str] | None = None) -> DataFrame:
+    """(*by, to, key): a row for each key of each name; the columns `by` are strings and are kept."""
+    by = by or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, found = [], []
-            for name in batch.column(0).to_pylist():
+
+            def cut() -> pa.RecordBatch:
+                return pa.record_batch([*batch.select(by).take(pa.array(own, pa.int64())).columns, batch.column("name").take(pa.array(own, pa.int64())), pa.array(found, pa.string())], [*by, "name", "key"])
+
+            for at, name in enumerate(batch.column("name").to_pylist()):
                 more = keys(name)
-                own += [name] * len(more)
+                own += [at] * len(more)
                 found += more
                 if len(own) > 20_000:
-                    yield pa.record_batch([pa.array(own, pa.string()), pa.array(found, pa.string())], ["name", "key"])
+                    yield cut()
                     own, found = [], []
-            yield pa.record_batch([pa.array(own, pa.string()), pa.array(found, pa.string())], ["name", "key"])
+            yield cut()
 
-    return names.mapInArrow(run, "name string, key string").select(F.col("name").alias(to), F.xxhash64("key").alias("key"))
+    keyed = names.select(*by, "name").mapInArrow(run, "".join(f"{c} string, " for c in by) + "name string, key string")
+    return keyed.select(*by, F.col("name").alias(to), F.xxhash64("key").alias("key"))
 
 
 def alike(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -90,10 +104,15 @@ def alike(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     return down.union(up.select(*down.columns)).filter(close).select("left", "right").distinct()
 
 
-def holding(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left, right): pairs of names (name) of which one holds the other, or that are equal."""
-    left, right = left.select("name").filter("name is not null").distinct(), right.select("name").filter("name is not null").distinct()
-    whole = lambda x: {x}
-    down = _keyed(left, "left", _parts).join(_keyed(right, "right", whole), "key").filter(F.contains("left", "right"))
-    up = _keyed(left, "left", whole).join(_keyed(right, "right", _parts), "key").filter(F.contains("right", "left"))
-    return down.union(up.select(*down.columns)).select("left", "right").distinct()
+def holding(left: DataFrame, right: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(*by, left, right): pairs of names (*by, name) of which one holds the other, or that are equal, within equal values of the string columns `by`.
+
+    A held name of n letters meets the holder in its first letters, as many as
+    the greatest power of two up to n.
+    """
+    by = by or []
+    left, right = (df.select(*by, "name").filter("name is not null").distinct() for df in (left, right))
+    down = _keyed(left, "left", _grams, by).join(_keyed(right, "right", _begins, by), [*by, "key"]).filter(F.contains("left", "right"))
+    up = _keyed(left, "left", _begins, by).join(_keyed(right, "right", _grams, by), [*by, "key"]).filter(F.contains("right", "left"))
+    columns = [*by, "left", "right"]
+    return down.select(*columns).union(up.select(*columns)).distinct()

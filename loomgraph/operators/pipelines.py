@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .flows import output_links
-from .likeness import holding
 from .tables import field
 
 # Kinds of triggers by the name a workflow gives them; other names are manual.
@@ -105,60 +103,27 @@ def triggers(workflows: DataFrame, system: str = "github_actions") -> DataFrame:
     return rows.select("pipeline", kind.alias("type"), F.when(on.startswith("{"), detail).alias("d")).select("pipeline", "type", "d.branches", "d.paths", "d.tags")
 
 
-def pipeline_graph(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, type) and edges (source, target, type, confidence) of jobs (pipeline, job, needs): a pipeline contains its jobs, a job depends on those that it needs of its own pipeline."""
-    nodes = jobs.select(F.col("pipeline").alias("id"), F.lit("ci_pipeline").alias("type")).distinct().union(jobs.select("job", F.lit("ci_job")).distinct())
-    contains = jobs.select(F.col("pipeline").alias("source"), F.col("job").alias("target"), F.lit("PIPELINE_CONTAINS").alias("type")).distinct()
-    wanted = jobs.select("pipeline", F.col("job").alias("source"), F.explode("needs").alias("target")).distinct()
-    needs = wanted.join(jobs.select("pipeline", F.col("job").alias("target")).distinct(), ["pipeline", "target"]).select("source", "target", F.lit("JOB_DEPENDS_ON").alias("type"))
-    return nodes, contains.union(needs).withColumn("confidence", F.lit(100.0))
-
-
-def file_links(steps: DataFrame) -> DataFrame:
-    """(source, target, file): steps (step, text) that write Terraform outputs as JSON to a file, and Helm steps that read it."""
-    file = r"([A-Za-z0-9_./-]+\.(?:json|ya?ml|tfvars))"
-    written = steps.select(F.col("step").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"terraform output (?:-\S+ )*-json\b[^>|;&]*>\s*{file}"), F.lit(1)))).alias("file"))
-    helm = steps.filter(F.col("text").rlike(r"(^|\W)helm\s"))
-    read = helm.select(F.col("step").alias("target"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(file), F.lit(1)))).alias("file"))
-    return written.join(read, "file").filter("source <> target").select("source", "target", "file").distinct()
-
-
-def artifact_links(uploads: DataFrame, downloads: DataFrame) -> DataFrame:
-    """(source, target, artifact): each download (job, artifact) and the first upload (job, artifact, position) of an equal name, or else of a name that one holds of the other. Names pair by equi-joins on distinct names."""
-    names = holding(uploads.select(F.col("artifact").alias("name")), downloads.select(F.col("artifact").alias("name")))
-    up = uploads.select(F.col("job").alias("source"), F.col("artifact").alias("left"), "position")
-    first = Window.partitionBy("left").orderBy("position", "source")
-    up = up.withColumn("n", F.row_number().over(first)).filter("n = 1")  # of one name only the first can win
-    met = downloads.select(F.col("job").alias("target"), F.col("artifact").alias("right")).distinct().join(names, "right").join(up, "left")
-    best = Window.partitionBy("target", "right").orderBy((F.col("left") != F.col("right")).cast("int"), "position", "source")
-    return met.withColumn("n", F.row_number().over(best)).filter("n = 1").select("source", "target", F.col("right").alias("artifact"))
+def job_id(pipeline: Column, job: Column) -> Column:
+    """The id of a job's node: jobs of different pipelines may have one name."""
+    return F.concat(pipeline, F.lit("/"), job)
 
 
-def expression_links(steps: DataFrame, outputs: DataFrame) -> DataFrame:
-    """(source, target, output, confidence): jobs whose outputs the expressions `needs.J.outputs.O` of steps (job, text) name; 85 if job J has that output (job, output), else 60."""
-    uses = steps.select(F.col("job").alias("target"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(needs\.[\w-]+\.outputs\.[\w-]+)"), F.lit(1)))).alias("e"))
-    uses = uses.select("target", F.split("e", r"\.")[1].alias("source"), F.split("e", r"\.")[3].alias("output")).distinct()
-    known = outputs.select(F.col("job").alias("source"), "output", F.lit(True).alias("_has")).distinct()
-    return uses.join(known, ["source", "output"], "left").select("source", "target", "output", F.when(F.col("_has"), 85.0).otherwise(60.0).alias("confidence"))
+def pipeline_graph(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, type) and edges (source, target, type, confidence) of jobs (pipeline, job, needs): a pipeline contains its jobs, and from each job that another one of its pipeline needs goes an edge to that one."""
+    own = jobs.select("pipeline", "job", job_id(F.col("pipeline"), F.col("job")).alias("id"), "needs")
+    nodes = own.select(F.col("pipeline").alias("id"), F.lit("ci_pipeline").alias("type")).distinct().union(own.select("id", F.lit("ci_job")).distinct())
+    contains = own.select(F.col("pipeline").alias("source"), F.col("id").alias("target"), F.lit("PIPELINE_CONTAINS").alias("type")).distinct()
+    wanted = own.select("pipeline", F.col("id").alias("target"), F.explode("needs").alias("job")).distinct()
+    needs = wanted.join(own.select("pipeline", "job", F.col("id").alias("source")).distinct(), ["pipeline", "job"]).select("source", "target", F.lit("JOB_DEPENDS_ON").alias("type"))
+    return nodes, contains.union(needs).withColumn("confidence", F.lit(100.0))
 
 
 def job_edges(jobs: DataFrame) -> DataFrame:
-    """(source, target, type) of jobs (job, needs, dependencies, extends, stage): each array gives edges of its kind, in the order needs, dependencies, extends; a pair is kept once, as the first."""
+    """(pipeline, source, target, type) of jobs (pipeline, job, needs, dependencies, extends): each array gives edges of its kind inside the pipeline, in the order needs, dependencies, extends; a pair is kept once, as the first."""
     empty = F.array().cast("array<string>")
     kinds = ("needs", "dependencies", "extends")
     rows = None
     for order, kind in enumerate(kinds):
-        own = jobs.select(F.col("job").alias("source"), F.explode(F.coalesce(F.col(kind), empty)).alias("target"), F.lit(kind).alias("type"), F.lit(order).alias("order"))
-        rows = own if rows is None else rows.union(own)
-    return rows.groupBy("source", "target").agg(F.min_by("type", "order").alias("type"))
-
-
-def detected(steps: DataFrame, least: float = 0.0, most: int | None = None) -> DataFrame:
-    """(source, target, via, pattern, confidence): flows from Terraform outputs to Helm steps (step, text) by all patterns; of one (source, target, via) the first pattern counts. The surest come first."""
-    found = [(output_links(steps, steps).withColumnRenamed("output", "via"), "direct_output", 90.0), (file_links(steps).withColumnRenamed("file", "via"), "output_to_file", 75.0)]
-    rows = None
-    for order, (links, pattern, confidence) in enumerate(found):
-        own = links.select("source", "target", "via", F.lit(pattern).alias("pattern"), F.lit(confidence).alias("confidence"), F.lit(order).alias("order"))
+        own = jobs.select("pipeline", F.col("job").alias("source"), F.explode(F.coalesce(F.col(kind), empty)).alias("target"), F.lit(kind).alias("type"), F.lit(order).alias("order"))
         rows = own if rows is None else rows.union(own)
-    rows = rows.filter("source <> target").groupBy("source", "target", "via").agg(F.min_by(F.struct("pattern", "confidence"), "order").alias("b")).select("source", "target", "via", "b.*").filter(F.col("confidence") >= least)
-    return rows.orderBy(F.desc("confidence"), "source", "target", "via").limit(most) if most else rows
+    return rows.groupBy("pipeline", "source", "target").agg(F.min_by("type", "order").alias("type"))

@@ -92,45 +92,15 @@ def workflow_triggers(spark, sf_dir):
     return found.select("pipeline", "type", F.array_join("branches", ",").alias("branches"))
 
 
-@rows("pipeline_edges", "SELECT pipeline AS source, name AS target, 'PIPELINE_CONTAINS' AS type FROM jobs UNION ALL SELECT a.name, b.name, 'JOB_DEPENDS_ON' FROM jobs a JOIN jobs b ON list_contains(a.needs, b.name) AND a.pipeline = b.pipeline")
+@rows("pipeline_edges", "SELECT pipeline AS source, pipeline || '/' || name AS target, 'PIPELINE_CONTAINS' AS type FROM jobs UNION ALL SELECT b.pipeline || '/' || b.name, a.pipeline || '/' || a.name, 'JOB_DEPENDS_ON' FROM jobs a JOIN jobs b ON list_contains(a.needs, b.name) AND a.pipeline = b.pipeline")
 def pipeline_edges(spark, sf_dir):
     return pipelines.pipeline_graph(pg.jobs(spark, sf_dir).select("pipeline", F.col("name").alias("job"), "needs"))[1].select("source", "target", "type")
 
 
-@rows("job_edges", "SELECT name AS source, unnest(needs) AS target, 'needs' AS type FROM jobs UNION ALL SELECT name, pipeline, 'extends' FROM jobs")
+@rows("job_edges", "SELECT pipeline, name AS source, unnest(needs) AS target, 'needs' AS type FROM jobs UNION ALL SELECT pipeline, name, pipeline, 'extends' FROM jobs")
 def job_edges(spark, sf_dir):
     own = pg.jobs(spark, sf_dir)
-    return pipelines.job_edges(own.select(F.col("name").alias("job"), "needs", F.col("needs").alias("dependencies"), F.array("pipeline").alias("extends")))
-
-
-@rows("file_links", "SELECT DISTINCT a.step AS source, b.step AS target, regexp_extract(a.text, '(out[0-9]+[.]json)', 1) AS file FROM steps a JOIN steps b ON regexp_extract(a.text, '(out[0-9]+[.]json)', 1) = regexp_extract(b.text, '(out[0-9]+[.]json)', 1) WHERE a.text LIKE 'terraform output -json%' AND b.text LIKE 'helm%-f out%'")
-def file_links(spark, sf_dir):
-    return pipelines.file_links(pg.steps(spark, sf_dir))
-
-
-@rows("output_links", "SELECT DISTINCT a.step AS source, b.step AS target, regexp_extract(a.text, 'output (v[0-9]+)', 1) AS output FROM steps a JOIN steps b ON regexp_extract(a.text, 'output (v[0-9]+)', 1) = regexp_extract(b.text, 'output (v[0-9]+)', 1) WHERE a.text LIKE '%terraform output v%' AND b.text LIKE 'helm%terraform output v%'")
-def output_links(spark, sf_dir):
-    own = pg.steps(spark, sf_dir)
-    return flows.output_links(own, own)
-
-
-@rows("detected_flows", "SELECT DISTINCT a.step AS source, b.step AS target, regexp_extract(a.text, '(out[0-9]+[.]json|v[0-9]+)', 1) AS via, CASE WHEN a.text LIKE '%-json%' THEN 'output_to_file' ELSE 'direct_output' END AS pattern FROM steps a JOIN steps b ON regexp_extract(a.text, '(out[0-9]+[.]json|v[0-9]+)', 1) = regexp_extract(b.text, '(out[0-9]+[.]json|v[0-9]+)', 1) WHERE a.text LIKE '%terraform output %' AND b.text LIKE 'helm%' AND a.step <> b.step")
-def detected_flows(spark, sf_dir):
-    return pipelines.detected(pg.steps(spark, sf_dir), 70).select("source", "target", "via", "pattern")
-
-
-@rows("expression_links", "SELECT DISTINCT regexp_extract(text, 'needs[.](job-[0-9]+)[.]', 1) AS source, job AS target, regexp_extract(text, 'outputs[.](v[0-9]+)', 1) AS output, CASE WHEN regexp_extract(text, 'outputs[.]v([0-9]+)', 1) <> '2' THEN 85.0 ELSE 60.0 END AS confidence FROM steps WHERE text LIKE '%needs.%'")
-def expression_links(spark, sf_dir):
-    known = pg.jobs(spark, sf_dir).select(F.col("name").alias("job"), F.explode(F.array(F.lit("v0"), F.lit("v1"))).alias("output"))
-    return pipelines.expression_links(pg.steps(spark, sf_dir), known)
-
-
-@rows("artifact_links", """, u AS (SELECT name AS job, 'art' || substring(id, 8) AS artifact, name AS position FROM jobs WHERE len(needs) > 0), d AS (SELECT 'd' || id AS job, 'art' || substring(id, 8) || 'x' AS artifact FROM jobs WHERE len(needs) > 0)
-  SELECT job AS target, artifact, (SELECT arg_min(u.job, (u.position, u.job)) FROM u WHERE contains(d.artifact, u.artifact) OR contains(u.artifact, d.artifact)) AS source FROM d""")
-def artifact_links(spark, sf_dir):
-    own = pg.jobs(spark, sf_dir).filter(F.size("needs") > 0)
-    name = F.concat(F.lit("art"), F.substring("id", 8, 100))
-    return pipelines.artifact_links(own.select(F.col("name").alias("job"), name.alias("artifact"), F.col("name").alias("position")), own.select(F.concat(F.lit("d"), "id").alias("job"), F.concat(name, F.lit("x")).alias("artifact")))
+    return pipelines.job_edges(own.select("pipeline", F.col("name").alias("job"), "needs", F.col("needs").alias("dependencies"), F.array("pipeline").alias("extends")))
 
 
 # ---- references

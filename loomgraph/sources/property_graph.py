@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import table
@@ -197,6 +197,36 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(_text(F.col("l_orderkey"), "-", n).alias("step"), _text("job-", F.col("l_orderkey")).alias("job"), text.alias("text"))
 
 
+def workflow_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(workflow, job, ordinal, needs, env, outputs): a job for each order, of its customer's workflow; jobs of different workflows have the same names."""
+    o, yes = F.col("ordinal"), F.lit(None).cast("map<string,string>")
+    rows = table(spark, sf_dir, "orders").select(_key("pipeline", "o_custkey").alias("workflow"), "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("ordinal"))
+    needs = F.when(o % 3 != 1, F.array(_text("j", o - 1))).otherwise(F.array().cast("array<string>"))
+    env = F.when(o % 2 == 0, F.create_map(F.lit("E0"), _text("${{ needs.j", o - 1, ".outputs.o1 }}"), F.lit("E1"), F.lit("plain"))).otherwise(yes)
+    outputs = F.when(o % 4 == 1, F.create_map(F.lit("o1"), F.lit("from terraform"), F.lit("o2"), F.lit("fixed"))).otherwise(yes)
+    return rows.select("workflow", "o_orderkey", _text("j", o).alias("job"), "ordinal", needs.alias("needs"), env.alias("env"), outputs.alias("outputs"))
+
+
+def workflow_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(workflow, job, ordinal, position, step, text, uses, artifact, path, env): a step for each order line, in the order's job."""
+    n, v, w, o = F.col("position"), F.col("l_partkey") % 4, F.col("l_suppkey") % 3, F.col("ordinal")
+    kind = (n + o) % 7
+    text = (
+        F.when(kind == 0, _text("export V", v, "=$(terraform output -raw o", v, ")"))
+        .when(kind == 1, F.when(v == 3, "terraform output -json > my-values.json").otherwise(_text("terraform output -json > out", v, ".json")))
+        .when(kind == 2, _text("helm upgrade app ./chart --set a.x=$V", v, " --set b.y=$(terraform output -raw o", w, ") --set e.f=$W", w))
+        .when(kind == 3, _text('echo "V', v, "=$(terraform output o", w, ')" >> $GITHUB_ENV'))
+        .when(kind == 6, _text("helm install app ./chart -f values/", F.when(v == 3, "terraform.yaml").otherwise(_text("out", v, ".json")), " --set c.z=${{ needs.j", o - 1, ".outputs.o", w, " }} --set d.e=${{ steps.s", v, ".outputs.o", v, " }} -f <(jq '{k", w, ": .x}' out", w, ".json)"))
+    )
+    uses = F.when(kind == 4, "actions/upload-artifact@v3").when(kind == 5, "actions/download-artifact@v3")
+    artifact = F.when(kind == 4, _text("tf-art", v)).when(kind == 5, _text("TF-art", w))
+    path = F.when(kind == 4, _text("out", v, ".json")).when((kind == 5) & (v % 2 == 1), _text("out", w, ".json"))
+    env = F.when(kind == 0, F.create_map(_text("W", v), F.lit("${{ needs.j1.outputs.o1 }}")))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("position", place).withColumnRenamed("l_orderkey", "o_orderkey").join(workflow_jobs(spark, sf_dir).select("workflow", "o_orderkey", "job", "ordinal"), "o_orderkey")
+    return lines.select("workflow", "job", "ordinal", "position", F.when(n % 3 != 0, _text("s", n)).alias("step"), text.alias("text"), uses.alias("uses"), artifact.alias("artifact"), path.alias("path"), env.alias("env"))
+
+
 def debt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, category, priority, status, hours, file_path, created_at, resolved_at): an item of technical debt for each part."""
     k = F.col("p_partkey")
@@ -219,3 +249,19 @@ debt AS (
   SELECT p_partkey AS id, ['code-smell', 'design-debt', 'test-debt', 'documentation-debt', 'dependency-debt', 'security-debt'][p_partkey % 6 + 1] AS category, ['critical', 'high', 'medium', 'low'][p_partkey % 4 + 1] AS priority, ['open', 'in-progress', 'resolved', 'wont-fix', 'deferred'][p_partkey % 5 + 1] AS status,
     (p_size % 9) / 2.0 AS hours, 'src/f' || (p_partkey % 50) || '.tf' AS file_path, TIMESTAMP '2024-01-01' + to_days((p_partkey % 60)::INTEGER) AS created_at, CASE WHEN p_partkey % 5 = 2 THEN TIMESTAMP '2024-01-01' + to_days((p_partkey % 60 + 9)::INTEGER) END AS resolved_at FROM part)
 """
+
+
+#: Jobs and steps of workflows, which may follow GRAPH_SQL.
+WORKFLOWS_SQL = """
+ci_jobs AS (
+  SELECT *, 'j' || ordinal AS job, CASE WHEN ordinal % 3 <> 1 THEN ['j' || (ordinal - 1)] ELSE [] END AS needs,
+    CASE WHEN ordinal % 2 = 0 THEN MAP {'E0': '${{ needs.j' || (ordinal - 1) || '.outputs.o1 }}', 'E1': 'plain'} END AS env, CASE WHEN ordinal % 4 = 1 THEN MAP {'o1': 'from terraform', 'o2': 'fixed'} END AS outputs
+  FROM (SELECT 'pipeline:' || o_custkey AS workflow, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INTEGER AS ordinal FROM orders)),
+ci_steps AS (
+  SELECT workflow, job, ordinal, n AS position, CASE WHEN n % 3 <> 0 THEN 's' || n END AS step, CASE kind WHEN 0 THEN 'export V' || v || '=$(terraform output -raw o' || v || ')' WHEN 1 THEN 'terraform output -json > ' || CASE v WHEN 3 THEN 'my-values.json' ELSE 'out' || v || '.json' END
+      WHEN 2 THEN 'helm upgrade app ./chart --set a.x=$V' || v || ' --set b.y=$(terraform output -raw o' || w || ') --set e.f=$W' || w WHEN 3 THEN 'echo "V' || v || '=$(terraform output o' || w || ')" >> $GITHUB_ENV'
+      WHEN 6 THEN 'helm install app ./chart -f values/' || CASE v WHEN 3 THEN 'terraform.yaml' ELSE 'out' || v || '.json' END || ' --set c.z=${{ needs.j' || (ordinal - 1) || '.outputs.o' || w || ' }} --set d.e=${{ steps.s' || v || '.outputs.o' || v || ' }} -f <(jq ''{k' || w || ': .x}'' out' || w || '.json)' END AS text,
+    CASE kind WHEN 4 THEN 'actions/upload-artifact@v3' WHEN 5 THEN 'actions/download-artifact@v3' END AS uses, CASE kind WHEN 4 THEN 'tf-art' || v WHEN 5 THEN 'TF-art' || w END AS artifact,
+    CASE WHEN kind = 4 THEN 'out' || v || '.json' WHEN kind = 5 AND v % 2 = 1 THEN 'out' || w || '.json' END AS path, CASE kind WHEN 0 THEN 'W' || v END AS env_name
+  FROM (SELECT workflow, job, ordinal, n, l_partkey % 4 AS v, l_suppkey % 3 AS w, (n + ordinal) % 7 AS kind FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INTEGER AS n FROM lineitem) JOIN ci_jobs ON o_orderkey = l_orderkey))
+"""
