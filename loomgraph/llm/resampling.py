@@ -2,9 +2,9 @@
 
 Both corpora are counted by bucket and meet there: a bucket's gain is the
 logarithm of how much more often the target has it. The postings (bucket,
-document, count) are shuffled to the buckets' gains, what they contribute is
-summed by document, and the highest scores, perturbed by seeded Gumbel noise,
-are drawn.
+document, count), in lists by bucket and block of documents, are shuffled to
+the buckets' gains; what they contribute is summed by document, and the highest
+scores, perturbed by seeded Gumbel noise, are drawn.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,11 @@ _LOWER[65:91] += 32
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
+#: Bytes of text in a block of postings.
+_BLOCK = 4 << 20
+_POSTING = ["bucket", "block", "n", "at", "counts", "doc_ids"]
+_CONTRIBUTION = ["block", "at", "total", "n", "doc_ids", "words"]
+
 
 @dataclass(frozen=True)
 class Params:
@@ -82,50 +88,117 @@ def bucket_counts(texts: DataFrame, p: Params) -> DataFrame:
     return texts.select(whole_text().alias("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def gains(docs: DataFrame, target: DataFrame, p: Params) -> DataFrame:
-    """(bucket, gain) of the buckets that either corpus (text) has, `buckets` rows at most."""
-    one = lambda df, flag: bucket_counts(df, p).select("bucket", (F.col("n") * flag).alias("s"), (F.col("n") * (1 - flag)).alias("t"))
-    both = materialize(one(docs, 1).union(one(target, 0)).groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "counts")
+def gains(counts: DataFrame, target: DataFrame, p: Params) -> DataFrame:
+    """(bucket, gain) of the buckets that the corpus (bucket, n) or the target (text) has, `buckets` rows at most."""
+    none = F.lit(0).cast("long")
+    both = counts.select("bucket", F.col("n").alias("s"), none.alias("t")).union(bucket_counts(target, p).select("bucket", none, F.col("n")))
+    both = materialize(both.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "counts")
     whole = both.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("whole_s"), F.coalesce(F.sum("t"), F.lit(0)).alias("whole_t"))
     real = lambda c: F.col(c).cast("double")
     ratio = (real("t") + 1) * (real("whole_s") + p.buckets) / ((real("s") + 1) * (real("whole_t") + p.buckets))
     return both.crossJoin(F.broadcast(whole)).select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))  # with one row
 
 
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
 def postings(docs: DataFrame, p: Params) -> DataFrame:
-    """(bucket, doc_id, mark, n): how often a document has a bucket; and for each document a row with a negative bucket and its number of words. mark is a hash of the text."""
+    """(bucket, block, n, at, counts, doc_ids): the inverted lists of the features of (doc_id, text), block by block of some megabytes of text.
+
+    In a block the bucket occurs `n` times: `counts` times in the rows `at`.
+    A block's row without a bucket lists the doc_ids of its rows, and in
+    `counts` their numbers of words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", _BLOCK):
+                rows = batch.num_rows
                 owner, bucket, words = features(batch.column("text"), p)
-                codes, n = np.unique(owner * p.buckets + bucket, return_counts=True)
-                mark = batch.column("mark").to_numpy(zero_copy_only=False)
-                rows = np.arange(batch.num_rows)
-                at = pa.array(np.concatenate([codes // p.buckets, rows]))
-                kind = np.concatenate([codes % p.buckets, -1 - mark % p.buckets]).astype(np.int32)
-                yield pa.record_batch([pa.array(kind), batch.column("doc_id").take(at), batch.column("mark").take(at), pa.array(np.concatenate([n, words]).astype(np.int64))], ["bucket", "doc_id", "mark", "n"])
+                codes, n = np.unique(bucket * rows + owner, return_counts=True)
+                kind = codes // rows
+                starts = np.flatnonzero(np.diff(kind, prepend=-1))
+                ends = np.append(starts[1:], len(kind)).astype(np.int64) if len(starts) else starts
+                sums = np.concatenate([[0], np.cumsum(n)])
+                lists = np.concatenate([starts, [len(kind), len(kind) + rows]])
+                yield pa.record_batch(
+                    [
+                        pa.array([*kind[starts].tolist(), None], pa.int32()),
+                        pa.array(np.full(len(starts) + 1, block), pa.int64()),
+                        pa.array(np.append(sums[ends] - sums[starts], 0), pa.int64()),
+                        _lists(lists, pa.array(np.concatenate([codes % rows, np.arange(rows)]).astype(np.int32))),
+                        _lists(lists, pa.array(np.concatenate([n, words]).astype(np.int32))),
+                        pa.array([None] * len(starts) + [batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                    ],
+                    _POSTING,
+                )
+                block += 1
         tidy()
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("mark"))
-    return own.mapInArrow(run, "bucket int, doc_id long, mark long, n long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    return own.mapInArrow(run, "bucket int, block long, n long, at array<int>, counts array<int>, doc_ids array<long>")
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of one block after another, of batches sorted by block."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        starts = [*np.flatnonzero(np.diff(block, prepend=block[0] - 1) != 0).tolist(), len(block)]
+        for a, b in zip(starts, starts[1:]):
+            if held and held[0].column("block")[0].as_py() != block[a]:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held
+
+
+def _flat(parts: list[pa.RecordBatch], column: str) -> np.ndarray:
+    return np.concatenate([x.column(column).flatten().to_numpy(zero_copy_only=False) for x in parts]).astype(np.int64)
 
 
 def weighed(docs: DataFrame, target: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, mark, copies, n_words, n_features, weight): a row for equal rows of `docs` (doc_id, text). The weight is the floored mean of the gains of the features."""
-    found = materialize(gains(docs, target, p), "gains")
-    # as both sides are exchanges, a bucket with many postings is split by the adaptive skew join
-    met = postings(docs, p).join(found.hint("shuffle_hash"), "bucket", "left")
-    feature = F.col("bucket") >= 0
-    by = met.groupBy("doc_id", "mark").agg(
-        F.count_if(~feature).alias("copies"),
-        F.sum(F.when(~feature, F.col("n")).otherwise(0)).alias("n_words"),
-        F.sum(F.when(feature, F.col("n")).otherwise(0)).alias("n_features"),
-        F.sum(F.when(feature, F.col("n") * F.col("gain")).otherwise(0)).alias("total"),
-    )
-    n, total = F.col("n_features"), F.col("total")
-    mean = F.when(n > 0, F.expr("(total - pmod(total, n_features)) div n_features")).otherwise(F.lit(0).cast("long"))  # copies count in both alike
-    return by.select("doc_id", "mark", "copies", F.expr("n_words div copies").alias("n_words"), F.expr("n_features div copies").alias("n_features"), mean.alias("weight"))
+    """(doc_id, n_words, n_features, weight) of each row of `docs` (doc_id, text). The weight is the floored mean of the gains of the features."""
+    lists = materialize(postings(docs, p), "postings")  # so that a block's rows are the same whoever reads them
+    features_of = lists.filter("bucket is not null")
+    found = materialize(gains(features_of.groupBy("bucket").agg(F.sum("n").alias("n")), target, p), "gains")
+    # both sides are exchanges, so a bucket with many lists is split by the adaptive skew join
+    met = features_of.select("bucket", "block", "at", "counts").join(found.hint("shuffle_hash"), "bucket").select("block", "at", "counts", "gain")
+
+    def contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the buckets of a task add to the rows of each block."""
+        for parts in _by_block(batches):
+            sizes = np.concatenate([pc.list_value_length(x.column("at")).to_numpy() for x in parts])
+            gain = np.repeat(np.concatenate([x.column("gain").to_numpy() for x in parts]), sizes)
+            at, n = _flat(parts, "at"), _flat(parts, "counts")
+            rows, place = np.unique(at, return_inverse=True)
+            total, count = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+            np.add.at(total, place, gain * n)
+            np.add.at(count, place, n)
+            one = np.array([0, len(rows)])
+            yield pa.record_batch([parts[0].column("block").slice(0, 1), *(_lists(one, pa.array(x)) for x in (rows.astype(np.int32), total, count)), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int32()))], _CONTRIBUTION)
+
+    schema = "block long, at array<int>, total array<long>, n array<long>, doc_ids array<long>, words array<int>"
+    added = met.sortWithinPartitions("block").mapInArrow(contributions, schema)
+    nothing = F.array()
+    heads = lists.filter("bucket is null").select("block", nothing.cast("array<int>").alias("at"), nothing.cast("array<long>").alias("total"), nothing.cast("array<long>").alias("n"), "doc_ids", F.col("counts").alias("words"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a block with the sums of all contributions."""
+        for parts in _by_block(batches):
+            head, words = (next(x.column(c)[i].values for x in parts for i in range(x.num_rows) if x.column(c)[i].is_valid) for c in ("doc_ids", "words"))
+            total, count = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)
+            at = _flat(parts, "at")
+            np.add.at(total, at, _flat(parts, "total"))
+            np.add.at(count, at, _flat(parts, "n"))
+            weight = np.where(count > 0, total // np.maximum(count, 1), 0)  # rounds down
+            yield pa.record_batch([head, words.cast(pa.int64()), pa.array(count), pa.array(weight)], ["doc_id", "n_words", "n_features", "weight"])
+
+    every = added.union(heads).repartition("block").sortWithinPartitions("block")
+    return every.mapInArrow(summed, "doc_id long, n_words long, n_features long, weight long")
 
 
 def resample(docs: DataFrame, target: DataFrame, params: Params | None = None) -> DataFrame:
@@ -133,8 +206,8 @@ def resample(docs: DataFrame, target: DataFrame, params: Params | None = None) -
 
     Null and empty texts have no features and a weight of 0. Of the rows with
     enough words the highest scores are drawn, `percent` of a hundred rounded
-    down, ties to the smaller doc_id, then by the text's hash; a null doc_id
-    hashes like an empty one and is the last of its ties. Rows that repeat
+    down, ties to the smaller doc_id, then to fewer words; a null doc_id hashes
+    like an empty one and is the last of its ties. Rows that repeat
     count each. The rank is null for rows not drawn. An empty table gives no
     rows, an empty target gains by how rare a bucket is. Other columns are
     ignored.
@@ -142,9 +215,10 @@ def resample(docs: DataFrame, target: DataFrame, params: Params | None = None) -
     p = params or Params()
     hashed = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{p.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((hashed + 0.5) / 4294967296)))
-    scored = materialize(weighed(docs, target, p).withColumn("score", F.col("weight") + noise), "scored")
+    rows = weighed(docs, target, p).groupBy("doc_id", "n_words", "n_features", "weight").agg(F.count("*").alias("copies"))
+    scored = materialize(rows.withColumn("score", F.col("weight") + noise), "scored")
     enough = F.col("n_words") >= p.least_words
-    order = [F.desc("score"), F.col("doc_id").asc_nulls_last(), F.col("mark")]
+    order = [F.desc("score"), F.col("doc_id").asc_nulls_last(), F.col("n_words"), F.col("n_features")]
     ranged = materialize(scored.filter(enough).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
     each = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum("copies").alias("n")).collect()}  # a number for each range
     before, starts = 0, []

@@ -63,7 +63,11 @@ def test_empty_tables(spark):
 
 
 def test_postings_are_counted_by_document(spark):
-    docs = spark.createDataFrame([(1, "a b a"), (2, "b")], "doc_id long, text string")
-    got = {(r["doc_id"], r["bucket"]): r["n"] for r in resampling.postings(docs, resampling.Params()).filter(F.col("bucket") >= 0).collect()}
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b")], "doc_id long, text string").coalesce(1)
+    lists = resampling.postings(docs, resampling.Params())
+    ids = lists.filter("bucket is null").select("block", F.posexplode("doc_ids").alias("at", "doc_id"))
+    rows = lists.filter("bucket is not null").select("bucket", "block", F.explode(F.arrays_zip("at", "counts")).alias("x")).select("bucket", "block", "x.*").join(ids, ["block", "at"])
+    got = {(r["doc_id"], r["bucket"]): r["counts"] for r in rows.collect()}
     a, b = (zlib.crc32(x) % 10_000 for x in (b"a", b"b"))
     assert got == {(1, a): 2, (1, b): 1, (2, b): 1}
+    assert {r["bucket"]: r["n"] for r in lists.filter("bucket is not null").collect()} == {a: 2, b: 2}
