@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.graph import change_score, identity_key, impact_level
 
-# Metadata that a comparison leaves out.
-IGNORED = ("location", "updatedAt", "createdAt", "id")
+# Attributes that a comparison leaves out, of nodes matched by identity and of records compared as they are.
+IGNORED = {
+    "nodes": ("id", "metadata.uid", "metadata.resourceVersion", "metadata.generation", "metadata.creationTimestamp", "status", "location.lineStart", "location.lineEnd", "location.columnStart", "location.columnEnd"),
+    "records": ("location", "updatedAt", "createdAt", "id"),
+}
 
 
 def indexed(nodes: DataFrame, lower_path: bool = True) -> DataFrame:
     """Nodes with their identity key; of several with one key the one of the greatest id."""
     key = identity_key(F.col("type"), F.col("name"), F.col("file_path"), F.col("namespace"), lower_path)
-    last = Window.partitionBy("key").orderBy(F.desc("id"))
-    return nodes.withColumn("key", key).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+    last = nodes.groupBy(key.alias("key")).agg(F.max_by(F.struct(*nodes.columns), "id").alias("x"))
+    return last.select("x.*", "key")
 
 
 def _plain(value: object) -> object:
@@ -37,7 +40,12 @@ def _is_json(text: str) -> bool:
     return True
 
 
-def _leaves(metadata: str | None) -> dict[str, str]:
+def _ignored(path: str, ignore: tuple[str, ...]) -> bool:
+    """Whether a path of the metadata, by itself or as a path of the node, is one of those left out or lies in one."""
+    return any(full == name or full.startswith(f"{name}.") for name in ignore for full in (path, f"metadata.{path}"))
+
+
+def _leaves(metadata: str | None, ignore: tuple[str, ...] = IGNORED["nodes"]) -> dict[str, str]:
     if metadata is None:
         return {}
     try:
@@ -45,9 +53,11 @@ def _leaves(metadata: str | None) -> dict[str, str]:
         if not isinstance(top, dict):
             return {"": metadata}
         out: dict[str, str] = {}
-        todo = [(k, v) for k, v in top.items() if k.split(".")[0] not in IGNORED]
+        todo = list(top.items())
         while todo:
             path, value = todo.pop()
+            if _ignored(path, ignore):
+                continue
             if isinstance(value, dict) and value:
                 todo += [(f"{path}.{k}", v) for k, v in sorted(value.items())]
                 continue
@@ -58,31 +68,46 @@ def _leaves(metadata: str | None) -> dict[str, str]:
         return {"": metadata}
 
 
-def leaves(metadata: Column) -> Column:
-    """Leaf path -> value of a JSON object, however deep; arrays and empty objects are leaves.
+def leaves(metadata: Column, ignore: str = "nodes") -> Column:
+    """Leaf path -> value of a JSON object, however deep; arrays and empty objects are leaves. Left out are the paths of IGNORED[ignore].
 
     Values are JSON with sorted keys, but strings stand as they are unless they
     read as JSON themselves. A null has no leaves; text that is no JSON object
     is one leaf without a path.
     """
-    return F.udf(_leaves, "map<string,string>", useArrow=True)(metadata)
+    names = IGNORED[ignore]
+    return F.udf(lambda text: _leaves(text, names), "map<string,string>", useArrow=True)(metadata)
+
+
+_CHANGES = "struct<added:array<string>,removed:array<string>,modified:array<string>>"
 
 
-def changed_paths(base: Column, target: Column) -> Column:
-    """(added, removed, modified): sorted leaf paths."""
-    a, b = F.map_keys(base), F.map_keys(target)
-    both = F.array_intersect(a, b)
-    return F.struct(F.array_sort(F.array_except(b, a)).alias("added"), F.array_sort(F.array_except(a, b)).alias("removed"), F.array_sort(F.filter(both, lambda k: base[k] != target[k])).alias("modified"))
+def changes_of(base: Column, target: Column, ignore: str = "nodes") -> Column:
+    """(added, removed, modified): sorted leaf paths by which two JSON texts differ; equal texts are not parsed."""
+    names = IGNORED[ignore]
 
+    def compared(a: str | None, b: str | None) -> tuple[list[str], list[str], list[str]]:
+        if a == b:
+            return [], [], []
+        x, y = _leaves(a, names), _leaves(b, names)
+        return sorted(y.keys() - x.keys()), sorted(x.keys() - y.keys()), sorted(k for k in x.keys() & y.keys() if x[k] != y[k])
 
-def node_diff(base: DataFrame, target: DataFrame, lower_path: bool = True) -> DataFrame:
-    """(key, type, change, changes): added, removed, modified and unchanged nodes by identity."""
-    side = lambda df, s: indexed(df, lower_path).select("key", F.col("type").alias(f"type_{s}"), leaves(F.col("metadata")).alias(f"m_{s}"))
+    differ = ~base.eqNullSafe(target)
+    return F.udf(compared, _CHANGES, useArrow=True)(F.when(differ, base), F.when(differ, target))
+
+
+def node_diff(base: DataFrame, target: DataFrame, lower_path: bool = True, ignore: str = "nodes") -> DataFrame:
+    """(key, type, change, changes): added, removed, modified and unchanged nodes by identity.
+
+    Nodes meet first; metadata go to Python, and are parsed, only where both
+    sides have them and their texts differ.
+    """
+    side = lambda df, s: indexed(df, lower_path).select("key", F.col("type").alias(f"type_{s}"), F.col("metadata").alias(f"m_{s}"), F.lit(True).alias(f"in_{s}"))
     both = side(base, "a").join(side(target, "b"), "key", "full_outer")
-    what = changed_paths(F.col("m_a"), F.col("m_b"))
-    both = both.withColumn("changes", F.when(F.col("m_a").isNotNull() & F.col("m_b").isNotNull(), what))
+    shared = F.col("in_a") & F.col("in_b")
+    both = both.withColumn("changes", F.when(shared, changes_of(F.when(shared, F.col("m_a")), F.when(shared, F.col("m_b")), ignore)))
     some = F.size("changes.added") + F.size("changes.removed") + F.size("changes.modified") > 0
-    change = F.when(F.col("type_a").isNull(), "added").when(F.col("type_b").isNull(), "removed").when(some, "modified").otherwise("unchanged")
+    change = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "removed").when(some, "modified").otherwise("unchanged")
     return both.select("key", F.coalesce("type_a", "type_b").alias("type"), change.alias("change"), "changes")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.graph import FLOW_EDGES, FLOW_SOURCES, confidence_level, directory, flow_id, lookup, name_similarity, normal_path, path_segments, path_similarity, paths_related, tool_of
-from ..sources.tables import checkpointed
+from ..sources.tables import Levels, checkpointed
 from .likeness import alike, holding
 from .traverse import steps
 
@@ -18,36 +18,30 @@ DESTINATIONS = ("helm", "kubernetes", "argocd")
 
 
 def end_to_end_flows(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, max_nodes: int = 10) -> DataFrame:
-    """(flow_id, source, target, path, confidence, pipeline, tools) of simple paths over data-flow edges from source nodes to deployed ones.
+    """(flow_id, source, target, path, confidence, pipeline, tools) of paths over data-flow edges from source nodes to deployed ones.
 
-    Of each pair of ends the shortest path counts, ties by node ids. Confidence
-    is the mean of the edges; a CI node on the path is the flow's pipeline, the
-    first such. A flow ends at the first destination that it comes to.
+    Of each pair of ends the shortest path counts, ties by node ids; a path of
+    up to `max_nodes` nodes is grown by one more. A search goes on behind the
+    destinations that it comes to, and enters a node once for each source.
+    Confidence is the mean of the edges; the last CI node on the path is the
+    flow's pipeline.
     """
     kinds = nodes.select(F.col("id").alias("there"), "type")
     roots = sources if sources is not None else nodes.filter(F.col("type").isin(*FLOW_SOURCES)).select(F.col("id").alias("node"))
     moves = checkpointed(steps(edges, "downstream", list(FLOW_EDGES)).join(kinds, "there").select("here", "there", "confidence", tool_of(kinds["type"]).alias("tool")), "moves")
     first = nodes.select(F.col("id").alias("node"), tool_of(F.col("type")).alias("tool"))
-    frontier = roots.join(first, "node").select(F.array("node").alias("path"), F.array("tool").alias("tools"), F.lit(0.0).alias("total"))
-    found = None
-    for _ in range(1, max_nodes):
-        grown = frontier.join(moves, F.element_at("path", -1) == moves["here"]).filter(~F.array_contains("path", F.col("there")))
-        one = F.row_number().over(Window.partitionBy(F.col("path")[0], "there").orderBy("path"))
-        grown = grown.withColumn("n", one).filter("n = 1").select(F.concat("path", F.array("there")).alias("path"), F.concat("tools", F.array("tool")).alias("tools"), (F.col("total") + F.col("confidence")).alias("total"))
-        grown = checkpointed(grown, "flows")
-        if grown.isEmpty():
+    placed = Levels(edges.sparkSession, "flows")
+    frontier = placed.add(roots.join(first, "node").select(F.col("node").alias("source"), "node", F.array("node").alias("path"), F.array("tool").alias("tools"), F.lit(0.0).alias("total")), 0)
+    for depth in range(1, max_nodes + 1):
+        grown = frontier.join(moves, frontier["node"] == moves["here"])
+        best = grown.groupBy("source", "there").agg(F.min(F.struct("path", "tools", "tool", "total", "confidence")).alias("b"))
+        new = best.select("source", F.col("there").alias("node"), F.concat("b.path", F.array("there")).alias("path"), F.concat("b.tools", F.array("b.tool")).alias("tools"), (F.col("b.total") + F.col("b.confidence")).alias("total"))
+        frontier = placed.add(new.join(placed.all().select("source", "node"), ["source", "node"], "left_anti"), depth)
+        if frontier.isEmpty():
             break
-        ends = F.element_at("tools", -1).isin(*DESTINATIONS)
-        hit = grown.filter(ends)
-        found = hit if found is None else found.union(hit)
-        frontier = grown.filter(~ends)
-    if found is None:
-        found = frontier.limit(0)
-    source, target = F.col("path")[0], F.element_at("path", -1)
-    best = Window.partitionBy(source, target).orderBy(F.size("path"), "path")
-    found = found.withColumn("n", F.row_number().over(best)).filter("n = 1")
+    found = placed.all().filter("depth > 0").filter(F.element_at("tools", -1).isin(*DESTINATIONS))
     pipeline = F.filter(F.zip_with("path", "tools", lambda p, t: F.when(t == "ci", p)), lambda x: x.isNotNull())
-    return found.select(flow_id(source, target).alias("flow_id"), source.alias("source"), target.alias("target"), "path", F.round(F.col("total") / (F.size("path") - 1), 6).alias("confidence"), F.try_element_at(pipeline, F.lit(1)).alias("pipeline"), F.array_distinct("tools").alias("tools"))
+    return found.select(flow_id(F.col("source"), F.col("node")).alias("flow_id"), "source", F.col("node").alias("target"), "path", F.round(F.col("total") / F.col("depth"), 6).alias("confidence"), F.try_element_at(pipeline, F.lit(-1)).alias("pipeline"), F.array_distinct("tools").alias("tools"), F.element_at("tools", -1).alias("end"))
 
 
 def described(flows: DataFrame) -> DataFrame:
@@ -62,7 +56,7 @@ def filtered_flows(flows: DataFrame, least: float | None = None, source_tool: st
     if source_tool:
         flows = flows.filter(F.col("tools")[0] == source_tool)
     if destination_tool:
-        flows = flows.filter(F.element_at("tools", -1) == destination_tool)  # a flow ends at its first destination, so no earlier node has that tool
+        flows = flows.filter(F.col("end") == destination_tool)
     if orchestrated:
         flows = flows.filter("pipeline is not null")
     return flows.orderBy(F.desc("confidence"), "flow_id").limit(limit) if limit else flows

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.external import arn_confidence, arn_parts
@@ -73,13 +73,59 @@ def name_matcher(least: float = 0, namespaced: bool = False, threshold: float |
     return Matcher("name", key, score, least, alike=max(threshold, least or DEFAULT_LEAST))
 
 
-def tag_matcher(tags: list[str], least: float = 0) -> Matcher:
-    """All the tags with equal values; 100 where the whole keys agree."""
-    pairs = [F.concat(F.lit(f"{t}="), _meta(f"tags.{t}")) for t in sorted(tags)]
-    key = F.when(F.concat(*pairs).isNotNull(), F.concat_ws("|", *pairs))
+@dataclass(frozen=True)
+class Tag:
+    """A tag that counts: with a value only that value, with a pattern only values that it finds."""
+
+    key: str
+    value: str | None = None
+    pattern: str | None = None
+
+
+def tag_entries(tags: list[str | Tag], mode: str = "all") -> Column:
+    """The sorted entries key=value of the tags that count; null without any, and in mode "all" unless every tag counts."""
+    asked = [Tag(t) if isinstance(t, str) else t for t in tags]
+    entries = []
+    for t in asked:
+        value = F.coalesce(_meta(f"tags.{t.key}"), _meta(f"attributes.tags.{t.key}"))
+        good = value.isNotNull() if t.value is None and t.pattern is None else value == t.value if t.value is not None else value.rlike(t.pattern)
+        entries.append(F.when(good, F.concat(F.lit(f"{t.key}="), value)))
+    found = F.array_sort(F.array_compact(F.array(*entries)))
+    return F.when(F.size(found) >= (len(asked) if mode == "all" else 1), found)
+
+
+def tag_matcher(tags: list[str | Tag], least: float = 0) -> Matcher:
+    """All the tags with equal values: 100. For shares of tags see `tag_matches`."""
+    key = F.array_join(tag_entries(tags), "|")
     return Matcher("tag", key, lambda a, b: F.when(a["key"] == b["key"], 100.0).otherwise(0.0), least, same="key")
 
 
+def tag_matches(nodes: DataFrame, tags: list[str | Tag], least: float = 0, mode: str = "all") -> DataFrame:
+    """(source_repo, source, target_repo, target, strategy, confidence): pairs of resources of different repositories by the share of their entries that are equal, among all tags of both; 5 more, up to 100, for one kind of resource. A least confidence of zero counts as 80.
+
+    A set-overlap join: of n entries so many must be shared that a pair of them
+    meets in the n - shared + 1 rarest ones; only these are joined, and a pair
+    counts where its first common one is.
+    """
+    threshold = least or DEFAULT_LEAST
+    share = max(0.0, threshold - 5) / 100
+    own = nodes.filter("type = 'terraform_resource'").select("repo_id", "id", _meta("resourceType").alias("kind"), tag_entries(tags, mode).alias("own")).filter("own is not null")
+    each = own.select("repo_id", "id", "kind", "own", F.explode("own").alias("entry"))
+    frequent = own.select(F.explode("own").alias("entry")).groupBy("entry").agg(F.count("*").alias("of"))
+    ranked = each.join(frequent, "entry").groupBy("repo_id", "id", "kind", "own").agg(F.array_sort(F.collect_list(F.struct("of", "entry"))).alias("r"))  # as many entries as tags
+    kept = F.size("own") - F.greatest(F.ceil(F.size("own") * F.lit(share) - 1e-9), F.lit(1)) + 1
+    first = F.transform(F.slice("r", F.lit(1), kept.cast("int")), lambda x: x["entry"])
+    sides = ranked.select("repo_id", "id", "kind", "own", first.alias("first"))
+    keyed = checkpointed(sides.select(F.struct("repo_id", "id", "kind", "own", "first").alias("x"), F.explode("first").alias("entry")), "tags")
+    met = keyed.select(F.col("x").alias("a"), "entry").join(keyed.select(F.col("x").alias("b"), "entry"), "entry").filter("a.repo_id < b.repo_id and entry = array_intersect(a.first, b.first)[0]")
+    key_of = lambda x: F.transform(x, lambda e: F.substring_index(e, "=", 1))
+    shared, total = F.size(F.array_intersect("a.own", "b.own")), F.size(F.array_union(key_of(F.col("a.own")), key_of(F.col("b.own"))))
+    base = shared / total * 100
+    sure = F.when(F.col("a.kind").eqNullSafe(F.col("b.kind")), F.least(F.lit(100.0), base + 5)).otherwise(F.round(base))
+    found = met.withColumn("confidence", sure).filter(F.col("confidence") >= threshold)
+    return found.select(F.col("a.repo_id").alias("source_repo"), F.col("a.id").alias("source"), F.col("b.repo_id").alias("target_repo"), F.col("b.id").alias("target"), F.lit("tag").alias("strategy"), "confidence")
+
+
 def _keyed(nodes: DataFrame, matcher: Matcher) -> DataFrame:
     """(x, block): what a matcher compares of each node that it takes."""
     return nodes.select(F.struct("repo_id", "id", "type", _meta("resourceType").alias("kind"), matcher.key.alias("key")).alias("x"), (matcher.block if matcher.block is not None else matcher.key).alias("block")).filter("x.key is not null and block is not null")
@@ -149,29 +195,54 @@ def groups(found: DataFrame) -> DataFrame:
 def merged_nodes(nodes: DataFrame, grouped: DataFrame) -> DataFrame:
     """(id, name, type, source_ids, source_repos, strategy, confidence): a node for each group; its name the most frequent one, on ties the first in the order of (repo, id); its type the first's; its id a hash of the members."""
     own = nodes.join(grouped, ["repo_id", "id"])
-    first = Window.partitionBy("group").orderBy("repo_id", "id")
-    own = own.withColumn("at", F.row_number().over(first))
-    names = own.groupBy("group", "name").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    names = names.groupBy("group").agg(F.max_by("name", F.struct("n", -F.col("at"))).alias("name"))
-    members = own.groupBy("group").agg(F.min_by("type", "at").alias("type"), F.array_sort(F.collect_list(_end("repo_id", "id"))).alias("source_ids"), F.array_sort(F.collect_set("repo_id")).alias("source_repos"), F.first("strategy").alias("strategy"), F.first("confidence").alias("confidence"))
+    at = F.struct("repo_id", "id")
+    names = own.groupBy("group", "name").agg(F.count("*").alias("n"), F.min(at).alias("at"))
+    most = names.groupBy("group").agg(F.max("n").alias("most"))
+    names = names.join(most, "group").filter("n = most").groupBy("group").agg(F.min_by("name", "at").alias("name"))
+    members = own.groupBy("group").agg(F.min_by("type", at).alias("type"), F.array_sort(F.collect_list(_end("repo_id", "id"))).alias("source_ids"), F.array_sort(F.collect_set("repo_id")).alias("source_repos"), F.first("strategy").alias("strategy"), F.first("confidence").alias("confidence"))
     return members.join(names, "group").select(F.substring(F.sha2(F.array_join("source_ids", "|"), 256), 1, 32).alias("id"), "name", "type", "source_ids", "source_repos", "strategy", "confidence")
 
 
+def metadata_values(nodes: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(group, key, at, value, text, kind): each member's top-level metadata; text as it shows, kind array, object or other. Metadata that is no JSON object has none."""
+    own = nodes.join(grouped, ["repo_id", "id"]).select("group", F.struct("repo_id", "id").alias("at"), F.explode(F.from_json("metadata", "map<string,variant>")).alias("key", "value"))
+    schema = F.schema_of_variant("value")
+    kind = F.when(schema.startswith("ARRAY"), "array").when(schema.startswith("OBJECT"), "object").otherwise("other")
+    return own.select("group", "key", "at", "value", F.col("value").cast("string").alias("text"), kind.alias("kind"))
+
+
 def merged_metadata(nodes: DataFrame, grouped: DataFrame, resolution: str = "first") -> DataFrame:
-    """(group, key, value): top-level metadata of each group: equal values stay, others by `resolution` (first, last, or merge, which gives all values in order)."""
-    own = nodes.join(grouped, ["repo_id", "id"]).select("group", "repo_id", "id", F.explode(F.from_json("metadata", "map<string,string>")).alias("key", "value"))
-    order = F.struct("repo_id", "id")
+    """(group, key, value): top-level metadata of each group: equal values stay, others by `resolution`.
+
+    first and last take that member's, in the order of (repo, id). merge goes by
+    the first value: of an array all distinct items of the arrays, in order; of
+    an object the fields of the objects, later ones over earlier, sorted by
+    name; of anything else the first. error fails. Arrays and objects show as
+    JSON, text as it stands.
+    """
+    own = metadata_values(nodes, grouped)
     values = own.groupBy("group", "key")
     match resolution:
         case "first":
-            return values.agg(F.min_by("value", order).alias("value"))
+            return values.agg(F.min_by("text", "at").alias("value"))
         case "last":
-            return values.agg(F.max_by("value", order).alias("value"))
+            return values.agg(F.max_by("text", "at").alias("value"))
         case "merge":
-            listed = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("repo_id", "id", "value"))), lambda x: x["value"]))
-            return values.agg(listed.alias("v")).select("group", "key", F.when(F.size("v") == 1, F.col("v")[0]).otherwise(F.to_json("v")).alias("value"))
+            own = checkpointed(own.withColumn("json", F.to_json("value")).drop("value"), "metadata")
+            first = own.groupBy("group", "key").agg(F.min_by(F.struct("text", "kind"), "at").alias("f"), (F.min(F.struct("kind", "json")) != F.max(F.struct("kind", "json"))).alias("differ"))
+            plain = first.filter(~F.col("differ") | (F.col("f.kind") == "other")).select("group", "key", F.col("f.text").alias("value"))
+            open_ = own.join(first.filter("differ").select("group", "key", F.col("f.kind").alias("kind")), ["group", "key", "kind"])
+            items = open_.filter("kind = 'array'").select("group", "key", "at", F.posexplode(F.transform(F.from_json("json", "array<variant>"), lambda v: F.to_json(v))).alias("i", "item"))
+            items = items.groupBy("group", "key", "item").agg(F.min(F.struct("at", "i")).alias("first"))
+            arrays = items.groupBy("group", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "item"))), lambda x: x["item"]), ",").alias("v"))
+            fields = open_.filter("kind = 'object'").select("group", "key", "at", F.explode(F.from_json("json", "map<string,variant>")).alias("name", "x")).withColumn("x", F.to_json("x"))
+            fields = fields.groupBy("group", "key", "name").agg(F.max_by("x", "at").alias("x"))
+            quoted = F.expr("substring(to_json(array(name)), 2, length(to_json(array(name))) - 2)")
+            objects = fields.groupBy("group", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", F.concat(quoted, F.lit(":"), "x").alias("f")))), lambda y: y["f"]), ",").alias("v"))
+            whole = lambda kind, found, a, z: first.filter(F.col("differ") & (F.col("f.kind") == kind)).select("group", "key").join(found, ["group", "key"], "left").select("group", "key", F.concat(F.lit(a), F.coalesce("v", F.lit("")), F.lit(z)))
+            return plain.union(whole("array", arrays, "[", "]")).union(whole("object", objects, "{", "}"))
         case "error":
-            one = values.agg(F.min("value").alias("value"), F.max("value").alias("other"))
+            one = values.agg(F.min("text").alias("value"), F.max("text").alias("other"))
             return one.select("group", "key", F.when(F.col("value") == F.col("other"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("conflict in "), F.col("key")))).alias("value"))
     raise ValueError(f"unknown resolution {resolution!r}")
 

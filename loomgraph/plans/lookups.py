@@ -9,7 +9,7 @@ from ..functions import graph as fg
 from ..operators import diff, external, flows, rollup, scoring, search, stats, tables
 from ..sources import property_graph as pg
 from ..sources.tables import table
-from .registry import ARN_SQL, DIFF_SQL, FLOWS_SQL, LEVEL_SQL, plain, query
+from .registry import ARN_SQL, DIFF_SQL, FLOWS_SQL, LEVEL_SQL, TOOL_SQL, plain, query
 from .rows import rows
 
 # ---- kinds and fields
@@ -148,6 +148,22 @@ def pod_references(spark, sf_dir):
 # ---- flows
 
 
+CHAINS_SQL = f""", {pg.CHAINED_SQL}, t AS (SELECT id, {TOOL_SQL.format('type')} AS tool FROM nodes), m AS (SELECT source, target, confidence, tool FROM chained JOIN t ON t.id = target WHERE chained.type IN ('FEEDS_INTO', 'references', 'output_value', 'secret_ref', 'configmap_ref')),
+f AS (SELECT [id] AS path, ['terraform'] AS tools, 0.0::DOUBLE AS total FROM nodes WHERE type IN ('terraform_output', 'terraform_resource') UNION ALL SELECT list_append(path, target), list_append(tools, tool), total + confidence FROM f JOIN m ON m.source = path[-1] WHERE len(path) <= 10 AND NOT list_contains(path, target)),
+g AS (SELECT * FROM f WHERE tools[-1] IN ('helm', 'kubernetes', 'argocd') QUALIFY row_number() OVER (PARTITION BY path[1], path[-1] ORDER BY len(path), path) = 1)"""
+
+
+@plain("tool_chains", f"{CHAINS_SQL} SELECT path[1] AS source, path[-1] AS target, array_to_string(path, '>') AS path, round(total / (len(path) - 1), 6) AS confidence, list_filter(path, lambda x, i: tools[i] = 'ci')[-1] AS pipeline, array_to_string(list_filter(tools, lambda x, i: list_position(tools, x) = i), ',') AS tools FROM g")
+def tool_chains(spark, sf_dir):
+    found = flows.end_to_end_flows(pg.nodes(spark, sf_dir), pg.chained_edges(spark, sf_dir))
+    return found.select("source", "target", F.array_join("path", ">").alias("path"), "confidence", "pipeline", F.array_join("tools", ",").alias("tools"))
+
+
+@plain("tool_chain_statistics", f"{CHAINS_SQL} SELECT count(*) AS flows, round(avg(round(total / (len(path) - 1), 6)), 6) AS average, count_if(round(total / (len(path) - 1), 6) >= 80) AS high, count_if(round(total / (len(path) - 1), 6) >= 50 AND round(total / (len(path) - 1), 6) < 80) AS medium, count_if(round(total / (len(path) - 1), 6) < 50) AS low, count_if(list_contains(tools, 'ci')) AS orchestrated, round(avg(len(path) - 1), 6) AS edges FROM g")
+def tool_chain_statistics(spark, sf_dir):
+    return flows.flow_statistics(flows.end_to_end_flows(pg.nodes(spark, sf_dir), pg.chained_edges(spark, sf_dir)))
+
+
 @query("described_flows", f"{FLOWS_SQL} SELECT flow_id, source || ' -> ' || target AS text, 'terraform,helm' AS tools FROM g")
 def described_flows(nodes, edges):
     return flows.described(flows.end_to_end_flows(nodes, edges)).select("flow_id", "text", F.array_join("tools", ",").alias("tools"))

@@ -351,7 +351,7 @@ def tool_blast(nodes, edges):
 
 
 FLOWS_SQL = f""", t AS (SELECT id, {TOOL_SQL.format('type')} AS tool FROM nodes), m AS (SELECT source, target, confidence, tool FROM edges JOIN t ON t.id = target WHERE type IN ('FEEDS_INTO', 'references')),
-f AS (SELECT [id] AS path, 0.0::DOUBLE AS total, 'terraform' AS last FROM nodes WHERE type IN ('terraform_output', 'terraform_resource') UNION ALL SELECT list_append(path, target), total + confidence, tool FROM f JOIN m ON m.source = path[-1] WHERE len(path) < 10 AND last NOT IN ('helm', 'kubernetes', 'argocd') AND NOT list_contains(path, target)),
+f AS (SELECT [id] AS path, 0.0::DOUBLE AS total, 'terraform' AS last FROM nodes WHERE type IN ('terraform_output', 'terraform_resource') UNION ALL SELECT list_append(path, target), total + confidence, tool FROM f JOIN m ON m.source = path[-1] WHERE len(path) <= 10 AND NOT list_contains(path, target)),
 g AS (SELECT path[1] AS source, path[-1] AS target, round(total / (len(path) - 1), 6) AS confidence, 'flow-' || sha256('flow:' || path[1] || ':' || path[-1])[:16] AS flow_id FROM f WHERE last IN ('helm', 'kubernetes', 'argocd'))"""
 
 
@@ -435,9 +435,15 @@ def fuzzy_name_matches_of_all(nodes, edges):
     return rollup.matches(nodes, rollup.name_matcher(90, threshold=90)).select("source", "target", "confidence")
 
 
-@query("tag_matches", "SELECT a.id AS source, b.id AS target, 100.0::DOUBLE AS confidence FROM nodes a JOIN nodes b ON a.repo_id < b.repo_id AND a.metadata->>'$.tags.Project' = b.metadata->>'$.tags.Project' AND a.metadata->>'$.tags.Environment' = b.metadata->>'$.tags.Environment'")
+@query("tag_matches", """, t AS (SELECT id, repo_id, metadata->>'resourceType' AS kind, split_part(id, ':', 2)::BIGINT AS k FROM nodes WHERE type = 'terraform_resource'), g AS (SELECT *, k // 2 AS owner, k // 3 AS cost, CASE WHEN k % 4 = 3 THEN 'old' ELSE 'new' END AS state FROM t),
+  c AS (SELECT a.id AS source, b.id AS target, a.kind = b.kind AS same, ((a.owner = b.owner)::INT + (a.cost = b.cost)::INT + (a.state = b.state)::INT) AS n FROM g a JOIN g b ON a.repo_id < b.repo_id AND (a.owner = b.owner OR a.cost = b.cost))
+  SELECT source, target, CASE WHEN same THEN least(100.0, n / 3 * 100 + 5) ELSE round(n / 3 * 100) END::DOUBLE AS confidence FROM c WHERE CASE WHEN same THEN least(100.0, n / 3 * 100 + 5) ELSE round(n / 3 * 100) END >= 60""")
 def tag_matches(nodes, edges):
-    return rollup.matches(nodes, rollup.tag_matcher(["Environment", "Project"])).select("source", "target", "confidence")
+    k = F.regexp_extract("id", r":(\d+)$", 1).try_cast("long")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    tags = text('"tags":{"Owner":"', F.floor(k / 2), '","Cost":"', F.floor(k / 3), '","State":"', F.when(k % 4 == 3, "old").otherwise("new"), '"')
+    own = nodes.filter("type = 'terraform_resource'").withColumn("metadata", F.regexp_replace("metadata", F.lit(r'"tags":\{"Environment":"[a-z]+"'), tags))
+    return rollup.tag_matches(own, ["Owner", "Cost", "State"], 60).select("source", "target", "confidence")
 
 
 @query("merged_nodes", f", {ARN_SQL}, g AS (SELECT source, target FROM m) SELECT sha256('repo-0/' || source || '|repo-1/' || target)[:32] AS id, 2 AS members, (SELECT name FROM nodes WHERE id = source) AS name FROM g")
@@ -449,9 +455,22 @@ def merged_nodes(nodes, edges):
 PAIRS_SQL = "g AS (SELECT 'repo-0/' || source AS grp, source, target FROM m), o AS (SELECT grp, 0 AS i, source AS id FROM g UNION ALL SELECT grp, 1, target FROM g)"
 
 
-@query("merged_metadata", f", {ARN_SQL}, {PAIRS_SQL}, v AS (SELECT grp, i, key, metadata->>('$.\"' || key || '\"') AS value FROM (SELECT grp, i, metadata, unnest(json_keys(metadata)) AS key FROM o JOIN nodes USING (id))) SELECT grp AS \"group\", key, CASE WHEN count(DISTINCT value) = 1 THEN min(value) ELSE to_json(list(value ORDER BY i))::VARCHAR END AS value FROM v GROUP BY grp, key")
+LISTED = "CASE WHEN json_type({0}) = 'ARRAY' THEN 'array' WHEN json_type({0}) = 'OBJECT' THEN 'object' ELSE 'other' END"
+
+
+@query("merged_metadata", f""", {ARN_SQL}, {PAIRS_SQL},
+  n2 AS (SELECT id, json_merge_patch(metadata, '{{"zones":["z' || (line_start % 3) || '","z' || (line_start % 2) || '"],"owner":{{"k' || (line_start % 2) || '":' || line_start || ',"all":' || (line_start % 5) || '}}}}') AS metadata FROM nodes WHERE type = 'terraform_resource'),
+  v AS (SELECT grp, i, key, json_extract(metadata, '$."' || key || '"') AS j, metadata->>('$."' || key || '"') AS value FROM (SELECT grp, i, metadata, unnest(json_keys(metadata)) AS key FROM o JOIN n2 USING (id))),
+  k AS (SELECT grp, key, arg_min(value, i) AS first, arg_min(j, i) AS fj, arg_max(j, i) AS lj, count(DISTINCT j::VARCHAR) AS n FROM v GROUP BY grp, key)
+  SELECT grp AS "group", key, CASE WHEN {LISTED.format('fj')} = 'object' THEN merged WHEN n = 1 OR {LISTED.format('fj')} = 'other' THEN first ELSE to_json(list_distinct_in_order)::VARCHAR END AS value FROM (
+    SELECT k.*, list_filter(z, lambda x, i: list_position(z, x) = i) AS list_distinct_in_order, '{{' || list_aggregate(list_sort(list_transform(json_keys(bo), lambda q: '"' || q || '":' || json_extract(bo, '$.' || q)::VARCHAR)), 'string_agg', ',') || '}}' AS merged FROM (
+      SELECT k.*, CASE WHEN {LISTED.format('fj')} = 'array' THEN list_concat(from_json(fj, '["VARCHAR"]'), from_json(lj, '["VARCHAR"]')) END AS z, CASE WHEN {LISTED.format('fj')} = 'object' THEN json_merge_patch(fj, lj) END AS bo FROM k) k)""")
 def merged_metadata(nodes, edges):
-    return rollup.merged_metadata(nodes, rollup.groups(rollup.all_matches(nodes, [rollup.arn_matcher()])), "merge")
+    n = F.col("line_start")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    more = text(',"zones":["z', n % 3, '","z', n % 2, '"],"owner":{"k', n % 2, '":', n, ',"all":', n % 5, "}}")
+    own = nodes.filter("type = 'terraform_resource'").withColumn("metadata", F.concat(F.expr("substring(metadata, 1, length(metadata) - 1)"), more))
+    return rollup.merged_metadata(own, rollup.groups(rollup.all_matches(nodes, [rollup.arn_matcher()])), "merge")
 
 
 MERGED_EDGES_SQL = f""", {ARN_SQL}, w AS (SELECT source, target FROM m UNION SELECT a.id, b.id FROM nodes a JOIN nodes b ON lower(a.name) = lower(b.name) AND a.repo_id < b.repo_id), u AS (SELECT source AS a, target AS b FROM w UNION ALL SELECT target, source FROM w),

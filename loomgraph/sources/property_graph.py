@@ -265,3 +265,27 @@ ci_steps AS (
     CASE WHEN kind = 4 THEN 'out' || v || '.json' WHEN kind = 5 AND v % 2 = 1 THEN 'out' || w || '.json' END AS path, CASE kind WHEN 0 THEN 'W' || v END AS env_name
   FROM (SELECT workflow, job, ordinal, n, l_partkey % 4 AS v, l_suppkey % 3 AS w, (n + ordinal) % 7 AS kind FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INTEGER AS n FROM lineitem) JOIN ci_jobs ON o_orderkey = l_orderkey))
 """
+
+
+def chained_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges, and such as make chains over several tools: a part feeds the job of its number, a job its customer, and a chart the deployment of its number."""
+    o, s, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
+    columns = ["id", "source", "target", "type", "confidence"]
+
+    def made(df: DataFrame, source: F.Column, target: F.Column, kind: str, key: F.Column) -> DataFrame:
+        return df.select(F.concat(F.lit(f"{kind}:"), source, F.lit(">"), target).alias("id"), source.alias("source"), target.alias("target"), F.lit(kind).alias("type"), (F.lit(40) + key % 61).cast("double").alias("confidence"))
+
+    more = made(p, _key("part", "p_partkey"), _key("orders", "p_partkey"), "output_value", F.col("p_partkey"))
+    more = more.union(made(o, _key("orders", "o_orderkey"), _key("customer", "o_custkey"), "secret_ref", F.col("o_orderkey")))
+    more = more.union(made(s, _key("supplier", "s_suppkey"), _key("customer", "s_suppkey"), "configmap_ref", F.col("s_suppkey")))
+    return edges(spark, sf_dir).select(*columns).unionByName(more)
+
+
+#: The same, which may follow GRAPH_SQL.
+CHAINED_SQL = """
+chained AS (
+  SELECT source, target, type, confidence FROM edges
+  UNION ALL SELECT 'part:' || p_partkey, 'orders:' || p_partkey, 'output_value', (40 + p_partkey % 61)::DOUBLE FROM part
+  UNION ALL SELECT 'orders:' || o_orderkey, 'customer:' || o_custkey, 'secret_ref', (40 + o_orderkey % 61)::DOUBLE FROM orders
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'customer:' || s_suppkey, 'configmap_ref', (40 + s_suppkey % 61)::DOUBLE FROM supplier)
+"""
