@@ -93,6 +93,30 @@ class Pairs:
         return np.concatenate([[0], np.cumsum(np.bincount(words.astype(np.int64), minlength=len(sizes)))]), ids[order]
 
 
+Merges = dict[tuple[int, int], tuple[int, int]]
+
+
+def merge_by_agenda(ids: list[int], merges: Merges) -> list[int]:
+    """Ids of one word after all merges (pair -> rank, result), the lowest rank first, of equal ones the leftmost, by a heap of the adjacent pairs in n log n steps."""
+    n, ids = len(ids), list(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    agenda = [(merges[pair][0], i, *pair) for i, pair in enumerate(zip(ids, ids[1:])) if pair in merges]
+    heapq.heapify(agenda)
+    while agenda:
+        _, i, a, b = heapq.heappop(agenda)
+        j = after[i]
+        if ids[i] != a or j >= n or ids[j] != b:
+            continue  # one of the two has been merged since
+        ids[i], ids[j], after[i] = merges[a, b][1], -1, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for left in (before[i], i):
+            pair = (ids[left], ids[after[left]]) if left >= 0 and after[left] < n else None
+            if pair in merges:
+                heapq.heappush(agenda, (merges[pair][0], left, *pair))
+    return [x for x in ids if x >= 0]
+
+
 def gather(offsets: np.ndarray, values: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, values) of the lists that `codes` name, one after another."""
     sizes = np.diff(offsets)[codes]

@@ -10,15 +10,12 @@ gets large.
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import materialize, unused, whole_text
+from .tables import materialize, numbered, unused, whole_text
 from .words import WORD
 
 
@@ -28,67 +25,67 @@ STEPS = (7919, 6151, 5003, 4001, 3079, 2003, 1543, 1009, 769, 523, 389, 271, 193
 
 @dataclass(frozen=True)
 class Params:
-    """The mix has `share` times all words; sources in order weigh `weights`, repeating, and give `most` times their words at most. A table of more than `max_sources` sources is refused, as their totals are gathered."""
+    """The mix has `share` times all words; sources in order weigh `weights`, repeating, and give `most` times their words at most."""
 
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     share: float = 1.5
     most: int = 2
     block_words: int = 32
-    max_sources: int = 200_000
     seed: int = 23
 
 
-def targets(sizes: np.ndarray, weights: np.ndarray, total: float, most: float) -> np.ndarray:
-    """Shares of `total` by weight, stopped at most * size, what is over shared anew by weight until none is above."""
-    out, free, left = np.zeros(len(sizes)), np.ones(len(sizes), bool), float(total)
-    cap = most * sizes.astype(float)
-    while free.any():
-        level = left / weights[free].sum()
-        above = free & (weights * level > cap)
-        if not above.any():
-            out[free] = weights[free] * level
-            break
-        out[above] = cap[above]
-        left -= cap[above].sum()
-        free &= ~above
-    return out
+def apportioned(votes: DataFrame, seats: int) -> DataFrame:
+    """(key, seats) of (key, votes): seats by the highest quotients votes / (2 * own seats + 1); ties go to the lesser key. No votes, no seats.
+
+    Rounding the shares gives what so many seats would give by quotients; those
+    that are missing go by the highest next quotients, those that are too many
+    by the lowest last ones, of which each key offers as many as it could win
+    or lose.
+    """
+    whole = votes.agg(F.sum(F.greatest("votes", F.lit(0.0))).alias("v")).first()["v"] or 0.0
+    if seats <= 0 or not whole:
+        return votes.select("key", F.lit(0).cast("long").alias("seats"))
+    share = F.greatest("votes", F.lit(0.0)) / whole
+    base = materialize(votes.select("key", F.greatest("votes", F.lit(0.0)).alias("votes"), share.alias("share"), F.floor(share * seats + 0.5).alias("got")), "seats")
+    left = seats - base.agg(F.sum("got").alias("n")).first()["n"]
+    if not left:
+        return base.select("key", F.col("got").alias("seats"))
+    offers = base.filter("votes > 0").withColumn("step", F.explode(F.sequence(F.lit(0), (2 * F.ceil(F.lit(abs(left)) * F.col("share")) + 2).cast("int"))))
+    last = F.col("got") - F.col("step")
+    order = -F.col("votes") / (2 * (F.col("got") + F.col("step")) + 1) if left > 0 else F.when(last > 0, F.col("votes") / (2 * last - 1))
+    offers = offers.select("key", "step", order.alias("order")).filter("order is not null")
+    placed, _ = numbered(offers, [F.col("order"), F.col("key") if left > 0 else F.desc("key"), F.col("step")], "place")
+    moved = placed.filter(F.col("place") < abs(left)).groupBy("key").agg(F.count("*").alias("n"))
+    sign = 1 if left > 0 else -1
+    return base.join(moved, "key", "left").select("key", (F.col("got") + sign * F.coalesce("n", F.lit(0))).alias("seats"))
 
 
-def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
-    """Seats by the highest quotients votes / (2 * own seats + 1); ties go to the earlier one.
+def source_quotas(totals: DataFrame, p: Params) -> DataFrame:
+    """(source, key, source_size, target, full, blocks, shards) of totals (source, source_size, rows): targets, blocks (none if full: the source gives all that it may) and the number of shards.
 
-    Rounding votes / divisor gives what so many seats would give by quotients;
-    the few seats that are missing or too many then follow one by one.
+    Sources are numbered by code point, null last, and stay distributed. A level
+    of words for a weight of one rises until the sources that it would take
+    beyond their most are those that it is worked out without; each round is an
+    aggregate of the totals.
     """
-    votes = np.maximum(np.asarray(votes, float), 0)
-    if seats <= 0 or not votes.sum():
-        return np.zeros(len(votes), np.int64)
-    low, high = 0.0, 2 * votes.max() + 1
-    for _ in range(100):  # the least divisor that gives away no more than there is
-        middle = (low + high) / 2
-        if middle in (low, high):
+    placed, _ = numbered(totals, [F.col("source").asc_nulls_last()], "key")
+    weights = F.array(*[F.lit(float(w)) for w in p.weights])
+    sized = materialize(placed.withColumns({"weight": F.element_at(weights, (F.col("key") % len(p.weights) + 1).cast("int")), "most": F.col("source_size") * p.most}), "sources")
+    whole = sized.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")).first()
+    total, level, free, stopped, over = p.share * whole["n"], 0.0, whole["w"], 0, 0
+    while free > 0:
+        level = (total - stopped) / free
+        above = F.col("weight") * level > F.col("most")
+        row = sized.agg(F.coalesce(F.sum(F.when(above, F.col("most"))), F.lit(0)).alias("stopped"), F.count_if(above).alias("over"), F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0.0)).alias("free")).first()
+        if row["over"] == over:
             break
-        low, high = (middle, high) if np.floor(votes / middle + 0.5).sum() > seats else (low, middle)
-    got = np.floor(votes / high + 0.5).astype(np.int64)
-    heap = [(-v / (2 * n + 1), i) for i, (v, n) in enumerate(zip(votes.tolist(), got.tolist(), strict=True))]
-    heapq.heapify(heap)
-    for _ in range(seats - int(got.sum())):
-        _, i = heap[0]
-        got[i] += 1
-        heapq.heapreplace(heap, (-votes[i] / (2 * int(got[i]) + 1), i))
-    return got
-
-
-def source_quotas(totals: pd.DataFrame, p: Params) -> pd.DataFrame:
-    """(source, source_size, rows) totals with target, blocks (all: as often as allowed) and shards."""
-    named = totals.assign(null=totals["source"].isna(), code=[(s or "").encode("utf-32-be") for s in totals["source"].where(totals["source"].notna(), None)]).sort_values(["null", "code"]).reset_index(drop=True)
-    size = named["source_size"].to_numpy(np.int64)
-    weight = np.resize(np.array(p.weights, float), len(named)) if len(named) else np.empty(0)
-    goal = targets(size, weight, p.share * int(size.sum()), p.most) if len(named) else np.empty(0)
-    full = goal >= p.most * size
-    blocks = np.zeros(len(named), np.int64)
-    blocks[~full] = sainte_lague(goal[~full], round(goal[~full].sum() / p.block_words))
-    return named.assign(target=goal, full=full, blocks=blocks, shards=np.ceil(np.sqrt(named["rows"])).astype(np.int64)).drop(columns=["code", "null"])
+        stopped, over, free = row["stopped"], row["over"], row["free"]
+    goal = F.least(F.col("most").cast("double"), F.col("weight") * level) if free > 0 else F.col("most").cast("double")
+    aimed = materialize(sized.withColumn("target", goal).withColumn("full", F.col("target") >= F.col("most")), "targets")
+    wanted = (aimed.filter("not full").agg(F.sum("weight").alias("w")).first()["w"] or 0.0) * level
+    blocks = apportioned(aimed.filter("not full").select("key", F.col("target").alias("votes")), round(wanted / p.block_words))
+    shards = F.ceil(F.sqrt(F.col("rows"))).cast("long")
+    return aimed.join(blocks, "key", "left").select("source", "key", "source_size", "target", "full", F.coalesce("seats", F.lit(0)).cast("long").alias("blocks"), shards.alias("shards"))
 
 
 def _shard_quotas(shards: DataFrame, p: Params) -> DataFrame:
@@ -134,14 +131,8 @@ def plan(docs: DataFrame, params: Params | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), F.xxhash64("text").alias("mark"))
     rows = materialize(rows, "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    gathered = totals.limit(p.max_sources + 1).toPandas()  # a row for each source
-    if len(gathered) > p.max_sources:
-        raise ValueError(f"more than {p.max_sources} sources")
-    quotas = source_quotas(gathered, p)
-    schema = "source string, key int, source_size long, target double, full boolean, blocks long, shards long"
-    table = [(None if pd.isna(r.source) else r.source, i, int(r.source_size), float(r.target), bool(r.full), int(r.blocks), int(r.shards)) for i, r in enumerate(quotas.itertuples())]
-    sources = spark.createDataFrame(table, schema)
-    dealt = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop("source")
+    sources = materialize(source_quotas(totals, p), "sources")
+    dealt = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop("source")
     draw = F.xxhash64("doc_id", "mark", F.lit(p.seed))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(p.seed + 1)), F.col("shards"))).withColumn("draw", draw)
     shards = materialize(_shard_quotas(dealt.groupBy("key", "shard", "target", "full", "blocks").agg(F.sum("size").alias("shard_size")), p), "quotas")

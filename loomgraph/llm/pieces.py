@@ -11,7 +11,6 @@ without a piece become their UTF-8 bytes' pieces.
 from __future__ import annotations
 
 import codecs
-import heapq
 import re
 import struct
 import zlib
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import NEVER, Pairs, coded, gather
+from .bpe import NEVER, Pairs, coded, gather, merge_by_agenda
 from .tables import Kernel, with_columns
 
 SPACE = "▁"
@@ -143,33 +142,13 @@ class Encoder:
         order = np.argsort(units, kind="stable")
         return np.concatenate([[0], np.cumsum(np.bincount(units.astype(np.int64), minlength=len(sizes)))]), ids[order]
 
-    def _alone(self, ids: list[int]) -> list[int]:
-        """Symbols of one long unit after all merges, by a heap of (rank, place of the left symbol, both symbols)."""
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(self.merges[pair][0], i, *pair) for i, pair in enumerate(zip(ids, ids[1:])) if pair in self.merges]
-        heapq.heapify(agenda)
-        while agenda:
-            _, i, a, b = heapq.heappop(agenda)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue  # one of the two has been merged since
-            ids[i], ids[j], after[i] = self.merges[a, b][1], -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for left in (before[i], i):
-                pair = (ids[left], ids[after[left]]) if left >= 0 and after[left] < n else None
-                if pair in self.merges:
-                    heapq.heappush(agenda, (self.merges[pair][0], left, *pair))
-        return [x for x in ids if x >= 0]
-
     def merge(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of units."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         long, short = np.flatnonzero(sizes > _LONG), np.flatnonzero(sizes <= _LONG)
         chars = lambda text: self.of_char[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
         bounds, ids = self._together(chars("".join(units[i] for i in short)), sizes[short])
-        lists = [self._alone(chars(units[i]).tolist()) for i in long]
+        lists = [merge_by_agenda(chars(units[i]).tolist(), self.merges) for i in long]
         starts = np.concatenate([bounds, bounds[-1] + np.cumsum(np.array([len(x) for x in lists], np.int64))]).astype(np.int64)
         codes = np.empty(len(units), np.int64)
         codes[np.concatenate([short, long])] = np.arange(len(units))

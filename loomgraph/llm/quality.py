@@ -122,8 +122,8 @@ def train(sample: DataFrame, params: Params | None = None) -> tuple[np.ndarray,
     return table, float(w[at == -1].sum()) / shards
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], params: Params | None = None) -> DataFrame:
-    """`docs` with a double column quality_score; null and empty texts get the constant's score, repeated rows the same.
+def score(docs: DataFrame, model: tuple[np.ndarray, float], params: Params | None = None, to: str = "quality_score") -> DataFrame:
+    """`docs` with a double column `to`; null and empty texts get the constant's score, repeated rows the same.
 
     A column of that name is replaced; others stay, whatever their names.
     """
@@ -140,14 +140,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], params: Params | Non
 
         return made
 
-    return with_columns(docs, "text", {"quality_score": T.DoubleType()}, kernel)
+    return with_columns(docs, "text", {to: T.DoubleType()}, kernel)
 
 
-def fit_and_score(docs: DataFrame, labels: DataFrame, keep: F.Column, corpus: DataFrame | None = None, params: Params | None = None) -> DataFrame:
+def fit_and_score(docs: DataFrame, labels: DataFrame, keep: F.Column, corpus: DataFrame | None = None, params: Params | None = None, to: str = "quality_score") -> DataFrame:
     """Fit on labelled rows of `corpus` (or `docs`) for which `keep` holds, then score every row of `docs`.
 
-    Only texts are features. Labels for absent ids, and nulls, are left out.
+    Only texts are features. Labels for absent ids, null ids and null labels are
+    left out; of several labels of one id the larger counts. Null and empty
+    texts get the constant's score, repeated rows the same each. Without labels
+    every score is a half; without documents there are no rows. A column named
+    as `to` is replaced.
     """
     p = params or Params()
     sample = labelled_sample(docs if corpus is None else corpus, labels, "quality", keep, p.max_rows)
-    return score(docs, train(sample, p), p)
+    return score(docs, train(sample, p), p, to)

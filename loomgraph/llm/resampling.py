@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialize, tidy, whole_text
+from .tables import materialize, numbered, tidy, whole_text
 from .words import slices
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -219,15 +219,8 @@ def resample(docs: DataFrame, target: DataFrame, params: Params | None = None) -
     scored = materialize(rows.withColumn("score", F.col("weight") + noise), "scored")
     enough = F.col("n_words") >= p.least_words
     order = [F.desc("score"), F.col("doc_id").asc_nulls_last(), F.col("n_words"), F.col("n_features")]
-    ranged = materialize(scored.filter(enough).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
-    each = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum("copies").alias("n")).collect()}  # a number for each range
-    before, starts = 0, []
-    for part in sorted(each):
-        starts.append((part, before))
-        before += each[part]
-    drawn = p.percent * before // 100
-    line = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = ranged.join(F.broadcast(docs.sparkSession.createDataFrame(starts, "part int, start long")), "part").withColumn("start", F.col("start") + F.coalesce(F.sum("copies").over(line), F.lit(0)))
+    own, whole = numbered(scored.filter(enough), order, "start", F.col("copies"))
+    drawn = p.percent * whole // 100
     rank = F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("copies")), lambda i: F.when(F.col("start") + i <= drawn, F.col("start") + i)))
     rest = scored.filter(~enough).select("doc_id", "n_features", "weight", "score", F.explode(F.array_repeat(F.lit(None).cast("long"), F.col("copies").cast("int"))).alias("rank"))
     return own.select("doc_id", "n_features", "weight", "score", rank.alias("rank")).union(rest)

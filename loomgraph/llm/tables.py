@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from ..sources.tables import checkpointed as materialize
 from ..sources.tables import discard, fresh_path, table
 from .words import slices
 
-__all__ = ["discard", "fresh_path", "materialize", "table", "tidy", "unused", "whole_text", "with_columns"]
+__all__ = ["discard", "fresh_path", "materialize", "numbered", "table", "tidy", "unused", "whole_text", "with_columns"]
 
 
 def whole_text(column: str = "text") -> F.Column:
@@ -62,6 +62,21 @@ def with_columns(docs: DataFrame, column: str, added: dict[str, T.DataType], ker
     return docs.select(*sent).mapInArrow(run, T.StructType([*fields, *(T.StructField(name, kind) for name, kind in added.items())]))
 
 
+def numbered(df: DataFrame, order: list[Column], to: str, count: Column | None = None) -> tuple[DataFrame, int]:
+    """`df` with the number of rows (or the sum of `count`) before each in an order, and the number of all: ranges are sorted by themselves, and only a number for each range goes through the driver."""
+    part, n = unused(df, "part"), F.lit(1).cast("long") if count is None else count.cast("long")
+    ranged = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "numbered")
+    each = {r["part"]: r["n"] for r in ranged.groupBy(F.col(part).alias("part")).agg(F.sum(n).alias("n")).collect()}
+    starts, before = [], 0
+    for number in sorted(each):
+        starts.append((number, before))
+        before += each[number]
+    line = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    begins = df.sparkSession.createDataFrame(starts, "part int, start long")
+    met = ranged.join(F.broadcast(begins), ranged[part] == begins["part"])
+    return met.select(*[ranged[c] for c in df.columns], (begins["start"] + F.coalesce(F.sum(n).over(line), F.lit(0))).alias(to)), before
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that `df` doesn't have yet, made of `name`."""
     taken = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import SPACE, Pairs, coded, pattern_of
+from .bpe import SPACE, Merges, Pairs, coded, merge_by_agenda, pattern_of
 from .tables import Kernel, with_columns
 
 
@@ -30,11 +30,16 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+#: Words of more bytes are merged by a heap each.
+_LONG = 256
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """Merge table, the ids of each byte inside and at the end of a word, the proven one-token words, the pre-token pattern and the special strings."""
+    """Merge table, as arrays and by pair, the ids of each byte inside and at the end of a word, the proven one-token words, the pre-token pattern and the special strings."""
 
     pairs: Pairs
+    merges: Merges
     inner: np.ndarray
     final: np.ndarray
     pattern: str
@@ -42,13 +47,23 @@ class Vocabulary:
     proven: frozenset[str] = field(default=frozenset())
 
     def sizes(self, words: list[bytes]) -> np.ndarray:
-        """Number of tokens of each word, by merging."""
+        """Number of tokens of each word, by merging: short words all together, long ones by a heap each."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        long, short = np.flatnonzero(lengths > _LONG), np.flatnonzero(lengths <= _LONG)
+        out = np.empty(len(words), np.int64)
+        ids, sizes = self._symbols([words[i] for i in short]), lengths[short]
+        out[short] = np.diff(self.pairs.merge(ids, sizes)[0])
+        out[long] = [len(merge_by_agenda(self._symbols([words[i]]).tolist(), self.merges)) for i in long]
+        return out
+
+    def _symbols(self, words: list[bytes]) -> np.ndarray:
+        """The ids of the bytes of words, one after another."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         ids = self.inner[raw]
         ends = np.cumsum(lengths)[lengths > 0] - 1
         ids[ends] = self.final[raw[ends]]
-        return np.diff(self.pairs.merge(ids, lengths)[0])
+        return ids
 
 
 def read_vocabulary(path: str) -> Vocabulary:
@@ -62,12 +77,13 @@ def read_vocabulary(path: str) -> Vocabulary:
     inner, final = (np.array([ids[c + tail] for c in letters], np.int32) for tail in ("", end))
     pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
     special = tuple(t["content"] for t in data["added_tokens"] if t["special"])
-    unproven = Vocabulary(Pairs(*made), inner, final, pattern, special)
+    by_pair = {(a, b): (rank, result) for a, b, rank, result in made.T.tolist()}
+    unproven = Vocabulary(Pairs(*made), by_pair, inner, final, pattern, special)
     byte_of = {c: i for i, c in enumerate(letters)}
     whole = [bytes(byte_of[c] for c in token[: -len(end)]) for token in ids if token.endswith(end) and token != end and all(c in byte_of for c in token[: -len(end)])]
     proven = {w for w, n in zip(whole, unproven.sizes(whole).tolist(), strict=True) if n == 1}
     texts = frozenset(w.decode() for w in proven if w.decode("utf-8", "ignore").encode() == w)
-    return Vocabulary(unproven.pairs, inner, final, pattern, special, texts)
+    return Vocabulary(unproven.pairs, by_pair, inner, final, pattern, special, texts)
 
 
 def lowered(text: str) -> str:

@@ -2,8 +2,8 @@
 
 Folding maps homoglyphs and digit substitutions to plain letters and
 everything between words to one space character each. A lexicon term is a word
-beginning (" idio") with a weight; hits inside an exception phrase don't
-count. Terms, weights, exceptions and the final scale are learned from
+beginning (" idio") or a whole word (" ass ") with a weight; hits inside an
+exception phrase don't count. Terms, weights, exceptions and the final scale are learned from
 labelled rows.
 """
 
@@ -70,10 +70,9 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Params:
-    """`max_rows` bounds the labelled rows that are learned from, `max_terms` the lexicon. A term begins a word, has `shortest` to `longest` letters, stands in `support` toxic texts and has a rate in them at least `odds` times that in others."""
+    """`max_rows` bounds the labelled rows that are learned from, and so the lexicon. A term is a word's beginning of `shortest` to `longest` letters, or a whole word that is shorter or longer; it stands in `support` toxic texts and has a rate in them at least `odds` times that in others."""
 
     max_rows: int = 20_000
-    max_terms: int = 5_000
     shortest: int = 4
     longest: int = 9
     support: int = 4
@@ -93,15 +92,17 @@ def candidates(folded: str, p: Params) -> set[str]:
     found = set()
     for word in set(folded.split()):
         found.update([" " + word[:n] for n in range(p.shortest, min(len(word), p.longest) + 1)])
+        if not p.shortest <= len(word) <= p.longest:
+            found.add(f" {word} ")
     return found
 
 
 def _automaton(lexicon: Lexicon) -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
     for term, weight in lexicon.terms.items():
-        machine.add_word(term, (len(term), weight))
+        machine.add_word(term, (len(term), len(term.rstrip()), weight))
     for phrase in lexicon.exceptions:
-        machine.add_word(phrase, (len(phrase), None))
+        machine.add_word(phrase, (len(phrase), len(phrase), None))
     machine.make_automaton()
     return machine
 
@@ -112,10 +113,10 @@ def hits(folded: str, machine: ahocorasick.Automaton) -> list[tuple[int, int, fl
         return []
     terms: dict[int, tuple[int, float]] = {}
     exempt: list[tuple[int, int]] = []
-    for last, (size, weight) in machine.iter(folded):
-        start = last + 1 - size
+    for last, (length, size, weight) in machine.iter(f"{folded} "):
+        start = last + 1 - length
         if weight is None:
-            exempt.append((start, last + 1))
+            exempt.append((start, start + size))
         elif size > terms.get(start, (0, 0))[0]:
             terms[start] = (size, weight)
     exempt.sort()
@@ -159,7 +160,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def learn(sample: DataFrame, params: Params | None = None, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """Lexicon from (text, label) rows; without toxic rows it is empty and every score is low."""
+    """Lexicon from (text, label) rows; without toxic rows it is empty and every score is low. Repeated rows count each; null texts have to be empty ones, as `labelled_sample` gives them. The order of rows makes no difference but for rounding."""
     p = params or Params()
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
@@ -167,8 +168,8 @@ def learn(sample: DataFrame, params: Params | None = None, exceptions: tuple[str
         return Lexicon({}, tuple(exceptions))
     rate = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / max(1, clean))
     best = _counts(sample, functools.partial(candidates, p=p)).filter((F.col("toxic") >= p.support) & (rate >= p.odds))
-    found = {r["term"]: float(r["w"]) for r in best.select("term", F.log(rate).alias("w"), "toxic").orderBy(F.desc("toxic"), F.desc("w"), "term").limit(p.max_terms).collect()}
-    terms = {t: w for t, w in found.items() if not any(t[:k] in found for k in range(p.shortest + 1, len(t)))}
+    found = {r["term"]: float(r["w"]) for r in best.select("term", F.log(rate).alias("w"), "toxic").collect()}  # of the sample's words
+    terms = {t: w for t, w in sorted(found.items()) if not any(t[:k] in found for k in range(p.shortest + 1, len(t)))}
     lexicon = Lexicon(terms, tuple(exceptions))
 
     def phrases(folded: str) -> set[str]:
@@ -181,8 +182,8 @@ def learn(sample: DataFrame, params: Params | None = None, exceptions: tuple[str
             out.add(" " + " ".join([*folded[:start].rsplit(maxsplit=1)[-1:], folded[start + 1 : stop]]))
         return out
 
-    exempt = _counts(sample, phrases).filter("toxic = 0 and clean >= 2").orderBy(F.desc("clean"), "term").limit(p.max_terms).select("term")
-    lexicon = Lexicon(terms, (*exceptions, *(r["term"] for r in exempt.collect())))
+    exempt = _counts(sample, phrases).filter("toxic = 0 and clean >= 2").select("term")
+    lexicon = Lexicon(terms, (*exceptions, *sorted(r["term"] for r in exempt.collect())))  # of the sample's phrases
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _cached(lexicon)
@@ -233,6 +234,11 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame, keep: F.Column, params: Params | None = None) -> DataFrame:
-    """Learn from labelled rows of `docs` for which `keep` holds, then score every row."""
+    """Learn from labelled rows of `docs` for which `keep` holds, then score every row.
+
+    Null and empty texts score as texts without a hit, repeated rows alike. Of
+    several labels of one id the larger counts; null ids, null labels and
+    labels of absent ids are left out. Without documents there are no rows.
+    """
     p = params or Params()
     return score(docs, learn(labelled_sample(docs, labels, "toxic", keep, p.max_rows), p))

@@ -65,3 +65,21 @@ def test_folding_and_exceptions():
     machine = toxicity._automaton(lexicon)
     assert toxicity.fold("SKRUM5") == " skrums" and len(toxicity.hits(toxicity.fold("a ѕkrum here"), machine)) == 1
     assert toxicity.hits(toxicity.fold("a skrum pot"), machine) == []
+
+
+def test_short_and_long_words_and_many_terms_are_learned(spark):
+    draw = random.Random(12)
+    rows = []
+    for i in range(600):
+        words = [draw.choice(["river", "stone", "paper", "is", "to", "abcdefghijkl"]) for _ in range(20)]
+        if i % 3 == 0:
+            words[3:3] = [draw.choice(["zq", "k9x", "abcdefghijbad", "ve1l"])]
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    docs, labels = made(spark, rows)
+    lexicon = toxicity.learn(docs.join(labels.select("doc_id", F.col("toxic").alias("y")), "doc_id").select("text", F.col("y").alias("label")))
+    assert {" zq ", " kgx ", " abcdefghijbad "} <= set(lexicon.terms)
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(docs, lexicon).collect()}
+    assert all((got[d] >= 0.5) == bool(y) for d, _, y in rows)
+    assert toxicity.hits(toxicity.fold("an zq"), toxicity._automaton(lexicon))[0][:2] == (3, 6) and not toxicity.hits(toxicity.fold("an zqx"), toxicity._automaton(lexicon))
+    many = toxicity.Lexicon({f" w{i:05}": 1.0 for i in range(12_000)})
+    assert len(toxicity.hits(" w11999 w00000", toxicity._automaton(many))) == 2

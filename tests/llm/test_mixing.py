@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from loomgraph.llm.mixing import mix, plan, sainte_lague, targets
+from loomgraph.llm.mixing import Params, apportioned, mix, plan, source_quotas
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, times string, key string"
 
@@ -17,20 +17,54 @@ def naive(votes, seats):
     return got
 
 
+def targets(sizes, weights, total, most):
+    """Shares by weight, stopped at most * size, what is over shared anew until none is above."""
+    out, free, left = np.zeros(len(sizes)), np.ones(len(sizes), bool), float(total)
+    while free.any():
+        level = left / weights[free].sum()
+        above = free & (weights * level > most * sizes)
+        if not above.any():
+            out[free] = weights[free] * level
+            break
+        out[above] = most * sizes[above]
+        left -= out[above].sum()
+        free &= ~above
+    return out
+
+
 @pytest.mark.parametrize("seed", range(6))
-def test_seats_by_highest_quotients(seed):
+def test_seats_by_highest_quotients(spark, seed):
     draw = random.Random(seed)
     votes = [draw.choice([0, 1, 7.5, draw.uniform(1, 1000)]) for _ in range(draw.randint(1, 12))]
     if not sum(votes):
         votes[0] = 1
     seats = draw.randint(0, 300)
-    assert sainte_lague(np.array(votes), seats).tolist() == naive(votes, seats)
+    got = apportioned(spark.createDataFrame([(i, float(v)) for i, v in enumerate(votes)], "key long, votes double"), seats)
+    assert [r["seats"] for r in got.orderBy("key").collect()] == naive(votes, seats)
+
+
+def quotas(spark, sizes):
+    totals = spark.createDataFrame([(s, n, 4) for s, n in sizes], "source string, source_size long, rows long")
+    return {r["source"]: r for r in source_quotas(totals, Params()).collect()}
+
+
+def test_targets_stop_at_the_most_and_share_the_excess(spark):
+    got = quotas(spark, [("b", 1000), ("a", 10), (None, 1000)])
+    assert [got[s]["target"] for s in ("a", "b", None)] == pytest.approx([20, 2995 * 2 / 3, 2995 / 3]) and got["a"]["full"] and not got["a"]["blocks"]
+    assert got["b"]["blocks"] + got[None]["blocks"] == round(2995 / 32) and got["b"]["shards"] == 2
+    got = quotas(spark, [("a", 0), ("b", 5)])
+    assert (got["a"]["target"], got["b"]["target"]) == (0, 7.5) and not quotas(spark, [])
 
 
-def test_targets_stop_at_the_most_and_share_the_excess():
-    got = targets(np.array([10, 1000, 1000]), np.array([5.0, 2.0, 1.0]), 1.5 * 2010, 2)
-    assert got.tolist() == pytest.approx([20, 2995 * 2 / 3, 2995 / 3])
-    assert targets(np.array([0, 5]), np.array([5.0, 2.0]), 7.5, 2).tolist() == [0, 7.5]
+def test_many_sources(spark):
+    draw = random.Random(8)
+    sizes = [(chr(0x40 + i) + "𝒳" * (i % 2), draw.choice([0, 1, 7, draw.randint(1, 5000)])) for i in range(400)]
+    got, order = quotas(spark, sizes), sorted(sizes)
+    want = targets(np.array([n for _, n in order]), np.resize([5.0, 2.0, 1.0], len(order)), 1.5 * sum(n for _, n in order), 2)
+    assert [got[s]["target"] for s, _ in order] == pytest.approx(want.tolist())
+    free = [i for i, (s, _) in enumerate(order) if not got[s]["full"]]
+    votes = [got[order[i][0]]["target"] for i in free]
+    assert [got[order[i][0]]["blocks"] for i in free] == naive(votes, round(sum(votes) / 32))
 
 
 def documents(spark, n=300, seed=4):

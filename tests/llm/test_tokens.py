@@ -1,5 +1,6 @@
 import base64
 import random
+import time
 
 import public_tokenizers as P
 import pytest
@@ -65,3 +66,15 @@ def test_empty_tables(spark, ranks):
     none = frame(spark, [])
     assert bpe.encode(none, ranks, P.PATTERN).count() == 0
     assert token_counts.count_tokens(none, token_counts.read_vocabulary(P.path("word_bpe_49k.json"))).count() == 0
+
+
+def test_long_words_are_counted_in_seconds():
+    draw = random.Random(11)
+    word = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))
+    path = P.path("word_bpe_49k.json")
+    counter = token_counts.TextCounter(token_counts.read_vocabulary(path))
+    began = time.perf_counter()
+    got = counter([word, word[:1000], "a " + word[:257]]).tolist()
+    assert time.perf_counter() - began < 15  # about 2 on an idle machine
+    library = Tokenizer.from_file(path)
+    assert got == [len(e.ids) for e in library.encode_batch([word, word[:1000], "a " + word[:257]], add_special_tokens=False)]
