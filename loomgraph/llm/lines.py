@@ -177,7 +177,13 @@ def dedup_lines(docs: DataFrame, params: Params | None = None, drop_emptied: boo
 
 
 def report(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed, kept_sha256) of each row: lines, those deleted and their numbers, and the digest of the text that is left."""
+    """(doc_id, n_lines, n_removed, kept_sha256) of each row: lines, those deleted, and the digest of the text that is left.
+
+    A null text counts as empty and has one line. Of equal runs the one of the
+    least doc_id, and in it the first, stays; repeated rows are one document
+    and get equal results; rows without a doc_id lose nothing. An empty table
+    gives no rows.
+    """
     found = later_copies(docs, params)
     rows = docs.select("doc_id", whole_text().alias("text"), F.xxhash64("text").alias("mark"))
     rows = rows.join(found, (rows["doc_id"].cast("long") == found["doc_id"]) & (rows["mark"] == found["mark"]), "left").select(rows["doc_id"], "text", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

@@ -49,3 +49,21 @@ def test_each_stage_takes_effect(spark, folder):
 def test_run_gives_the_last_stage(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "decoded_sha256"] and got.count() > 0
+
+
+def test_clashing_columns_repeated_rows_and_empty_tables(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["quality_score", "_score", "score", "_key", "key", "_mark", "mark", "times", "pieces", "part", "_part", "removed", "component", "band"]
+    clash = docs.union(docs.filter("doc_id = 7")).selectExpr("*", *[f"cast(doc_id as string) as `{n}`" for n in names])
+    clash.write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/a/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = corpus_pipeline.materialize(stage(spark, docs, f"{tmp_path}/a"), name)
+        assert name == "encode" or docs.columns == columns
+        assert docs.filter(" or ".join(f"not (`{n}` <=> cast(doc_id as string))" for n in names)).count() == 0
+    assert docs.count() > 0
+    clash.filter("false").write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
