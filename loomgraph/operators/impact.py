@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.graph import TOOLS, impact_score, risk_level, tool_of
-from .traverse import bfs, only
+from .traverse import Registered, bfs, bfs_of_many, only
 
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 5, types: list[str] | None = None, direction: str = "downstream") -> DataFrame:
+def blast_radius(nodes: DataFrame, edges: DataFrame | Registered, seeds: DataFrame, max_depth: int = 5, types: list[str] | None = None, direction: str = "downstream") -> DataFrame:
     """(node, type, repo_id, depth, edge_type, cross_repo, score, path) of what the seeds (node) reach.
 
     A node's score is the weight of the edge that found it, decayed by the
@@ -29,6 +29,33 @@ def blast_summary(found: DataFrame) -> DataFrame:
     return row.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("risk", risk_level(F.col("direct"), F.col("indirect"), F.col("cross_groups")))
 
 
+# Least number of nodes hit of each level of risk.
+MANY_RISKS = {"critical": 50, "high": 20, "medium": 5}
+
+
+def impact_of_many(nodes: DataFrame, edges: DataFrame | Registered, roots: DataFrame, max_depth: int = 10) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What changes of the nodes `roots` (node, at: numbers from 0) hit downstream.
+
+    Four frames: (node, kind) with a row for a node that a root hits directly
+    and one for a node that a root hits through others before any hits it
+    directly; (type, n) and (depth, n), hits of each root counted each; one row
+    (direct, transitive, total, risk) of the first. Roots that aren't nodes and
+    nodes that aren't known count for nothing.
+    """
+    known = nodes.select(F.col("id").alias("node"), "type")
+    hits = bfs_of_many(edges, roots.join(known.select("node"), "node", "left_semi"), max_depth).filter("depth > 0").join(known, "node")
+    lowest = F.col("word") * 63 + F.round(F.log2(F.col("bits").bitwiseAND(-F.col("bits")).cast("double"))).cast("int")
+    by = hits.groupBy("node").agg(F.min(F.when(F.col("depth") == 1, lowest)).alias("direct"), F.min(F.when(F.col("depth") > 1, lowest)).alias("through"))
+    kinds = F.array_compact(F.array(F.when(F.col("direct").isNotNull(), "direct"), F.when(F.col("through").isNotNull() & (F.col("direct").isNull() | (F.col("through") < F.col("direct"))), "transitive")))
+    found = by.select("node", F.explode(kinds).alias("kind"))
+    count = F.sum(F.bit_count("bits")).alias("n")
+    row = found.agg(F.count_if(F.col("kind") == "direct").alias("direct"), F.count_if(F.col("kind") == "transitive").alias("transitive"), F.count("*").alias("total"))
+    risk = F.lit("low")
+    for level, least in reversed(MANY_RISKS.items()):
+        risk = F.when(F.col("total") >= least, level).otherwise(risk)
+    return found, hits.groupBy("type").agg(count), hits.groupBy("depth").agg(count), row.withColumn("risk", risk)
+
+
 def tool_blast(nodes: DataFrame, edges: DataFrame, node: str, max_depth: int = 5, min_confidence: float = 50, with_ci: bool = True) -> DataFrame:
     """(tool, direct, transitive) of what is within reach of `node` in either direction over edges of some confidence."""
     kinds = nodes.select(F.col("id").alias("node"), tool_of(F.col("type")).alias("tool"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import Levels, checkpointed, discard
+from ..sources.tables import Levels, bucketed, checkpointed, discard
 from .components import cycle_edges, peeled, strongly_connected
 
 
@@ -26,18 +26,49 @@ def steps(edges: DataFrame, direction: str = "downstream", types: list[str] | No
     raise ValueError(f"unknown direction {direction!r}")
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, direction: str = "downstream", types: list[str] | None = None, min_confidence: float | None = None, paths: bool = False, until: str | None = None) -> DataFrame:
+class Registered:
+    """A graph stored for many searches: nodes (id, type, repo_id), and its moves forward and back, each in buckets by where they start, so that no search derives or shuffles them.
+
+    The tables stay in the shared folder until `drop`.
+    """
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, buckets: int | None = None):
+        self.sparkSession = edges.sparkSession
+        self.nodes, self.nodes_name = bucketed(nodes.select("id", "type", "repo_id"), "id", "nodes", buckets)
+        sides = {side: bucketed(steps(edges, side), "here", side, buckets) for side in ("downstream", "upstream")}
+        self.tables = {side: df for side, (df, _) in sides.items()}
+        self.names = [self.nodes_name, *(name for _, name in sides.values())]
+
+    def moves(self, direction: str = "downstream", types: list[str] | None = None, min_confidence: float | None = None) -> DataFrame:
+        """As `steps` gives them."""
+        found = self.tables["downstream"].union(self.tables["upstream"]) if direction == "both" else self.tables[direction]
+        if types:
+            found = found.filter(F.col("type").isin(types))
+        return found if min_confidence is None else found.filter(F.col("confidence") >= min_confidence)
+
+    def drop(self) -> None:
+        """Forget the tables and delete their files."""
+        discard(self.nodes, *self.tables.values())
+        for name in self.names:
+            self.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def bfs(edges: DataFrame | Registered, seeds: DataFrame, max_depth: int = 10, direction: str = "downstream", types: list[str] | None = None, min_confidence: float | None = None, paths: bool = False, until: str | None = None) -> DataFrame:
     """(node, depth) of the seeds (node) and all that they reach in `max_depth` moves, each at its least depth; with `paths` also (parent, edge_id, edge_type, path).
 
     Of several ways of one length the one whose path is first in order counts.
-    The moves are written once, so that no level derives them again; a level is
+    The moves are written once, so that no level derives them again, or are
+    those of a registered graph; a level is
     a join of the last level with them, less what was visited, and is written
     to one table of all levels. The search ends after the level that holds the
     node `until`.
     """
     spark = edges.sparkSession
-    moves = steps(edges, direction, types, min_confidence)
-    moves = checkpointed(moves.drop("confidence") if paths else moves.select("here", "there"), "moves")
+    stored = isinstance(edges, Registered)
+    moves = edges.moves(direction, types, min_confidence) if stored else steps(edges, direction, types, min_confidence)
+    moves = moves.drop("confidence") if paths else moves.select("here", "there")
+    if not stored:
+        moves = checkpointed(moves, "moves")
     levels = Levels(spark, "visited")
     none = F.lit(None).cast("string")
     first = seeds.select("node").distinct()
@@ -53,7 +84,34 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, direction: str
         frontier = levels.add(new.join(levels.all().select("node"), "node", "left_anti"), depth)
         if frontier.isEmpty() or (until is not None and not frontier.filter(F.col("node") == until).isEmpty()):
             break
-    discard(moves)
+    if not stored:
+        discard(moves)
+    return levels.all()
+
+
+def bfs_of_many(edges: DataFrame | Registered, roots: DataFrame, max_depth: int = 10, direction: str = "downstream", types: list[str] | None = None) -> DataFrame:
+    """(node, word, bits, depth): all roots (node, at) searched at once. Bit b of a row says that the root numbered 63 * word + b comes to the node in `depth` moves and no fewer; roots reach themselves at 0.
+
+    A level carries the set of roots of each node as bits and merges them by
+    bit_or, so that nodes that many roots reach stay one row for 63 roots.
+    """
+    spark = edges.sparkSession
+    stored = isinstance(edges, Registered)
+    moves = (edges.moves(direction, types) if stored else steps(edges, direction, types)).select("here", "there")
+    if not stored:
+        moves = checkpointed(moves.distinct(), "moves")
+    levels = Levels(spark, "roots")
+    first = roots.select("node", F.floor(F.col("at") / 63).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(at, 63) as int))").alias("bits"))
+    frontier = levels.add(first.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), 0)
+    for depth in range(1, max_depth + 1):
+        reached = frontier.select(F.col("node").alias("here"), "word", "bits").join(moves, "here").groupBy(F.col("there").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        seen = levels.all().groupBy("node", "word").agg(F.bit_or("bits").alias("seen"))
+        new = reached.join(seen, ["node", "word"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long")))))
+        frontier = levels.add(new.filter("bits <> 0").select("node", "word", "bits"), depth)
+        if frontier.isEmpty():
+            break
+    if not stored:
+        discard(moves)
     return levels.all()
 
 

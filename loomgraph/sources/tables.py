@@ -5,24 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Schemas of input tables by path, so that a table's files are asked for theirs once.
+_SCHEMAS: dict[str, T.StructType] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """An input table; it keeps the schema that it had when it was first read by this process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path in _SCHEMAS:
+        return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[path] = df.schema
+    return df
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder for an intermediate table in the cluster's shared folder (`spark.checkpoint.dir`). Only a local session without that setting gets a temporary folder."""
+    """A new folder for an intermediate table in the cluster's shared folder (`spark.checkpoint.dir`). Without that setting a local session gets a temporary folder, and a cluster, where executors could not read one another's files, an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if spark.sparkContext.master.startswith("local"):
-            root = tempfile.mkdtemp(prefix="loomgraph-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="loomgraph-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
 
 
@@ -36,6 +44,27 @@ def checkpointed(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str = "bucketed", buckets: int | None = None) -> tuple[DataFrame, str]:
+    """`df` written as a table in buckets by `key`, each sorted by it, and read again, with the table's name; a join on the key doesn't shuffle it."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = f"loomgraph_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", fresh_path(spark, name)).saveAsTable(named)
+    return spark.table(named), named
+
+
+def numbered(df: DataFrame, order: list[Column], to: str) -> DataFrame:
+    """`df` with the number of rows before each in an order: ranges are sorted by themselves, and only a number for each range goes through the driver."""
+    ranged = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    starts, before = [], 0
+    for row in ranged.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
+        starts.append((row["_part"], before))
+        before += row["n"]
+    begins = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(begins), "_part").withColumn(to, F.col("_start") + place).drop("_part", "_start")
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the intermediate tables that `frames` were read from, once nothing reads them any more."""
     for df in frames:
