@@ -49,11 +49,17 @@ def arn_of(resource_type: Column, name: Column, region: Column, account: Column)
     return F.when(F.length(name) > 0, chain)
 
 
-def arn_confidence(a: Column, b: Column) -> Column:
-    """0 unless service and resource agree; else the share of partition, service and resource that do."""
+def arn_confidence(a: Column, b: Column, region: bool = False, account: bool = False) -> Column:
+    """0 unless service and resource agree; else the share of partition, service and resource that do, and of region and account where they count."""
     x, y = arn_parts(a), arn_parts(b)
+    counted = ["partition", *["region"] * region, *["account"] * account]
     alike = (x["resource"] == y["resource"]) | (x["resource_type"].eqNullSafe(y["resource_type"]) & (x["resource_id"] == y["resource_id"]))
-    return F.when((x["service"] == y["service"]) & alike, F.round(100 * (2 + (x["partition"] == y["partition"]).cast("int")) / 3)).otherwise(0.0)
+    return F.when((x["service"] == y["service"]) & alike, F.round(100 * (2 + sum(((x[c] == y[c]).cast("int") for c in counted), F.lit(0))) / (2 + len(counted)))).otherwise(0.0)
+
+
+def arn_regex(pattern: Column) -> Column:
+    """A regular expression for an ARN pattern, in which * stands for any text."""
+    return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(pattern, r"([.+?^${}()|\[\]\\])", r"\\$1"), r"\*", ".*"), F.lit("$"))
 
 
 def provider_of(resource_id: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.external import arns, normal_arn, provider_of, reference_hash, resource_ids
+from ..functions.external import arn_regex, arns, normal_arn, provider_of, reference_hash, resource_ids
+from ..sources.tables import checkpointed
 
 
 def references(nodes: DataFrame) -> DataFrame:
@@ -85,6 +88,93 @@ def find(refs: DataFrame, external_id: str, types: list[str] | None = None, repo
     return found.filter(F.col("repo_id").isin(repos)) if repos else found
 
 
+def _begins(kind: str, text: str) -> str:
+    """Key of a literal text at one end: as many letters of it as the greatest power of two that it has."""
+    size = 1 << (len(text).bit_length() - 1)
+    return f"{kind}{size}/{text[:size] if kind != 'suffix' else text[-size:]}"
+
+
+def _anchor(resource: str) -> tuple[str, str]:
+    """(kind, key) of a pattern's resource: whole without *, else by its literal beginning, end, or longest part inside; any without a literal."""
+    if "*" not in resource:
+        return "whole", f"whole/{resource}"
+    parts = resource.split("*")
+    if parts[0]:
+        return "prefix", _begins("prefix", parts[0])
+    if parts[-1]:
+        return "suffix", _begins("suffix", parts[-1])
+    longest = max(parts, key=len)
+    return ("inside", _begins("inside", longest)) if longest else ("any", "any")
+
+
+def _anchors(resource: str, kind: str) -> set[str]:
+    """Keys by which a resource meets patterns of a kind; length times its logarithm of them at most."""
+    sizes = [1 << i for i in range(len(resource).bit_length())]
+    match kind:
+        case "whole":
+            return {f"whole/{resource}"}
+        case "prefix":
+            return {f"prefix{n}/{resource[:n]}" for n in sizes}
+        case "suffix":
+            return {f"suffix{n}/{resource[-n:]}" for n in sizes}
+        case "inside":
+            return {f"inside{n}/{resource[i : i + n]}" for n in sizes for i in range(len(resource) - n + 1)}
+    return {"any"}
+
+
+def _split(arn: str) -> list[str]:
+    """Partition, service, region, account and resource of an ARN or pattern; empty for other texts."""
+    parts = arn.split(":", 5)
+    return parts[1:] if len(parts) == 6 and parts[0] == "arn" else []
+
+
+def wildcard_matches(patterns: DataFrame, arns: DataFrame) -> DataFrame:
+    """(pattern, arn): distinct ARN patterns (pattern) and the distinct ARNs (arn) that they match; * stands for any text. Texts that aren't of six parts match nothing.
+
+    Patterns have a mask that says which of partition, service, region and
+    account hold no *, and an anchor in the resource; an ARN takes a key for
+    each mask and kind of anchor that patterns have, 80 at most, so that pairs
+    meet by equal keys. A * in a part may reach over the parts behind it; such
+    patterns, with a * in a part that isn't * alone, drop those parts from the
+    mask and their resource from the anchor.
+    """
+
+    def keys_of_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column("pattern").to_pylist():
+                parts = _split(text)
+                if not parts:
+                    continue
+                mask = "".join("." if "*" in p else "x" for p in parts[:4])
+                if "*" in "".join(parts[:4]):  # it may swallow colons: what is before it stays sure, and the end of the text
+                    first = next(i for i, p in enumerate(parts[:4]) if "*" in p)
+                    mask = mask[:first] + "." * (4 - first)
+                    tail = parts[4].split("*")[-1]
+                    kind, key = ("suffix", _begins("suffix", tail)) if tail else ("any", "any")
+                else:
+                    kind, key = _anchor(parts[4])
+                rows.append((text, mask, kind, "|".join(p for p, m in zip(parts, mask) if m == "x") + "|" + key))
+            yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["pattern", "mask", "kind", "key"])
+
+    keyed = checkpointed(patterns.select("pattern").filter("pattern is not null").distinct().mapInArrow(keys_of_patterns, "pattern string, mask string, kind string, key string"), "patterns")
+    kinds = [(r["mask"], r["kind"]) for r in keyed.select("mask", "kind").distinct().collect()]  # 16 masks by 5 kinds at most
+
+    def keys_of_arns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, keys = [], []
+            for text in batch.column("arn").to_pylist():
+                parts = _split(text)
+                for mask, kind in kinds if parts else ():
+                    found = _anchors(parts[4], kind)
+                    own += [text] * len(found)
+                    keys += ["|".join(p for p, m in zip(parts, mask) if m == "x") + "|" + key for key in found]
+            yield pa.record_batch([pa.array(own, pa.string()), pa.array(keys, pa.string())], ["arn", "key"])
+
+    met = keyed.join(arns.select("arn").filter("arn is not null").distinct().mapInArrow(keys_of_arns, "arn string, key string"), "key")
+    return met.filter(F.rlike("arn", arn_regex(F.col("pattern")))).select("pattern", "arn").distinct()
+
+
 def merged_index(old: DataFrame, new: DataFrame) -> DataFrame:
     """`old` with the entries of `new`, which replace those of the same node and scan."""
     fresh = new.select("node_id", "scan_id").distinct()

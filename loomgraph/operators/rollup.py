@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.external import arn_confidence, arn_parts
+from ..functions.external import arn_confidence, arn_parts, arn_regex
 from ..sources.tables import checkpointed
 from .components import connected_components
 from .likeness import alike
@@ -34,12 +34,28 @@ def _meta(path: str) -> Column:
     return F.get_json_object("metadata", f"$.{path}")
 
 
-def arn_matcher(least: float = 0) -> Matcher:
-    """Equal service and resource, whatever region and account: 100 with equal partitions, else 67. Nodes meet by service and the resource's type and id."""
-    key = F.coalesce(*[_meta(p) for p in ("arn", "attributes.arn", "ARN")])
+def arn_of_metadata() -> Column:
+    """The ARN of a node: its own, that of its attributes, those of the usual fields, else the first field by name that is one."""
+    named = [F.when(_meta(p).startswith("arn:"), _meta(p)) for p in ("resource_arn", "target_arn", "function_arn", "bucket_arn")]
+    fields = F.array_sort(F.map_entries(F.map_filter(F.from_json("metadata", "map<string,string>"), lambda _, v: v.rlike(r"^arn:[\w-]+:[\w-]+:[\w-]*:\d*:.+$"))))
+    return F.coalesce(_meta("arn"), _meta("attributes.arn"), *named, F.try_element_at(fields, F.lit(1))["value"])
+
+
+def arn_matcher(least: float = 0, pattern: str | None = None, partial: bool = False, region: bool = False, account: bool = False) -> Matcher:
+    """Equal service and resource: 100 with equal partitions, else 67; with `region` or `account` these are parts of the share as well. Nodes meet by service and the resource's type and id.
+
+    With a pattern, in which * stands for any text, only ARNs that match it
+    count; with `partial` also those of its service.
+    """
+    key = arn_of_metadata()
     p = arn_parts(key)
     block = F.concat_ws("|", p["service"], F.coalesce(p["resource_type"], F.lit("")), p["resource_id"])
-    return Matcher("arn", F.when(key.startswith("arn:"), key), lambda a, b: arn_confidence(a["key"], b["key"]), least, block)
+    good = key.startswith("arn:")
+    if pattern is not None:
+        service = pattern.split(":")[2] if pattern.count(":") >= 2 else "*"
+        near = F.lit(partial) & p.isNotNull() & (F.lit(service == "*") | (p["service"] == service))
+        good = good & (F.rlike(key, arn_regex(F.lit(pattern))) | near)
+    return Matcher("arn", F.when(good, key), lambda a, b: arn_confidence(a["key"], b["key"], region, account), least, block)
 
 
 def resource_id_matcher(path: str = "id", least: float = 0, extract: str | None = None) -> Matcher:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.graph import TOOLS, tool_of
+from ..sources.tables import checkpointed, numbered
 
 
 def counts_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -83,11 +86,27 @@ def cross_tool_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return row.withColumn("_one", F.lit(1)).join(whole, "_one").select("nodes", "edges", "crossing", share, "average")
 
 
+def percentiles_by(df: DataFrame, column: str, keys: list[str], points: tuple[int, ...] = (50, 75, 90, 95, 99)) -> DataFrame:
+    """(keys, least, most, average, deviation, p50, ...): nearest-rank percentiles of each group of the values that aren't null.
+
+    Exact: all values are sorted by ranges and numbered, and of each group the
+    rows at its ranks are picked by their numbers, so that no group's values
+    meet in one buffer.
+    """
+    own = df.filter(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_x"))
+    placed = checkpointed(numbered(own, [F.col(k) for k in keys] + [F.col("_x")], "_i"), "ordered")
+    sums = placed.groupBy(*keys).agg(F.min("_x").alias("least"), F.max("_x").alias("most"), F.round(F.avg("_x"), 6).alias("average"), F.round(F.stddev_pop("_x"), 6).alias("deviation"), F.min("_i").alias("_start"), F.count("*").alias("_n"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), (F.col("_start") + F.greatest(F.ceil(F.lit(p) * F.col("_n") / 100), F.lit(1)) - 1).alias("_i")) for p in points]))
+    at = sums.select(*keys, ranks.alias("r")).select("r.p", "r._i").join(placed, "_i")
+    named = at.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("_x"))).alias(f"p{p}") for p in points])
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys], F.lit(True))
+    return sums.join(named, same(sums, named)).select(*[sums[k] for k in keys], "least", "most", "average", "deviation", *[f"p{p}" for p in points])
+
+
 def percentiles(df: DataFrame, column: str, points: tuple[int, ...] = (50, 75, 90, 95, 99)) -> DataFrame:
     """One row: least, most, average, population deviation and nearest-rank percentiles, zero without rows."""
-    ranks = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {column})").alias(f"p{p}") for p in points]
-    row = df.agg(F.min(column).alias("least"), F.max(column).alias("most"), F.round(F.avg(column), 6).alias("average"), F.round(F.stddev_pop(column), 6).alias("deviation"), *ranks)
-    return row.na.fill(0)
+    found = percentiles_by(df.withColumn("_all", F.lit(1)), column, ["_all"], points)
+    return df.sparkSession.range(1).select(F.lit(1).alias("_all")).join(found, "_all", "left").drop("_all").na.fill(0)
 
 
 def share_by(df: DataFrame, key: str) -> DataFrame:
