@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import delete_folder, folders
+
 
 def seconds(start: str = "started_at", end: str = "completed_at") -> Column:
     return F.unix_timestamp(end) - F.unix_timestamp(start)
@@ -35,3 +37,23 @@ def refreshed(old: DataFrame, scans: DataFrame, since: str, width: str = "1 day"
     """A rolled table with all buckets from `since` on made anew."""
     edge = F.lit(since).cast("timestamp")
     return old.filter(F.col("bucket") < edge).unionByName(rolled(scans.filter(F.col("started_at") >= edge), width, *keys))
+
+
+def refresh(path: str, scans: DataFrame, since: str, until: str, width: str = "1 day", *keys: str) -> None:
+    """Make the buckets in [since, until) of a stored table anew from the scans, late and deleted ones included; buckets outside stay as they are, their files untouched.
+
+    A folder of the table holds one day. `since` and `until` have to be days'
+    beginnings; refreshing again with the same scans changes nothing.
+    """
+    spark = scans.sparkSession
+    begin, end = (F.lit(x).cast("timestamp") for x in (since, until))
+    made = rolled(scans.filter((F.col("started_at") >= begin) & (F.col("started_at") < end)), width, *keys).withColumn("day", F.date_format("bucket", "yyyy-MM-dd"))
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    inside = {d for d in folders(spark, path) if d.startswith("day=") and since[:10] <= d[4:] < until[:10]}
+    for day in inside - {f"day={r['day']}" for r in made.select("day").distinct().collect()}:  # days of the window of which nothing is left
+        delete_folder(spark, f"{path}/{day}")
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The buckets of a table that `refresh` keeps."""
+    return spark.read.parquet(path).drop("day")

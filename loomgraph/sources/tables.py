@@ -65,13 +65,28 @@ def numbered(df: DataFrame, order: list[Column], to: str) -> DataFrame:
     return ranged.join(F.broadcast(begins), "_part").withColumn(to, F.col("_start") + place).drop("_part", "_start")
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it isn't there."""
+    at, store = _folder(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(at)] if store.exists(at) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at, store = _folder(spark, path)
+    store.delete(at, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the intermediate tables that `frames` were read from, once nothing reads them any more."""
     for df in frames:
-        context = df.sparkSession.sparkContext
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/loomgraph/" in f}:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            delete_folder(df.sparkSession, folder)
 
 
 class Levels:
