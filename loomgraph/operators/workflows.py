@@ -331,3 +331,33 @@ def output_flows(steps: DataFrame, jobs: DataFrame, least: float = 0) -> DataFra
     cross = needs.filter("helm").join(wanted, ["workflow", "target_job", "source"], "left_semi").join(runs, ["workflow", "source"], "left_semi")
     found = made(needs, F.col("source"), none, "job_output", 95).union(made(own, F.col("target_job"), F.col("source"), "step_output", 95)).union(made(cross, F.col("source"), none, "terraform_to_helm", 85))
     return found.filter(F.col("confidence") >= least).distinct()
+
+
+# Kinds of operations in the order in which they are tried, the commands that show them, and the actions that do.
+_TERRAFORM = r"(init|plan|apply|destroy|output|validate|fmt|import|state|workspace|refresh)"
+OPERATIONS = {
+    "terraform": (rf"terraform\s+{_TERRAFORM}", rf"tofu\s+{_TERRAFORM}", r"terragrunt\s+(init|plan|apply|destroy|output|validate|run-all)"),
+    "helm": (r"helm\s+(install|upgrade|uninstall|rollback|template|lint|package|push|pull|repo|dependency)", r"helmfile\s+(sync|apply|diff|template|destroy|repos)"),
+    "kubectl": (r"kubectl\s+(apply|delete|create|get|describe|logs|exec|rollout|scale|patch)",),
+    "docker": (r"docker\s+(build|push|pull|run|compose|login|tag)", r"docker-compose\s+(up|down|build|push|pull)", r"buildah\s+(build|bud|push|pull)", r"(kaniko)"),
+}
+ACTIONS = {
+    "terraform": ("hashicorp/setup-terraform", "hashicorp/terraform-github-actions", "dflook/terraform-", "gruntwork-io/terragrunt-action"),
+    "helm": ("azure/setup-helm", "azure/k8s-deploy", "deliverybot/helm", "helm/chart-releaser-action"),
+}
+
+
+def operations(steps: DataFrame) -> DataFrame:
+    """(workflow, job, position, type, command, outputs): at most one operation of each step, of the first kind whose command it runs or whose action it uses, else a script. Steps that run nothing and use no known action have none."""
+    text, uses = F.coalesce("text", F.lit("")), F.coalesce("uses", F.lit(""))
+    command = lambda kind: F.coalesce(*[F.nullif(F.regexp_extract(text, f"(?i){p}", 1), F.lit("")) for p in OPERATIONS[kind]])
+    acts = lambda kind: F.exists(F.array(*map(F.lit, ACTIONS[kind])), lambda a: F.contains(uses, a)) if kind in ACTIONS else F.lit(False)
+    kind, said = F.when(F.length(F.trim(F.regexp_replace(text, r"\s+", " "))) > 0, "script"), F.coalesce("uses", F.lit("script"))
+    for name in reversed(OPERATIONS):
+        hit = command(name).isNotNull() | acts(name)
+        other = "build" if name == "docker" else "unknown"
+        own = F.coalesce(F.nullif(F.lower(command(name)), F.lit("kaniko")), F.lit(other))
+        kind, said = F.when(hit, name).otherwise(kind), F.when(hit, own).otherwise(said)
+    outputs = F.concat(_all(text, rf"(?i)terraform\s+output\s+(?:-raw\s+)?(?:-json\s+)?({NAME})"), _all(text, rf"echo\s+[\"']?({NAME})="))
+    found = steps.select("workflow", "job", "position", kind.alias("type"), said.alias("command"), outputs.alias("outputs")).filter("type is not null")
+    return found.withColumn("outputs", F.when(F.col("type") == "terraform", F.col("outputs")).otherwise(F.array().cast("array<string>")))

@@ -153,3 +153,10 @@ def job_chains(spark, sf_dir):
     _, terraform, helm, depends = _frames(spark, sf_dir)
     found = workflows.direct_flows(terraform, helm, depends)
     return workflows.job_chains(found, pg.workflow_jobs(spark, sf_dir)).withColumn("chain", F.array_join("chain", ">"))
+
+
+@plain("step_operations", f""", {pg.WORKFLOWS_SQL} SELECT workflow, job, position, CASE WHEN text LIKE '%terraform output%' THEN 'terraform' WHEN text LIKE 'helm %' THEN 'helm' WHEN trim(text) <> '' THEN 'script' END AS type,
+  CASE WHEN text LIKE '%terraform output%' THEN 'output' WHEN text LIKE 'helm install%' THEN 'install' ELSE 'upgrade' END AS command,
+  CASE WHEN text LIKE '%terraform output%' THEN array_to_string(list_concat(regexp_extract_all(text, 'terraform output (?:-raw )?(?:-json )?([a-zA-Z_][a-zA-Z0-9_]*)', 1), regexp_extract_all(text, 'echo "([A-Z0-9]+)=', 1)), ',') ELSE '' END AS outputs FROM ci_steps WHERE text IS NOT NULL""")
+def step_operations(spark, sf_dir):
+    return workflows.operations(pg.workflow_steps(spark, sf_dir)).withColumn("outputs", F.array_join("outputs", ","))
