@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,6 +112,20 @@ def node_diff(base: DataFrame, target: DataFrame, lower_path: bool = True, ignor
     return both.select("key", F.coalesce("type_a", "type_b").alias("type"), change.alias("change"), "changes")
 
 
+def value_overrides(base: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(key, source, path, base_value, value): leaf paths of overriding values (key, source, metadata) that the base values (key, metadata) of their key lack, with a null base value, or hold otherwise. No path is left out; values are as `leaves` shows them."""
+    everything = F.udf(lambda text: _leaves(text, ()), "map<string,string>", useArrow=True)
+    own = base.select("key", F.explode(everything("metadata")).alias("path", "base_value"))
+    new = overrides.select("key", "source", F.explode(everything("metadata")).alias("path", "value"))
+    return new.join(own, ["key", "path"], "left").filter(F.col("base_value").isNull() | (F.col("base_value") != F.col("value"))).select("key", "source", "path", "base_value", "value")
+
+
+def appended(diffs: list[DataFrame]) -> DataFrame:
+    """The changes of diffs that follow one another, one behind the other: what one adds and a later one removes stays in as both. Each has its number (at)."""
+    found = [d.withColumn("at", F.lit(i)) for i, d in enumerate(diffs)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def edge_keys(nodes: DataFrame, edges: DataFrame, lower_path: bool = True) -> DataFrame:
     """(source_key, type, target_key, label, reason): edges by the identities of their ends; reason says which end is missing."""
     keys = nodes.select("id", identity_key(F.col("type"), F.col("name"), F.col("file_path"), F.col("namespace"), lower_path).alias("key"))

@@ -157,6 +157,49 @@ def job_links(jobs: DataFrame, nodes: DataFrame, least: float = 50, most: int =
     return best(found, ["job"], order)
 
 
+def helm_links(operations: DataFrame, nodes: DataFrame, least: float = 50, most: int = 5) -> DataFrame:
+    """(job, position, node, score): for each Helm operation (job, position, path, name, working_dir, command, namespace) its `most` best nodes (id, file_path, name, release, chart, chart_path, namespace), ties by id.
+
+    95 for the release that the command names, 85 for a chart whose name holds
+    the command's or is held by it, 75 for the namespace, the likeness of the
+    working directory and the chart's path if it is 80 or more; a pair of the
+    best of these. Without any, 55 for related directories, else 0.7 of the
+    likeness of names of 60 or more. Of the nodes of one value, only the `most`
+    first can be among an operation's best, so no value makes more pairs.
+    """
+    best = lambda df, by, order: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("n") <= most).drop("n")
+    said = lambda pattern: F.nullif(_bare(F.regexp_extract("command", pattern, 1)), F.lit(""))
+    release = F.coalesce(said(r"(?i)(?:install|upgrade)\s+(\S+)"), said(r"(?i)uninstall\s+(\S+)"))
+    ops = operations.select("job", "position", "path", "name", "working_dir", release.alias("release"), said(r"(?i)(?:install|upgrade)\s+\S+\s+(\S+)").alias("chart"), F.nullif(_bare(F.col("namespace")), F.lit("")).alias("namespace"))
+    ops = checkpointed(ops, "operations")
+    ends = nodes.select(F.col("id").alias("node"), "file_path", F.col("name").alias("node_name"), _bare(F.col("release")).alias("release"), _bare(F.col("chart")).alias("chart"), "chart_path", _bare(F.col("namespace")).alias("namespace"))
+    key = ["job", "position"]
+    shown = lambda df, score: df.select(*key, "node", score.cast("double").alias("score"))
+    first = lambda column: best(ends.select(column, "node").filter(F.length(column) > 0), [column], ["node"])
+    found = shown(ops.join(first("release"), "release"), F.lit(95)).union(shown(ops.join(first("namespace"), "namespace"), F.lit(75)))
+    charts = holding(ops.select(F.col("chart").alias("name")), first("chart").select(F.col("chart").alias("name")))
+    near = best(charts.join(first("chart").withColumnRenamed("chart", "right"), "right").select("left", "node"), ["left"], ["node"])
+    found = found.union(shown(ops.join(near, ops["chart"] == near["left"]), F.lit(85)))
+    dirs = ops.select(F.col("working_dir").alias("path")).distinct()
+    paths = _path_pairs(dirs, ends.select(F.col("chart_path").alias("file_path")).distinct()).withColumn("score", path_similarity(F.col("path"), F.col("file_path"))).filter("score >= 80")
+    placed = best(paths.join(first("chart_path").withColumnRenamed("chart_path", "file_path"), "file_path").select("path", "node", "score"), ["path"], [F.desc("score"), "node"])
+    found = found.union(shown(ops.join(placed, ops["working_dir"] == placed["path"]), F.col("score")))
+    beside = paths_related(directory(normal_path(F.col("path"))), directory(normal_path(F.col("file_path"))))
+    related = _path_pairs(ops.select("path").distinct(), ends.select("file_path").distinct()).filter(beside)
+    related = best(related.join(first("file_path"), "file_path").select("path", "node"), ["path"], ["node"])
+    found = found.union(shown(ops.join(related, "path"), F.lit(55)))
+    bare = lambda df, name: df.select(_bare(F.col(name)).alias("name")).distinct()
+    left, right = bare(ops, "name"), bare(ends, "node_name")
+    names = checkpointed(holding(left, right).union(alike(left, right, 60)).distinct(), "names")
+    kinds = ops.select("path", "name").distinct().withColumn("left", _bare(F.col("name")))
+    owners = best(ends.select("node", "file_path", "node_name"), ["file_path", "node_name"], ["node"]).withColumn("right", _bare(F.col("node_name")))
+    likeness = name_similarity(F.col("name"), F.col("node_name"))
+    named = kinds.join(names, "left").join(owners, "right").filter(~F.coalesce(beside, F.lit(False))).withColumn("score", likeness).filter("score >= 60").withColumn("score", F.round(F.col("score") * 0.7))
+    named = best(named.select("path", "name", "node", "score"), ["path", "name"], [F.desc("score"), "node"]).select(F.col("path").alias("p"), F.col("name").alias("m"), "node", "score")
+    found = found.union(shown(ops.join(named, F.col("path").eqNullSafe(F.col("p")) & (F.col("name") == F.col("m"))), F.col("score")))
+    return best(found.groupBy(*key, "node").agg(F.round(F.max("score")).alias("score")).filter(F.col("score") >= least), key, [F.desc("score"), "node"])
+
+
 def direct_needs(jobs: DataFrame) -> DataFrame:
     """(job, needs): distinct union of the arrays `needs` and `dependencies` of each job, in order, not closed over."""
     empty = F.array().cast("array<string>")

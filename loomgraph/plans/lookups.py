@@ -237,3 +237,37 @@ def version_lists(spark, sf_dir):
 def values_of_templates(spark, sf_dir):
     text = F.format_string("{{ .Values.a%d.b }} {{ .Values.c | quote }} {{ .Values.a%d.b }}", F.col("p_partkey") % 5, F.col("p_partkey") % 5)
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(fg.template_values(text), ",").alias("paths"))
+
+
+# ---- links of Helm operations, overriding values, diffs in a row
+
+
+@query("helm_links", """, op AS (SELECT 'orders:' || o_orderkey AS job, 0 AS position, 'supplier' || (o_custkey % 200) AS release, 'c' || (o_orderkey % 9) AS chart, 'ns' || (o_orderkey % 40) AS ns, 'charts/n' || (o_orderkey % 30) AS dir FROM orders),
+  nd AS (SELECT id AS node, 'supplier' || split_part(id, ':', 2) AS release, 'mychartc' || (split_part(id, ':', 2)::BIGINT % 12) AS chart, replace(namespace, '-', '') AS ns, regexp_replace(file_path, '/[^/]*$', '') AS dir FROM nodes WHERE type = 'helm_chart'),
+  x AS (SELECT job, position, node, greatest(CASE WHEN op.dir = nd.dir THEN 100.0 ELSE 0 END, CASE WHEN op.release = nd.release THEN 95.0 ELSE 0 END, CASE WHEN contains(nd.chart, op.chart) THEN 85.0 ELSE 0 END, CASE WHEN op.ns = nd.ns THEN 75.0 ELSE 0 END)::DOUBLE AS score FROM op JOIN nd ON op.dir = nd.dir OR op.release = nd.release OR contains(nd.chart, op.chart) OR op.ns = nd.ns)
+  SELECT job, position, node, score FROM x QUALIFY row_number() OVER (PARTITION BY job ORDER BY score DESC, node) <= 5""")
+def helm_links(nodes, edges):
+    k = F.regexp_extract("id", r":(\d+)$", 1).try_cast("long")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    customer = edges.filter("type = 'OPERATES_ON'").select(F.col("source").alias("id"), F.regexp_extract("target", r":(\d+)$", 1).cast("long").alias("c"))
+    jobs = nodes.filter("type = 'ci_job'").join(customer, "id")
+    command = text("helm upgrade --x supplier-", F.col("c") % 200, " c", k % 9)
+    operations = jobs.select(F.col("id").alias("job"), F.lit(0).alias("position"), F.col("file_path").alias("path"), "name", text("charts/n", k % 30).alias("working_dir"), F.regexp_replace(command, "--x ", "").alias("command"), text("ns-", k % 40).alias("namespace"))
+    charts = nodes.filter("type = 'helm_chart'").select("id", "file_path", "name", text("supplier_", k).alias("release"), text("my-chart-c", k % 12).alias("chart"), F.regexp_replace("file_path", "/[^/]*$", "").alias("chart_path"), "namespace")
+    return flows.helm_links(operations, charts)
+
+
+@plain("value_overrides", """, b AS (SELECT n.id AS key, substring(t.fullkey, 3) AS path, t.atom->>'$' AS v FROM nodes n, json_tree(n.metadata) t WHERE t.type <> 'OBJECT'), c AS (SELECT n.id AS key, substring(t.fullkey, 3) AS path, t.atom->>'$' AS v FROM target_nodes n, json_tree(n.metadata) t WHERE t.type <> 'OBJECT')
+  SELECT c.key, 'target' AS source, c.path, b.v AS base_value, c.v AS value FROM c LEFT JOIN b ON b.key = c.key AND b.path = c.path WHERE b.v IS NULL OR b.v <> c.v""")
+def value_overrides(spark, sf_dir):
+    base, _, target, _ = pg.snapshots(spark, sf_dir)
+    found = diff.value_overrides(base.select(F.col("id").alias("key"), "metadata"), target.select(F.col("id").alias("key"), F.lit("target").alias("source"), "metadata"))
+    return found.select("key", "source", "path", "base_value", "value")
+
+
+@plain("appended_diffs", f"{DIFF_SQL} SELECT i AS at, CASE WHEN i = 1 AND change = 'added' THEN 'removed' WHEN i = 1 AND change = 'removed' THEN 'added' ELSE change END AS change, count(*) AS n FROM nd, range(2) r(i) WHERE change <> 'unchanged' GROUP BY ALL".replace("AS at,", 'AS "at",'))
+def appended_diffs(spark, sf_dir):
+    """There and back again: what is added first and then removed counts as both."""
+    base, _, target, _ = pg.snapshots(spark, sf_dir)
+    found = diff.appended([diff.node_diff(base, target), diff.node_diff(target, base)]).filter("change <> 'unchanged'")
+    return found.groupBy(F.col("at").cast("long").alias("at"), "change").agg(F.count("*").alias("n"))

@@ -207,9 +207,9 @@ def orphan_nodes(nodes, edges):
     return graphs.orphans(nodes, edges)
 
 
-@query("adjacency", "SELECT source AS node, count(*) AS n, string_agg(target, '>' ORDER BY target, id) AS targets FROM edges WHERE type <> 'module_call' GROUP BY source")
+@query("adjacency", "SELECT source AS node, count(*) AS n, string_agg(target, '>' ORDER BY target, id) AS targets FROM edges GROUP BY source")
 def adjacency(nodes, edges):
-    return traverse.adjacency(edges.filter("type <> 'module_call'")).select("node", F.size("next").cast("long").alias("n"), F.array_join("next.there", ">").alias("targets"))
+    return traverse.adjacency(edges).select("node", F.size("next").cast("long").alias("n"), F.array_join("next.there", ">").alias("targets"))
 
 
 # ---- traversal
@@ -635,7 +635,7 @@ def arn_parts(nodes, edges):
 
 @query("matches_by_strategy", f", {ARN_SQL}, x AS (SELECT 'arn' AS strategy, 100.0 AS c, source, target FROM m) SELECT strategy, count(*) AS n, round(avg(c), 2) AS average, min(c)::DOUBLE AS least, max(c)::DOUBLE AS most FROM x GROUP BY strategy")
 def matches_by_strategy(nodes, edges):
-    return stats.confidence_by(rollup.all_matches(nodes.filter("type = 'terraform_resource'"), [rollup.arn_matcher()]), "strategy")
+    return stats.confidence_by(rollup.all_matches(nodes, [rollup.arn_matcher()]), "strategy")
 
 
 @query("cross_repo_matches", f", {ARN_SQL} SELECT 'repo-0' AS source_repo, 'repo-1' AS target_repo, count(*) AS n FROM m")
