@@ -35,10 +35,11 @@ def _meta(path: str) -> Column:
 
 
 def arn_of_metadata() -> Column:
-    """The ARN of a node: its own, that of its attributes, those of the usual fields, else the first field by name that is one."""
+    """The ARN of a resource or data node: its own, that of its attributes, those of the usual fields, else the first field by name that is one. Other nodes have none."""
     named = [F.when(_meta(p).startswith("arn:"), _meta(p)) for p in ("resource_arn", "target_arn", "function_arn", "bucket_arn")]
     fields = F.array_sort(F.map_entries(F.map_filter(F.from_json("metadata", "map<string,string>"), lambda _, v: v.rlike(r"^arn:[\w-]+:[\w-]+:[\w-]*:\d*:.+$"))))
-    return F.coalesce(_meta("arn"), _meta("attributes.arn"), *named, F.try_element_at(fields, F.lit(1))["value"])
+    found = F.coalesce(_meta("arn"), _meta("attributes.arn"), *named, F.try_element_at(fields, F.lit(1))["value"])
+    return F.when(F.col("type").isin("terraform_resource", "terraform_data"), found)
 
 
 def arn_matcher(least: float = 0, pattern: str | None = None, partial: bool = False, region: bool = False, account: bool = False) -> Matcher:

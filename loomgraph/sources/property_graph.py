@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,8 +23,9 @@ def _text(*parts: str | F.Column) -> F.Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+@lru_cache(maxsize=4)
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scan_id, tenant_id, repo_id, id, type, name, namespace, file_path, line_start, metadata)."""
+    """(scan_id, tenant_id, repo_id, id, type, name, namespace, file_path, line_start, metadata). The frame, not its rows, is kept for a session and folder, with the files that were there."""
 
     def made(name: str, kind: str, key: str, node_type: str, label: F.Column, namespace: F.Column, path: F.Column, line: F.Column, metadata: F.Column) -> DataFrame:
         df = table(spark, sf_dir, name)
@@ -53,8 +54,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@lru_cache(maxsize=4)
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scan_id, tenant_id, id, source, target, type, confidence 0..100, implicit, metadata)."""
+    """(scan_id, tenant_id, id, source, target, type, confidence 0..100, implicit, metadata). Kept as `nodes` is."""
     lines = table(spark, sf_dir, "lineitem")
 
     def made(df: DataFrame, source: F.Column, target: F.Column, kind: str, key: F.Column) -> DataFrame:
