@@ -56,7 +56,7 @@ def filtered_flows(flows: DataFrame, least: float | None = None, source_tool: st
     if source_tool:
         flows = flows.filter(F.col("tools")[0] == source_tool)
     if destination_tool:
-        flows = flows.filter(F.col("end") == destination_tool)
+        flows = flows.filter((F.col("end") if "end" in flows.columns else F.element_at("tools", -1)) == destination_tool)  # tools are distinct, so the last one may have come earlier
     if orchestrated:
         flows = flows.filter("pipeline is not null")
     return flows.orderBy(F.desc("confidence"), "flow_id").limit(limit) if limit else flows
