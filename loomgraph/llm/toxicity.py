@@ -100,7 +100,7 @@ def candidates(folded: str, p: Params) -> set[str]:
 def _automaton(lexicon: Lexicon) -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
     for term, weight in lexicon.terms.items():
-        machine.add_word(term, (len(term), len(term.rstrip()), weight))
+        machine.add_word(term, (len(term), len(term.rstrip() or term), weight))
     for phrase in lexicon.exceptions:
         machine.add_word(phrase, (len(phrase), len(phrase), None))
     machine.make_automaton()
@@ -115,6 +115,8 @@ def hits(folded: str, machine: ahocorasick.Automaton) -> list[tuple[int, int, fl
     exempt: list[tuple[int, int]] = []
     for last, (length, size, weight) in machine.iter(f"{folded} "):
         start = last + 1 - length
+        if last == len(folded) and size == length:
+            continue  # only the end of a whole word may stand on the space that is added
         if weight is None:
             exempt.append((start, start + size))
         elif size > terms.get(start, (0, 0))[0]:
