@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.external import arn_regex, arns, normal_arn, provider_of, reference_hash, resource_ids
-from ..sources.tables import checkpointed
+from ..sources.tables import checkpointed, wide
 
 
 def references(nodes: DataFrame) -> DataFrame:
@@ -88,38 +88,29 @@ def find(refs: DataFrame, external_id: str, types: list[str] | None = None, repo
     return found.filter(F.col("repo_id").isin(repos)) if repos else found
 
 
-def _begins(kind: str, text: str) -> str:
-    """Key of a literal text at one end: as many letters of it as the greatest power of two that it has."""
-    size = 1 << (len(text).bit_length() - 1)
-    return f"{kind}{size}/{text[:size] if kind != 'suffix' else text[-size:]}"
-
-
-def _anchor(resource: str) -> tuple[str, str]:
-    """(kind, key) of a pattern's resource: whole without *, else by its literal beginning, end, or longest part inside; any without a literal."""
-    if "*" not in resource:
-        return "whole", f"whole/{resource}"
-    parts = resource.split("*")
-    if parts[0]:
-        return "prefix", _begins("prefix", parts[0])
-    if parts[-1]:
-        return "suffix", _begins("suffix", parts[-1])
-    longest = max(parts, key=len)
-    return ("inside", _begins("inside", longest)) if longest else ("any", "any")
-
-
-def _anchors(resource: str, kind: str) -> set[str]:
-    """Keys by which a resource meets patterns of a kind; length times its logarithm of them at most."""
-    sizes = [1 << i for i in range(len(resource).bit_length())]
-    match kind:
-        case "whole":
-            return {f"whole/{resource}"}
-        case "prefix":
-            return {f"prefix{n}/{resource[:n]}" for n in sizes}
-        case "suffix":
-            return {f"suffix{n}/{resource[-n:]}" for n in sizes}
-        case "inside":
-            return {f"inside{n}/{resource[i : i + n]}" for n in sizes for i in range(len(resource) - n + 1)}
-    return {"any"}
+# Letters at most of a literal at an end, and of one inside, that a key holds.
+END, INSIDE = 32, 16
+
+
+def _anchors(resource: str, open_: bool) -> list[tuple[int, int, int, str]]:
+    """(prefix, suffix, inside, key) of a pattern's resource, one of which every resource that it matches has: its whole text without *, its literal ends, and its longest literal inside, by their lengths. With `open_` the beginning doesn't count."""
+    if "*" not in resource and not open_:
+        return [(-1, -1, 0, f"whole/{resource}")]
+    first, *inner = resource.split("*")
+    last = inner.pop() if inner else first
+    first = "" if open_ else first[:END]
+    last, longest = last[-END:], "" if open_ else max(inner, key=len, default="")[:INSIDE]
+    ends = [(len(first), len(last), 0, f"ends{len(first)},{len(last)}/{first}*{last}")]
+    return ends + [(0, 0, len(longest), f"inside{len(longest)}/{longest}")] * bool(longest)
+
+
+def _keys(resource: str, prefix: int, suffix: int, inside: int) -> set[str]:
+    """Keys by which a resource meets patterns whose literals have these lengths: one for a whole text or ends, its runs of that length for a literal inside."""
+    if prefix < 0:
+        return {f"whole/{resource}"}
+    if inside:
+        return {f"inside{inside}/{resource[i : i + inside]}" for i in range(len(resource) - inside + 1)}
+    return {f"ends{prefix},{suffix}/{resource[:prefix]}*{resource[len(resource) - suffix :]}"} if max(prefix, suffix) <= len(resource) else set()
 
 
 def _split(arn: str) -> list[str]:
@@ -132,11 +123,13 @@ def wildcard_matches(patterns: DataFrame, arns: DataFrame) -> DataFrame:
     """(pattern, arn): distinct ARN patterns (pattern) and the distinct ARNs (arn) that they match; * stands for any text. Texts that aren't of six parts match nothing.
 
     Patterns have a mask that says which of partition, service, region and
-    account hold no *, and an anchor in the resource; an ARN takes a key for
-    each mask and kind of anchor that patterns have, 80 at most, so that pairs
-    meet by equal keys. A * in a part may reach over the parts behind it; such
-    patterns, with a * in a part that isn't * alone, drop those parts from the
-    mask and their resource from the anchor.
+    account hold no *, and anchors in the resource: the whole, both literal
+    ends, the longest literal inside. A pattern takes that of its anchors which
+    the fewest ARNs have, so that one letter before a * doesn't meet them all.
+    An ARN takes a key for each mask and lengths of literals that patterns
+    have, and pairs meet by equal keys. A * in a part may reach over the parts
+    behind it; such patterns, with a * in a part that isn't * alone, drop those
+    parts from the mask and all but the end from the anchor.
     """
 
     def keys_of_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,29 +143,30 @@ def wildcard_matches(patterns: DataFrame, arns: DataFrame) -> DataFrame:
                 if "*" in "".join(parts[:4]):  # it may swallow colons: what is before it stays sure, and the end of the text
                     first = next(i for i, p in enumerate(parts[:4]) if "*" in p)
                     mask = mask[:first] + "." * (4 - first)
-                    tail = parts[4].split("*")[-1]
-                    kind, key = ("suffix", _begins("suffix", tail)) if tail else ("any", "any")
-                else:
-                    kind, key = _anchor(parts[4])
-                rows.append((text, mask, kind, "|".join(p for p, m in zip(parts, mask) if m == "x") + "|" + key))
-            yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["pattern", "mask", "kind", "key"])
+                sure = "|".join(p for p, m in zip(parts, mask) if m == "x")
+                rows += [(text, mask, prefix, suffix, inside, f"{sure}|{key}") for prefix, suffix, inside, key in _anchors(parts[4], "." in mask)]
+            yield pa.record_batch([pa.array([r[i] for r in rows], pa.int32() if 1 < i < 5 else pa.string()) for i in range(6)], ["pattern", "mask", "prefix", "suffix", "inside", "key"])
 
-    keyed = checkpointed(patterns.select("pattern").filter("pattern is not null").distinct().mapInArrow(keys_of_patterns, "pattern string, mask string, kind string, key string"), "patterns")
-    kinds = [(r["mask"], r["kind"]) for r in keyed.select("mask", "kind").distinct().collect()]  # 16 masks by 5 kinds at most
+    schema = "pattern string, mask string, prefix int, suffix int, inside int, key string"
+    keyed = wide(checkpointed(patterns.select("pattern").filter("pattern is not null").distinct().mapInArrow(keys_of_patterns, schema), "patterns"))
+    shapes = [tuple(r) for r in keyed.select("mask", "prefix", "suffix", "inside").distinct().collect()]  # masks, lengths of ends up to END, or one up to INSIDE
 
     def keys_of_arns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, keys = [], []
             for text in batch.column("arn").to_pylist():
                 parts = _split(text)
-                for mask, kind in kinds if parts else ():
-                    found = _anchors(parts[4], kind)
+                for mask, *lengths in shapes if parts else ():
+                    sure = "|".join(p for p, m in zip(parts, mask) if m == "x")
+                    found = _keys(parts[4], *lengths)
                     own += [text] * len(found)
-                    keys += ["|".join(p for p, m in zip(parts, mask) if m == "x") + "|" + key for key in found]
+                    keys += [f"{sure}|{key}" for key in found]
             yield pa.record_batch([pa.array(own, pa.string()), pa.array(keys, pa.string())], ["arn", "key"])
 
-    met = keyed.join(arns.select("arn").filter("arn is not null").distinct().mapInArrow(keys_of_arns, "arn string, key string"), "key")
-    return met.filter(F.rlike("arn", arn_regex(F.col("pattern")))).select("pattern", "arn").distinct()
+    own = wide(checkpointed(arns.select("arn").filter("arn is not null").distinct().mapInArrow(keys_of_arns, "arn string, key string").join(keyed.select("key").distinct(), "key", "left_semi"), "arns"))
+    often = own.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = keyed.join(often, "key", "left").groupBy("pattern").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
+    return own.join(rarest, "key").filter(F.rlike("arn", arn_regex(F.col("pattern")))).select("pattern", "arn").distinct()
 
 
 def merged_index(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -44,6 +44,16 @@ def checkpointed(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """`df` as a side of joins that grows with the input and is shuffled, never broadcast.
+
+    Spark takes the size of a side from its compressed files and columns. Rows
+    of a few repeated texts take some bytes each there and a hundred in memory,
+    and exploded ones count as one; such sides went through the driver.
+    """
+    return df.hint("merge")
+
+
 def bucketed(df: DataFrame, key: str, name: str = "bucketed", buckets: int | None = None) -> tuple[DataFrame, str]:
     """`df` written as a table in buckets by `key`, each sorted by it, and read again, with the table's name; a join on the key doesn't shuffle it."""
     spark = df.sparkSession
