@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.graph import lookup
+from ..sources.tables import wide
 
 # The kind of a reference by its first word, and the edge type and confidence of each kind.
 KINDS = {"var": "variable", "local": "local", "module": "module_output", "data": "data_source", "count": "count", "each": "for_each_key", "self": "whole", "path": "whole"}
@@ -73,15 +74,20 @@ def data_dependencies(data: DataFrame, resources: DataFrame) -> DataFrame:
 def evidence_of_edges(edges: DataFrame, evidence: DataFrame) -> DataFrame:
     """(edge, evidence): evidence (id, edge_id, source, target, description) that names an edge (id, source, target, expression), or its ends, or whose description holds its expression.
 
-    A description meets expressions by the first letters of both: expressions
-    of eight letters or more by eight, each shorter length by its own.
+    A description meets expressions by runs of letters: expressions of eight
+    letters or more by that run of eight which the fewest descriptions have (a
+    beginning may be common to all), each shorter length by its own.
     """
+    edges, evidence = wide(edges), wide(evidence)
     out = edges.select(F.col("id").alias("edge"), F.col("id").alias("edge_id")).join(evidence.select(F.col("id").alias("evidence"), "edge_id"), "edge_id").select("edge", "evidence")
     out = out.union(edges.select(F.col("id").alias("edge"), "source", "target").join(evidence.select(F.col("id").alias("evidence"), "source", "target"), ["source", "target"]).select("edge", "evidence"))
     said = edges.filter(F.length("expression") > 0).select("expression").distinct().select("expression", F.least(F.length("expression"), F.lit(GRAM)).alias("k"))
     lengths = said.select("k").distinct()  # eight rows at most
     texts = evidence.filter("description is not null").select("description").distinct().join(F.broadcast(lengths), F.length("description") >= F.col("k"))
-    grams = texts.select("description", "k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("description") - F.col("k") + 1), lambda i: F.substr("description", i, F.col("k"))))).alias("gram"))
-    holds = grams.join(said.withColumn("gram", F.substr("expression", F.lit(1), F.col("k"))), ["k", "gram"]).filter(F.contains("description", "expression")).select("description", "expression").distinct()
+    runs = lambda text: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - F.col("k") + 1), lambda i: F.substr(text, i, F.col("k"))))).alias("gram")
+    grams = wide(texts.select("description", "k", runs(F.col("description"))))
+    often = grams.groupBy("k", "gram").agg(F.count("*").alias("n"))
+    rarest = wide(said.select("expression", "k", runs(F.col("expression")))).join(often, ["k", "gram"], "left").groupBy("expression", "k").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    holds = grams.join(rarest, ["k", "gram"]).filter(F.contains("description", "expression")).select("description", "expression").distinct()
     by_text = edges.select(F.col("id").alias("edge"), "expression").join(holds, "expression").join(evidence.select(F.col("id").alias("evidence"), "description"), "description").select("edge", "evidence")
     return out.union(by_text).distinct()

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import external
+from loomgraph.operators import external, references
 
 
 def test_short_literal_before_a_star_does_not_meet_every_arn(spark, monkeypatch):
@@ -24,3 +24,14 @@ def test_overlapping_literals(spark, resource):
     arns = spark.createDataFrame([(f"arn:aws:s3:::{t}",) for t in texts], "arn string")
     got = {r["arn"] for r in external.wildcard_matches(spark.createDataFrame([(f"arn:aws:s3:::{resource}",)], "pattern string"), arns).collect()}
     assert got == {f"arn:aws:s3:::{t}" for t in texts if re.fullmatch(resource.replace("*", ".*"), t)}
+
+
+def test_common_beginning_of_expressions_does_not_meet_every_description(spark, monkeypatch):
+    n = 300
+    rows = spark.range(n)
+    edges = rows.select(F.format_string("e%d", "id").alias("id"), F.format_string("s%d", "id").alias("source"), F.lit("t").alias("target"), F.format_string("customer:%04d", "id").alias("expression"))
+    evidence = rows.select(F.format_string("v%d", "id").alias("id"), F.lit(None).cast("string").alias("edge_id"), F.lit("x").alias("source"), F.lit("y").alias("target"), F.format_string("calls customer:%04d here", "id").alias("description"))
+    found = references.evidence_of_edges(edges, evidence).collect()
+    assert sorted((r["edge"], r["evidence"]) for r in found) == sorted((f"e{i}", f"v{i}") for i in range(n))
+    monkeypatch.setattr(F, "contains", lambda a, b: F.lit(True))  # all pairs that meet
+    assert references.evidence_of_edges(edges, evidence).count() < 10 * n
