@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import wide
+
 #: Below this threshold so many edits are allowed that no key is sure; then all pairs are compared.
 LEAST_THRESHOLD = 2
 
@@ -84,7 +86,7 @@ def _keyed(names: DataFrame, to: str, keys: Callable[[str], set[str]], by: list[
             yield cut()
 
     keyed = names.select(*by, "name").mapInArrow(run, "".join(f"{c} string, " for c in by) + "name string, key string")
-    return keyed.select(*by, F.col("name").alias(to), F.xxhash64("key").alias("key"))
+    return wide(keyed.select(*by, F.col("name").alias(to), F.xxhash64("key").alias("key")))
 
 
 def alike(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import checkpointed
+from ..sources.tables import checkpointed, wide
 from .likeness import holding
 
 # Base score of each pattern, in the order in which they are tried.
@@ -64,12 +64,12 @@ def frames(steps: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     """Steps that have a workflow, a job and a position, each once, the Terraform and the Helm steps among them, and the dependences of jobs; all written once, as every pattern reads them."""
     whole = steps.filter("workflow is not null and job is not null and position is not null").dropDuplicates(["workflow", "job", "position"])
     whole = checkpointed(whole, "steps")
-    return whole, checkpointed(terraform_steps(whole), "terraform"), checkpointed(helm_steps(whole), "helm"), checkpointed(needed(jobs), "needed")
+    return wide(whole), wide(checkpointed(terraform_steps(whole), "terraform")), wide(checkpointed(helm_steps(whole), "helm")), wide(checkpointed(needed(jobs), "needed"))
 
 
 def needed(jobs: DataFrame) -> DataFrame:
     """(workflow, job, on): what a job depends on, by itself or through one job between."""
-    direct = jobs.select("workflow", "job", F.explode("needs").alias("on")).distinct()
+    direct = wide(jobs.select("workflow", "job", F.explode("needs").alias("on")).distinct())
     after = direct.select("workflow", F.col("job").alias("on"), F.col("on").alias("next"))
     return direct.union(direct.join(after, ["workflow", "on"]).select("workflow", "job", F.col("next").alias("on"))).distinct()
 
@@ -249,20 +249,20 @@ def detected(steps: DataFrame, jobs: DataFrame, least: float = 0, most: int | No
 
 def job_chains(found: DataFrame, jobs: DataFrame, longest: int = 20) -> DataFrame:
     """(workflow, source, target, chain): the shortest ways from source jobs to target jobs of `found` (workflow, source_job, target_job) along `needs`, ties in the order of names; without a way both ends alone."""
-    pairs = found.select("workflow", F.col("source_job").alias("source"), F.col("target_job").alias("target")).distinct()
-    moves = jobs.select("workflow", F.col("job").alias("there"), F.explode("needs").alias("here")).distinct()
+    pairs = wide(checkpointed(found.select("workflow", F.col("source_job").alias("source"), F.col("target_job").alias("target")).distinct(), "pairs"))
+    moves = wide(checkpointed(jobs.select("workflow", F.col("job").alias("there"), F.explode("needs").alias("here")).distinct(), "moves"))
     frontier = pairs.select("workflow", "source").distinct().select("workflow", "source", F.col("source").alias("at"), F.array("source").alias("chain"))
     seen = frontier
     for _ in range(longest):
         grown = frontier.join(moves, (frontier["workflow"] == moves["workflow"]) & (frontier["at"] == moves["here"])).select(frontier["workflow"], "source", F.col("there").alias("at"), F.concat("chain", F.array("there")).alias("chain"))
-        grown = grown.groupBy("workflow", "source", "at").agg(F.min("chain").alias("chain")).join(seen.select("workflow", "source", "at"), ["workflow", "source", "at"], "left_anti")
-        frontier = checkpointed(grown, "chains")
+        grown = grown.groupBy("workflow", "source", "at").agg(F.min("chain").alias("chain")).join(wide(seen.select("workflow", "source", "at")), ["workflow", "source", "at"], "left_anti")
+        frontier = wide(checkpointed(grown, "chains"))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
     way = seen.select("workflow", "source", F.col("at").alias("target"), "chain")
     alone = F.when(F.col("source") == F.col("target"), F.array("source")).otherwise(F.array("source", "target"))
-    return pairs.join(way, ["workflow", "source", "target"], "left").select("workflow", "source", "target", F.coalesce("chain", alone).alias("chain"))
+    return pairs.join(wide(way), ["workflow", "source", "target"], "left").select("workflow", "source", "target", F.coalesce("chain", alone).alias("chain"))
 
 
 def traced(variables: DataFrame, steps: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -276,11 +276,11 @@ def traced(variables: DataFrame, steps: DataFrame, jobs: DataFrame) -> DataFrame
     needs, env, outputs), maps from names to texts; both may be null.
     """
     terraform = terraform_steps(steps)
-    own = variables.select("workflow", "job", "scope", "name").distinct()
+    own = wide(variables.select("workflow", "job", "scope", "name").distinct())
     parts = F.split("name", r"\.")
     output = F.element_at(parts, -1)
     given = F.when(F.size(parts) >= 2, parts[0])
-    needs = jobs.select("workflow", "job", F.explode("needs").alias("on")).distinct()
+    needs = wide(jobs.select("workflow", "job", F.explode("needs").alias("on")).distinct())
     asks = own.filter("scope = 'needs'").withColumns({"output": output, "given": given}).join(needs, ["workflow", "job"]).filter(F.col("given").isNull() | (F.col("given") == F.col("on")))
     runs = terraform.groupBy("workflow", F.col("job").alias("on")).agg(F.bool_or(F.col("command") == "output").alias("asks_any"))
     names = terraform.select("workflow", F.col("job").alias("on"), F.explode("outputs").alias("output"), F.lit(True).alias("named")).distinct()
