@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.graph import FLOW_EDGES, FLOW_SOURCES, confidence_level, directory, flow_id, lookup, name_similarity, normal_path, path_segments, path_similarity, paths_related, tool_of
-from ..sources.tables import Levels, checkpointed
+from ..sources.tables import Levels, checkpointed, wide
 from .likeness import alike, holding
 from .traverse import steps
 
@@ -123,7 +123,7 @@ def _path_pairs(jobs: DataFrame, files: DataFrame) -> DataFrame:
         downs = F.transform(F.array(whole, directory(whole)), lambda x: F.concat(F.lit(down), x))
         return df.filter(F.col(path).isNotNull()).select(path, F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("whole:"), whole)), begins, ups, downs))).alias("key"))
 
-    met = keyed(jobs, "path", "a:", "b:").join(keyed(files, "file_path", "b:", "a:"), "key")
+    met = wide(keyed(jobs, "path", "a:", "b:")).join(keyed(files, "file_path", "b:", "a:"), "key")
     return met.select("path", "file_path").distinct()
 
 
@@ -140,7 +140,7 @@ def job_links(jobs: DataFrame, nodes: DataFrame, least: float = 50, most: int =
     by_path = F.when(alike_paths >= 80, alike_paths).when(alike_paths >= 50, alike_paths * 0.9).when(paths_related(F.col("path"), F.col("file_path")), 60.0)
     best = lambda df, by, order: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("n") <= most).drop("n")
     order = [F.desc("score"), "node"]
-    ends = nodes.select(F.col("id").alias("node"), "file_path", F.col("name").alias("node_name"))
+    jobs, ends = wide(jobs), wide(nodes.select(F.col("id").alias("node"), "file_path", F.col("name").alias("node_name")))
     paths = _path_pairs(jobs.select("path").distinct(), nodes.select("file_path").distinct()).withColumn("score", F.round(by_path, 4)).filter(F.col("score") >= least)
     near = best(paths.join(best(ends.select("node", "file_path"), ["file_path"], ["node"]), "file_path").select("path", "node", "score"), ["path"], order)
     found = jobs.select("job", "path").join(near, "path").select("job", "node", "score")
@@ -171,8 +171,8 @@ def helm_links(operations: DataFrame, nodes: DataFrame, least: float = 50, most:
     said = lambda pattern: F.nullif(_bare(F.regexp_extract("command", pattern, 1)), F.lit(""))
     release = F.coalesce(said(r"(?i)(?:install|upgrade)\s+(\S+)"), said(r"(?i)uninstall\s+(\S+)"))
     ops = operations.select("job", "position", "path", "name", "working_dir", release.alias("release"), said(r"(?i)(?:install|upgrade)\s+\S+\s+(\S+)").alias("chart"), F.nullif(_bare(F.col("namespace")), F.lit("")).alias("namespace"))
-    ops = checkpointed(ops, "operations")
-    ends = nodes.select(F.col("id").alias("node"), "file_path", F.col("name").alias("node_name"), _bare(F.col("release")).alias("release"), _bare(F.col("chart")).alias("chart"), "chart_path", _bare(F.col("namespace")).alias("namespace"))
+    ops = wide(checkpointed(ops, "operations"))
+    ends = wide(nodes.select(F.col("id").alias("node"), "file_path", F.col("name").alias("node_name"), _bare(F.col("release")).alias("release"), _bare(F.col("chart")).alias("chart"), "chart_path", _bare(F.col("namespace")).alias("namespace")))
     key = ["job", "position"]
     shown = lambda df, score: df.select(*key, "node", score.cast("double").alias("score"))
     first = lambda column: best(ends.select(column, "node").filter(F.length(column) > 0), [column], ["node"])
