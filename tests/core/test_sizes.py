@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import external, references
+from loomgraph.operators import components, external, references
 
 
 def test_short_literal_before_a_star_does_not_meet_every_arn(spark, monkeypatch):
@@ -35,3 +35,13 @@ def test_common_beginning_of_expressions_does_not_meet_every_description(spark,
     assert sorted((r["edge"], r["evidence"]) for r in found) == sorted((f"e{i}", f"v{i}") for i in range(n))
     monkeypatch.setattr(F, "contains", lambda a, b: F.lit(True))  # all pairs that meet
     assert references.evidence_of_edges(edges, evidence).count() < 10 * n
+
+
+def test_acyclic_beginnings_are_dropped_before_levels_are_counted(spark, monkeypatch):
+    counted = []
+    peeled = components.peeled
+    monkeypatch.setattr(components, "peeled", lambda moves: counted.append(moves.count()) or peeled(moves))
+    many = [(f"a{i}", "b") for i in range(100)] + [("b", "c"), ("x", "y"), ("y", "x"), ("y", "z")]
+    found = components.trimmed(spark.createDataFrame(many, "source string, target string"))
+    assert sorted(map(tuple, found.collect())) == [("x", "y"), ("y", "x")] and max(counted, default=0) < 10
+    assert components.trimmed(spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")).count() == 0
