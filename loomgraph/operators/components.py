@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import Levels, checkpointed, discard, numbered, wide
+from ..sources.tables import Levels, bucketed, checkpointed, discard, numbered, wide
 
 
 #: Numbers of nodes take so many bits; those above hold how long the number of their edges is.
@@ -113,13 +113,17 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
-def peeled(moves: DataFrame) -> DataFrame:
+def peeled(moves: DataFrame, stored: bool = False) -> DataFrame:
     """(node, depth) of the nodes of acyclic beginnings: those of `moves` (source, target), distinct, without a move in are of depth 0, each other one is one behind the last of those before it. Nodes on or behind a cycle are left out.
 
     A level only touches the moves out of the level before: it writes how many
-    moves into a node they are, and a node is done when all that it has are.
+    moves into a node they are, and a node is done when all that it has are. The
+    moves are put in buckets by where they start, unless they are `stored` so
+    already, and no level shuffles them.
     """
     spark = moves.sparkSession
+    if not stored:
+        moves, name = bucketed(moves.select("source", "target"), "source", "moves")
     indegree = checkpointed(moves.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("of")), "indegree")
     counted, placed = Levels(spark, "counted"), Levels(spark, "placed")
     first = moves.select(F.col("source").alias("node")).distinct().join(indegree, "node", "left_anti").select("node")
@@ -130,6 +134,9 @@ def peeled(moves: DataFrame) -> DataFrame:
         depth += 1
         frontier = placed.add(seen.join(indegree, "node").filter("n = of").select("node"), depth)
     discard(indegree)
+    if not stored:
+        discard(moves)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return placed.all()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import Levels, bucketed, checkpointed, discard
+from ..sources.tables import Levels, bucketed, checkpointed, discard, wide
 from .components import cycle_edges, peeled, strongly_connected
 
 
@@ -185,20 +185,31 @@ def cycles(edges: DataFrame, max_length: int = 20, max_cycles: int = 50, canonic
     return found.orderBy("length", "path").limit(max_cycles)
 
 
+def _ordered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes (id), those that moves between them lead to (id), and the levels (id, level) of those on moves but not on or behind a cycle."""
+    every = checkpointed(nodes.select("id").distinct(), "nodes")
+    side = lambda end: wide(every.select(F.col("id").alias(end)))
+    moves = edges.select("source", "target").join(side("target"), "target", "left_semi").join(side("source"), "source", "left_semi")
+    moves, name = bucketed(moves.select("source", "target").distinct(), "source", "moves")  # dealt out by source already
+    into = checkpointed(moves.select(F.col("target").alias("id")).distinct(), "into")
+    placed = peeled(moves, stored=True).select(F.col("node").alias("id"), F.col("depth").alias("level"))
+    discard(moves)
+    edges.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    return every, into, placed
+
+
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): the longest way from a node without edges in, level null for nodes on or behind a cycle. Edges of other nodes don't count."""
-    every = checkpointed(nodes.select("id").distinct(), "nodes")
-    ends = every.select(F.col("id").alias("source"))
-    moves = checkpointed(edges.select("source", "target").distinct().join(ends, "source", "left_semi").join(ends.withColumnRenamed("source", "target"), "target", "left_semi"), "moves")
-    placed = peeled(moves).select(F.col("node").alias("id"), F.col("depth").alias("level"))
-    behind = moves.select(F.col("target").alias("id")).join(placed, "id", "left_anti").distinct()
-    alone = every.join(placed, "id", "left_anti").join(behind, "id", "left_anti")
-    return placed.union(alone.withColumn("level", F.lit(0))).union(behind.withColumn("level", F.lit(None).cast("int")))
+    every, into, placed = _ordered(nodes, edges)
+    found = every.join(placed, "id", "left").join(into.withColumn("into", F.lit(True)), "id", "left")
+    return found.select("id", F.coalesce("level", F.when(F.col("into").isNull(), 0)).alias("level"))
 
 
 def longest_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(max_depth): nodes on the longest path of the part without cycles; 0 without nodes."""
-    return topological_levels(nodes, edges).agg(F.coalesce(F.max("level") + 1, F.lit(0)).alias("max_depth"))
+    every, into, placed = _ordered(nodes, edges)
+    first = every.join(into, "id", "left_anti").limit(1).select(F.lit(0).alias("level"))
+    return placed.select("level").union(first).agg(F.coalesce(F.max("level") + 1, F.lit(0)).alias("max_depth"))
 
 
 def walk_rows(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "downstream", types: list[str] | None = None) -> DataFrame:
