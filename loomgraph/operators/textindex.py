@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 import zlib
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,15 +39,21 @@ class TextIndex:
         """Written from rows (id, the fields): trigrams (gram, id, field, of), words (term, id, tf, n, weights) and rows. Null ids are left out, null fields have no words; rows that repeat an id count as texts of one row."""
         index = TextIndex(path or fresh_path(rows.sparkSession, "textindex"), ranks, parts, rows.schema["id"].dataType.simpleString())
         own = rows.filter("id is not null").select("id", *ranks)
-        grams = reduce(DataFrame.union, [own.select("id", F.lit(f).alias("field"), trigrams(F.coalesce(F.col(f), F.lit(""))).alias("g")) for f in ranks])
-        grams = grams.select(F.explode("g").alias("gram"), "id", "field", F.size("g").alias("of")).distinct()
+        # the texts of an id come together before they are taken apart, so that no posting is shuffled to find its like
+        together = own.groupBy("id").agg(F.collect_list(F.struct(*ranks)).alias("texts"))
+
+        def marked(x: Column, field: str) -> Column:
+            return F.transform(F.array(trigrams(F.coalesce(x[field], F.lit("")))), lambda g: F.transform(g, lambda t: F.struct(t.alias("gram"), F.lit(field).alias("field"), F.size(g).alias("of"))))[0]
+
+        every = F.flatten(F.transform("texts", lambda x: F.concat(*[marked(x, f) for f in ranks])))
+        grams = together.select("id", F.explode(F.when(F.size("texts") == 1, every).otherwise(F.array_distinct(every))).alias("x")).select("x.gram", "id", "x.field", "x.of")
         index._write(grams, "gram", "trigrams")
 
         def weighed(field: str, weight: float) -> Column:
             return F.transform(terms_of(F.coalesce(F.col(field), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
         hits = F.concat(*[weighed(f, RANK_WEIGHTS[r]) for f, r in ranks.items()])
-        words = own.select("id", hits.alias("h")).withColumn("n", F.size("h")).select("id", "n", F.posexplode("h").alias("i", "x"))
+        words = together.select("id", F.explode("texts").alias("x")).select("id", "x.*").select("id", hits.alias("h")).withColumn("n", F.size("h")).select("id", "n", F.posexplode("h").alias("i", "x"))
         words = words.groupBy(F.col("x.term").alias("term"), "id", "n").agg(F.count("*").alias("tf"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x.w"))), lambda x: x["w"]).alias("weights"))  # of one row and word
         index._write(words, "term", "words")
         own.withColumn("n", F.size(hits)).write.mode("overwrite").parquet(f"{index.path}/rows")
