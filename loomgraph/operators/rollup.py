@@ -50,10 +50,13 @@ def _known(df: DataFrame, row: Column, known: Callable[[Column], Column]) -> Dat
 
 def arn_of_metadata() -> Column:
     """The ARN of a resource or data node: its own, that of its attributes, those of the usual fields, else the first field by name that is one. Other nodes have none."""
-    named = [F.when(_meta(p).startswith("arn:"), _meta(p)) for p in ("resource_arn", "target_arn", "function_arn", "bucket_arn")]
-    fields = F.array_sort(F.map_entries(F.map_filter(F.from_json("metadata", "map<string,string>"), lambda _, v: v.rlike(r"^arn:[\w-]+:[\w-]+:[\w-]*:\d*:.+$"))))
-    found = F.coalesce(_meta("arn"), _meta("attributes.arn"), *named, F.try_element_at(fields, F.lit(1))["value"])
-    return F.when(F.col("type").isin("terraform_resource", "terraform_data"), found)
+
+    def found(m: Column) -> Column:
+        named = [F.when(_meta(p, m).startswith("arn:"), _meta(p, m)) for p in ("resource_arn", "target_arn", "function_arn", "bucket_arn")]
+        fields = F.array_sort(F.map_entries(F.map_filter(F.from_json(m, "map<string,string>"), lambda _, v: v.rlike(r"^arn:[\w-]+:[\w-]+:[\w-]*:\d*:.+$"))))
+        return F.coalesce(_meta("arn", m), _meta("attributes.arn", m), *named, F.try_element_at(fields, F.lit(1))["value"])
+
+    return F.when(F.col("type").isin("terraform_resource", "terraform_data"), _once("metadata", found))
 
 
 def arn_matcher(least: float = 0, pattern: str | None = None, partial: bool = False, region: bool = False, account: bool = False) -> Matcher:
@@ -67,13 +70,13 @@ def arn_matcher(least: float = 0, pattern: str | None = None, partial: bool = Fa
         if pattern is None:
             return key.startswith("arn:")
         service = pattern.split(":")[2] if pattern.count(":") >= 2 else "*"
+        p = arn_parts(key)
         near = F.lit(partial) & p.isNotNull() & (F.lit(service == "*") | (p["service"] == service))
         return key.startswith("arn:") & (F.rlike(key, arn_regex(F.lit(pattern))) | near)
 
     key = _once(arn_of_metadata(), lambda k: F.when(good(k), k))
     block = _once(arn_of_metadata(), lambda k: _once(arn_parts(k), lambda p: F.concat_ws("|", p["service"], F.coalesce(p["resource_type"], F.lit("")), p["resource_id"])))
     return Matcher("arn", key, lambda a, b: arn_confidence(a["key"], b["key"], region, account), least, block)
-        p = arn_parts(key)
 
 
 def resource_id_matcher(path: str = "id", least: float = 0, extract: str | None = None) -> Matcher:
@@ -115,16 +118,16 @@ class Tag:
     pattern: str | None = None
 
 
-def tag_entries(tags: list[str | Tag], mode: str = "all") -> Column:
+def tag_entries(tags: list[str | Tag], mode: str = "all", metadata: Column | str = "metadata") -> Column:
     """The sorted entries key=value of the tags that count; null without any, and in mode "all" unless every tag counts."""
     asked = [Tag(t) if isinstance(t, str) else t for t in tags]
-    entries = []
-    for t in asked:
-        value = F.coalesce(_meta(f"tags.{t.key}"), _meta(f"attributes.tags.{t.key}"))
-        good = value.isNotNull() if t.value is None and t.pattern is None else value == t.value if t.value is not None else value.rlike(t.pattern)
-        entries.append(F.when(good, F.concat(F.lit(f"{t.key}="), value)))
-    found = F.array_sort(F.array_compact(F.array(*entries)))
-    return F.when(F.size(found) >= (len(asked) if mode == "all" else 1), found)
+
+    def entry(t: Tag, m: Column) -> Column:
+        good = lambda v: v.isNotNull() if t.value is None and t.pattern is None else v == t.value if t.value is not None else v.rlike(t.pattern)
+        return _once(F.coalesce(_meta(f"tags.{t.key}", m), _meta(f"attributes.tags.{t.key}", m)), lambda v: F.when(good(v), F.concat(F.lit(f"{t.key}="), v)))
+
+    found = _once(metadata, lambda m: F.array_sort(F.array_compact(F.array(*[entry(t, m) for t in asked]))))
+    return _once(found, lambda x: F.when(F.size(x) >= (len(asked) if mode == "all" else 1), x))
 
 
 def tag_matcher(tags: list[str | Tag], least: float = 0) -> Matcher:
@@ -142,7 +145,8 @@ def tag_matches(nodes: DataFrame, tags: list[str | Tag], least: float = 0, mode:
     """
     threshold = least or DEFAULT_LEAST
     share = max(0.0, threshold - 5) / 100
-    own = nodes.filter("type = 'terraform_resource'").select("repo_id", "id", _meta("resourceType").alias("kind"), tag_entries(tags, mode).alias("own")).filter("own is not null")
+    entries = _once("metadata", lambda m: F.struct("repo_id", "id", _meta("resourceType", m).alias("kind"), tag_entries(tags, mode, m).alias("own")))
+    own = checkpointed(_known(nodes.filter("type = 'terraform_resource'"), entries, lambda x: x["own"].isNotNull()), "entries")  # read for the entries and for how frequent they are
     each = own.select("repo_id", "id", "kind", "own", F.explode("own").alias("entry"))
     frequent = own.select(F.explode("own").alias("entry")).groupBy("entry").agg(F.count("*").alias("of"))
     ranked = each.join(frequent, "entry").groupBy("repo_id", "id", "kind", "own").agg(F.array_sort(F.collect_list(F.struct("of", "entry"))).alias("r"))  # as many entries as tags

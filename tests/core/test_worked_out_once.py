@@ -1,5 +1,7 @@
 """What is costly to work out for a row is worked out once, not in each place that names it."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from loomgraph.operators import rollup
@@ -24,3 +26,14 @@ def test_ids_of_resources(spark):
     assert pairs(found) == [("n0", "n1", 95.0)]
     escaped = nodes.withColumn("metadata", F.regexp_replace("metadata", "(a|u0061)rn", "$1rn_id"))  # a name of a field spelled by an escape is found as well
     assert pairs(rollup.matches(escaped, rollup.resource_id_matcher("arn"))) == [("n0", "n1", 95.0), ("n0", "n2", 100.0), ("n1", "n2", 95.0)]
+
+
+def test_entries_of_tags(spark):
+    tagged = lambda kind, **tags: json.dumps({"resourceType": kind, "labels": tags})
+    rows = [("r0", "a", tagged("x", A="1", B="2", C="3")), ("r1", "b", tagged("x", A="1", B="2", C="4")), ("r1", "c", tagged("y", A="1", B="5")), ("r1", "d", None)]
+    nodes = spark.createDataFrame([(repo, node, "terraform_resource", "n", None, m) for repo, node, m in rows], NODE)
+    shown = nodes.withColumn("metadata", F.regexp_replace("metadata", "labels", "tags"))
+    entries = shown.select(rollup.tag_entries(["A", "B", "C"], "any").alias("own")).filter("own is not null")
+    assert plan(entries).count("regexp_replace(") <= 2  # in the filter and in the column
+    assert pairs(rollup.tag_matches(shown, ["A", "B", "C"], 60, "any")) == [("a", "b", 2 / 3 * 100 + 5)]
+    assert pairs(rollup.tag_matches(shown, ["A", "B", "C"], 60)) == [("a", "b", 2 / 3 * 100 + 5)]
