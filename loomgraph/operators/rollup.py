@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.external import arn_confidence, arn_parts, arn_regex
-from ..sources.tables import checkpointed, wide
+from ..sources.tables import checkpointed, known, once, wide
 from .components import connected_components
 from .likeness import alike
 
@@ -38,16 +38,6 @@ def _meta(path: str, metadata: Column | str = "metadata") -> Column:
     return F.when(F.contains(text, F.lit(path.rsplit(".", 1)[-1])) | F.contains(text, F.lit("\\")), found)
 
 
-def _once(value: Column | str, of: Callable[[Column], Column]) -> Column:
-    """`of` a value that is worked out once for a row, however often `of` names it; Spark would put its whole expression in each place."""
-    return F.transform(F.array(value), of)[0]
-
-
-def _known(df: DataFrame, row: Column, known: Callable[[Column], Column]) -> DataFrame:
-    """The fields of the struct `row` as columns, where `known` holds of it; worked out once for a row, as a filter behind a select would work them out for itself again."""
-    return df.select(F.explode(F.filter(F.array(row), known)).alias("row")).select("row.*")
-
-
 def arn_of_metadata() -> Column:
     """The ARN of a resource or data node: its own, that of its attributes, those of the usual fields, else the first field by name that is one. Other nodes have none."""
 
@@ -56,7 +46,7 @@ def arn_of_metadata() -> Column:
         fields = F.array_sort(F.map_entries(F.map_filter(F.from_json(m, "map<string,string>"), lambda _, v: v.rlike(r"^arn:[\w-]+:[\w-]+:[\w-]*:\d*:.+$"))))
         return F.coalesce(_meta("arn", m), _meta("attributes.arn", m), *named, F.try_element_at(fields, F.lit(1))["value"])
 
-    return F.when(F.col("type").isin("terraform_resource", "terraform_data"), _once("metadata", found))
+    return F.when(F.col("type").isin("terraform_resource", "terraform_data"), once("metadata", found))
 
 
 def arn_matcher(least: float = 0, pattern: str | None = None, partial: bool = False, region: bool = False, account: bool = False) -> Matcher:
@@ -74,8 +64,8 @@ def arn_matcher(least: float = 0, pattern: str | None = None, partial: bool = Fa
         near = F.lit(partial) & p.isNotNull() & (F.lit(service == "*") | (p["service"] == service))
         return key.startswith("arn:") & (F.rlike(key, arn_regex(F.lit(pattern))) | near)
 
-    key = _once(arn_of_metadata(), lambda k: F.when(good(k), k))
-    block = _once(arn_of_metadata(), lambda k: _once(arn_parts(k), lambda p: F.concat_ws("|", p["service"], F.coalesce(p["resource_type"], F.lit("")), p["resource_id"])))
+    key = once(arn_of_metadata(), lambda k: F.when(good(k), k))
+    block = once(arn_of_metadata(), lambda k: once(arn_parts(k), lambda p: F.concat_ws("|", p["service"], F.coalesce(p["resource_type"], F.lit("")), p["resource_id"])))
     return Matcher("arn", key, lambda a, b: arn_confidence(a["key"], b["key"], region, account), least, block)
 
 
@@ -86,11 +76,11 @@ def resource_id_matcher(path: str = "id", least: float = 0, extract: str | None
     first of the usual places. `extract` is a pattern whose first group, or
     whole match without one, is the id; nodes that it doesn't match drop out.
     """
-    found = _once("metadata", lambda m: F.coalesce(*[_meta(p, m) for p in (path, f"attributes.{path}", "id", "name", "unique_id", "resource_id", f"{path}_id")]))
+    found = once("metadata", lambda m: F.coalesce(*[_meta(p, m) for p in (path, f"attributes.{path}", "id", "name", "unique_id", "resource_id", f"{path}_id")]))
     if extract is not None:
         found = F.regexp_extract(found, extract, 1 if re.compile(extract).groups else 0)
-    known = lambda k: (k != "") & ~k.rlike(r"^(\$\{|<|unknown|null$|computed)")
-    key = _once(F.lower(F.trim(found)), lambda k: F.when(known(k), k))
+    sure = lambda k: (k != "") & ~k.rlike(r"^(\$\{|<|unknown|null$|computed)")
+    key = once(F.lower(F.trim(found)), lambda k: F.when(sure(k), k))
     return Matcher("resource_id", key, lambda a, b: F.when(a["kind"].eqNullSafe(b["kind"]), 100.0).otherwise(95.0), least, same="kind")
 
 
@@ -124,10 +114,10 @@ def tag_entries(tags: list[str | Tag], mode: str = "all", metadata: Column | str
 
     def entry(t: Tag, m: Column) -> Column:
         good = lambda v: v.isNotNull() if t.value is None and t.pattern is None else v == t.value if t.value is not None else v.rlike(t.pattern)
-        return _once(F.coalesce(_meta(f"tags.{t.key}", m), _meta(f"attributes.tags.{t.key}", m)), lambda v: F.when(good(v), F.concat(F.lit(f"{t.key}="), v)))
+        return once(F.coalesce(_meta(f"tags.{t.key}", m), _meta(f"attributes.tags.{t.key}", m)), lambda v: F.when(good(v), F.concat(F.lit(f"{t.key}="), v)))
 
-    found = _once(metadata, lambda m: F.array_sort(F.array_compact(F.array(*[entry(t, m) for t in asked]))))
-    return _once(found, lambda x: F.when(F.size(x) >= (len(asked) if mode == "all" else 1), x))
+    found = once(metadata, lambda m: F.array_sort(F.array_compact(F.array(*[entry(t, m) for t in asked]))))
+    return once(found, lambda x: F.when(F.size(x) >= (len(asked) if mode == "all" else 1), x))
 
 
 def tag_matcher(tags: list[str | Tag], least: float = 0) -> Matcher:
@@ -145,8 +135,8 @@ def tag_matches(nodes: DataFrame, tags: list[str | Tag], least: float = 0, mode:
     """
     threshold = least or DEFAULT_LEAST
     share = max(0.0, threshold - 5) / 100
-    entries = _once("metadata", lambda m: F.struct("repo_id", "id", _meta("resourceType", m).alias("kind"), tag_entries(tags, mode, m).alias("own")))
-    own = checkpointed(_known(nodes.filter("type = 'terraform_resource'"), entries, lambda x: x["own"].isNotNull()), "entries")  # read for the entries and for how frequent they are
+    entries = once("metadata", lambda m: F.struct("repo_id", "id", _meta("resourceType", m).alias("kind"), tag_entries(tags, mode, m).alias("own")))
+    own = checkpointed(known(nodes.filter("type = 'terraform_resource'"), entries, lambda x: x["own"].isNotNull()), "entries")  # read for the entries and for how frequent they are
     each = own.select("repo_id", "id", "kind", "own", F.explode("own").alias("entry"))
     frequent = own.select(F.explode("own").alias("entry")).groupBy("entry").agg(F.count("*").alias("of"))
     ranked = each.join(frequent, "entry").groupBy("repo_id", "id", "kind", "own").agg(F.array_sort(F.collect_list(F.struct("of", "entry"))).alias("r"))  # as many entries as tags
@@ -167,8 +157,8 @@ def _keyed(nodes: DataFrame, matcher: Matcher) -> DataFrame:
     """(x, block): what a matcher compares of each node that it takes."""
     x = F.struct("repo_id", "id", "type", _meta("resourceType").alias("kind"), matcher.key.alias("key")).alias("x")
     if matcher.block is None:
-        return _known(nodes, F.struct(x), lambda r: r["x"]["key"].isNotNull()).select("x", F.col("x.key").alias("block"))
-    return _known(nodes, F.struct(x, matcher.block.alias("block")), lambda r: r["x"]["key"].isNotNull() & r["block"].isNotNull())
+        return known(nodes, F.struct(x), lambda r: r["x"]["key"].isNotNull()).select("x", F.col("x.key").alias("block"))
+    return known(nodes, F.struct(x, matcher.block.alias("block")), lambda r: r["x"]["key"].isNotNull() & r["block"].isNotNull())
 
 
 def links(nodes: DataFrame, matchers: list[Matcher]) -> DataFrame:

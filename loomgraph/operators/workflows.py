@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import checkpointed, wide
+from ..sources.tables import checkpointed, known, once, wide
 from .likeness import holding
 
 # Base score of each pattern, in the order in which they are tried.
@@ -39,31 +39,37 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _where(sure: Column, found: Column, kind: str = "array<string>") -> Column:
+    """`found` where it can be anything, else an empty array: a literal of a pattern is sought faster than the pattern."""
+    return F.when(sure, found.cast(kind)).otherwise(F.array().cast(kind))
+
+
 def terraform_steps(steps: DataFrame) -> DataFrame:
     """The steps that run Terraform, with `outputs` (names that they ask for) and `command`; only those with outputs or that apply, plan or ask for outputs."""
     text = F.col("text")
-    named = _all(text, rf"(?i)terraform\s+output\s+(?:-(?:raw|json)\s+)?({NAME})")
-    captured = _all(text, rf"(?i){NAME}=\$\(\s*terraform\s+output\s+(?:-raw\s+)?({NAME})\s*\)")
+    named = _where(F.contains(F.lower(text), F.lit("output")), _all(text, rf"(?i)terraform\s+output\s+(?:-(?:raw|json)\s+)?({NAME})"))
+    captured = _where(F.contains(text, F.lit("=$(")), _all(text, rf"(?i){NAME}=\$\(\s*terraform\s+output\s+(?:-raw\s+)?({NAME})\s*\)"))
     command = F.lit("other")
     for kind in ("destroy", "show", "init", "plan", "apply", "output"):
         command = F.when(text.rlike(rf"(?i)terraform\s+{kind}"), kind).otherwise(command)
-    found = steps.filter(text.rlike(r"(?i)terraform\s+")).withColumns({"outputs": F.array_distinct(F.concat(named, captured)), "command": command})
-    return found.filter((F.size("outputs") > 0) | F.col("command").isin("output", "apply", "plan"))
+    row = F.struct(*steps.columns, F.array_distinct(F.concat(named, captured)).alias("outputs"), command.alias("command"))
+    return known(steps.filter(text.rlike(r"(?i)terraform\s+")), row, lambda r: (F.size(r["outputs"]) > 0) | r["command"].isin("output", "apply", "plan"))
 
 
 def helm_steps(steps: DataFrame) -> DataFrame:
     """The steps that run Helm, with `set_values` (path, value; of one path the last) and `files` of values."""
     text = F.col("text")
-    pairs = F.arrays_zip(_all(text, r"--set(?:-string)?\s+([^=\s]+)=([^\s]+)", 1).alias("path"), _all(text, r"--set(?:-string)?\s+([^=\s]+)=([^\s]+)", 2).alias("value"))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["path"] == x["path"]))
-    files = F.concat(F.filter(_all(text, r"-f\s+([^\s]+)"), lambda f: ~f.startswith("-")), _all(text, r"--values[=\s]+([^\s]+)"))
+    pairs = F.arrays_zip(*[_where(F.contains(text, F.lit("--set")), _all(text, r"--set(?:-string)?\s+([^=\s]+)=([^\s]+)", i)).alias(name) for i, name in ((1, "path"), (2, "value"))])
+    last = once(pairs, lambda p: F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["path"] == x["path"])))
+    files = F.concat(F.filter(_where(F.contains(text, F.lit("-f")), _all(text, r"-f\s+([^\s]+)")), lambda f: ~f.startswith("-")), _where(F.contains(text, F.lit("--values")), _all(text, r"--values[=\s]+([^\s]+)")))
     return steps.filter(text.rlike(r"(?i)helm\s+")).withColumns({"set_values": last, "files": files})
 
 
 def frames(steps: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Steps that have a workflow, a job and a position, each once, the Terraform and the Helm steps among them, and the dependences of jobs; all written once, as every pattern reads them."""
-    whole = steps.filter("workflow is not null and job is not null and position is not null").dropDuplicates(["workflow", "job", "position"])
-    whole = checkpointed(whole, "steps")
+    place = ["workflow", "job", "position"]
+    whole = steps.filter("workflow is not null and job is not null and position is not null")
+    whole = checkpointed(whole.repartition(*place).dropDuplicates(place), "steps")  # steps hardly ever repeat: sorted once, behind the shuffle only
     return wide(whole), wide(checkpointed(terraform_steps(whole), "terraform")), wide(checkpointed(helm_steps(whole), "helm")), wide(checkpointed(needed(jobs), "needed"))
 
 
@@ -124,7 +130,7 @@ def definitions(terraform: DataFrame) -> DataFrame:
     from_env = F.filter(F.map_entries(F.coalesce("env", F.create_map().cast("map<string,string>"))), lambda e: e["value"].rlike(r"\$\(\s*terraform\s+output|needs\.[^.]+\.outputs\."))
     own = F.when(F.size("outputs") > 0, F.transform(from_env, lambda e: F.struct(e["key"].alias("variable"), F.col("outputs")[0].alias("output"))))
     kind = "array<struct<variable:string,output:string>>"
-    every = F.concat(plain.cast(kind), written.cast(kind), F.coalesce(own.cast(kind), F.array().cast(kind)))
+    every = F.concat(_where(F.contains(text, F.lit("=$(")), plain, kind), _where(F.contains(text, F.lit("GITHUB_ENV")), written, kind), F.coalesce(own.cast(kind), F.array().cast(kind)))
     rows = terraform.select("workflow", F.col("job").alias("s_job"), F.col("ordinal").alias("s_ordinal"), F.col("position").alias("s_position"), F.posexplode(every).alias("seq", "x"))
     return rows.select("workflow", "x.variable", "x.output", "s_job", "s_ordinal", "s_position", "seq")
 
@@ -134,13 +140,13 @@ def uses_of_variables(helm: DataFrame) -> DataFrame:
     shell, action = rf"\$\{{?({NAME})\}}?", rf"\$\{{\{{\s*env\.({NAME})\s*\}}\}}"
     other = lambda v: ~F.exists(F.array(*map(F.lit, OTHER_VARIABLES)), lambda p: F.startswith(v, p))
     kind = "array<struct<variable:string,path:string>>"
-    from_values = F.flatten(F.transform("set_values", lambda s: F.transform(F.filter(F.array_distinct(_all(s["value"], shell)), other), lambda v: F.struct(v.alias("variable"), s["path"].alias("path"))))).cast(kind)
+    from_values = F.flatten(F.transform(F.filter("set_values", lambda s: F.contains(s["value"], F.lit("$"))), lambda s: F.transform(F.filter(F.array_distinct(_all(s["value"], shell)), other), lambda v: F.struct(v.alias("variable"), s["path"].alias("path"))))).cast(kind)
     after = lambda v, form: F.nullif(F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"--set(?:-string)?\s+([^=\s]+)=.*"), *form(v)), F.lit(1)), F.lit(""))
     as_shell = lambda v: (F.lit(r"\$\{?"), v, F.lit(r"\}?"))
     as_action = lambda v: (F.lit(r"\$\{\{\s*env\."), v, F.lit(r"\s*\}\}"))
     behind = F.transform(F.filter(F.array_distinct(_all(F.col("text"), shell)), other), lambda v: F.struct(v.alias("variable"), after(v, as_shell).alias("path"))).cast(kind)
     named = F.transform(F.array_distinct(_all(F.col("text"), action)), lambda v: F.struct(v.alias("variable"), after(v, as_action).alias("path"))).cast(kind)
-    every = F.array_distinct(F.filter(F.concat(from_values, behind, named), lambda x: x["path"].isNotNull()))
+    every = F.array_distinct(F.filter(F.concat(from_values, _where(F.contains("text", F.lit("$")), behind, kind), _where(F.contains("text", F.lit("env.")), named, kind)), lambda x: x["path"].isNotNull()))
     return _target(helm, F.posexplode(every).alias("seq", "x")).select("workflow", "t_job", "t_ordinal", "t_position", "x.variable", "x.path", "seq")
 
 

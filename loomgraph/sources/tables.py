@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,6 +55,16 @@ def wide(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def once(value: Column | str, of: Callable[[Column], Column]) -> Column:
+    """`of` a value that is worked out once for a row, however often `of` names it; Spark would put its whole expression in each place."""
+    return F.transform(F.array(value), of)[0]
+
+
+def known(df: DataFrame, row: Column, good: Callable[[Column], Column]) -> DataFrame:
+    """The fields of the struct `row` as columns, where `good` holds of it; worked out once for a row, as a filter behind a select would work them out for itself again."""
+    return df.select(F.explode(F.filter(F.array(row), good)).alias("row")).select("row.*")
+
+
 def bucketed(df: DataFrame, key: str, name: str = "bucketed", buckets: int | None = None) -> tuple[DataFrame, str]:
     """`df` written as a table in buckets by `key`, each sorted by it, and read again, with the table's name; a join on the key doesn't shuffle it."""
     spark = df.sparkSession

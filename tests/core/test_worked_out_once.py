@@ -4,9 +4,10 @@ import json
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import rollup
+from loomgraph.operators import rollup, workflows
 
 NODE = "repo_id string, id string, type string, name string, namespace string, metadata string"
+STEP = "workflow string, job string, ordinal int, position int, step string, text string, uses string, artifact string, path string, env map<string,string>"
 
 
 def plan(df):
@@ -37,3 +38,17 @@ def test_entries_of_tags(spark):
     assert plan(entries).count("regexp_replace(") <= 2  # in the filter and in the column
     assert pairs(rollup.tag_matches(shown, ["A", "B", "C"], 60, "any")) == [("a", "b", 2 / 3 * 100 + 5)]
     assert pairs(rollup.tag_matches(shown, ["A", "B", "C"], 60)) == [("a", "b", 2 / 3 * 100 + 5)]
+
+
+def test_steps_of_workflows(spark):
+    texts = ["TERRAFORM OUTPUT -raw a", "export X=$(terraform output b)", "terraform init", "terraform  destroy", "terraform apply", "helm upgrade r c --set x=$A --set y=1 --set x=${B} -f v.yaml --values=w.yaml", "helm list", None]
+    steps = spark.createDataFrame([("w", "j", 1, i, None, t, None, None, None, None) for i, t in enumerate(texts)], STEP)
+    shown = steps.withColumn("text", F.regexp_replace("text", "export", "set"))
+    found = workflows.terraform_steps(shown)
+    assert plan(found).count("regexp_replace(") <= 13  # in the first filter, and once in each part of the row
+    assert sorted((r["position"], r["outputs"], r["command"]) for r in found.collect()) == [(0, ["a"], "output"), (1, ["b"], "output"), (4, [], "apply")]
+    helm = workflows.helm_steps(shown)
+    assert plan(helm).count("regexp_extract_all(") <= 4  # each list once, not again for each of its items
+    assert sorted((r["position"], [tuple(x) for x in r["set_values"]], r["files"]) for r in helm.collect()) == [(5, [("y", "1"), ("x", "${B}")], ["v.yaml", "w.yaml"]), (6, [], [])]
+    used = workflows.uses_of_variables(helm)
+    assert sorted((r["variable"], r["path"]) for r in used.collect()) == [("A", "x"), ("B", "x")]
