@@ -281,8 +281,8 @@ def traced(variables: DataFrame, steps: DataFrame, jobs: DataFrame) -> DataFrame
     90. Other scopes go by the name alone, 45. `jobs` has (workflow, job,
     needs, env, outputs), maps from names to texts; both may be null.
     """
-    terraform = terraform_steps(steps)
-    own = wide(variables.select("workflow", "job", "scope", "name").distinct())
+    terraform = checkpointed(terraform_steps(steps).select("workflow", "job", "outputs", "command"), "terraform")
+    own = wide(checkpointed(variables.select("workflow", "job", "scope", "name").distinct(), "variables"))  # each scope reads it
     parts = F.split("name", r"\.")
     output = F.element_at(parts, -1)
     given = F.when(F.size(parts) >= 2, parts[0])

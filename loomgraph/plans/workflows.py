@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import workflows
 from ..sources import property_graph as pg
+from ..sources.tables import checkpointed, wide
 from .registry import plain
 
 STEPS_SQL = rf""", {pg.WORKFLOWS_SQL},
@@ -130,7 +131,8 @@ UNION ALL SELECT workflow, job, scope, name, 'terraform_output', name, 45.0 FROM
 
 @plain("traced_variables", TRACE_SQL)
 def traced_variables(spark, sf_dir):
-    steps, jobs = pg.workflow_steps(spark, sf_dir), pg.workflow_jobs(spark, sf_dir)
+    steps, jobs = pg.workflow_steps(spark, sf_dir).select("workflow", "job", "step", "text").filter("text is not null"), checkpointed(pg.workflow_jobs(spark, sf_dir), "jobs")
+    steps = wide(checkpointed(steps, "steps"))  # a shell line is made of many cases, and read for each scope
     named = lambda scope: steps.select("workflow", "job", F.lit(scope).alias("scope"), F.explode(F.regexp_extract_all("text", F.lit(rf"{scope}\.([\w.]+)"), F.lit(1))).alias("name"))
     listed = lambda df, scope, *names: df.select("workflow", "job", F.lit(scope).alias("scope"), F.explode(F.array(*map(F.lit, names))).alias("name"))
     asked = named("needs").union(named("steps")).union(listed(jobs, "env", "E0", "E1")).union(listed(jobs.filter("ordinal = 1"), "other", "tf_x", "plain", "vpc_id"))

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from loomgraph.operators import rollup, workflows
+from loomgraph.plans import workflows as plans
 
 NODE = "repo_id string, id string, type string, name string, namespace string, metadata string"
 STEP = "workflow string, job string, ordinal int, position int, step string, text string, uses string, artifact string, path string, env map<string,string>"
@@ -52,3 +53,12 @@ def test_steps_of_workflows(spark):
     assert sorted((r["position"], [tuple(x) for x in r["set_values"]], r["files"]) for r in helm.collect()) == [(5, [("y", "1"), ("x", "${B}")], ["v.yaml", "w.yaml"]), (6, [], [])]
     used = workflows.uses_of_variables(helm)
     assert sorted((r["variable"], r["path"]) for r in used.collect()) == [("A", "x"), ("B", "x")]
+
+
+def test_shell_lines_of_traced_variables(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(plans.pg, "workflow_steps", lambda *_: made.append(1) or spark.createDataFrame([("w", "j", 1, 1, "s1", "terraform output -raw a ${{ steps.s1.outputs.a }} ${{ needs.i.outputs.o }}", None, None, None, None)], STEP).withColumn("text", F.regexp_replace("text", "raw", "raw")))
+    monkeypatch.setattr(plans.pg, "workflow_jobs", lambda *_: spark.createDataFrame([("w", "j", 1, ["i"], {"E0": "needs.i.outputs.o"}, None), ("w", "i", 2, None, None, {"o": "from terraform"})], "workflow string, job string, ordinal int, needs array<string>, env map<string,string>, outputs map<string,string>"))
+    found = plans.traced_variables(spark, str(tmp_path))
+    assert "regexp_replace(" not in plan(found)  # lines are kept, not made again for each scope
+    assert sorted((r["scope"], r["name"], r["source"], r["confidence"]) for r in found.collect()) == [("env", "E0", "env.E0", 80.0), ("needs", "i.outputs.o", "i.outputs.o", 75.0), ("other", "tf_x", "tf_x", 45.0), ("other", "vpc_id", "vpc_id", 45.0), ("steps", "s1.outputs.a", "steps.s1.outputs.a", 90.0)]
