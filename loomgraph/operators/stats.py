@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.graph import TOOLS, tool_of
-from ..sources.tables import checkpointed, numbered
+from ..sources.tables import checkpointed, dealt, numbered
 
 
 def counts_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -33,8 +33,19 @@ def confidence_by(df: DataFrame, key: str) -> DataFrame:
 
 
 def edge_stats(edges: DataFrame, high: float = 90, medium: float = 70) -> DataFrame:
-    """One row: edges, distinct ends, average confidence and bands."""
-    return edges.agg(F.count("*").alias("edges"), F.count_distinct("source").alias("sources"), F.count_distinct("target").alias("targets"), F.round(F.avg("confidence"), 2).alias("average"), *banded(edges, high, medium))
+    """One row: edges, distinct ends, average confidence and bands.
+
+    Counted by end in parts that follow the input's size, so that no task keeps
+    more ends the more edges there are; the sums are those of the sources.
+    """
+    end = lambda side, rated: F.struct(F.lit(side).alias("side"), F.col(side).alias("node"), rated.cast("double").alias("confidence"))
+    ends = edges.select(F.explode(F.array(end("source", F.col("confidence")), end("target", F.lit(None)))).alias("end")).select("end.*")
+    ends = dealt(ends, "side", "node")
+    by = ends.groupBy("side", "node").agg(F.count("*").alias("n"), F.count("confidence").alias("rated"), F.sum("confidence").alias("total"), *banded(ends, high, medium))
+    of = lambda side, column: F.when(F.col("side") == side, F.col(column))
+    whole = lambda column: F.coalesce(F.sum(column), F.lit(0))
+    average = F.round(F.sum("total") / F.nullif(F.sum("rated"), F.lit(0)), 2)
+    return by.agg(F.coalesce(F.sum(of("source", "n")), F.lit(0)).alias("edges"), F.count(of("source", "node")).alias("sources"), F.count(of("target", "node")).alias("targets"), average.alias("average"), *[whole(c).alias(c) for c in ("high", "medium", "low")])
 
 
 def fan(edges: DataFrame, side: str, threshold: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import dealt, table
 
 SCAN, TENANT = "scan-0", "tenant-0"
 
@@ -72,14 +72,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
             _text('{"step":', key % 5, "}").alias("metadata"),
         )
 
+    pairs = lambda *keys: dealt(lines.select(*keys), *keys).distinct()
     c = F.col
     parts = [
         made(table(spark, sf_dir, "nation"), _key("nation", "n_nationkey"), _key("region", "n_regionkey"), "references", c("n_nationkey").cast("long")),
         made(table(spark, sf_dir, "customer"), _key("customer", "c_custkey"), _key("nation", "c_nationkey"), "depends_on", c("c_custkey")),
         made(table(spark, sf_dir, "supplier"), _key("supplier", "s_suppkey"), _key("nation", "s_nationkey"), "depends_on", c("s_suppkey")),
         made(table(spark, sf_dir, "orders"), _key("orders", "o_orderkey"), _key("customer", "o_custkey"), "OPERATES_ON", c("o_orderkey")),
-        made(lines.select("l_partkey", "l_suppkey").distinct(), _key("part", "l_partkey"), _key("supplier", "l_suppkey"), "FEEDS_INTO", c("l_partkey") + c("l_suppkey")),
-        made(lines.select("l_orderkey", "l_partkey").distinct(), _key("orders", "l_orderkey"), _key("part", "l_partkey"), "module_call", c("l_orderkey") + c("l_partkey")),
+        made(pairs("l_partkey", "l_suppkey"), _key("part", "l_partkey"), _key("supplier", "l_suppkey"), "FEEDS_INTO", c("l_partkey") + c("l_suppkey")),
+        made(pairs("l_orderkey", "l_partkey"), _key("orders", "l_orderkey"), _key("part", "l_partkey"), "module_call", c("l_orderkey") + c("l_partkey")),
         made(table(spark, sf_dir, "region"), _key("region", "r_regionkey"), _text("customer:", c("r_regionkey") + 1), "selector_match", c("r_regionkey").cast("long")),
     ]
     return reduce(DataFrame.unionByName, parts)

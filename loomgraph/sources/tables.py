@@ -86,6 +86,21 @@ def numbered(df: DataFrame, order: list[Column], to: str, of: Column | None = No
     return ranged.join(F.broadcast(begins), "_part").withColumn(to, F.col("_start") + place).drop("_part", "_of", "_start")
 
 
+def dealt(df: DataFrame, *keys: str, mb: int = 8) -> DataFrame:
+    """`df` dealt out by the keys to a part for each `mb` MB of the files that it comes from, at least one for each core.
+
+    A fixed number of parts, or parts that Spark puts together by their
+    compressed size, would have the tasks that count them keep more the more
+    comes in.
+    """
+    spark = df.sparkSession
+    size = 0
+    for path in df.inputFiles():
+        at, store = _folder(spark, path)
+        size += store.getFileStatus(at).getLen()
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-size // (mb << 20))), *keys)
+
+
 def _folder(spark: SparkSession, path: str):
     """A path and its file system."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
