@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.graph import FLOW_EDGES, FLOW_SOURCES, confidence_level, directory, flow_id, lookup, name_similarity, normal_path, path_segments, path_similarity, paths_related, tool_of
-from ..sources.tables import Levels, checkpointed, wide
+from ..sources.tables import Levels, bucketed, checkpointed, discard, wide
 from .likeness import alike, holding
 from .traverse import steps
 
@@ -26,19 +26,26 @@ def end_to_end_flows(nodes: DataFrame, edges: DataFrame, sources: DataFrame | No
     Confidence is the mean of the edges; the last CI node on the path is the
     flow's pipeline.
     """
-    kinds = nodes.select(F.col("id").alias("there"), "type")
+    spark = edges.sparkSession
     roots = sources if sources is not None else nodes.filter(F.col("type").isin(*FLOW_SOURCES)).select(F.col("id").alias("node"))
-    moves = checkpointed(steps(edges, "downstream", list(FLOW_EDGES)).join(kinds, "there").select("here", "there", "confidence", tool_of(kinds["type"]).alias("tool")), "moves")
+    own = checkpointed(steps(edges, "downstream", list(FLOW_EDGES)).select("here", "there", "confidence"), "own")
+    going = own.select(F.col("here").alias("there"), F.lit(True).alias("goes")).distinct()
+    kinds = wide(nodes.select(F.col("id").alias("there"), tool_of(F.col("type")).alias("tool"))).join(wide(going), "there", "left")
+    moves, name = bucketed(own.join(kinds, "there").select("here", "there", "confidence", "tool", F.coalesce("goes", F.lit(False)).alias("goes")), "here", "moves")  # dealt out by where they start, so no level shuffles them
     first = nodes.select(F.col("id").alias("node"), tool_of(F.col("type")).alias("tool"))
-    placed = Levels(edges.sparkSession, "flows")
-    frontier = placed.add(roots.join(first, "node").select(F.col("node").alias("source"), "node", F.array("node").alias("path"), F.array("tool").alias("tools"), F.lit(0.0).alias("total")), 0)
+    placed = Levels(spark, "flows")
+    frontier = placed.add(roots.join(first, "node").select(F.col("node").alias("source"), "node", F.array("node").alias("path"), F.array("tool").alias("tools"), F.lit(0.0).alias("total"), F.lit(True).alias("goes")), 0)
     for depth in range(1, max_nodes + 1):
-        grown = frontier.join(moves, frontier["node"] == moves["here"])
-        best = grown.groupBy("source", "there").agg(F.min(F.struct("path", "tools", "tool", "total", "confidence")).alias("b"))
-        new = best.select("source", F.col("there").alias("node"), F.concat("b.path", F.array("there")).alias("path"), F.concat("b.tools", F.array("b.tool")).alias("tools"), (F.col("b.total") + F.col("b.confidence")).alias("total"))
-        frontier = placed.add(new.join(placed.all().select("source", "node"), ["source", "node"], "left_anti"), depth)
-        if frontier.isEmpty():
+        ahead = wide(frontier.filter("goes").drop("goes"))
+        grown = ahead.join(moves, ahead["node"] == moves["here"]).select("source", "there", "path", "tools", "tool", "total", "confidence", "goes")
+        dealt = grown.repartition("source", "there")  # few ways meet, so that to sort them before they are dealt out gains nothing
+        best = dealt.groupBy("source", "there").agg(F.min(F.struct("path", "tools", "tool", "total", "confidence", "goes")).alias("b"))
+        new = best.select("source", F.col("there").alias("node"), F.concat("b.path", F.array("there")).alias("path"), F.concat("b.tools", F.array("b.tool")).alias("tools"), (F.col("b.total") + F.col("b.confidence")).alias("total"), "b.goes")
+        frontier = placed.add(new.join(wide(placed.all().select("source", "node")), ["source", "node"], "left_anti"), depth)
+        if frontier.filter("goes").isEmpty():
             break
+    discard(own, moves)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     found = placed.all().filter("depth > 0").filter(F.element_at("tools", -1).isin(*DESTINATIONS))
     pipeline = F.filter(F.zip_with("path", "tools", lambda p, t: F.when(t == "ci", p)), lambda x: x.isNotNull())
     return found.select(flow_id(F.col("source"), F.col("node")).alias("flow_id"), "source", F.col("node").alias("target"), "path", F.round(F.col("total") / F.col("depth"), 6).alias("confidence"), F.try_element_at(pipeline, F.lit(-1)).alias("pipeline"), F.array_distinct("tools").alias("tools"), F.element_at("tools", -1).alias("end"))
