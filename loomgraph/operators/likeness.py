@@ -8,11 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import wide
+from ..sources.tables import kept_together, wide
 
 #: Below this threshold so many edits are allowed that no key is sure; then all pairs are compared.
 LEAST_THRESHOLD = 2
 
+#: A group's pairs are all tried if they are at most so many for each of its names, about as many as a short name has keys.
+PAIRS_OF_A_NAME = 32
+
 
 def edits(length: int, threshold: float) -> int:
     """Edits at most between names whose longer one has `length` letters, if their likeness, rounded to whole percent, is `threshold` or more."""
@@ -110,11 +113,32 @@ def holding(left: DataFrame, right: DataFrame, by: list[str] | None = None) -> D
     """(*by, left, right): pairs of names (*by, name) of which one holds the other, or that are equal, within equal values of the string columns `by`.
 
     A held name of n letters meets the holder in its first letters, as many as
-    the greatest power of two up to n.
+    the greatest power of two up to n. In a group with so few names that their
+    pairs are fewer than such keys, all pairs are tried.
     """
     by = by or []
     left, right = (df.select(*by, "name").filter("name is not null").distinct() for df in (left, right))
+    if not by:
+        return _held(left, right, by).distinct()
+    sizes, others = of_few(left, right, by)
+    small = lambda df: df.join(sizes.filter("few").select(*by), by, "left_semi") if others else df
+    tried = small(left).withColumnRenamed("name", "left").join(wide(right.withColumnRenamed("name", "right")), by).filter(F.contains("left", "right") | F.contains("right", "left")).select(*by, "left", "right")
+    if not others:
+        return tried
+    large = lambda df: df.join(sizes.filter("not few").select(*by), by, "left_semi")
+    return tried.union(_held(large(left), large(right), by).distinct())
+
+
+def of_few(left: DataFrame, right: DataFrame, by: list[str]) -> tuple[DataFrame, bool]:
+    """(*by, few) of the groups of both sides, written: whether the rows of a group make so few pairs that all of them may be tried; and whether any group makes more."""
+    size = lambda df, n: df.groupBy(*by).agg(F.count("*").alias(n))
+    sizes = kept_together(size(left, "l").join(size(right, "r"), by).select(*by, (F.col("l") * F.col("r") <= PAIRS_OF_A_NAME * (F.col("l") + F.col("r"))).alias("few")), by[0], "sizes")
+    return sizes, not sizes.filter("not few").isEmpty()
+
+
+def _held(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """`holding` of distinct names by their keys; pairs of equal names come twice."""
     down = _keyed(left, "left", _grams, by).join(_keyed(right, "right", _begins, by), [*by, "key"]).filter(F.contains("left", "right"))
     up = _keyed(left, "left", _begins, by).join(_keyed(right, "right", _grams, by), [*by, "key"]).filter(F.contains("right", "left"))
     columns = [*by, "left", "right"]
-    return down.select(*columns).union(up.select(*columns)).distinct()
+    return down.select(*columns).union(up.select(*columns))

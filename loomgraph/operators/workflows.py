@@ -1,9 +1,12 @@
 """Data flows inside CI workflows: which step's Terraform output comes to which Helm value, and where a variable comes from.
 
 Everything is keyed by the workflow, and steps by (workflow, job, position), so
-that equal names in different workflows never meet. A workflow with very many
-steps stays linear: uses meet definitions by equal names, and of the definers
-of a name only the first of each job, or the last of all, are joined.
+that equal names in different workflows never meet. `frames` deals a workflow's
+rows out once, to a bucket for each few MB of the input; the patterns work
+within buckets and shuffle no steps again. A workflow with very many steps stays
+linear, though in the task of its bucket: uses meet definitions by equal names,
+and of the definers of a name only the first of each job, or the last of all,
+are joined.
 
 steps: (workflow, job, ordinal, position, step, text, uses, artifact, path, env)
 with `ordinal` the place of the job in its workflow, `text` what the step runs,
@@ -13,11 +16,15 @@ jobs: (workflow, job, ordinal, needs).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce, wraps
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import checkpointed, known, once, wide
-from .likeness import holding
+from ..sources.tables import checkpointed, kept_together, once, parts_of, together, wide
+from .likeness import holding, of_few
 
 # Base score of each pattern, in the order in which they are tried.
 PATTERNS = {"direct_output": 90, "output_to_env": 80, "output_to_file": 75, "artifact_transfer": 65}
@@ -52,8 +59,10 @@ def terraform_steps(steps: DataFrame) -> DataFrame:
     command = F.lit("other")
     for kind in ("destroy", "show", "init", "plan", "apply", "output"):
         command = F.when(text.rlike(rf"(?i)terraform\s+{kind}"), kind).otherwise(command)
-    row = F.struct(*steps.columns, F.array_distinct(F.concat(named, captured)).alias("outputs"), command.alias("command"))
-    return known(steps.filter(text.rlike(r"(?i)terraform\s+")), row, lambda r: (F.size(r["outputs"]) > 0) | r["command"].isin("output", "apply", "plan"))
+    found = F.struct(F.array_distinct(F.concat(named, captured)).alias("outputs"), command.alias("command"))
+    good = lambda x: (F.size(x["outputs"]) > 0) | x["command"].isin("output", "apply", "plan")
+    rows = steps.filter(text.rlike(r"(?i)terraform\s+")).select(*steps.columns, F.explode(F.filter(F.array(found), good)).alias("found"))  # the columns stay as they are, so that buckets hold
+    return rows.select(*steps.columns, "found.outputs", "found.command")
 
 
 def helm_steps(steps: DataFrame) -> DataFrame:
@@ -66,20 +75,30 @@ def helm_steps(steps: DataFrame) -> DataFrame:
 
 
 def frames(steps: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Steps that have a workflow, a job and a position, each once, the Terraform and the Helm steps among them, and the dependences of jobs; all written once, as every pattern reads them."""
+    """Steps that have a workflow, a job and a position, each once, the Terraform and the Helm steps among them, and the dependences of jobs; all written once, in equal buckets by workflow, as every pattern reads them."""
     place = ["workflow", "job", "position"]
     whole = steps.filter("workflow is not null and job is not null and position is not null")
-    whole = checkpointed(whole.repartition(*place).dropDuplicates(place), "steps")  # steps hardly ever repeat: sorted once, behind the shuffle only
-    return wide(whole), wide(checkpointed(terraform_steps(whole), "terraform")), wide(checkpointed(helm_steps(whole), "helm")), wide(checkpointed(needed(jobs), "needed"))
+    n = parts_of(whole, 4)
+    whole = kept_together(whole, "workflow", "steps", n, place)
+    direct = kept_together(_direct(jobs), "workflow", "needs", n, ["workflow", "job", "on"])
+    with together(steps.sparkSession):
+        return whole, kept_together(terraform_steps(whole), "workflow", "terraform"), kept_together(helm_steps(whole), "workflow", "helm"), kept_together(_closed(direct), "workflow", "needed", n)
 
 
-def needed(jobs: DataFrame) -> DataFrame:
-    """(workflow, job, on): what a job depends on, by itself or through one job between."""
-    direct = wide(jobs.select("workflow", "job", F.explode("needs").alias("on")).distinct())
+def _direct(jobs: DataFrame) -> DataFrame:
+    return jobs.select("workflow", "job", F.explode("needs").alias("on"))
+
+
+def _closed(direct: DataFrame) -> DataFrame:
     after = direct.select("workflow", F.col("job").alias("on"), F.col("on").alias("next"))
     return direct.union(direct.join(after, ["workflow", "on"]).select("workflow", "job", F.col("next").alias("on"))).distinct()
 
 
+def needed(jobs: DataFrame) -> DataFrame:
+    """(workflow, job, on): what a job depends on, by itself or through one job between."""
+    return _closed(wide(_direct(jobs).distinct()))
+
+
 def _confidence(pattern: str, *strengths: Column) -> Column:
     """The pattern's base with three tenths of the mean strength and 2 for each piece of evidence, 10 at most; a null strength is no evidence."""
     n = sum((s.isNotNull().cast("int") for s in strengths), F.lit(0))
@@ -97,17 +116,32 @@ def _flow(found: DataFrame, pattern: str, output: Column, path: Column, confiden
     return found.select("workflow", F.lit(pattern).alias("pattern"), F.col("s_job").alias("source_job"), F.col("s_position").alias("source_position"), output.alias("output"), F.col("t_job").alias("target_job"), F.col("t_position").alias("target_position"), path.alias("path"), confidence.alias("confidence"), F.struct(F.lit(list(PATTERNS).index(pattern)).alias("pattern"), "t_ordinal", "t_position", seq.alias("seq")).alias("order"))
 
 
+def _written(pattern: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A pattern that joins within buckets and writes its flows."""
+
+    @wraps(pattern)
+    def run(*frames: DataFrame, **how) -> DataFrame:
+        with together(frames[0].sparkSession):
+            return checkpointed(pattern(*frames, **how), "flows")
+
+    return run
+
+
 def _target(helm: DataFrame, *more: Column) -> DataFrame:
     return helm.select("workflow", F.col("job").alias("t_job"), F.col("ordinal").alias("t_ordinal"), F.col("position").alias("t_position"), *more)
 
 
+@_written
 def direct_flows(terraform: DataFrame, helm: DataFrame, depends: DataFrame) -> DataFrame:
     """Flows of `--set path=$(terraform output x)`: from the first Terraform step that names x, in the same job if there is one, else in a job that this one depends on, else in any."""
     pattern = rf"--set(?:-string)?\s+([^=\s]+)={SUBSTITUTED}"
     pairs = F.arrays_zip(_all(F.col("text"), pattern, 1).alias("path"), _all(F.col("text"), pattern, 2).alias("output"))
     uses = _target(helm, F.posexplode(pairs).alias("seq", "x")).select("workflow", "t_job", "t_ordinal", "t_position", "seq", "x.path", "x.output")
     names = F.array_union(F.array_distinct(_all(F.col("text"), rf"({NAME})")), F.col("outputs"))
-    first = terraform.select("workflow", "job", "ordinal", "position", F.explode(names).alias("output")).groupBy("workflow", "output", "job").agg(F.min(F.struct("ordinal", "position", "job")).alias("at"))
+    first = terraform.select("workflow", "job", "ordinal", "position", F.explode(names).alias("output"))
+    uses = kept_together(uses, "workflow", "uses")
+    first = first.join(uses.select("workflow", "output").distinct(), ["workflow", "output"], "left_semi").groupBy("workflow", "output", "job").agg(F.min(F.struct("ordinal", "position", "job")).alias("at"))
+    first = kept_together(first, "workflow", "first")
     asked = uses.select("workflow", "t_job", "output").distinct()
     same = first.select("workflow", "output", F.col("job").alias("t_job"), F.col("at").alias("same"))
     behind = asked.join(depends.select("workflow", F.col("job").alias("t_job"), F.col("on").alias("job")), ["workflow", "t_job"]).join(first, ["workflow", "output", "job"]).groupBy("workflow", "t_job", "output").agg(F.min("at").alias("behind"))
@@ -150,6 +184,7 @@ def uses_of_variables(helm: DataFrame) -> DataFrame:
     return _target(helm, F.posexplode(every).alias("seq", "x")).select("workflow", "t_job", "t_ordinal", "t_position", "x.variable", "x.path", "seq")
 
 
+@_written
 def env_flows(terraform: DataFrame, helm: DataFrame, depends: DataFrame, reaching: bool = False) -> DataFrame:
     """Flows through variables. A variable has the workflow's last definition; with `reaching`, the last one that stands before its use."""
     set_by, uses = definitions(terraform), uses_of_variables(helm)
@@ -172,12 +207,34 @@ def _base(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]+$", "")
 
 
+def _files_of_many(asked: DataFrame, written: DataFrame, ends: Column) -> DataFrame:
+    """(workflow, file, piped, at): read and written files that match, of workflows with so many that they meet by keys of their names."""
+
+    def near(mine: str, theirs: str) -> DataFrame:
+        """(workflow, file, other): of one's name holds the other's."""
+        name = lambda df, column: df.select("workflow", F.col(column).alias("name")).distinct()
+        met = holding(name(asked, mine), name(written, theirs), ["workflow"])
+        left, right = asked.select("workflow", "file", F.col(mine).alias("left")).distinct(), written.select("workflow", "other", F.col(theirs).alias("right"))
+        return left.join(met, ["workflow", "left"]).join(right, ["workflow", "right"]).select("workflow", "file", "other")
+
+    plain = asked.filter(~F.col("piped"))
+    pairs = near("file", "other").join(asked, ["workflow", "file"]).filter(~F.col("piped") | ends).select("workflow", "file", "piped", "other")
+    pairs = pairs.union(near("base", "other_base").join(plain, ["workflow", "file"]).select("workflow", "file", "piped", "other"))
+    found = pairs.join(written, ["workflow", "other"]).select("workflow", "file", "piped", "at")
+    for mine, theirs in FILE_WORDS:  # the first written file with the one word, for each values file with the other
+        first = written.filter(F.contains("other_base", F.lit(theirs))).groupBy("workflow").agg(F.min("at").alias("at"))
+        found = found.union(plain.filter(F.contains("base", F.lit(mine))).join(first, "workflow").select("workflow", "file", "piped", "at"))
+    return found
+
+
+@_written
 def file_flows(terraform: DataFrame, helm: DataFrame, depends: DataFrame) -> DataFrame:
     """Flows through files that Terraform steps write their outputs to: jq or yq reads such a file for Helm, or a values file is like it in name. Of the written files that match the first counts."""
     text = F.col("text")
     files = F.concat(_all(text, r"terraform\s+output\s+-json\s*(?:>\s*|>>?\s*)([^\s|;]+)"), _all(text, r"terraform\s+output\s+-json\s*\|\s*tee\s+([^\s|;]+)"))
     written = terraform.select("workflow", "job", "ordinal", "position", F.posexplode(files).alias("seq", "file"))
     written = written.groupBy("workflow", "file").agg(F.min(F.struct("ordinal", "position", "seq", "job")).alias("at"))
+    written = kept_together(written.select("workflow", F.col("file").alias("other"), _base(F.col("file")).alias("other_base"), "at"), "workflow", "written")
     read = r"-f\s+<\(\s*(jq|yq)\s+['\"]([^'\"]*)['\"]\s+([^\s)]+)\s*\)"
     shape = _all(text, read, 2)
     key = lambda t: F.coalesce(F.nullif(F.regexp_extract(t, rf"\{{({NAME}):", 1), F.lit("")), F.nullif(F.regexp_extract(t, rf"\.({NAME})", 1), F.lit("")), F.lit("values"))
@@ -185,28 +242,25 @@ def file_flows(terraform: DataFrame, helm: DataFrame, depends: DataFrame) -> Dat
     named = F.transform("files", lambda f: F.struct(f.alias("file"), f.alias("path"), F.lit(False).alias("piped")))
     kind = "array<struct<file:string,path:string,piped:boolean>>"
     uses = _target(helm, F.posexplode(F.concat(pipes.cast(kind), named.cast(kind))).alias("seq", "x")).select("workflow", "t_job", "t_ordinal", "t_position", "seq", "x.*")
-    asked = uses.select("workflow", "file", "piped").distinct()
-
-    def near(of) -> DataFrame:
-        """(workflow, file, other): read and written files of one workflow of which one's name holds the other's."""
-        name = lambda df: df.select("workflow", of(F.col("file")).alias("name")).distinct()
-        met = holding(name(asked), name(written), ["workflow"])
-        left, right = asked.select("workflow", "file", of(F.col("file")).alias("left")).distinct(), written.select("workflow", F.col("file").alias("other"), of(F.col("file")).alias("right"))
-        return left.join(met, ["workflow", "left"]).join(right, ["workflow", "right"]).select("workflow", "file", "other")
-
+    uses = kept_together(uses.withColumn("base", _base(F.col("file"))), "workflow", "uses")
+    asked = uses.select("workflow", "file", "base", "piped").distinct()
+    sizes, others = of_few(asked, written, ["workflow"])
+    key = ["workflow", "file", "piped"]
+    first = lambda df: df.groupBy(*key).agg(F.min("at").alias("s"))
+    some = asked.join(sizes.filter("few").select("workflow"), "workflow", "left_semi") if others else asked
     ends = F.endswith("file", "other") | F.endswith("other", "file")
-    pairs = near(lambda f: f).join(asked, ["workflow", "file"]).filter(~F.col("piped") | ends).select("workflow", "file", "piped", "other")
-    pairs = pairs.union(near(_base).join(asked.filter(~F.col("piped")), ["workflow", "file"]).select("workflow", "file", "piped", "other"))
-    found = pairs.join(written.withColumnRenamed("file", "other"), ["workflow", "other"]).select("workflow", "file", "piped", "at")
-    for mine, theirs in FILE_WORDS:  # the first written file with the one word, for each values file with the other
-        first = written.filter(F.contains(_base(F.col("file")), F.lit(theirs))).groupBy("workflow").agg(F.min("at").alias("at"))
-        found = found.union(asked.filter(~F.col("piped") & F.contains(_base(F.col("file")), F.lit(mine))).join(first, "workflow").select("workflow", "file", "piped", "at"))
-    found = found.groupBy("workflow", "file", "piped").agg(F.min("at").alias("s"))
+    holds = F.contains("file", "other") | F.contains("other", "file") | F.contains("base", "other_base") | F.contains("other_base", "base")
+    go_together = [F.contains("base", F.lit(mine)) & F.contains("other_base", F.lit(theirs)) for mine, theirs in FILE_WORDS]
+    found = first(some.join(written, "workflow").filter(F.when(F.col("piped"), ends).otherwise(reduce(or_, go_together, holds))))
+    if others:
+        large = lambda df: df.join(sizes.filter("not few").select("workflow"), "workflow", "left_semi")
+        found = found.union(first(_files_of_many(large(asked), large(written), ends)))
     found = _with_dependence(uses.join(found, ["workflow", "file", "piped"]).withColumns({"s_job": F.col("s.job"), "s_position": F.col("s.position")}), depends)
     piped = _confidence("output_to_file", F.lit(85), F.lit(80), F.when(F.col("depends") & (F.col("s_job") != F.col("t_job")), 75))
     return _flow(found, "output_to_file", F.lit("json_outputs"), F.col("path"), F.when(F.col("piped"), piped).otherwise(_confidence("output_to_file", F.lit(60))), F.col("seq"))
 
 
+@_written
 def artifact_flows(steps: DataFrame, terraform: DataFrame, helm: DataFrame, depends: DataFrame) -> DataFrame:
     """Flows through artifacts: an upload in a job with Terraform steps, the first that the name of a download in the Helm step's job matches, if the Helm step uses its file."""
     first = terraform.groupBy("workflow", "job").agg(F.min("position").alias("s_position"), F.min_by("ordinal", "position").alias("s_ordinal"))
@@ -214,7 +268,7 @@ def artifact_flows(steps: DataFrame, terraform: DataFrame, helm: DataFrame, depe
     ups = acts("upload-artifact").join(first, ["workflow", "job"])
     said = ups.select("workflow", "job", "path").distinct().join(terraform.select("workflow", "job", "text"), ["workflow", "job"]).filter(F.contains("text", "path")).select("workflow", "job", "path", F.lit(True).alias("said")).distinct()
     ups = ups.join(said, ["workflow", "job", "path"], "left").withColumn("with_output", F.coalesce("said", F.lit(False)) | F.col("path").rlike(OUTPUT_PATHS))
-    ups = ups.groupBy("workflow", "name").agg(F.min(F.struct("s_ordinal", "position", "job", "s_position", "path", "with_output")).alias("at"))
+    ups = kept_together(ups.groupBy("workflow", "name").agg(F.min(F.struct("s_ordinal", "position", "job", "s_position", "path", "with_output")).alias("at")), "workflow", "uploads")
     downs = acts("download-artifact").select("workflow", F.col("job").alias("t_job"), F.col("position").alias("seq"), "name", F.col("path").alias("d_path"))
     asked = downs.select("workflow", "name").distinct()
     pairs = holding(asked, ups, ["workflow"]).select("workflow", F.col("left").alias("name"), F.col("right").alias("other"))
@@ -243,7 +297,7 @@ def detected(steps: DataFrame, jobs: DataFrame, least: float = 0, most: int | No
     named by a Terraform step if it is one of the names in its text.
     """
     steps, terraform, helm, depends = frames(steps, jobs)
-    found = direct_flows(terraform, helm, depends).union(env_flows(terraform, helm, depends, reaching)).union(file_flows(terraform, helm, depends)).union(artifact_flows(steps, terraform, helm, depends))
+    found = direct_flows(terraform, helm, depends).union(env_flows(terraform, helm, depends, reaching=reaching)).union(file_flows(terraform, helm, depends)).union(artifact_flows(steps, terraform, helm, depends))
     key = ["workflow", "source_job", "output", "target_job", "path"]
     chosen = F.min(F.struct("order", "pattern", "source_position", "target_position", "confidence")).alias("b")
     found = found.groupBy(*key).agg(chosen).select("workflow", "b.pattern", "source_job", "b.source_position", "output", "target_job", "b.target_position", "path", "b.confidence", "b.order").filter(F.col("confidence") >= least)

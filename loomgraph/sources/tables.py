@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Schemas of input tables by path, so that a table's files are asked for theirs once.
 _SCHEMAS: dict[str, T.StructType] = {}
+#: Numbers of buckets of tables that are `kept_together`, by their folders.
+_BUCKETS: dict[str, int] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,15 +68,38 @@ def known(df: DataFrame, row: Column, good: Callable[[Column], Column]) -> DataF
     return df.select(F.explode(F.filter(F.array(row), good)).alias("row")).select("row.*")
 
 
-def bucketed(df: DataFrame, key: str, name: str = "bucketed", buckets: int | None = None) -> tuple[DataFrame, str]:
-    """`df` written as a table in buckets by `key`, each sorted by it, and read again, with the table's name; a join on the key doesn't shuffle it."""
+def bucketed(df: DataFrame, key: str, name: str = "bucketed", buckets: int | None = None, once_by: list[str] | None = None) -> tuple[DataFrame, str]:
+    """`df` written as a table in buckets by `key`, each sorted by it, and read again, with the table's name; a join on the key doesn't shuffle it. With `once_by`, which has the key among them, only one row of each of these."""
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = f"loomgraph_{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", fresh_path(spark, name)).saveAsTable(named)
+    dealt_out = df.repartition(n, key)
+    dealt_out = dealt_out.dropDuplicates(once_by) if once_by else dealt_out
+    dealt_out.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", fresh_path(spark, name)).saveAsTable(named)
     return spark.table(named), named
 
 
+def kept_together(df: DataFrame, key: str, name: str = "together", buckets: int | None = None, once_by: list[str] | None = None) -> DataFrame:
+    """`df` in buckets by `key`, as many as those that it is read from, as a side of joins (see `wide`) that `together` leaves where it is. Only the files stay, no table of the catalog."""
+    buckets = buckets or max((_BUCKETS.get(f.rsplit("/", 2)[1], 0) for f in df.inputFiles()), default=0) or parts_of(df)
+    found, named = bucketed(df, key, name, buckets, once_by)
+    df.sparkSession.sql(f"DROP TABLE {named}")
+    _BUCKETS.update((f.rsplit("/", 2)[1], buckets) for f in found.inputFiles())
+    return wide(found)
+
+
+@contextmanager
+def together(spark: SparkSession) -> Iterator[None]:
+    """Joins that are run within take sides that lie in equal buckets by one of the join's keys as they lie; otherwise Spark shuffles both sides by all keys. What is run later is planned as ever, so results are to be written within."""
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def numbered(df: DataFrame, order: list[Column], to: str, of: Column | None = None) -> DataFrame:
     """`df` with the number of rows before each in an order, or their sum of `of`: ranges are sorted by themselves, and only a number for each range goes through the driver."""
     ranged = checkpointed(df.repartitionByRange(*order).withColumns({"_part": F.spark_partition_id(), "_of": F.lit(1).cast("long") if of is None else of}), "numbered")
@@ -93,12 +119,17 @@ def dealt(df: DataFrame, *keys: str, mb: int = 8) -> DataFrame:
     compressed size, would have the tasks that count them keep more the more
     comes in.
     """
+    return df.repartition(parts_of(df, mb), *keys)
+
+
+def parts_of(df: DataFrame, mb: int = 8) -> int:
+    """A part for each `mb` MB of the files that `df` comes from, at least one for each core."""
     spark = df.sparkSession
     size = 0
     for path in df.inputFiles():
         at, store = _folder(spark, path)
         size += store.getFileStatus(at).getLen()
-    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-size // (mb << 20))), *keys)
+    return max(spark.sparkContext.defaultParallelism, -(-size // (mb << 20)))
 
 
 def _folder(spark: SparkSession, path: str):
