@@ -204,6 +204,7 @@ def helm_links(operations: DataFrame, nodes: DataFrame, least: float = 50, most:
     named = kinds.join(names, "left").join(owners, "right").filter(~F.coalesce(beside, F.lit(False))).withColumn("score", likeness).filter("score >= 60").withColumn("score", F.round(F.col("score") * 0.7))
     named = best(named.select("path", "name", "node", "score"), ["path", "name"], [F.desc("score"), "node"]).select(F.col("path").alias("p"), F.col("name").alias("m"), "node", "score")
     found = found.union(shown(ops.join(named, F.col("path").eqNullSafe(F.col("p")) & (F.col("name") == F.col("m"))), F.col("score")))
+    found = found.repartition(*key)  # an operation's rows together, once for their sum and for the best of them
     return best(found.groupBy(*key, "node").agg(F.round(F.max("score")).alias("score")).filter(F.col("score") >= least), key, [F.desc("score"), "node"])
 
 

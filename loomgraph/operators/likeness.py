@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import kept_together, wide
@@ -68,6 +69,61 @@ def _grams(name: str) -> set[str]:
     return {f"{size}/{name[i : i + size]}" for size in sizes for i in range(len(name) - size + 1 if size else 1)}
 
 
+#: Letters that a profile counts together, in the order in which profiles are tried: each by itself, in six groups, digits and letters.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_DIGITS = "0123456789"
+PROFILES = ((_DIGITS, *_LETTERS), (_DIGITS, *(_LETTERS[i::6] for i in range(6))), (_DIGITS, _LETTERS))
+#: So many different profiles of a side are compared at most.
+MOST_PROFILES = 2000
+
+
+def _profile(classes: tuple[str, ...]) -> Column:
+    """How many letters of each class a name has, and its length, as text."""
+    return F.array_join(F.array(*[(F.length("name") - F.length(F.translate("name", c, ""))).cast("string") for c in classes], F.length("name").cast("string")), ",")
+
+
+def _may_meet(left: DataFrame, right: DataFrame, meet: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """The names (name) of both sides less those whose profile can meet no profile of the other side.
+
+    `meet` compares a profile (counts of each class, the last of all other
+    letters) with all of the other side. Only profiles go through the driver;
+    with too many, coarser ones are taken, and at last all names.
+    """
+    for classes in PROFILES:
+        sides = []
+        for df in (left, right):
+            rows = df.select(_profile(classes).alias("p")).distinct().limit(MOST_PROFILES + 1).collect()
+            counts = np.array([[int(x) for x in r["p"].split(",")] for r in rows]).reshape(len(rows), len(classes) + 1)
+            counts[:, -1] -= counts[:, :-1].sum(axis=1)
+            sides.append(([r["p"] for r in rows], counts))
+        (a, x), (b, y) = sides
+        if max(len(a), len(b)) <= MOST_PROFILES:
+            good = np.array([meet(row, y) for row in x]).reshape(len(a), len(b))
+            of = lambda df, names, some: df.filter(_profile(classes).isin([n for n, s in zip(names, some, strict=True) if s]))  # noqa: B023, E731
+            return of(left, a, good.any(axis=1)), of(right, b, good.any(axis=0))
+    return left, right
+
+
+def _close(threshold: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether letters too many on a side leave the likeness of names at `threshold`."""
+
+    def meet(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+        least = np.maximum(np.maximum(one - others, 0).sum(axis=1), np.maximum(others - one, 0).sum(axis=1))
+        return least <= np.array([edits(int(n), threshold) for n in np.maximum(one.sum(), others.sum(axis=1))])
+
+    return meet
+
+
+def _inside(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether one name has all letters of the other."""
+    return (one <= others).all(axis=1) | (one >= others).all(axis=1)
+
+
+def _distinct(names: DataFrame) -> DataFrame:
+    """Each name once, in as many parts as the session has for shuffles: keys are many more than names, so parts are not put together by the size of the names."""
+    return names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name").distinct()
+
+
 def _keyed(names: DataFrame, to: str, keys: Callable[[str], set[str]], by: list[str] | None = None) -> DataFrame:
     """(*by, to, key): a row for each key of each name; the columns `by` are strings and are kept."""
     by = by or []
@@ -97,12 +153,14 @@ def alike(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
 
     The longer name is cut into segments of which one has one edit at most, so
     that an equal key, a segment whole or less a letter, is found for each pair.
+    Names whose letters are like no name's of the other side get no keys.
     """
     longest = F.greatest(F.length("left"), F.length("right"))
     close = (F.col("left") != F.col("right")) & (F.round(100 * (longest - F.levenshtein("left", "right")) / longest) >= threshold)
-    left, right = left.select("name").filter("name is not null").distinct(), right.select("name").filter("name is not null").distinct()
+    left, right = left.select("name").filter("name is not null"), right.select("name").filter("name is not null")
     if threshold < LEAST_THRESHOLD:
-        return left.withColumnRenamed("name", "left").crossJoin(right.withColumnRenamed("name", "right")).filter(close)
+        return left.distinct().withColumnRenamed("name", "left").crossJoin(right.distinct().withColumnRenamed("name", "right")).filter(close)
+    left, right = map(_distinct, _may_meet(left, right, _close(threshold)))
     as_longer, as_shorter = lambda x: longer_keys(x, threshold), lambda x: shorter_keys(x, threshold)
     down = _keyed(left, "left", as_longer).join(_keyed(right, "right", as_shorter), "key").filter(F.length("left") >= F.length("right"))
     up = _keyed(left, "left", as_shorter).join(_keyed(right, "right", as_longer), "key").filter(F.length("left") < F.length("right"))
@@ -117,9 +175,10 @@ def holding(left: DataFrame, right: DataFrame, by: list[str] | None = None) -> D
     pairs are fewer than such keys, all pairs are tried.
     """
     by = by or []
-    left, right = (df.select(*by, "name").filter("name is not null").distinct() for df in (left, right))
+    left, right = (df.select(*by, "name").filter("name is not null") for df in (left, right))
     if not by:
-        return _held(left, right, by).distinct()
+        return _held(*map(_distinct, _may_meet(left, right, _inside)), by).distinct()
+    left, right = left.distinct(), right.distinct()
     sizes, others = of_few(left, right, by)
     small = lambda df: df.join(sizes.filter("few").select(*by), by, "left_semi") if others else df
     tried = small(left).withColumnRenamed("name", "left").join(wide(right.withColumnRenamed("name", "right")), by).filter(F.contains("left", "right") | F.contains("right", "left")).select(*by, "left", "right")
