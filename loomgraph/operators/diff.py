@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.graph import change_score, identity_key, impact_level
+from ..sources.tables import checkpointed, discard, wide
 
 # Attributes that a comparison leaves out, of nodes matched by identity and of records compared as they are.
 IGNORED = {
@@ -17,10 +18,10 @@ IGNORED = {
 }
 
 
-def indexed(nodes: DataFrame, lower_path: bool = True) -> DataFrame:
-    """Nodes with their identity key; of several with one key the one of the greatest id."""
+def indexed(nodes: DataFrame, lower_path: bool = True, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes with their identity key; of several with one key the one of the greatest id. With `columns` only these."""
     key = identity_key(F.col("type"), F.col("name"), F.col("file_path"), F.col("namespace"), lower_path)
-    last = nodes.groupBy(key.alias("key")).agg(F.max_by(F.struct(*nodes.columns), "id").alias("x"))
+    last = nodes.groupBy(key.alias("key")).agg(F.max_by(F.struct(*(columns or nodes.columns)), "id").alias("x"))
     return last.select("x.*", "key")
 
 
@@ -103,7 +104,7 @@ def node_diff(base: DataFrame, target: DataFrame, lower_path: bool = True, ignor
     Nodes meet first; metadata go to Python, and are parsed, only where both
     sides have them and their texts differ.
     """
-    side = lambda df, s: indexed(df, lower_path).select("key", F.col("type").alias(f"type_{s}"), F.col("metadata").alias(f"m_{s}"), F.lit(True).alias(f"in_{s}"))
+    side = lambda df, s: indexed(df, lower_path, ("type", "metadata")).select("key", F.col("type").alias(f"type_{s}"), F.col("metadata").alias(f"m_{s}"), F.lit(True).alias(f"in_{s}"))
     both = side(base, "a").join(side(target, "b"), "key", "full_outer")
     shared = F.col("in_a") & F.col("in_b")
     both = both.withColumn("changes", F.when(shared, changes_of(F.when(shared, F.col("m_a")), F.when(shared, F.col("m_b")), ignore)))
@@ -143,6 +144,43 @@ def edge_diff(base: DataFrame, target: DataFrame, changes: bool = False) -> Data
     return both.select("source_key", "type", "target_key", change.alias("change"))
 
 
+def edge_changes(base: tuple[DataFrame, DataFrame], target: tuple[DataFrame, DataFrame], lower_path: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(source, type, target, change) of the edges of two snapshots (nodes, edges), as `edge_diff` with `changes` has them, by the numbers of their ends' keys; and (k, key), the numbers.
+
+    Long keys are numbered and not shuffled with the edges. Edges of both
+    snapshots between the same ids become one row where they are dealt out by
+    their sources, so that what goes on from there is each edge once.
+    """
+    key = identity_key(F.col("type"), F.col("name"), F.col("file_path"), F.col("namespace"), lower_path).alias("key")
+    own = base[0].select("id", key, F.lit(1).cast("byte").alias("at")).union(target[0].select("id", key, F.lit(2).cast("byte")))
+    own = checkpointed(own.groupBy("key", "id").agg(F.bit_or("at").alias("at")), "keys")
+    names = checkpointed(own.select("key").distinct().select(F.monotonically_increasing_id().alias("k"), "key"), "names")
+    ids = checkpointed(own.join(wide(names), "key").select("id", "k", "at"), "ids")
+    discard(own)
+
+    # `at` is 1 for an edge of the base, 2 of the target, 3 of both; as in a join, no type is equal to none
+    one = lambda df, at: df.select("source", "target", "type", "confidence", F.lit(at).cast("byte").alias("at"))
+    rows = one(base[1], 1).union(one(target[1], 2)).repartition("source")
+    apart = F.when(F.col("type").isNull(), F.col("at")).alias("apart")
+    of = lambda at: F.max(F.when(F.col("at") == at, F.col("confidence")))
+    rows = rows.groupBy("source", "target", "type", apart).agg(of(1).alias("a"), of(2).alias("b"), F.bit_or("at").alias("at")).drop("apart")
+    for end, to in (("source", "s"), ("target", "t")):
+        known = wide(ids.select(F.col("id").alias(end), F.col("k").alias(to), F.col("at").alias("of")))
+        at = F.col("at").bitwiseAND(F.col("of"))
+        rows = rows.join(known, end).filter(at > 0).withColumn("at", at).drop(end, "of")
+    has = lambda n: F.col("at").bitwiseAND(F.lit(n).cast("byte")) > 0
+    rows = rows.groupBy("s", "type", "t", apart).agg(F.max(F.when(has(1), F.col("a"))).alias("a"), F.max(F.when(has(2), F.col("b"))).alias("b"))
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "modified").otherwise("unchanged")
+    return rows.select(F.col("s").alias("source"), "type", F.col("t").alias("target"), change.alias("change")), names
+
+
+def named_changes(found: DataFrame, names: DataFrame) -> DataFrame:
+    """(source_key, type, target_key, change) of rows of `edge_changes`."""
+    for end in ("source", "target"):
+        found = wide(found).join(wide(names.select(F.col("k").alias(end), F.col("key").alias(f"{end}_key"))), end)
+    return found.select("source_key", "type", "target_key", "change")
+
+
 def resolution(keys: DataFrame) -> DataFrame:
     """One row: resolved and unresolved edges, and the share of resolved ones."""
     row = keys.agg(F.count_if(F.col("reason").isNull()).alias("resolved"), F.count("reason").alias("unresolved"))

@@ -524,19 +524,22 @@ s1 AS (SELECT *, nodes_added + nodes_removed + nodes_modified + edges_added + ed
   least(100, round(20 * log10(nodes_added + 2 * nodes_removed + 0.5 * nodes_modified + 0.5 * edges_added + edges_removed + 0.25 * edges_modified + 1)))::DOUBLE AS score FROM s1""")
 def diff_summary(spark, sf_dir):
     base, base_edges, target, target_edges = pg.snapshots(spark, sf_dir)
-    return diff.summary(diff.node_diff(base, target), diff.edge_diff(diff.edge_keys(base, base_edges), diff.edge_keys(target, target_edges), changes=True))
+    found, _ = diff.edge_changes((base, base_edges), (target, target_edges))
+    return diff.summary(diff.node_diff(base, target), found)
 
 
 @plain("edge_diff", f"{EDGE_DIFF_SQL} SELECT * FROM ed WHERE change <> 'unchanged'")
 def edge_diff(spark, sf_dir):
     base, base_edges, target, target_edges = pg.snapshots(spark, sf_dir)
-    return diff.edge_diff(diff.edge_keys(base, base_edges), diff.edge_keys(target, target_edges), changes=True).filter("change <> 'unchanged'")
+    found, names = diff.edge_changes((base, base_edges), (target, target_edges))
+    return diff.named_changes(found.filter("change <> 'unchanged'"), names)
 
 
 @plain("edge_changes_by_type", f"{EDGE_DIFF_SQL} SELECT type, count_if(change = 'added') AS added, count_if(change = 'removed') AS removed, count_if(change = 'modified') AS modified FROM ed GROUP BY type")
 def edge_changes_by_type(spark, sf_dir):
     base, base_edges, target, target_edges = pg.snapshots(spark, sf_dir)
-    return diff.by_type(diff.edge_diff(diff.edge_keys(base, base_edges), diff.edge_keys(target, target_edges), changes=True))
+    found, _ = diff.edge_changes((base, base_edges), (target, target_edges))
+    return diff.by_type(found)
 
 
 @plain("affected_files", f"{DIFF_SQL} SELECT DISTINCT file_path FROM (SELECT id, file_path FROM nodes UNION ALL SELECT id, file_path FROM target_nodes) f JOIN (SELECT k.id FROM k JOIN nd USING (key) WHERE change <> 'unchanged' UNION SELECT l.id FROM l JOIN nd USING (key) WHERE change <> 'unchanged') c USING (id)")
