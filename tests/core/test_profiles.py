@@ -52,3 +52,10 @@ def test_names_of_other_letters_get_no_keys(spark, monkeypatch):
     jobs, charts = names_of(spark, [f"job{i}" for i in range(200)]), names_of(spark, [f"supplier#{i:09d}" for i in range(50)])
     assert likeness.holding(jobs, charts).count() == 0 and likeness.alike(jobs, charts, 60).count() == 0
     assert keys == [0] * 8
+
+
+def test_names_of_one_repository_are_no_pairs(spark):
+    rows = [(f"job-{i}", f"repo-{i % 2}") for i in range(100000, 100060)] + [("job-100000", "repo-1"), ("job-100002", "repo-2"), (None, "repo-0")]
+    names = spark.createDataFrame(rows, "name string, repo_id string")
+    got = {(r["left"], r["right"]) for r in likeness.alike(names, names, 90, rising="repo_id").collect()}
+    assert got == {(a, b) for a, r in rows for b, s in rows if a and b and r < s and near(a, b, 90)} and got
